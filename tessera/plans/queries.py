@@ -112,3 +112,155 @@ def q_vec_distance_hd(spark, sf_dir):
     m = F.least(*dist)
     return pts.select("point_id", m["center_id"].cast("int").alias("center_id"),
                       rnd(m["distance"], 6).alias("distance"))
+
+
+# ---------------------------------------------------------------- gridding
+
+from tessera.operators import grid as G  # noqa: E402
+
+TAU = 20        # points per cell of the grid queries (part, sf0.01: 2,000 points)
+MAX_DEPTH = 16  # levels unrolled by the oracle; the part grid settles well before
+
+
+def _grid_sql(ps, tau: int, levels: int) -> str:
+    """DuckDB CTEs ``pts, bb, spec, g, lv, cnt, leafp`` for a 2-d point set."""
+    d = ps.d
+    mins = ", ".join(f"min(x{i}) AS min{i}, max(x{i}) AS max{i}" for i in range(d))
+    vol = " * ".join(f"(max{i} - min{i})" for i in range(d))
+    parts = ", ".join(f"CAST(greatest(1, ceil((max{i} - min{i}) / side)) AS BIGINT) AS P{i}"
+                      for i in range(d))
+    cidx = ", ".join(f"least(CAST(floor((x{i} - min{i}) / side) AS BIGINT), P{i} - 1) AS c{i}"
+                     for i in range(d))
+    strides = []
+    for i in range(d):
+        s = " * ".join(f"P{j}" for j in range(i + 1, d)) or "1"
+        strides.append(f"c{i} * {s}")
+    cell = " + ".join(strides)
+    us = ", ".join(f"(x{i} - min{i}) / side - c{i} AS u{i}" for i in range(d))
+    xs = ", ".join(f"x{i}" for i in range(d))
+    cs = ", ".join(f"c{i}" for i in range(d))
+    avs = ", ".join(f"least(CAST(floor(u{i} * pow(2, level)) AS BIGINT), "
+                    f"CAST(pow(2, level) AS BIGINT) - 1) AS a{i}" for i in range(d))
+    akeys = ", ".join(f"a{i}" for i in range(d))
+    same = " AND ".join(f"min(x{i}) = max(x{i})" for i in range(d))
+    return f"""
+WITH pts AS ({ps.sql()}),
+bb AS (SELECT count(*) AS n, {mins} FROM pts),
+sp0 AS (SELECT *, pow(1.0 * {vol} * {tau} / n, 1.0 / {d}) AS side FROM bb),
+spec AS (SELECT *, {parts} FROM sp0),
+g0 AS (SELECT p.point_id, {xs}, {cidx}, spec.* FROM pts p, spec),
+g AS (SELECT *, {cell} AS cell, {us} FROM g0),
+lv AS (SELECT g.*, lvl.level, {avs} FROM g, (SELECT range AS level FROM range(0, {levels + 1})) lvl),
+cnt AS (SELECT cell, level, {akeys}, count(*) AS cell_n, ({same}) AS same FROM lv
+        GROUP BY cell, level, {akeys}),
+settled AS (SELECT lv.*, cnt.cell_n, cnt.same FROM lv JOIN cnt USING (cell, level, {akeys})
+            WHERE cnt.cell_n <= {tau} OR cnt.same OR lv.level = {levels}),
+leafp AS (SELECT * FROM settled QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY level) = 1)
+"""
+
+
+def _key_sql(d: int) -> str:
+    """DuckDB label ``cell.child...`` of a leaf row with ``level`` and ``a{i}``."""
+    child = " + ".join(f"((a{i} >> (level - j)) & 1) * {2 ** (d - 1 - i)}" for i in range(d))
+    return (f"CASE WHEN level = 0 THEN CAST(cell AS VARCHAR) ELSE CAST(cell AS VARCHAR) || '.' || "
+            f"array_to_string(list_transform(range(1, level + 1), lambda j: CAST({child} AS VARCHAR)), '.') END")
+
+
+_PART_GRID = _grid_sql(PART, TAU, MAX_DEPTH)
+
+
+def _part_grid(spark, sf_dir):
+    pts = PART.load(spark, sf_dir)
+    return pts, G.grid_spec(pts, TAU, PART.d)
+
+
+@register("bounding_box", f"""
+WITH pts AS ({PART.sql()})
+SELECT count(*) AS n, min(x0) AS min_x0, max(x0) AS max_x0, min(x1) AS min_x1, max(x1) AS max_x1
+FROM pts""")
+def q_bounding_box(spark, sf_dir):
+    return G.bounding_box(PART.load(spark, sf_dir), 2)
+
+
+@register("cell_side", _PART_GRID + """
+SELECT round(side, 9) + 0.0 AS side, P0, P1, P0 * P1 AS n_uniform FROM spec""")
+def q_cell_side(spark, sf_dir):
+    _, spec = _part_grid(spark, sf_dir)
+    row = [(round(spec.side, 9) + 0.0, spec.parts[0], spec.parts[1], spec.n_uniform)]
+    return spark.createDataFrame(row, "side DOUBLE, P0 BIGINT, P1 BIGINT, n_uniform BIGINT")
+
+
+@register("uniform_cells", _PART_GRID + """
+, ids AS (SELECT range AS cell FROM range(0, (SELECT P0 * P1 FROM spec)))
+, cc AS (SELECT cell, CAST(cell // P1 AS BIGINT) % P0 AS c0, cell % P1 AS c1, spec.* FROM ids, spec)
+SELECT cell, c0, c1, round(min0 + c0 * side, 6) + 0.0 AS lo0, round(min0 + c0 * side + side, 6) + 0.0 AS hi0,
+       round(min1 + c1 * side, 6) + 0.0 AS lo1, round(min1 + c1 * side + side, 6) + 0.0 AS hi1
+FROM cc""")
+def q_uniform_cells(spark, sf_dir):
+    _, spec = _part_grid(spark, sf_dir)
+    cells = G.uniform_cells(spark, spec)
+    return cells.select("cell", "c0", "c1", *[rnd(F.col(c), 6).alias(c)
+                                              for c in ("lo0", "hi0", "lo1", "hi1")])
+
+
+@register("uniform_grid_assign", _PART_GRID + "SELECT point_id, cell, c0, c1 FROM g")
+def q_uniform_grid_assign(spark, sf_dir):
+    pts, spec = _part_grid(spark, sf_dir)
+    g = G.uniform_grid_assign(pts, spec)
+    return g.select("point_id", "cell", F.col("c")[0].alias("c0"), F.col("c")[1].alias("c1"))
+
+
+@register("cell_counts", _PART_GRID + "SELECT cell, count(*) AS n FROM g GROUP BY cell")
+def q_cell_counts(spark, sf_dir):
+    pts, spec = _part_grid(spark, sf_dir)
+    return G.cell_counts(G.uniform_grid_assign(pts, spec))
+
+
+def _part_adaptive(spark, sf_dir):
+    pts, spec = _part_grid(spark, sf_dir)
+    return G.adaptive_grid(pts, TAU, PART.d, spec=spec, max_depth=MAX_DEPTH)
+
+
+@register("adaptive_grid_assign", _PART_GRID + f"""
+SELECT point_id, {_key_sql(2)} AS cell_key, CAST(level AS INTEGER) AS depth, cell_n FROM leafp""")
+def q_adaptive_grid_assign(spark, sf_dir):
+    grid = _part_adaptive(spark, sf_dir)
+    return grid.points.select("point_id", "cell_key", F.col("depth").cast("int").alias("depth"),
+                              "cell_n")
+
+
+@register("adaptive_cells", _PART_GRID + f"""
+, lc AS (SELECT {_key_sql(2)} AS cell_key, level, c0, c1, a0, a1, min0, min1, side FROM leafp)
+SELECT cell_key, CAST(level AS INTEGER) AS depth,
+       round(min0 + (c0 + a0 / pow(2, level)) * side, 6) + 0.0 AS lo0,
+       round(min1 + (c1 + a1 / pow(2, level)) * side, 6) + 0.0 AS lo1,
+       round(min0 + (c0 + a0 / pow(2, level)) * side + side / pow(2, level), 6) + 0.0 AS hi0,
+       round(min1 + (c1 + a1 / pow(2, level)) * side + side / pow(2, level), 6) + 0.0 AS hi1,
+       count(*) AS n
+FROM lc GROUP BY ALL""")
+def q_adaptive_cells(spark, sf_dir):
+    cells = G.adaptive_cells(_part_adaptive(spark, sf_dir))
+    return cells.select("cell_key", "depth",
+                        *[rnd(F.col(b)[i], 6).alias(f"{b}{i}") for b in ("lo", "hi") for i in range(2)],
+                        "n")
+
+
+@register("grid_stats", _PART_GRID + f"""
+, sp AS (SELECT count(*) AS n_splits FROM cnt WHERE cell_n > {TAU} AND NOT same AND level < {MAX_DEPTH})
+SELECT n, P0 * P1 AS n_uniform, n_splits, P0 * P1 + 3 * n_splits AS n_cells,
+       round(n / (P0 * P1 + 3 * n_splits), 9) + 0.0 AS avg_per_cell
+FROM spec, sp""")
+def q_grid_stats(spark, sf_dir):
+    grid = _part_adaptive(spark, sf_dir)
+    row = [(grid.spec.n, grid.spec.n_uniform, grid.n_splits, grid.n_cells,
+            round(grid.avg_per_cell, 9) + 0.0)]
+    return spark.createDataFrame(
+        row, "n BIGINT, n_uniform BIGINT, n_splits BIGINT, n_cells BIGINT, avg_per_cell DOUBLE")
+
+
+@register("cell_members", _PART_GRID + f"""
+SELECT {_key_sql(2)} AS cell_key, count(*) AS n, min(point_id) AS min_point_id,
+       max(point_id) AS max_point_id, CAST(sum(point_id) AS BIGINT) AS sum_point_id
+FROM leafp GROUP BY ALL""")
+def q_cell_members(spark, sf_dir):
+    return G.cell_members(_part_adaptive(spark, sf_dir))
