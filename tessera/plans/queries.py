@@ -264,3 +264,219 @@ SELECT {_key_sql(2)} AS cell_key, count(*) AS n, min(point_id) AS min_point_id,
 FROM leafp GROUP BY ALL""")
 def q_cell_members(spark, sf_dir):
     return G.cell_members(_part_adaptive(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- sample
+
+from tessera.operators import sample as SM  # noqa: E402
+
+_RANK_SQL = ("(((point_id % 2147483648) + 2147483648) % 2147483648 * 2654435761 + {seed}) "
+             "% 4294967296")
+SEED = 0
+
+_PART_SAMPLE = _PART_GRID + f"""
+, lk AS (SELECT {_key_sql(2)} AS cell_key, point_id, x0, x1, cell_n FROM leafp)
+, st AS (SELECT n, P0 * P1 + 3 * (SELECT count(*) FROM cnt WHERE cell_n > {TAU} AND NOT same
+                                   AND level < {MAX_DEPTH}) AS n_cells FROM spec)
+, av AS (SELECT n / n_cells AS avg FROM st)
+, mg AS (SELECT cell_key, x0, x1, count(*) AS n, min(point_id) AS point_id, any_value(cell_n) AS cell_n
+         FROM lk GROUP BY cell_key, x0, x1)
+, mr AS (SELECT *, {_RANK_SQL.format(seed=SEED)} AS rank FROM mg)
+, q AS (SELECT cell_key, any_value(cell_n) AS cell_n, count(*) AS n_distinct,
+               least(CAST(ceil(any_value(cell_n) / any_value(avg)) AS BIGINT), count(*)) AS k
+        FROM mr, av GROUP BY cell_key)
+"""
+
+
+def _part_merged(spark, sf_dir):
+    grid = _part_adaptive(spark, sf_dir)
+    return grid, SM.merged_cells(grid, SEED)
+
+
+@register("cell_quota", _PART_SAMPLE + "SELECT cell_key, cell_n, n_distinct, k FROM q")
+def q_cell_quota(spark, sf_dir):
+    grid, merged = _part_merged(spark, sf_dir)
+    return SM.cell_quota(merged, grid.avg_per_cell)
+
+
+@register("initial_medoids", _PART_SAMPLE + """
+, ordered AS (SELECT mr.cell_key, mr.point_id, q.k,
+              CAST(row_number() OVER (PARTITION BY mr.cell_key ORDER BY rank, point_id) - 1 AS INTEGER) AS slot
+              FROM mr JOIN q USING (cell_key))
+SELECT cell_key, slot, point_id FROM ordered WHERE slot < k""")
+def q_initial_medoids(spark, sf_dir):
+    grid, merged = _part_merged(spark, sf_dir)
+    quota = SM.cell_quota(merged, grid.avg_per_cell)
+    return SM.initial_medoids(merged, quota).select("cell_key", "slot", "point_id")
+
+
+@register("sample_cost", _PART_SAMPLE + """
+, ordered AS (SELECT mr.*, q.k,
+              row_number() OVER (PARTITION BY mr.cell_key ORDER BY rank, point_id) - 1 AS slot
+              FROM mr JOIN q USING (cell_key))
+, med AS (SELECT cell_key, x0 AS c0, x1 AS c1 FROM ordered WHERE slot < k)
+, pd AS (SELECT o.cell_key, o.point_id, o.n,
+                min(sqrt((o.x0 - m.c0) * (o.x0 - m.c0) + (o.x1 - m.c1) * (o.x1 - m.c1))) AS dist
+         FROM ordered o JOIN med m USING (cell_key) GROUP BY ALL)
+SELECT cell_key, round(sum(n * dist), 4) + 0.0 AS cost FROM pd GROUP BY cell_key""")
+def q_sample_cost(spark, sf_dir):
+    """Cost of each cell's initial medoid set (A4): sum of n * nearest distance."""
+    grid, merged = _part_merged(spark, sf_dir)
+    quota = SM.cell_quota(merged, grid.avg_per_cell)
+    med = SM.initial_medoids(merged, quota).select("cell_key", F.col("coords").alias("m"))
+    pairs = merged.join(med, "cell_key")   # each point meets its own cell's k_c medoids
+    per_point = pairs.groupBy("cell_key", "point_id").agg(
+        F.first("n").alias("n"), F.min(V.distance("coords", "m", 2)).alias("dist"))
+    return per_point.groupBy("cell_key").agg(rnd(F.sum(F.col("n") * F.col("dist")), 4).alias("cost"))
+
+
+@register("cell_medoid", _PART_SAMPLE + """
+, pc AS (SELECT a.cell_key, a.point_id, a.rank,
+                sum(b.n * sqrt((a.x0 - b.x0) * (a.x0 - b.x0) + (a.x1 - b.x1) * (a.x1 - b.x1))) AS cost
+         FROM mr a JOIN mr b USING (cell_key) GROUP BY ALL)
+SELECT cell_key, point_id, round(cost, 4) + 0.0 AS cell_cost FROM pc
+QUALIFY row_number() OVER (PARTITION BY cell_key ORDER BY cost, rank, point_id) = 1""")
+def q_cell_medoid(spark, sf_dir):
+    """Per-cell PAM with one medoid per cell (A3 at k_c = 1)."""
+    grid, merged = _part_merged(spark, sf_dir)
+    res = SM.cell_pam(merged, 2, grid.avg_per_cell, quota_one=True)
+    return res.select("cell_key", "point_id", rnd(F.col("cell_cost"), 4).alias("cell_cost"))
+
+
+@register("cell_pam")
+def q_cell_pam(spark, sf_dir):
+    """Per-cell PAM with the density quota (A3): no SQL form; pytest checks it
+    against a plain-Python slot sweep."""
+    grid, merged = _part_merged(spark, sf_dir)
+    res = SM.cell_pam(merged, 2, grid.avg_per_cell)
+    return res.select("cell_key", "slot", "point_id", rnd(F.col("cell_cost"), 4).alias("cell_cost"))
+
+
+@register("cell_sample", _PART_SAMPLE + """
+SELECT CAST(sum(k) AS BIGINT) AS sample_size, count(*) AS occupied_cells FROM q""")
+def q_cell_sample(spark, sf_dir):
+    """Size of the sample (A5): one medoid row per slot of every cell."""
+    grid, merged = _part_merged(spark, sf_dir)
+    res = SM.cell_pam(merged, 2, grid.avg_per_cell)
+    return res.agg(F.count("*").alias("sample_size"),
+                   F.countDistinct("cell_key").alias("occupied_cells"))
+
+
+# ---------------------------------------------------------------- phase-1 search
+
+from tessera.operators import search as SR  # noqa: E402
+
+_D2 = "sqrt(({a}.x0 - {b}.x0) * ({a}.x0 - {b}.x0) + ({a}.x1 - {b}.x1) * ({a}.x1 - {b}.x1))"
+
+_RANKED_SQL = f"""
+WITH pts AS (SELECT point_id, x0, x1, {_RANK_SQL.format(seed=SEED)} AS rank FROM ({PART.sql()})),
+med AS (SELECT point_id AS mid, x0, x1,
+               CAST(row_number() OVER (ORDER BY rank, point_id) - 1 AS INTEGER) AS slot
+        FROM pts ORDER BY rank, point_id LIMIT {K})
+"""
+
+
+def _ranked_part(spark, sf_dir):
+    pts = PART.load(spark, sf_dir).withColumn("rank", SM.seeded_rank("point_id", SEED))
+    return pts
+
+
+@register("pairwise_distance", f"""
+WITH pts AS ({PART.sql()})
+SELECT a.point_id, round(sum({_D2.format(a='a', b='b')}), 4) + 0.0 AS dist_sum,
+       round(min(CASE WHEN a.point_id <> b.point_id THEN {_D2.format(a='a', b='b')} END), 6) + 0.0 AS dist_min
+FROM pts a, pts b GROUP BY a.point_id""")
+def q_pairwise_distance(spark, sf_dir):
+    """Row sums and nearest-other distance of the all-pairs distance matrix."""
+    pts = PART.load(spark, sf_dir)
+    st = SR.row_distance_stats(pts, SR.broadcast_points(pts, 2))
+    return st.select("point_id", rnd(F.col("dist_sum"), 4).alias("dist_sum"),
+                     rnd(F.col("dist_min"), 6).alias("dist_min"))
+
+
+_REST_SQL = _RANKED_SQL + f"""
+, slots AS (SELECT DISTINCT slot FROM med)
+, rest AS (SELECT p.point_id, s.slot, min({_D2.format(a='p', b='m')}) AS rest
+           FROM pts p, slots s, med m WHERE m.slot <> s.slot GROUP BY p.point_id, s.slot)
+, costs AS (SELECT r.slot, c.point_id, c.rank,
+                   sum(least(r.rest, {_D2.format(a='p', b='c')})) AS cost
+            FROM rest r JOIN pts p USING (point_id), pts c GROUP BY r.slot, c.point_id, c.rank)
+"""
+
+
+@register("swap_cost", _REST_SQL + """
+SELECT point_id, round(cost, 4) + 0.0 AS cost FROM costs
+WHERE slot = 0 AND point_id NOT IN (SELECT mid FROM med)""")
+def q_swap_cost(spark, sf_dir):
+    """Cost of swapping slot 0's medoid for each candidate."""
+    pts = _ranked_part(spark, sf_dir)
+    med = SR.initial_global(pts, K)
+    scored = SR.broadcast_points(pts, 2)
+    M = SR._Lookup(scored).coords(med)
+    costs = SR.swap_costs(pts, scored, M)
+    return (costs.where(~F.col("point_id").isin(med))
+            .select("point_id", rnd(F.col("cost_0"), 4).alias("cost")))
+
+
+@register("best_swap", _REST_SQL + """
+, cur AS (SELECT c.slot, c.cost AS current_cost FROM costs c JOIN med m ON c.slot = m.slot AND c.point_id = m.mid)
+, best AS (SELECT slot, point_id, cost FROM costs WHERE point_id NOT IN (SELECT mid FROM med)
+           QUALIFY row_number() OVER (PARTITION BY slot ORDER BY cost, rank, point_id) = 1)
+SELECT slot, point_id, round(cost, 4) + 0.0 AS cost, round(current_cost, 4) + 0.0 AS current_cost
+FROM best JOIN cur USING (slot)""")
+def q_best_swap(spark, sf_dir):
+    """Cheapest swap of every slot and the current cost."""
+    pts = _ranked_part(spark, sf_dir)
+    med = SR.initial_global(pts, K)
+    scored = SR.broadcast_points(pts, 2)
+    M = SR._Lookup(scored).coords(med)
+    table = SR.best_swaps(SR.swap_costs(pts, scored, M), med, list(range(K)))
+    rows = [(i, table[i][1][0], round(table[i][1][1], 4) + 0.0, round(table[i][0], 4) + 0.0)
+            for i in range(K)]
+    return spark.createDataFrame(rows, "slot INT, point_id BIGINT, cost DOUBLE, current_cost DOUBLE")
+
+
+@register("slot_sweep", f"""
+WITH pts AS (SELECT point_id, x0, x1, {_RANK_SQL.format(seed=SEED)} AS rank FROM ({PART.sql()})),
+m0 AS (SELECT * FROM pts ORDER BY rank, point_id LIMIT 1),
+m1 AS (SELECT * FROM pts ORDER BY rank, point_id LIMIT 1 OFFSET 1),
+c0 AS (SELECT c.point_id, c.rank, sum(least({_D2.format(a='p', b='m1')}, {_D2.format(a='p', b='c')})) AS cost
+       FROM pts p, m1, pts c GROUP BY c.point_id, c.rank),
+cur0 AS (SELECT cost FROM c0 WHERE point_id = (SELECT point_id FROM m0)),
+b0 AS (SELECT * FROM c0 WHERE point_id NOT IN (SELECT point_id FROM m0 UNION ALL SELECT point_id FROM m1)
+       ORDER BY cost, rank, point_id LIMIT 1),
+n0 AS (SELECT CASE WHEN b0.cost < cur0.cost THEN b0.point_id ELSE (SELECT point_id FROM m0) END AS point_id
+       FROM b0, cur0),
+nm0 AS (SELECT pts.* FROM pts JOIN n0 USING (point_id)),
+c1 AS (SELECT c.point_id, c.rank, sum(least({_D2.format(a='p', b='nm0')}, {_D2.format(a='p', b='c')})) AS cost
+       FROM pts p, nm0, pts c GROUP BY c.point_id, c.rank),
+cur1 AS (SELECT cost FROM c1 WHERE point_id = (SELECT point_id FROM m1)),
+b1 AS (SELECT * FROM c1 WHERE point_id NOT IN (SELECT point_id FROM nm0 UNION ALL SELECT point_id FROM m1)
+       ORDER BY cost, rank, point_id LIMIT 1),
+n1 AS (SELECT CASE WHEN b1.cost < cur1.cost THEN b1.point_id ELSE (SELECT point_id FROM m1) END AS point_id
+       FROM b1, cur1)
+SELECT CAST(0 AS INTEGER) AS slot, point_id FROM n0 UNION ALL SELECT CAST(1 AS INTEGER), point_id FROM n1""")
+def q_slot_sweep(spark, sf_dir):
+    """One slot sweep with k = 2 from the first two points in rank order."""
+    pts = _ranked_part(spark, sf_dir)
+    res = SR.sample_medoids(pts, 2, 2, max_sweeps=1)
+    return spark.createDataFrame([(i, m) for i, m in enumerate(res.medoid_ids)],
+                                 "slot INT, point_id BIGINT")
+
+
+@register("medoid_lookup", _RANKED_SQL + "SELECT slot, mid AS point_id, x0, x1 FROM med")
+def q_medoid_lookup(spark, sf_dir):
+    """Coordinates of medoids by id (A12): broadcast join with the k ids."""
+    pts = _ranked_part(spark, sf_dir)
+    med = SR.initial_global(pts, K)
+    return explode_coords(SR.medoid_lookup(pts, med), 2)
+
+
+@register("sample_medoids")
+def q_sample_medoids(spark, sf_dir):
+    """k = 5 medoids of the grid sample (tau 20) by sweeps until stable."""
+    grid, merged = _part_merged(spark, sf_dir)
+    sample = SM.cell_pam(merged, 2, grid.avg_per_cell).cache()
+    res = SR.sample_medoids(sample, K, 2)
+    return spark.createDataFrame([(i, m, round(res.cost, 4)) for i, m in enumerate(res.medoid_ids)],
+                                 "slot INT, point_id BIGINT, sample_cost DOUBLE")
