@@ -1,0 +1,134 @@
+"""The whole clustering run (M1): grid, sample, phase 1, phase 2.
+
+    points -> bounds (1 job) -> adaptive grid (one aggregate + join per level,
+    checkpointed) -> distinct points per cell -> per-cell k-medoids
+    (applyInPandas, checkpointed sample) -> slot sweeps over the sample
+    (broadcast in size-checked blocks) -> cost over all points -> phase 2:
+    ``iterations`` x (Weiszfeld passes, one k-row aggregate each; cost).
+
+Only k centers, bounds and scalar counts reach the driver, plus the
+sample's coordinates when they fit the broadcast bound (else they travel
+in bounded blocks). Centers enter each plan as literals, so plans keep a
+constant size and lineage does not grow across iterations.
+"""
+
+from __future__ import annotations
+
+import time
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessera.operators import assign as A
+from tessera.operators import grid as G
+from tessera.operators import refine as W
+from tessera.operators import sample as SM
+from tessera.operators import search as SR
+from tessera.session import checkpoint, persist
+from tessera.sources.points import point_dimension, write_result
+
+METRICS_SCHEMA = "phase STRING, iteration INT, metric STRING, value DOUBLE"
+
+
+@dataclass
+class ClusterResult:
+    centers: DataFrame            # center_id INT, coords ARRAY<DOUBLE>, kind STRING
+    assignments: DataFrame        # point_id BIGINT, center_id INT, distance DOUBLE (lazy)
+    metrics: DataFrame            # run_metrics rows
+    center_list: list = field(default_factory=list)
+    metric_rows: list = field(default_factory=list)
+    timings: dict = field(default_factory=dict)
+
+
+def cluster(points: DataFrame, k: int, tau: int, iterations: int, seed: int = 0,
+            epsilon: float = W.EPSILON, max_passes: int | None = None,
+            max_sweeps: int | None = None, max_depth: int = G.MAX_DEPTH,
+            block_rows: int = SR.BLOCK_ROWS) -> ClusterResult:
+    """Cluster ``points`` (``point_id, coords, weight``) around ``k`` centers."""
+    spark = points.sparkSession
+    t = {}
+    t0 = time.time()
+    d = point_dimension(points)
+    pts = persist(points)
+    metrics = []
+
+    def metric(phase, it, name, value):
+        metrics.append((phase, it, name, float(value)))
+
+    # grid
+    grid = G.adaptive_grid(pts, tau, d, max_depth=max_depth)
+    spec = grid.spec
+    metric("grid", 0, "n", spec.n)
+    metric("grid", 0, "k", k)
+    metric("grid", 0, "tau", tau)
+    metric("grid", 0, "uniform_cells", spec.n_uniform)
+    metric("grid", 0, "uniform_avg_per_cell", spec.n / spec.n_uniform)
+    metric("grid", 0, "adaptive_cells", grid.n_cells)
+    metric("grid", 0, "levels", grid.levels)
+    t["grid"] = time.time() - t0
+
+    # sample: distinct points per cell, k-medoids inside each cell
+    t1 = time.time()
+    merged = persist(SM.merged_cells(grid, seed))
+    sample = checkpoint(SM.cell_pam(merged, d, grid.avg_per_cell, max_sweeps)
+                        .select("point_id", "coords", "rank", "cell_key", "slot"))
+    s = sample.count()
+    metric("sample", 0, "sample_size", s)
+    t["sample"] = time.time() - t1
+
+    # phase 1
+    t2 = time.time()
+    res = SR.sample_medoids(sample, k, d, max_sweeps=max_sweeps, block_rows=block_rows)
+    centers = [(j, [float(v) for v in res.medoids[j]]) for j in range(k)]
+    cost = A.clustering_cost_value(merged, centers, multiplicity="n")
+    metric("phase1", 0, "sample_cost", res.cost)
+    metric("phase1", 0, "sweeps", res.sweeps)
+    metric("phase1", 0, "cost", cost)
+    t["phase1"] = time.time() - t2
+
+    # phase 2
+    t3 = time.time()
+    kind = "medoid"
+    for it in range(iterations):
+        centers, mres = W.refine_once(merged, centers, d, epsilon, max_passes)
+        cost = A.clustering_cost_value(merged, centers, multiplicity="n")
+        metric("phase2", it, "passes", max(mres.passes.values()) if mres.passes else 0)
+        metric("phase2", it, "cost", cost)
+        kind = "median"
+    t["phase2"] = time.time() - t3
+    merged.unpersist()
+
+    center_df = spark.createDataFrame([(j, c, kind) for j, c in centers],
+                                      "center_id INT, coords ARRAY<DOUBLE>, kind STRING")
+    assignments = A.assign_nearest(pts, centers)
+    metrics_df = spark.createDataFrame(metrics, METRICS_SCHEMA)
+    t["total"] = time.time() - t0
+    return ClusterResult(center_df, assignments, metrics_df, centers, metrics, t)
+
+
+def write_cluster_result(result: ClusterResult, path: str) -> None:
+    """Write centers, assignments and metrics as parquet under ``path``."""
+    write_result(result.centers, f"{path}/centers")
+    write_result(result.assignments, f"{path}/assignments")
+    write_result(result.metrics, f"{path}/run_metrics")
+
+
+def cost_trace(points: DataFrame, centers: list, iterations: int, epsilon: float = W.EPSILON,
+               max_passes: int | None = None) -> DataFrame:
+    """Cost with the given centers, then after each refinement (E3/W9):
+    ``phase, iteration, cost``."""
+    spark = points.sparkSession
+    d = len(centers[0][1])
+    merged = persist(W.merge_duplicates(points))
+    rows = [("start", 0, A.clustering_cost_value(merged, centers, multiplicity="n"))]
+    for it in range(iterations):
+        centers, _ = W.refine_once(merged, centers, d, epsilon, max_passes)
+        rows.append(("phase2", it, A.clustering_cost_value(merged, centers, multiplicity="n")))
+    merged.unpersist()
+    return spark.createDataFrame(rows, "phase STRING, iteration INT, cost DOUBLE")
+
+
+def assignments_table(points: DataFrame, result: ClusterResult) -> DataFrame:
+    return A.assign_nearest(points, result.center_list).select(
+        "point_id", "center_id", F.col("distance"))

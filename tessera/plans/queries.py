@@ -480,3 +480,181 @@ def q_sample_medoids(spark, sf_dir):
     res = SR.sample_medoids(sample, K, 2)
     return spark.createDataFrame([(i, m, round(res.cost, 4)) for i, m in enumerate(res.medoid_ids)],
                                  "slot INT, point_id BIGINT, sample_cost DOUBLE")
+
+
+# ---------------------------------------------------------------- refinement
+
+from tessera.operators import refine as W  # noqa: E402
+from tessera.plans import pipeline as PL  # noqa: E402
+
+_BASE_SQL = f"WITH RECURSIVE pts AS ({PART.sql()}), ctr AS ({centers_sql(PART, K)})"
+
+
+def _assign_sql(p: str, ctr: str) -> str:
+    """CTE ``{p}_ap``: part points with the id of their nearest center in ``ctr``."""
+    return f"""
+, {p}_pc AS (SELECT q.point_id, q.x0, q.x1, q.weight, c.center_id,
+                    {_D2.format(a='q', b='c').replace('c.x', 'c.c')} AS dist FROM pts q, {ctr} c)
+, {p}_ap AS (SELECT point_id, x0, x1, weight, center_id, dist FROM {p}_pc
+             QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY dist, center_id) = 1)
+"""
+
+
+def _sums_sql(it: str, ap: str, where: str) -> str:
+    """Per center of ``it``: centered pull R, den, w_at at the estimate (x0, x1)."""
+    return f"""
+SELECT center_id, pass, x0, x1,
+       coalesce(sum(CASE WHEN NOT at_x AND dist > 0 THEN weight * (ax0 - x0) / dist END), 0) AS r0,
+       coalesce(sum(CASE WHEN NOT at_x AND dist > 0 THEN weight * (ax1 - x1) / dist END), 0) AS r1,
+       coalesce(sum(CASE WHEN NOT at_x AND dist > 0 THEN weight / dist END), 0) AS den,
+       coalesce(sum(CASE WHEN at_x THEN weight END), 0) AS w_at
+FROM (SELECT it.center_id, it.pass, it.x0, it.x1, a.weight, a.x0 AS ax0, a.x1 AS ax1,
+             (a.x0 = it.x0 AND a.x1 = it.x1) AS at_x,
+             sqrt((a.x0 - it.x0) * (a.x0 - it.x0) + (a.x1 - it.x1) * (a.x1 - it.x1)) AS dist
+      FROM {it} it JOIN {ap} a USING (center_id) WHERE {where}) j
+GROUP BY center_id, pass, x0, x1"""
+
+
+def _update_sql(sums: str) -> str:
+    """Next estimate from the sums (T off the data, S or stay on a data point)."""
+    def nx(i):
+        return (f"CASE WHEN w_at = 0 AND den = 0 THEN x{i} WHEN w_at = 0 THEN x{i} + r{i} / den "
+                f"WHEN rn <= w_at OR den = 0 THEN x{i} ELSE x{i} + (rn - w_at) / den * r{i} / rn END")
+    return f"""
+SELECT center_id, pass, x0, x1, {nx(0)} AS nx0, {nx(1)} AS nx1, rn, den, w_at, r0, r1
+FROM (SELECT *, sqrt(r0 * r0 + r1 * r1) AS rn FROM ({sums}) s) t"""
+
+
+def _median_sql(p: str, ctr: str, eps: float, max_passes: int | None) -> str:
+    """CTEs ``{p}_ap`` (assignment), ``{p}_it`` (passes), ``{p}_out`` (centers)."""
+    cap = f" AND it.pass < {max_passes}" if max_passes is not None else ""
+    upd = _update_sql(_sums_sql(f"{p}_it", f"{p}_ap", f"it.step > {eps}{cap}"))
+    return _assign_sql(p, ctr) + f"""
+, {p}_it AS (
+    SELECT center_id, 0 AS pass, c0 AS x0, c1 AS x1, CAST('inf' AS DOUBLE) AS step FROM {ctr}
+    WHERE center_id IN (SELECT center_id FROM {p}_ap)
+    UNION ALL
+    SELECT center_id, pass + 1, nx0, nx1, sqrt((nx0 - x0) * (nx0 - x0) + (nx1 - x1) * (nx1 - x1))
+    FROM ({upd}) u)
+, {p}_out AS (
+    SELECT center_id, x0 AS c0, x1 AS c1, pass AS passes FROM {p}_it
+    QUALIFY row_number() OVER (PARTITION BY center_id ORDER BY pass DESC) = 1
+    UNION ALL
+    SELECT center_id, c0, c1, 0 FROM {ctr} WHERE center_id NOT IN (SELECT center_id FROM {p}_ap))
+"""
+
+
+def _cost_sql(ctr: str) -> str:
+    return (f"(SELECT sum(dist) FROM (SELECT min({_D2.format(a='q', b='c').replace('c.x', 'c.c')}) AS dist "
+            f"FROM pts q, {ctr} c GROUP BY q.point_id))")
+
+
+def _part_centers(spark, sf_dir):
+    pts = PART.load(spark, sf_dir)
+    return pts, first_k_centers(pts, K)
+
+
+@register("cluster_sizes", _BASE_SQL + _assign_sql("r", "ctr") + """
+SELECT center_id, count(*) AS n, sum(weight) AS weight FROM r_ap GROUP BY center_id""")
+def q_cluster_sizes(spark, sf_dir):
+    pts, ctr = _part_centers(spark, sf_dir)
+    return A.cluster_sizes(pts, ctr)
+
+
+@register("merge_duplicates", _BASE_SQL + _assign_sql("r", "ctr") + """
+SELECT center_id, x0, x1, count(*) AS n, sum(weight) AS weight FROM r_ap GROUP BY center_id, x0, x1""")
+def q_merge_duplicates(spark, sf_dir):
+    pts, ctr = _part_centers(spark, sf_dir)
+    merged = W.merge_duplicates(pts)
+    return explode_coords(W.assign_to(merged, ctr).select("center_id", "coords", "n", "weight"), 2)
+
+
+@register("median_objective", _BASE_SQL + _assign_sql("r", "ctr") + """
+SELECT center_id, round(sum(weight * dist), 4) + 0.0 AS objective, count(*) AS n FROM r_ap GROUP BY center_id""")
+def q_median_objective(spark, sf_dir):
+    pts, ctr = _part_centers(spark, sf_dir)
+    return A.median_objective(pts, ctr).select("center_id", rnd(F.col("objective"), 4).alias("objective"), "n")
+
+
+_OFF = 0.25  # W3 evaluates T at center + 0.25 in every coordinate: never a data point of part
+
+
+@register("weiszfeld_step", _BASE_SQL + _assign_sql("r", "ctr") + f"""
+, it AS (SELECT center_id, 0 AS pass, c0 + {_OFF} AS x0, c1 + {_OFF} AS x1 FROM ctr)
+, s AS ({_sums_sql("it", "r_ap", "TRUE")})
+SELECT center_id, round(x0 + r0 / den, 6) + 0.0 AS t0, round(x1 + r1 / den, 6) + 0.0 AS t1 FROM s""")
+def q_weiszfeld_step(spark, sf_dir):
+    """Operator T at a point off the data."""
+    pts, ctr = _part_centers(spark, sf_dir)
+    assigned = W.assign_to(pts, ctr)
+    xs = {j: [v + _OFF for v in c] for j, c in ctr}
+    st = W.pass_stats(assigned, xs, 2)
+    xcol = W._center_vec(xs, list(xs))
+    return st.select("center_id", *[rnd(xcol[i] + F.col(f"r_{i}") / F.col("den"), 6).alias(f"t{i}")
+                                    for i in range(2)])
+
+
+@register("weiszfeld_pull", _BASE_SQL + _assign_sql("r", "ctr") + f"""
+, it AS (SELECT center_id, 0 AS pass, c0 AS x0, c1 AS x1 FROM ctr)
+, s AS ({_sums_sql("it", "r_ap", "TRUE")})
+SELECT center_id, round(r0, 6) + 0.0 AS r0, round(r1, 6) + 0.0 AS r1, round(den, 9) + 0.0 AS l,
+       w_at FROM s""")
+def q_weiszfeld_pull(spark, sf_dir):
+    """R and L at the center, a data point of its cluster."""
+    pts, ctr = _part_centers(spark, sf_dir)
+    st = W.pass_stats(W.assign_to(pts, ctr), {j: c for j, c in ctr}, 2)
+    return st.select("center_id", rnd(F.col("r_0"), 6).alias("r0"), rnd(F.col("r_1"), 6).alias("r1"),
+                     rnd(F.col("den"), 9).alias("l"), F.coalesce(F.col("w_at"), F.lit(0.0)).alias("w_at"))
+
+
+@register("weiszfeld_anchor_step", _BASE_SQL + _assign_sql("r", "ctr") + f"""
+, it AS (SELECT center_id, 0 AS pass, c0 AS x0, c1 AS x1 FROM ctr)
+, u AS ({_update_sql(_sums_sql("it", "r_ap", "TRUE"))})
+SELECT center_id, round(nx0, 6) + 0.0 AS x0, round(nx1, 6) + 0.0 AS x1 FROM u""")
+def q_weiszfeld_anchor_step(spark, sf_dir):
+    """Operator S from the center, stepping along +R."""
+    pts, ctr = _part_centers(spark, sf_dir)
+    st = W.pass_stats(W.assign_to(pts, ctr), {j: c for j, c in ctr}, 2).collect()
+    cmap = dict(ctr)
+    rows = []
+    for r in st:
+        j = int(r["center_id"])
+        new, _ = W.weiszfeld_update(cmap[j], [r["r_0"] or 0.0, r["r_1"] or 0.0], r["den"] or 0.0,
+                                    r["w_at"] or 0.0)
+        rows.append((j, round(new[0], 6) + 0.0, round(new[1], 6) + 0.0))
+    return spark.createDataFrame(rows, "center_id INT, x0 DOUBLE, x1 DOUBLE")
+
+
+@register("geometric_median", _BASE_SQL + _median_sql("g", "ctr", 0.0, 3) + """
+SELECT center_id, round(c0, 4) + 0.0 AS x0, round(c1, 4) + 0.0 AS x1, CAST(passes AS INTEGER) AS passes
+FROM g_out""")
+def q_geometric_median(spark, sf_dir):
+    """Three Weiszfeld passes per cluster, epsilon 0."""
+    pts, ctr = _part_centers(spark, sf_dir)
+    res = W.geometric_medians(W.assign_to(pts, ctr), {j: c for j, c in ctr}, 2, 0.0, 3)
+    rows = [(j, round(x[0], 4) + 0.0, round(x[1], 4) + 0.0, res.passes[j]) for j, x in res.centers.items()]
+    return spark.createDataFrame(rows, "center_id INT, x0 DOUBLE, x1 DOUBLE, passes INT")
+
+
+@register("refine_once", _BASE_SQL + _median_sql("g", "ctr", W.EPSILON, None) + """
+SELECT center_id, round(c0, 4) + 0.0 AS x0, round(c1, 4) + 0.0 AS x1, CAST(passes AS INTEGER) AS passes
+FROM g_out""")
+def q_refine_once(spark, sf_dir):
+    """One refinement to epsilon 0.01 on merged points (W2 + W8)."""
+    pts, ctr = _part_centers(spark, sf_dir)
+    merged = W.merge_duplicates(pts)
+    new, res = W.refine_once(merged, ctr, 2)
+    rows = [(j, round(x[0], 4) + 0.0, round(x[1], 4) + 0.0, res.passes[j]) for j, x in new]
+    return spark.createDataFrame(rows, "center_id INT, x0 DOUBLE, x1 DOUBLE, passes INT")
+
+
+@register("cost_trace", _BASE_SQL + _median_sql("g", "ctr", W.EPSILON, None)
+          + _median_sql("h", "g_out", W.EPSILON, None) + f"""
+SELECT 'start' AS phase, CAST(0 AS INTEGER) AS iteration, round({_cost_sql('ctr')}, 4) + 0.0 AS cost
+UNION ALL SELECT 'phase2', 0, round({_cost_sql('g_out')}, 4) + 0.0
+UNION ALL SELECT 'phase2', 1, round({_cost_sql('h_out')}, 4) + 0.0""")
+def q_cost_trace(spark, sf_dir):
+    """Cost at the start centers and after each of two refinements."""
+    pts, ctr = _part_centers(spark, sf_dir)
+    tr = PL.cost_trace(pts, ctr, 2)
+    return tr.select("phase", "iteration", rnd(F.col("cost"), 4).alias("cost"))
