@@ -658,3 +658,145 @@ def q_cost_trace(spark, sf_dir):
     pts, ctr = _part_centers(spark, sf_dir)
     tr = PL.cost_trace(pts, ctr, 2)
     return tr.select("phase", "iteration", rnd(F.col("cost"), 4).alias("cost"))
+
+
+# ---------------------------------------------------------------- vector functions, sources
+
+from tessera.session import scratch_path  # noqa: E402
+from tessera.sources import points as SP  # noqa: E402
+
+
+def _emb_with_label(spark, sf_dir):
+    src = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return src.select(F.col("vec_id").alias("point_id"),
+                      F.transform("embedding", lambda v: v.cast("double")).alias("coords"), "label")
+
+
+@register("vec_norm", f"""
+WITH pts AS ({EMBED.sql()})
+SELECT point_id, round({' + '.join(f'x{i} * x{i}' for i in range(64))}, 9) + 0.0 AS norm2,
+       round(sqrt({' + '.join(f'x{i} * x{i}' for i in range(64))}), 9) + 0.0 AS norm FROM pts""")
+def q_vec_norm(spark, sf_dir):
+    """Squared norm and norm of 64-d embeddings (V2, higher-order form)."""
+    pts = EMBED.load(spark, sf_dir)
+    return pts.select("point_id", rnd(V.squared_norm("coords"), 9).alias("norm2"),
+                      rnd(V.norm("coords"), 9).alias("norm"))
+
+
+@register("vec_sum_by_label", """
+SELECT label, count(*) AS n, """ + ", ".join(
+    f"round(sum(CAST(embedding[{i + 1}] AS DOUBLE)), 6) + 0.0 AS s{i}" for i in range(64))
+    + " FROM embeddings GROUP BY label")
+def q_vec_sum_by_label(spark, sf_dir):
+    """Per-label coordinate sums of the embeddings (V3 as an accumulator)."""
+    pts = _emb_with_label(spark, sf_dir)
+    g = pts.groupBy("label").agg(F.count("*").alias("n"), *V.sum_vectors("coords", 64))
+    return g.select("label", "n", *[rnd(F.col(f"s{i}"), 6).alias(f"s{i}") for i in range(64)])
+
+
+@register("vec_subtract", _NEAREST_SQL.split(", pc AS")[0] + """
+SELECT p.point_id, round(p.x0 - c.c0, 6) + 0.0 AS x0, round(p.x1 - c.c1, 6) + 0.0 AS x1
+FROM pts p, ctr c WHERE c.center_id = 0""")
+def q_vec_subtract(spark, sf_dir):
+    """Each part point minus the first center (V4)."""
+    pts, ctr = _part_and_centers(spark, sf_dir)
+    diff = pts.select("point_id", V.subtract("coords", ctr[0][1]).alias("coords"))
+    return diff.select("point_id", *[rnd(F.col("coords")[i], 6).alias(f"x{i}") for i in range(2)])
+
+
+@register("vec_scale", f"""
+SELECT point_id, round(x0 * 0.5, 6) + 0.0 AS x0, round(x1 * 0.5, 6) + 0.0 AS x1 FROM ({PART.sql()})""")
+def q_vec_scale(spark, sf_dir):
+    """Each part point scaled by 0.5 (V5)."""
+    pts = PART.load(spark, sf_dir).select("point_id", V.scale("coords", 0.5).alias("coords"))
+    return pts.select("point_id", *[rnd(F.col("coords")[i], 6).alias(f"x{i}") for i in range(2)])
+
+
+@register("vec_equal", _NEAREST_SQL.split(", pc AS")[0] + """
+SELECT p.point_id, bool_or(p.x0 = c.c0 AND p.x1 = c.c1) AS eq FROM pts p, ctr c GROUP BY p.point_id""")
+def q_vec_equal(spark, sf_dir):
+    """Whether each part point equals one of the centers in every coordinate (V6)."""
+    pts, ctr = _part_and_centers(spark, sf_dir)
+    eq = None
+    for _, c in ctr:
+        e = V.equal("coords", c)
+        eq = e if eq is None else (eq | e)
+    return pts.select("point_id", eq.alias("eq"))
+
+
+@register("vec_order", f"""
+SELECT point_id, row_number() OVER (ORDER BY x0, x1, point_id) - 1 AS ord FROM ({PART.sql()})""")
+def q_vec_order(spark, sf_dir):
+    """Position of each part point in lexicographic coordinate order (V7, V9)."""
+    pts = PART.load(spark, sf_dir).select("point_id", "coords")
+    return V.lexicographic_index(pts).select("point_id", "ord")
+
+
+@register("vec_to_string", f"""
+SELECT point_id, CAST(x0 AS VARCHAR) || ',' || CAST(x1 AS VARCHAR) AS text FROM ({PART.sql()})""")
+def q_vec_to_string(spark, sf_dir):
+    """Points printed as ``a,b`` (V8)."""
+    pts = PART.load(spark, sf_dir)
+    return pts.select("point_id", V.to_text("coords").alias("text"))
+
+
+@register("read_points_text", f"SELECT x0, x1, weight FROM ({PART.sql()})")
+def q_read_points_text(spark, sf_dir):
+    """Write the part points as tab-separated text in the shared folder, read
+    them back with the text reader (S1, S4)."""
+    path = scratch_path(spark, "part-tsv")
+    SP.write_points_text(PART.load(spark, sf_dir), path)
+    pts = SP.read_points_text(spark, path)
+    return explode_coords(pts, 2).drop("point_id")
+
+
+@register("point_index", """
+SELECT count(*) AS n, CAST(0 AS BIGINT) AS min_id, count(*) - 1 AS max_id, count(*) AS n_distinct
+FROM lineitem""")
+def q_point_index(spark, sf_dir):
+    """Contiguous ids 0..n-1 for a keyless table (S3): lineitem."""
+    src = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    pts = SP.read_points_table(src, ["l_quantity", "l_extendedprice"])
+    return pts.agg(F.count("*").alias("n"), F.min("point_id").alias("min_id"),
+                   F.max("point_id").alias("max_id"), F.countDistinct("point_id").alias("n_distinct"))
+
+
+# ---------------------------------------------------------------- whole pipeline
+
+PIPE_K, PIPE_TAU, PIPE_ITER = 5, 20, 2
+
+
+def _pipeline(spark, sf_dir, iterations=PIPE_ITER):
+    return PL.cluster(PART.load(spark, sf_dir), PIPE_K, PIPE_TAU, iterations, seed=SEED)
+
+
+@register("cluster_pipeline")
+def q_cluster_pipeline(spark, sf_dir):
+    """The whole run on part (k 5, tau 20, 2 refinements): final centers (M1)."""
+    res = _pipeline(spark, sf_dir)
+    return res.centers.select("center_id", *[rnd(F.col("coords")[i], 4).alias(f"x{i}") for i in range(2)],
+                              "kind")
+
+
+@register("run_metrics")
+def q_run_metrics(spark, sf_dir):
+    """The run report as rows."""
+    return _pipeline(spark, sf_dir).metrics
+
+
+@register("refine_trace")
+def q_refine_trace(spark, sf_dir):
+    """Phase-2 cost after each refinement of the whole run."""
+    m = _pipeline(spark, sf_dir).metrics
+    return m.where((F.col("phase") == "phase2") & (F.col("metric") == "cost")).select(
+        "iteration", rnd(F.col("value"), 4).alias("cost"))
+
+
+def flagship(spark, sf_dir):
+    """Flagship: the whole run's centers with their cluster sizes."""
+    pts = PART.load(spark, sf_dir)
+    res = PL.cluster(pts, PIPE_K, PIPE_TAU, PIPE_ITER, seed=SEED)
+    sizes = res.assignments.groupBy("center_id").agg(F.count("*").alias("n"),
+                                                     F.sum("distance").alias("cost"))
+    cen = res.centers.select("center_id", *[F.col("coords")[i].alias(f"x{i}") for i in range(2)], "kind")
+    return cen.join(sizes, "center_id", "left").orderBy("center_id")

@@ -39,15 +39,19 @@ def _validate(coords: Column, d: int, invalid: str, where: Column) -> tuple[Colu
     raise ValueError("invalid must be 'fail' or 'drop'")
 
 
-def with_point_index(df: DataFrame, name: str = "point_id") -> DataFrame:
+def with_point_index(df: DataFrame, name: str = "point_id", reliable: bool = False) -> DataFrame:
     """Number the rows 0..n-1 in partition order and keep the result cached (S3).
 
-    One small job counts the rows of each input split; the offsets (one per
-    split) join back through a broadcast of that per-split table, whose size
-    is the number of splits, not of rows.
+    The tagged rows are materialized once (cached; or checkpointed when
+    ``reliable``, for inputs such as a sort whose partitions a re-run could
+    lay out differently), then one small job counts the rows of each split;
+    the offsets (one per split) join back through a broadcast of that
+    per-split table, whose size is the number of splits, not of rows.
     """
+    from tessera.session import checkpoint
     tagged = df.withColumn("_mid", F.monotonically_increasing_id())
     tagged = tagged.withColumn("_split", F.shiftright("_mid", _ROW_BITS))
+    tagged = checkpoint(tagged) if reliable else persist(tagged)
     counts = (tagged.groupBy("_split").count().orderBy("_split").collect())
     offsets, running = [], 0
     for row in counts:
@@ -58,7 +62,7 @@ def with_point_index(df: DataFrame, name: str = "point_id") -> DataFrame:
     out = (tagged.join(F.broadcast(off_df), "_split")
            .withColumn(name, F.col("_offset") + F.col("_mid").bitwiseAND((1 << _ROW_BITS) - 1))
            .drop("_mid", "_split", "_offset"))
-    return persist(out)
+    return out
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
