@@ -26,7 +26,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import persist
+from tessera.session import checkpoint
 
 MAX_DEPTH = 60  # doubles separate after at most ~53 halvings
 
@@ -216,10 +216,13 @@ def adaptive_grid(points: DataFrame, tau: int, d: int | None = None,
         d = point_dimension(points)
     if spec is None:
         spec = grid_spec(points, tau, d)
-    cur = persist(uniform_grid_assign(points, spec))
+    # level 0 reads the caller's points through a narrow projection; every
+    # later level reads a checkpoint of the rows still unsettled, so each
+    # branch of the final union has a short plan and a lost executor
+    # re-reads checkpoints instead of replaying earlier levels
+    cur = uniform_grid_assign(points, spec)
     base_cols = cur.columns
     leaves: list[DataFrame] = []
-    cached = [cur]
     splits: list[int] = []
     level = 0
     while True:
@@ -229,8 +232,7 @@ def adaptive_grid(points: DataFrame, tau: int, d: int | None = None,
                       (F.min("coords") == F.max("coords")).alias("_same")))
         last = level >= max_depth
         settled = (F.col("cell_n") <= F.lit(tau)) | F.col("_same") | F.lit(last)
-        stats = persist(stats.withColumn("_settled", settled))
-        cached.append(stats)
+        stats = checkpoint(stats.withColumn("_settled", settled))
         n_split = stats.where(~F.col("_settled")).count()
         splits.append(n_split)
         joined = keyed.join(stats, ["cell", "a"])
@@ -240,16 +242,12 @@ def adaptive_grid(points: DataFrame, tau: int, d: int | None = None,
         leaves.append(leaf)
         if n_split == 0:
             break
-        cur = persist(joined.where(~F.col("_settled")).select(*base_cols))
-        cached.append(cur)
+        cur = checkpoint(joined.where(~F.col("_settled")).select(*base_cols))
         level += 1
     out = leaves[0]
     for lf in leaves[1:]:
         out = out.unionByName(lf)
-    from tessera.session import checkpoint
     out = checkpoint(out)
-    for df in cached:
-        df.unpersist()
     return AdaptiveGrid(spec, out, splits, level + 1)
 
 

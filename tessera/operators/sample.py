@@ -26,6 +26,12 @@ RANK_MULTIPLIER = 2654435761
 RANK_MODULUS = 2 ** 32
 ID_MODULUS = 2 ** 31
 
+# costs within this relative distance of each other are ties (broken by
+# rank), and a swap must beat the current cost by more than it: sums that
+# are equal in exact arithmetic differ in the last bits with summation
+# order, which varies with partitioning
+TIE_RTOL = 1e-9
+
 
 def seeded_rank(point_id: Column | str, seed: int = 0) -> Column:
     """Seeded pseudo-random order key of a point id (ties broken by id)."""
@@ -98,7 +104,8 @@ def pam_slot_sweep(D: np.ndarray, w: np.ndarray, k: int, max_sweeps: int | None
 
     Start from rows ``0..k-1``. A sweep visits slot 0..k-1; for each it finds
     the non-medoid whose swap gives the lowest weighted cost (first in rank
-    order on ties) and takes it only when strictly cheaper. Sweeps repeat
+    order among costs within ``TIE_RTOL`` of the lowest) and takes it only
+    when cheaper than the current cost by more than ``TIE_RTOL``. Sweeps repeat
     until the medoid set does not change. Returns (medoid rows, cost).
     """
     m = D.shape[0]
@@ -115,8 +122,11 @@ def pam_slot_sweep(D: np.ndarray, w: np.ndarray, k: int, max_sweeps: int | None
             costs = (np.minimum(rest[:, None], D) * w[:, None]).sum(axis=0)
             current = float(costs[med[i]])
             costs[med] = np.inf
-            j = int(np.argmin(costs))
-            if costs[j] < current:
+            low = float(costs.min())
+            if not np.isfinite(low):
+                continue
+            j = int(np.argmax(costs <= low + TIE_RTOL * abs(low)))
+            if costs[j] < current - TIE_RTOL * abs(current):
                 med[i] = j
         sweeps += 1
         if set(med) == before or (max_sweeps is not None and sweeps >= max_sweeps):

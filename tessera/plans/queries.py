@@ -334,8 +334,10 @@ def q_sample_cost(spark, sf_dir):
 , pc AS (SELECT a.cell_key, a.point_id, a.rank,
                 sum(b.n * sqrt((a.x0 - b.x0) * (a.x0 - b.x0) + (a.x1 - b.x1) * (a.x1 - b.x1))) AS cost
          FROM mr a JOIN mr b USING (cell_key) GROUP BY ALL)
-SELECT cell_key, point_id, round(cost, 4) + 0.0 AS cell_cost FROM pc
-QUALIFY row_number() OVER (PARTITION BY cell_key ORDER BY cost, rank, point_id) = 1""")
+SELECT cell_key, point_id, round(cost, 4) + 0.0 AS cell_cost
+FROM pc JOIN (SELECT cell_key, min(cost) AS low FROM pc GROUP BY cell_key) l USING (cell_key)
+WHERE cost <= low + {tol} * abs(low)
+QUALIFY row_number() OVER (PARTITION BY cell_key ORDER BY rank, point_id) = 1""".format(tol=SM.TIE_RTOL))
 def q_cell_medoid(spark, sf_dir):
     """Per-cell PAM with one medoid per cell (A3 at k_c = 1)."""
     grid, merged = _part_merged(spark, sf_dir)
@@ -420,10 +422,12 @@ def q_swap_cost(spark, sf_dir):
 
 @register("best_swap", _REST_SQL + """
 , cur AS (SELECT c.slot, c.cost AS current_cost FROM costs c JOIN med m ON c.slot = m.slot AND c.point_id = m.mid)
-, best AS (SELECT slot, point_id, cost FROM costs WHERE point_id NOT IN (SELECT mid FROM med)
-           QUALIFY row_number() OVER (PARTITION BY slot ORDER BY cost, rank, point_id) = 1)
+, cand AS (SELECT * FROM costs WHERE point_id NOT IN (SELECT mid FROM med))
+, low AS (SELECT slot, min(cost) AS low FROM cand GROUP BY slot)
+, best AS (SELECT slot, point_id, cost FROM cand JOIN low USING (slot) WHERE cost <= low + {tol} * abs(low)
+           QUALIFY row_number() OVER (PARTITION BY slot ORDER BY rank, point_id) = 1)
 SELECT slot, point_id, round(cost, 4) + 0.0 AS cost, round(current_cost, 4) + 0.0 AS current_cost
-FROM best JOIN cur USING (slot)""")
+FROM best JOIN cur USING (slot)""".format(tol=SM.TIE_RTOL))
 def q_best_swap(spark, sf_dir):
     """Cheapest swap of every slot and the current cost."""
     pts = _ranked_part(spark, sf_dir)
@@ -443,17 +447,19 @@ m1 AS (SELECT * FROM pts ORDER BY rank, point_id LIMIT 1 OFFSET 1),
 c0 AS (SELECT c.point_id, c.rank, sum(least({_D2.format(a='p', b='m1')}, {_D2.format(a='p', b='c')})) AS cost
        FROM pts p, m1, pts c GROUP BY c.point_id, c.rank),
 cur0 AS (SELECT cost FROM c0 WHERE point_id = (SELECT point_id FROM m0)),
-b0 AS (SELECT * FROM c0 WHERE point_id NOT IN (SELECT point_id FROM m0 UNION ALL SELECT point_id FROM m1)
-       ORDER BY cost, rank, point_id LIMIT 1),
-n0 AS (SELECT CASE WHEN b0.cost < cur0.cost THEN b0.point_id ELSE (SELECT point_id FROM m0) END AS point_id
+o0 AS (SELECT * FROM c0 WHERE point_id NOT IN (SELECT point_id FROM m0 UNION ALL SELECT point_id FROM m1)),
+b0 AS (SELECT * FROM o0 WHERE cost <= (SELECT min(cost) FROM o0) * (1 + {SM.TIE_RTOL})
+       ORDER BY rank, point_id LIMIT 1),
+n0 AS (SELECT CASE WHEN b0.cost < cur0.cost * (1 - {SM.TIE_RTOL}) THEN b0.point_id ELSE (SELECT point_id FROM m0) END AS point_id
        FROM b0, cur0),
 nm0 AS (SELECT pts.* FROM pts JOIN n0 USING (point_id)),
 c1 AS (SELECT c.point_id, c.rank, sum(least({_D2.format(a='p', b='nm0')}, {_D2.format(a='p', b='c')})) AS cost
        FROM pts p, nm0, pts c GROUP BY c.point_id, c.rank),
 cur1 AS (SELECT cost FROM c1 WHERE point_id = (SELECT point_id FROM m1)),
-b1 AS (SELECT * FROM c1 WHERE point_id NOT IN (SELECT point_id FROM nm0 UNION ALL SELECT point_id FROM m1)
-       ORDER BY cost, rank, point_id LIMIT 1),
-n1 AS (SELECT CASE WHEN b1.cost < cur1.cost THEN b1.point_id ELSE (SELECT point_id FROM m1) END AS point_id
+o1 AS (SELECT * FROM c1 WHERE point_id NOT IN (SELECT point_id FROM nm0 UNION ALL SELECT point_id FROM m1)),
+b1 AS (SELECT * FROM o1 WHERE cost <= (SELECT min(cost) FROM o1) * (1 + {SM.TIE_RTOL})
+       ORDER BY rank, point_id LIMIT 1),
+n1 AS (SELECT CASE WHEN b1.cost < cur1.cost * (1 - {SM.TIE_RTOL}) THEN b1.point_id ELSE (SELECT point_id FROM m1) END AS point_id
        FROM b1, cur1)
 SELECT CAST(0 AS INTEGER) AS slot, point_id FROM n0 UNION ALL SELECT CAST(1 AS INTEGER), point_id FROM n1""")
 def q_slot_sweep(spark, sf_dir):
