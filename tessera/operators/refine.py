@@ -20,6 +20,13 @@ The points are assigned to the iteration's start centers inside each pass
 (a narrow projection), so nothing is re-materialized per iteration; a
 merged point table (distinct coordinates with weights, W2) keeps the passes
 small when the data repeat.
+
+Small clusters finish locally: the first pass counts every cluster's rows;
+a cluster with at most ``LOCAL_ROWS`` rows (a proven bound on one task's
+memory) runs its remaining passes inside one ``applyInPandas`` task, the
+same arithmetic in numpy, instead of one Spark job per pass. Larger
+clusters (a hot one may hold any share of the data) keep the distributed
+passes.
 """
 
 from __future__ import annotations
@@ -34,6 +41,8 @@ from pyspark.sql import functions as F
 from tessera.operators.assign import CenterList, nearest
 
 EPSILON = 0.01
+# clusters with at most this many (merged) rows finish their passes in one task
+LOCAL_ROWS = 2_000_000
 
 
 def merge_duplicates(points: DataFrame) -> DataFrame:
@@ -93,12 +102,48 @@ class MedianResult:
     jobs: int = 0
 
 
+def _local_passes(d: int, starts: dict[int, list[float]], done: dict[int, int],
+                  epsilon: float, max_passes: int | None):
+    """applyInPandas body: the remaining passes of one small cluster."""
+    import pandas as pd
+    xs = [f"x{i}" for i in range(d)]
+
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        j = int(pdf["center_id"].iloc[0])
+        X = pdf[xs].to_numpy(np.float64)
+        w = pdf["weight"].to_numpy(np.float64)
+        x = list(starts[j])
+        passes = done[j]
+        while True:
+            diff = X - np.array(x)
+            sq = np.zeros(len(X))
+            for i in range(d):
+                sq += diff[:, i] * diff[:, i]
+            dist = np.sqrt(sq)
+            at = np.all(diff == 0, axis=1)
+            away = ~at & (dist > 0)
+            inv = np.where(away, w / np.where(away, dist, 1.0), 0.0)
+            R = [float((inv * diff[:, i]).sum()) for i in range(d)]
+            new, _ = weiszfeld_update(x, R, float(inv.sum()), float(w[at].sum()))
+            step = math.sqrt(sum((a - b) ** 2 for a, b in zip(new, x)))
+            passes += 1
+            x = new
+            if step <= epsilon or (max_passes is not None and passes >= max_passes):
+                break
+        return pd.DataFrame({"center_id": [j], "passes": [passes],
+                             **{f"c{i}": [x[i]] for i in range(d)}})
+
+    return fn
+
+
 def geometric_medians(assigned: DataFrame, start: dict[int, list[float]], d: int,
-                      epsilon: float = EPSILON, max_passes: int | None = None) -> MedianResult:
+                      epsilon: float = EPSILON, max_passes: int | None = None,
+                      local_rows: int = LOCAL_ROWS) -> MedianResult:
     """Weiszfeld/Vardi-Zhang iteration for every cluster at once.
 
     ``assigned`` has ``center_id, coords, weight``. Clusters with no points
-    keep their start (D8).
+    keep their start (D8). After the first (distributed) pass, clusters of
+    at most ``local_rows`` rows finish in one task each.
     """
     xs = {j: list(map(float, v)) for j, v in start.items()}
     active = dict(xs)
@@ -108,10 +153,11 @@ def geometric_medians(assigned: DataFrame, start: dict[int, list[float]], d: int
     while active:
         rows = pass_stats(assigned, active, d).collect()
         jobs += 1
-        seen = set()
+        seen, sizes = set(), {}
         for r in rows:
             j = int(r["center_id"])
             seen.add(j)
+            sizes[j] = int(r["n"])
             R = [float(r[f"r_{i}"] or 0.0) for i in range(d)]
             new, _ = weiszfeld_update(active[j], R, float(r["den"] or 0.0), float(r["w_at"] or 0.0))
             step = math.sqrt(sum((a - b) ** 2 for a, b in zip(new, active[j])))
@@ -126,6 +172,20 @@ def geometric_medians(assigned: DataFrame, start: dict[int, list[float]], d: int
                 if j not in seen:      # empty cluster: keep its center
                     del active[j]
             first = False
+            small = [j for j in active if sizes.get(j, 0) <= local_rows]
+            if small:
+                flat = (assigned.where(F.col("center_id").isin(small))
+                        .select("center_id", "weight",
+                                *[F.col("coords")[i].alias(f"x{i}") for i in range(d)]))
+                schema = "center_id INT, passes INT, " + ", ".join(f"c{i} DOUBLE" for i in range(d))
+                fn = _local_passes(d, {j: active[j] for j in small}, {j: passes[j] for j in small},
+                                   epsilon, max_passes)
+                for r in flat.groupBy("center_id").applyInPandas(fn, schema).collect():
+                    j = int(r["center_id"])
+                    xs[j] = [float(r[f"c{i}"]) for i in range(d)]
+                    passes[j] = int(r["passes"])
+                    del active[j]
+                jobs += 1
     return MedianResult(xs, passes, jobs)
 
 
@@ -138,10 +198,12 @@ def assign_to(points: DataFrame, centers: CenterList) -> DataFrame:
 
 
 def refine_once(points: DataFrame, centers: CenterList, d: int, epsilon: float = EPSILON,
-                max_passes: int | None = None) -> tuple[CenterList, MedianResult]:
+                max_passes: int | None = None,
+                local_rows: int = LOCAL_ROWS) -> tuple[CenterList, MedianResult]:
     """Assign, then move every center to its cluster's geometric median."""
     assigned = assign_to(points, centers)
-    res = geometric_medians(assigned, {j: c for j, c in centers}, d, epsilon, max_passes)
+    res = geometric_medians(assigned, {j: c for j, c in centers}, d, epsilon, max_passes,
+                            local_rows)
     return [(j, res.centers[j]) for j, _ in centers], res
 
 

@@ -99,7 +99,8 @@ def pairwise(X: np.ndarray) -> np.ndarray:
     return np.sqrt(sq)
 
 
-def pam_slot_sweep(D: np.ndarray, w: np.ndarray, k: int, max_sweeps: int | None = None):
+def pam_slot_sweep(D: np.ndarray, w: np.ndarray, k: int, max_sweeps: int | None = None,
+                   start: list[int] | None = None, stats: dict | None = None):
     """Swap-based k-medoids on a distance matrix, rows in rank order.
 
     Start from rows ``0..k-1``. A sweep visits slot 0..k-1; for each it finds
@@ -110,7 +111,7 @@ def pam_slot_sweep(D: np.ndarray, w: np.ndarray, k: int, max_sweeps: int | None
     """
     m = D.shape[0]
     k = min(k, m)
-    med = list(range(k))
+    med = list(start) if start is not None else list(range(k))
     sweeps = 0
     while True:
         before = set(med)
@@ -131,6 +132,8 @@ def pam_slot_sweep(D: np.ndarray, w: np.ndarray, k: int, max_sweeps: int | None
         sweeps += 1
         if set(med) == before or (max_sweeps is not None and sweeps >= max_sweeps):
             break
+    if stats is not None:
+        stats["sweeps"] = sweeps
     nearest = D[:, med].min(axis=1)
     return med, float(np.dot(w, nearest))
 

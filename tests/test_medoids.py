@@ -99,10 +99,20 @@ def test_sample_search_matches_plain_sweep(spark):
     assert res.cost == pytest.approx(cost, rel=1e-9)
 
 
+def test_distributed_search_equals_one_task_search(spark):
+    pts = PART.load(spark, SF001).withColumn("rank", SM.seeded_rank("point_id", 0))
+    local = SR.sample_medoids(pts, 4, 2)
+    dist = SR.sample_medoids(pts, 4, 2, local_sample=0)
+    assert local.jobs == 1 and dist.jobs > 1
+    assert local.medoid_ids == dist.medoid_ids
+    assert local.cost == pytest.approx(dist.cost, rel=1e-9)
+    assert local.sweeps == dist.sweeps
+
+
 def test_search_with_many_blocks_equals_one_block(spark):
     pts = PART.load(spark, SF001).withColumn("rank", SM.seeded_rank("point_id", 0))
-    one = SR.sample_medoids(pts, 3, 2)
-    many = SR.sample_medoids(pts, 3, 2, block_rows=37)
+    one = SR.sample_medoids(pts, 3, 2, local_sample=0)
+    many = SR.sample_medoids(pts, 3, 2, block_rows=37, local_sample=0)
     assert one.medoid_ids == many.medoid_ids
     assert one.cost == pytest.approx(many.cost, rel=1e-9)
 

@@ -96,3 +96,14 @@ def test_merged_points_give_the_same_medians(spark):
     b, _ = W.refine_once(W.merge_duplicates(pts), centers, 2, epsilon=1e-9)
     for (_, x), (_, y) in zip(a, b):
         assert x == pytest.approx(y, abs=1e-9)
+
+
+def test_distributed_passes_equal_local_passes(spark):
+    pts = PART.load(spark, SF01)
+    ctr = first_k_centers(pts, 5)
+    a, ra = W.refine_once(pts, ctr, 2)
+    b, rb = W.refine_once(pts, ctr, 2, local_rows=0)
+    assert ra.passes == rb.passes
+    assert rb.jobs > ra.jobs
+    for (_, x), (_, y) in zip(a, b):
+        assert x == pytest.approx(y, abs=1e-7)
