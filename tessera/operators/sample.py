@@ -3,9 +3,10 @@
 Plan: merge equal coordinates inside each leaf cell (``groupBy(cell_key,
 coords)`` with partial aggregation, so a hot group of copies is combined
 map-side), give every cell its quota ``k_c`` (A1), and run a swap-based
-k-medoids per cell with ``groupBy(cell_key).applyInPandas`` (A3). A leaf
-holds at most ``tau`` distinct points (the adaptive grid guarantees it), so
-one task holds one cell's ``O(tau^2)`` distances and never a whole table.
+k-medoids per cell (A3) with a grouped map over hash buckets of cells. A
+leaf holds at most ``tau`` distinct points (the adaptive grid guarantees
+it), so a task holds one cell's ``O(tau^2)`` distances at a time and never
+a whole table.
 The medoids of all cells are the sample (A5).
 
 Randomness is a seeded rank, ``pmod(pmod(id, 2^31) * 2654435761 + seed,
@@ -138,38 +139,63 @@ def pam_slot_sweep(D: np.ndarray, w: np.ndarray, k: int, max_sweeps: int | None
     return med, float(np.dot(w, nearest))
 
 
-def _pam_group(d: int, max_sweeps: int | None, quota_one: bool):
+def _pam_buckets(d: int, max_sweeps: int | None, quota_one: bool):
+    """applyInPandas body: every cell of one hash bucket, cell by cell."""
     xs = [f"x{i}" for i in range(d)]
+    cols = ["cell_key", "slot", "point_id", "rank", "n", "weight", *xs, "cell_cost"]
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["rank", "point_id"], kind="mergesort").reset_index(drop=True)
+        pdf = pdf.sort_values(["cell_key", "rank", "point_id"], kind="mergesort").reset_index(drop=True)
+        keys = pdf["cell_key"].to_numpy()
         X = pdf[xs].to_numpy(dtype=np.float64)
         w = pdf["n"].to_numpy(dtype=np.float64)
-        k = 1 if quota_one else int(min(int(pdf["k"].iloc[0]), len(pdf)))
-        med, cost = pam_slot_sweep(pairwise(X), w, k, max_sweeps)
-        out = pdf.iloc[med].copy()
-        out["slot"] = np.arange(len(med), dtype=np.int32)
-        out["cell_cost"] = cost
-        return out[["cell_key", "slot", "point_id", "rank", "n", "weight", *xs, "cell_cost"]]
+        quota = pdf["k"].to_numpy(dtype=np.int64)
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        ends = np.r_[starts[1:], len(pdf)]
+        rows, slots, costs = [], [], []
+        for a, b in zip(starts, ends):
+            k = 1 if quota_one else int(min(quota[a], b - a))
+            med, cost = pam_slot_sweep(pairwise(X[a:b]), w[a:b], k, max_sweeps)
+            rows.extend(a + j for j in med)
+            slots.extend(range(len(med)))
+            costs.extend([cost] * len(med))
+        out = pdf.iloc[rows].copy()
+        out["slot"] = np.asarray(slots, dtype=np.int32)
+        out["cell_cost"] = np.asarray(costs, dtype=np.float64)
+        return out[cols]
 
     return fn
 
 
+# merged rows per PAM task (cells are whole inside a task; each cell holds at
+# most about tau distinct points, so a task's memory is bounded by tau^2)
+ROWS_PER_TASK = 100_000
+
+
 def cell_pam(merged: DataFrame, d: int, avg_per_cell: float, max_sweeps: int | None = None,
-             quota_one: bool = False) -> DataFrame:
+             quota_one: bool = False, n_rows: int | None = None,
+             rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """k-medoids inside every cell (A3): ``cell_key, slot, point_id, rank,
     n, weight, coords, cell_cost``, one row per medoid.
 
-    ``quota_one`` runs the 1-medoid search in every cell instead of the
-    density quota.
+    Cells are hashed into buckets of about ``rows_per_task`` merged rows
+    (``n_rows`` bounds the merged row count; counted when not given), and
+    one grouped-map call handles a whole bucket, cell by cell, so the cost
+    per cell is a numpy slice rather than a pandas group. ``quota_one``
+    runs the 1-medoid search in every cell instead of the density quota.
     """
+    if n_rows is None:
+        n_rows = merged.count()
+    par = merged.sparkSession.sparkContext.defaultParallelism
+    buckets = max(par, -(-int(n_rows) // rows_per_task))
     q = with_quota(merged, avg_per_cell)
-    flat = q.select("cell_key", "point_id", "rank", "n", "weight", "k",
+    flat = q.select(F.pmod(F.xxhash64("cell_key"), F.lit(buckets)).alias("_b"),
+                    "cell_key", "point_id", "rank", "n", "weight", "k",
                     *[F.col("coords")[i].alias(f"x{i}") for i in range(d)])
     xs_schema = ", ".join(f"x{i} DOUBLE" for i in range(d))
     schema = (f"cell_key STRING, slot INT, point_id BIGINT, rank BIGINT, n BIGINT, "
               f"weight DOUBLE, {xs_schema}, cell_cost DOUBLE")
-    res = flat.groupBy("cell_key").applyInPandas(_pam_group(d, max_sweeps, quota_one), schema)
+    res = flat.groupBy("_b").applyInPandas(_pam_buckets(d, max_sweeps, quota_one), schema)
     return res.select("cell_key", "slot", "point_id", "rank", "n", "weight",
                       F.array(*[F.col(f"x{i}") for i in range(d)]).alias("coords"), "cell_cost")
 
@@ -177,4 +203,4 @@ def cell_pam(merged: DataFrame, d: int, avg_per_cell: float, max_sweeps: int | N
 def grid_sample(grid: AdaptiveGrid, seed: int = 0, max_sweeps: int | None = None) -> DataFrame:
     """The sample: medoids of all cells (A5), ``point_id, coords, rank, cell_key, slot``."""
     merged = merged_cells(grid, seed)
-    return cell_pam(merged, grid.spec.d, grid.avg_per_cell, max_sweeps)
+    return cell_pam(merged, grid.spec.d, grid.avg_per_cell, max_sweeps, n_rows=grid.spec.n)
