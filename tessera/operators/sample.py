@@ -100,6 +100,38 @@ def pairwise(X: np.ndarray) -> np.ndarray:
     return np.sqrt(sq)
 
 
+def slot_costs(D: np.ndarray, w: np.ndarray, med: list[int]) -> np.ndarray:
+    """``k x m`` table: cost of the medoid set with slot ``i`` swapped for
+    row ``j`` (the medoid's own column holds the current cost).
+
+    ``sum_p w_p * min(rest_i(p), D[p, j])`` where ``rest_i`` is the distance
+    to the nearest medoid other than slot ``i``: one base term over all
+    rows plus a correction over the rows whose nearest medoid is slot
+    ``i``, so the table costs about ``3 m^2`` rather than ``k m^2``.
+    """
+    m, k = D.shape[0], len(med)
+    DM = D[:, med]
+    m1 = np.argmin(DM, axis=1)
+    d1 = DM[np.arange(m), m1]
+    if k > 1:
+        DM2 = DM.copy()
+        DM2[np.arange(m), m1] = np.inf
+        d2 = DM2.min(axis=1)
+    else:
+        d2 = np.full(m, np.inf)
+    lo = np.minimum(d1[:, None], D)
+    base = (lo * w[:, None]).sum(axis=0)
+    out = np.empty((k, m))
+    for i in range(k):
+        g = np.flatnonzero(m1 == i)
+        if len(g):
+            corr = ((np.minimum(d2[g, None], D[g]) - lo[g]) * w[g, None]).sum(axis=0)
+            out[i] = base + corr
+        else:
+            out[i] = base
+    return out
+
+
 def pam_slot_sweep(D: np.ndarray, w: np.ndarray, k: int, max_sweeps: int | None = None,
                    start: list[int] | None = None, stats: dict | None = None):
     """Swap-based k-medoids on a distance matrix, rows in rank order.
@@ -108,20 +140,20 @@ def pam_slot_sweep(D: np.ndarray, w: np.ndarray, k: int, max_sweeps: int | None
     the non-medoid whose swap gives the lowest weighted cost (first in rank
     order among costs within ``TIE_RTOL`` of the lowest) and takes it only
     when cheaper than the current cost by more than ``TIE_RTOL``. Sweeps repeat
-    until the medoid set does not change. Returns (medoid rows, cost).
+    until the medoid set does not change. One cost table serves the slots
+    until a swap changes the set. Returns (medoid rows, cost).
     """
     m = D.shape[0]
     k = min(k, m)
     med = list(start) if start is not None else list(range(k))
     sweeps = 0
+    table = None
     while True:
         before = set(med)
         for i in range(k):
-            others = med[:i] + med[i + 1:]
-            rest = D[:, others].min(axis=1) if others else np.full(m, np.inf)
-            # one vector for all rows, so the current cost and the candidates'
-            # costs are summed the same way
-            costs = (np.minimum(rest[:, None], D) * w[:, None]).sum(axis=0)
+            if table is None:
+                table = slot_costs(D, w, med)
+            costs = table[i].copy()
             current = float(costs[med[i]])
             costs[med] = np.inf
             low = float(costs.min())
@@ -130,6 +162,7 @@ def pam_slot_sweep(D: np.ndarray, w: np.ndarray, k: int, max_sweeps: int | None
             j = int(np.argmax(costs <= low + TIE_RTOL * abs(low)))
             if costs[j] < current - TIE_RTOL * abs(current):
                 med[i] = j
+                table = None
         sweeps += 1
         if set(med) == before or (max_sweeps is not None and sweeps >= max_sweeps):
             break
