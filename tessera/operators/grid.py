@@ -9,9 +9,10 @@ Spark plan: one aggregate for the bounds (G1); cell numbers are arithmetic
 on the coordinates (G4, no lookup table). The adaptive split runs one level
 per step over the points that are still unsettled: count per cell
 (partial aggregation, so a hot cell costs one row per task in the shuffle),
-join the counts back (AQE broadcasts them when their measured size is
-small, and splits a skewed partition otherwise), keep the settled rows.
-Most points settle at level 0, so later levels touch few rows.
+keep the keys of the cells that split, and route the points by a semi/anti
+join against those keys (broadcast when their counted number is small, so
+the points are never shuffled). Most points settle at level 0, so later
+levels touch few rows.
 
 Cell labels: the uniform cell's row-major number (dimension 0 outermost),
 then one ``.child`` per split, ``child = sum(b_i * 2^(d-1-i))`` with
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from tessera.session import checkpoint
 
 MAX_DEPTH = 60  # doubles separate after at most ~53 halvings
+# split-cell keys up to this count are broadcast to route the points
+BROADCAST_KEYS = 2_000_000
 
 
 @dataclass
@@ -185,7 +188,7 @@ def _child_label(spec: GridSpec, level: int) -> Column:
 class AdaptiveGrid:
     """Result of the adaptive split."""
     spec: GridSpec
-    points: DataFrame            # point rows + c, cell, u, depth, a, cell_key, cell_n
+    points: DataFrame            # point rows + c, cell, u, depth, a, cell_key
     splits: list[int] = field(default_factory=list)   # over-full cells split at each level
     levels: int = 0
 
@@ -204,12 +207,21 @@ class AdaptiveGrid:
 
 
 def adaptive_grid(points: DataFrame, tau: int, d: int | None = None,
-                  spec: GridSpec | None = None, max_depth: int = MAX_DEPTH) -> AdaptiveGrid:
+                  spec: GridSpec | None = None, max_depth: int = MAX_DEPTH,
+                  broadcast_keys: int = BROADCAST_KEYS) -> AdaptiveGrid:
     """Assign every point to its adaptive leaf cell (G7, G8 labels, G9 counts).
 
     A leaf is the first level at which the point's cell holds at most
     ``tau`` points, or holds copies of one point only (D4), or sits at
     ``max_depth``.
+
+    Per level: count points per (cell, sub-cell) with partial aggregation,
+    keep only the keys of the cells that split (checkpointed; their number
+    is counted), and route the points with a ``left_anti`` join (settled)
+    and a ``left_semi`` join (go one level deeper) against those keys. The
+    keys are broadcast when at most ``broadcast_keys`` of them exist, so
+    the points are not shuffled at all; beyond that the joins shuffle and
+    AQE splits skewed partitions.
     """
     if d is None:
         from tessera.sources.points import point_dimension
@@ -227,30 +239,38 @@ def adaptive_grid(points: DataFrame, tau: int, d: int | None = None,
     level = 0
     while True:
         keyed = cur.withColumn("a", _level_index(level))
-        stats = (keyed.groupBy("cell", "a")
-                 .agg(F.count("*").alias("cell_n"),
-                      (F.min("coords") == F.max("coords")).alias("_same")))
-        last = level >= max_depth
-        settled = (F.col("cell_n") <= F.lit(tau)) | F.col("_same") | F.lit(last)
-        stats = checkpoint(stats.withColumn("_settled", settled))
-        n_split = stats.where(~F.col("_settled")).count()
+        same = None
+        for i in range(spec.d):
+            eq = F.min(F.col("coords")[i]) == F.max(F.col("coords")[i])
+            same = eq if same is None else (same & eq)
+        stats = keyed.groupBy("cell", "a").agg(F.count("*").alias("cell_n"), same.alias("_same"))
+        over = (F.col("cell_n") > F.lit(tau)) & ~F.col("_same")
+        if level >= max_depth:
+            over = F.lit(False)
+        split = checkpoint(stats.where(over).select("cell", "a"))
+        n_split = split.count()
         splits.append(n_split)
-        joined = keyed.join(stats, ["cell", "a"])
-        leaf = joined.where(F.col("_settled")).select(
-            *base_cols, F.lit(level).alias("depth"), "a",
-            _child_label(spec, level).alias("cell_key"), "cell_n")
-        leaves.append(leaf)
+        label = _child_label(spec, level).alias("cell_key")
         if n_split == 0:
+            leaves.append(keyed.select(*base_cols, F.lit(level).alias("depth"), "a", label))
             break
-        cur = checkpoint(joined.where(~F.col("_settled")).select(*base_cols))
+        keys = F.broadcast(split) if n_split <= broadcast_keys else split
+        leaves.append(keyed.join(keys, ["cell", "a"], "left_anti")
+                      .select(*base_cols, F.lit(level).alias("depth"), "a", label))
+        cur = checkpoint(keyed.join(keys, ["cell", "a"], "left_semi").select(*base_cols))
         level += 1
     out = leaves[0]
     for lf in leaves[1:]:
         out = out.unionByName(lf)
-    out = checkpoint(out)
     return AdaptiveGrid(spec, out, splits, level + 1)
 
 
+def leaf_counts(grid: AdaptiveGrid) -> DataFrame:
+    """``point_id, cell_key, depth, cell_n``: every point with its leaf's size."""
+    n = grid.points.groupBy("cell_key").agg(F.count("*").alias("cell_n"))
+    return grid.points.select("point_id", "cell_key", "depth").join(n, "cell_key")
+
+
 def adaptive_cells(grid: AdaptiveGrid) -> DataFrame:
     """Occupied leaf cells with bounds and counts (G8, S7):
     ``cell_key, depth, lo ARRAY<DOUBLE>, hi ARRAY<DOUBLE>, n``."""

@@ -15,6 +15,8 @@ Randomness is a seeded rank, ``pmod(pmod(id, 2^31) * 2654435761 + seed,
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -50,32 +52,26 @@ def seeded_rank_np(ids: np.ndarray, seed: int = 0) -> np.ndarray:
 
 def merged_cells(grid: AdaptiveGrid, seed: int = 0) -> DataFrame:
     """Distinct points per leaf cell: ``cell_key, coords, n, weight, point_id,
-    rank, cell_n``. ``point_id`` is the lowest id among the copies."""
+    rank``. ``point_id`` is the lowest id among the copies."""
     g = grid.points.groupBy("cell_key", "coords").agg(
         F.count("*").alias("n"), F.sum("weight").alias("weight"),
-        F.min("point_id").alias("point_id"), F.first("cell_n").alias("cell_n"))
+        F.min("point_id").alias("point_id"))
     return g.withColumn("rank", seeded_rank("point_id", seed))
 
 
-def cell_quota(merged: DataFrame, avg_per_cell: float) -> DataFrame:
-    """``cell_key, cell_n, n_distinct, k`` with ``k = min(ceil(cell_n / avg),
-    n_distinct)`` (A1, D6)."""
-    per = merged.groupBy("cell_key").agg(F.first("cell_n").alias("cell_n"),
-                                         F.count("*").alias("n_distinct"))
-    k = F.least(F.ceil(F.col("cell_n") / F.lit(float(avg_per_cell))).cast("bigint"),
-                F.col("n_distinct"))
-    return per.withColumn("k", k)
-
+def quota_of(cell_n, n_distinct, avg_per_cell: float):
+    """``min(ceil(cell_n / avg), n_distinct)`` (A1, D6) for Columns or numbers."""
+    if isinstance(cell_n, Column):
+        return F.least(F.ceil(cell_n / F.lit(float(avg_per_cell))).cast("bigint"), n_distinct)
+    return min(math.ceil(cell_n / float(avg_per_cell)), int(n_distinct))
 
-def with_quota(merged: DataFrame, avg_per_cell: float) -> DataFrame:
-    """Merged rows with their cell's quota column ``k``, without a join.
 
-    ``cell_n`` rides along on every row, and the distinct count is an
-    aggregate over the cell inside the PAM group, so the quota here is the
-    upper bound ``ceil(cell_n / avg)``; the group function applies the cap.
-    """
-    k = F.ceil(F.col("cell_n") / F.lit(float(avg_per_cell))).cast("bigint")
-    return merged.withColumn("k", k)
+def cell_quota(merged: DataFrame, avg_per_cell: float) -> DataFrame:
+    """``cell_key, cell_n, n_distinct, k`` (A1): ``cell_n`` counts copies,
+    ``n_distinct`` the merged rows."""
+    per = merged.groupBy("cell_key").agg(F.sum("n").alias("cell_n"),
+                                         F.count("*").alias("n_distinct"))
+    return per.withColumn("k", quota_of(F.col("cell_n"), F.col("n_distinct"), avg_per_cell))
 
 
 def initial_medoids(merged: DataFrame, quota: DataFrame) -> DataFrame:
@@ -172,7 +168,7 @@ def pam_slot_sweep(D: np.ndarray, w: np.ndarray, k: int, max_sweeps: int | None
     return med, float(np.dot(w, nearest))
 
 
-def _pam_buckets(d: int, max_sweeps: int | None, quota_one: bool):
+def _pam_buckets(d: int, max_sweeps: int | None, quota_one: bool, avg_per_cell: float):
     """applyInPandas body: every cell of one hash bucket, cell by cell."""
     xs = [f"x{i}" for i in range(d)]
     cols = ["cell_key", "slot", "point_id", "rank", "n", "weight", *xs, "cell_cost"]
@@ -182,12 +178,12 @@ def _pam_buckets(d: int, max_sweeps: int | None, quota_one: bool):
         keys = pdf["cell_key"].to_numpy()
         X = pdf[xs].to_numpy(dtype=np.float64)
         w = pdf["n"].to_numpy(dtype=np.float64)
-        quota = pdf["k"].to_numpy(dtype=np.int64)
+        counts = pdf["n"].to_numpy(dtype=np.int64)
         starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         ends = np.r_[starts[1:], len(pdf)]
         rows, slots, costs = [], [], []
         for a, b in zip(starts, ends):
-            k = 1 if quota_one else int(min(quota[a], b - a))
+            k = 1 if quota_one else quota_of(int(counts[a:b].sum()), b - a, avg_per_cell)
             med, cost = pam_slot_sweep(pairwise(X[a:b]), w[a:b], k, max_sweeps)
             rows.extend(a + j for j in med)
             slots.extend(range(len(med)))
@@ -221,14 +217,14 @@ def cell_pam(merged: DataFrame, d: int, avg_per_cell: float, max_sweeps: int | N
         n_rows = merged.count()
     par = merged.sparkSession.sparkContext.defaultParallelism
     buckets = max(par, -(-int(n_rows) // rows_per_task))
-    q = with_quota(merged, avg_per_cell)
-    flat = q.select(F.pmod(F.xxhash64("cell_key"), F.lit(buckets)).alias("_b"),
-                    "cell_key", "point_id", "rank", "n", "weight", "k",
+    flat = merged.select(F.pmod(F.xxhash64("cell_key"), F.lit(buckets)).alias("_b"),
+                    "cell_key", "point_id", "rank", "n", "weight",
                     *[F.col("coords")[i].alias(f"x{i}") for i in range(d)])
     xs_schema = ", ".join(f"x{i} DOUBLE" for i in range(d))
     schema = (f"cell_key STRING, slot INT, point_id BIGINT, rank BIGINT, n BIGINT, "
               f"weight DOUBLE, {xs_schema}, cell_cost DOUBLE")
-    res = flat.groupBy("_b").applyInPandas(_pam_buckets(d, max_sweeps, quota_one), schema)
+    res = flat.groupBy("_b").applyInPandas(_pam_buckets(d, max_sweeps, quota_one, avg_per_cell),
+                                           schema)
     return res.select("cell_key", "slot", "point_id", "rank", "n", "weight",
                       F.array(*[F.col(f"x{i}") for i in range(d)]).alias("coords"), "cell_cost")
 

@@ -225,8 +225,8 @@ def _part_adaptive(spark, sf_dir):
 SELECT point_id, {_key_sql(2)} AS cell_key, CAST(level AS INTEGER) AS depth, cell_n FROM leafp""")
 def q_adaptive_grid_assign(spark, sf_dir):
     grid = _part_adaptive(spark, sf_dir)
-    return grid.points.select("point_id", "cell_key", F.col("depth").cast("int").alias("depth"),
-                              "cell_n")
+    return G.leaf_counts(grid).select("point_id", "cell_key", F.col("depth").cast("int").alias("depth"),
+                                      "cell_n")
 
 
 @register("adaptive_cells", _PART_GRID + f"""

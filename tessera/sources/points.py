@@ -141,8 +141,9 @@ def read_points_table(source: DataFrame | str, columns: Sequence[str] | str,
     if d is None:
         first = pts.select(F.size("coords").alias("n")).first()
         d = int(first["n"]) if first else 0
-    checked, keep = _validate(F.col("coords"), d, invalid,
-                              F.concat(F.lit("point_id "), F.col("point_id").cast("string")))
+    # the message names the coordinates, not the id, so scans that do not
+    # need the id column do not read it
+    checked, keep = _validate(F.col("coords"), d, invalid, F.to_json(F.col("coords")))
     return pts.where(keep).select("point_id", checked.alias("coords"), "weight")
 
 
