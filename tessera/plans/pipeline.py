@@ -25,7 +25,7 @@ from tessera.operators import grid as G
 from tessera.operators import refine as W
 from tessera.operators import sample as SM
 from tessera.operators import search as SR
-from tessera.session import checkpoint, persist
+from tessera.session import CACHE_LIMIT_BYTES, checkpoint, maybe_persist, persist
 from tessera.sources.points import point_dimension, write_result
 
 METRICS_SCHEMA = "phase STRING, iteration INT, metric STRING, value DOUBLE"
@@ -44,13 +44,21 @@ class ClusterResult:
 def cluster(points: DataFrame, k: int, tau: int, iterations: int, seed: int = 0,
             epsilon: float = W.EPSILON, max_passes: int | None = None,
             max_sweeps: int | None = None, max_depth: int = G.MAX_DEPTH,
-            block_rows: int = SR.BLOCK_ROWS) -> ClusterResult:
-    """Cluster ``points`` (``point_id, coords, weight``) around ``k`` centers."""
+            block_rows: int = SR.BLOCK_ROWS,
+            cache_limit_bytes: int = CACHE_LIMIT_BYTES) -> ClusterResult:
+    """Cluster ``points`` (``point_id, coords, weight``) around ``k`` centers.
+
+    The input is cached only when Catalyst estimates it at most
+    ``cache_limit_bytes``; a larger table is re-read by its (column-pruned)
+    scan at the few stages that touch every row: bounds, level-0 split and
+    the final assignment. Everything after the merge reads the persisted
+    distinct points.
+    """
     spark = points.sparkSession
     t = {}
     t0 = time.time()
     d = point_dimension(points)
-    pts = persist(points)
+    pts = maybe_persist(points, cache_limit_bytes)
     metrics = []
 
     def metric(phase, it, name, value):
