@@ -806,3 +806,88 @@ def flagship(spark, sf_dir):
                                                      F.sum("distance").alias("cost"))
     cen = res.centers.select("center_id", *[F.col("coords")[i].alias(f"x{i}") for i in range(2)], "kind")
     return cen.join(sizes, "center_id", "left").orderBy("center_id")
+
+
+# ---------------------------------------------------------------- other point sets
+
+from tessera.plans.fixtures import CUSTOMER, EVENTS  # noqa: E402
+
+_EVENTS_GRID = _grid_sql(EVENTS, TAU, MAX_DEPTH)
+
+
+@register("adaptive_grid_events", _EVENTS_GRID + f"""
+SELECT point_id, {_key_sql(2)} AS cell_key, CAST(level AS INTEGER) AS depth FROM leafp""")
+def q_adaptive_grid_events(spark, sf_dir):
+    """Adaptive leaves of events(value, user_id): skewed density, deep splits."""
+    pts = EVENTS.load(spark, sf_dir)
+    grid = G.adaptive_grid(pts, TAU, 2, max_depth=MAX_DEPTH)
+    return grid.points.select("point_id", "cell_key", F.col("depth").cast("int").alias("depth"))
+
+
+@register("grid_stats_events", _EVENTS_GRID + f"""
+, sp AS (SELECT count(*) AS n_splits FROM cnt WHERE cell_n > {TAU} AND NOT same AND level < {MAX_DEPTH})
+SELECT n, P0 * P1 AS n_uniform, n_splits, P0 * P1 + 3 * n_splits AS n_cells FROM spec, sp""")
+def q_grid_stats_events(spark, sf_dir):
+    """Cell counts of the events grid, empty cells included."""
+    pts = EVENTS.load(spark, sf_dir)
+    grid = G.adaptive_grid(pts, TAU, 2, max_depth=MAX_DEPTH)
+    row = [(grid.spec.n, grid.spec.n_uniform, grid.n_splits, grid.n_cells)]
+    return spark.createDataFrame(row, "n BIGINT, n_uniform BIGINT, n_splits BIGINT, n_cells BIGINT")
+
+
+_LI3 = ("l_quantity", "l_discount", "l_tax")
+
+
+@register("merge_duplicates_lineitem", """
+SELECT CAST(l_quantity AS DOUBLE) AS x0, CAST(l_discount AS DOUBLE) AS x1, CAST(l_tax AS DOUBLE) AS x2,
+       count(*) AS n, sum(1.0) AS weight
+FROM lineitem GROUP BY ALL""")
+def q_merge_duplicates_lineitem(spark, sf_dir):
+    """Distinct points of lineitem(l_quantity, l_discount, l_tax) with copies counted."""
+    src = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    pts = SP.read_points_table(src, list(_LI3))
+    return explode_coords(W.merge_duplicates(pts).select("coords", "n", "weight"), 3)
+
+
+@register("clustering_cost_lineitem", _NEAREST_SQL.split(", pc AS")[0] + """
+, li AS (SELECT CAST(l_quantity AS DOUBLE) AS x0, l_extendedprice AS x1 FROM lineitem)
+, best AS (SELECT min(sqrt((l.x0 - c.c0) * (l.x0 - c.c0) + (l.x1 - c.c1) * (l.x1 - c.c1))) AS dist
+           FROM (SELECT row_number() OVER () AS rid, * FROM li) l, ctr c GROUP BY l.rid)
+SELECT round(sum(dist), 2) + 0.0 AS cost, count(*) AS n FROM best""")
+def q_clustering_cost_lineitem(spark, sf_dir):
+    """Cost of lineitem(l_quantity, l_extendedprice) against five part points."""
+    _, ctr = _part_and_centers(spark, sf_dir)
+    src = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    pts = SP.read_points_table(src, ["l_quantity", "l_extendedprice"])
+    m = A.nearest("coords", A.centers_list(ctr))
+    return pts.agg(rnd(F.sum(m["distance"]), 2).alias("cost"), F.count("*").alias("n"))
+
+
+_CUST_K = 3
+
+
+@register("assign_nearest_customer", f"""
+WITH pts AS ({CUSTOMER.sql()}), ctr AS ({centers_sql(CUSTOMER, _CUST_K)}),
+pc AS (SELECT p.point_id, c.center_id, abs(p.x0 - c.c0) AS dist FROM pts p, ctr c)
+SELECT point_id, center_id, round(dist, 6) + 0.0 AS distance FROM pc
+QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY dist, center_id) = 1""")
+def q_assign_nearest_customer(spark, sf_dir):
+    """Nearest of three centers in one dimension with negative values."""
+    pts = CUSTOMER.load(spark, sf_dir)
+    out = A.assign_nearest(pts, first_k_centers(pts, _CUST_K))
+    return out.select("point_id", "center_id", rnd(F.col("distance"), 6).alias("distance"))
+
+
+_EMB_BIG_K = 10   # 10 centers x 64 dims = 640 terms: the higher-order path of E2
+
+
+@register("assign_nearest_hd", f"""
+WITH pts AS ({EMBED.sql()}), ctr AS ({centers_sql(EMBED, _EMB_BIG_K)}),
+pc AS (SELECT p.point_id, c.center_id, {sql_dist(64, 'x', 'c', 'p.', 'c.')} AS dist FROM pts p, ctr c)
+SELECT point_id, center_id, round(dist, 6) + 0.0 AS distance FROM pc
+QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY dist, center_id) = 1""")
+def q_assign_nearest_hd(spark, sf_dir):
+    """Nearest of ten 64-d centers: k*d above the unroll limit (E2, aggregate form)."""
+    pts = EMBED.load(spark, sf_dir)
+    out = A.assign_nearest(pts, first_k_centers(pts, _EMB_BIG_K))
+    return out.select("point_id", "center_id", rnd(F.col("distance"), 6).alias("distance"))
