@@ -40,6 +40,8 @@ from pyspark.sql import functions as F
 
 from tessera.operators.assign import CenterList, nearest
 
+# fixed value: the median loop stops when a step is at most 0.01, with no
+# cap on the number of passes
 EPSILON = 0.01
 # clusters with at most this many (merged) rows finish their passes in one task
 LOCAL_ROWS = 2_000_000

@@ -96,17 +96,10 @@ def pairwise(X: np.ndarray) -> np.ndarray:
     return np.sqrt(sq)
 
 
-def slot_costs(D: np.ndarray, w: np.ndarray, med: list[int]) -> np.ndarray:
-    """``k x m`` table: cost of the medoid set with slot ``i`` swapped for
-    row ``j`` (the medoid's own column holds the current cost).
-
-    ``sum_p w_p * min(rest_i(p), D[p, j])`` where ``rest_i`` is the distance
-    to the nearest medoid other than slot ``i``: one base term over all
-    rows plus a correction over the rows whose nearest medoid is slot
-    ``i``, so the table costs about ``3 m^2`` rather than ``k m^2``.
-    """
-    m, k = D.shape[0], len(med)
-    DM = D[:, med]
+def nearest_two(DM: np.ndarray):
+    """Per row of a point-by-medoid distance block: nearest slot (lowest on
+    ties), its distance, and the distance to the nearest other medoid."""
+    m, k = DM.shape
     m1 = np.argmin(DM, axis=1)
     d1 = DM[np.arange(m), m1]
     if k > 1:
@@ -115,19 +108,37 @@ def slot_costs(D: np.ndarray, w: np.ndarray, med: list[int]) -> np.ndarray:
         d2 = DM2.min(axis=1)
     else:
         d2 = np.full(m, np.inf)
-    lo = np.minimum(d1[:, None], D)
-    base = (lo * w[:, None]).sum(axis=0)
-    out = np.empty((k, m))
+    return m1, d1, d2
+
+
+def swap_table(D: np.ndarray, w: np.ndarray, m1, d1, d2, k: int) -> np.ndarray:
+    """``k x c`` swap costs for the candidate columns of ``D`` (points x
+    candidates): ``sum_p w_p * min(rest_i(p), D[p, j])``.
+
+    A base term ``sum_p w_p min(d1_p, D[p, j])`` over all points, plus for
+    the points whose nearest medoid is slot ``i`` the correction
+    ``min(d2, D) - min(d1, D) = clip(D, d1, d2) - d1``: about ``3 m c``
+    operations for all ``k`` slots instead of ``k m c``.
+    """
+    base = w @ np.minimum(D, d1[:, None])
+    out = np.empty((k, D.shape[1]))
     for i in range(k):
         g = np.flatnonzero(m1 == i)
         if len(g):
-            corr = ((np.minimum(d2[g, None], D[g]) - lo[g]) * w[g, None]).sum(axis=0)
-            out[i] = base + corr
+            wg = w[g]
+            out[i] = base + (wg @ np.clip(D[g], d1[g, None], d2[g, None]) - float(wg @ d1[g]))
         else:
             out[i] = base
     return out
 
 
+def slot_costs(D: np.ndarray, w: np.ndarray, med: list[int]) -> np.ndarray:
+    """``k x m`` table: cost of the medoid set with slot ``i`` swapped for
+    row ``j`` (the medoid's own column holds the current cost)."""
+    m1, d1, d2 = nearest_two(D[:, med])
+    return swap_table(D, w, m1, d1, d2, len(med))
+
+
 def pam_slot_sweep(D: np.ndarray, w: np.ndarray, k: int, max_sweeps: int | None = None,
                    start: list[int] | None = None, stats: dict | None = None):
     """Swap-based k-medoids on a distance matrix, rows in rank order.
