@@ -39,19 +39,30 @@ def _validate(coords: Column, d: int, invalid: str, where: Column) -> tuple[Colu
     raise ValueError("invalid must be 'fail' or 'drop'")
 
 
-def with_point_index(df: DataFrame, name: str = "point_id", reliable: bool = False) -> DataFrame:
-    """Number the rows 0..n-1 in partition order and keep the result cached (S3).
+def _has_exchange(df: DataFrame) -> bool:
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return "Exchange" in plan or "Sort " in plan
+
 
-    The tagged rows are materialized once (cached; or checkpointed when
-    ``reliable``, for inputs such as a sort whose partitions a re-run could
-    lay out differently), then one small job counts the rows of each split;
-    the offsets (one per split) join back through a broadcast of that
-    per-split table, whose size is the number of splits, not of rows.
+def with_point_index(df: DataFrame, name: str = "point_id", reliable: bool = False) -> DataFrame:
+    """Number the rows 0..n-1 in partition order (S3).
+
+    The row numbers must be the same in the counting job and in every later
+    read. A plan made only of file scans and narrow steps re-reads the same
+    splits in the same order, so a large such input is not materialized; a
+    small input is cached; an input with a shuffle or sort (whose layout a
+    re-run could change), or ``reliable=True``, is checkpointed. One small
+    job counts the rows of each split; the offsets (one per split) join back
+    through a broadcast of that per-split table, whose size is the number
+    of splits, not of rows.
     """
-    from tessera.session import checkpoint
+    from tessera.session import CACHE_LIMIT_BYTES, checkpoint, estimated_bytes
     tagged = df.withColumn("_mid", F.monotonically_increasing_id())
     tagged = tagged.withColumn("_split", F.shiftright("_mid", _ROW_BITS))
-    tagged = checkpoint(tagged) if reliable else persist(tagged)
+    if reliable or _has_exchange(df):
+        tagged = checkpoint(tagged)
+    elif estimated_bytes(df) <= CACHE_LIMIT_BYTES:
+        tagged = persist(tagged)
     counts = (tagged.groupBy("_split").count().orderBy("_split").collect())
     offsets, running = [], 0
     for row in counts:
