@@ -124,11 +124,6 @@ def sum_vectors(x: Column | str, d: int, prefix: str = "s") -> list[Column]:
     return [F.sum(_col(x).getItem(i)).alias(f"{prefix}{i}") for i in range(d)]
 
 
-def split_coords(x: Column | str, d: int, prefix: str = "x") -> list[Column]:
-    """Scalar columns ``x0..x{d-1}`` from an array column."""
-    return [_col(x).getItem(i).alias(f"{prefix}{i}") for i in range(d)]
-
-
 def lexicographic_index(points, col: str = "coords", name: str = "ord"):
     """Position ``0..n-1`` of every row in lexicographic coordinate order,
     ties by ``point_id`` (V7).

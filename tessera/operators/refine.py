@@ -207,13 +207,3 @@ def refine_once(points: DataFrame, centers: CenterList, d: int, epsilon: float =
     res = geometric_medians(assigned, {j: c for j, c in centers}, d, epsilon, max_passes,
                             local_rows)
     return [(j, res.centers[j]) for j, _ in centers], res
-
-
-def objective(points: DataFrame, x: list[float]) -> DataFrame:
-    """``sum(weight * |a - x|)`` over ``points`` (E4 for one cluster)."""
-    from tessera.functions.vectors import distance
-    return points.agg(F.sum(F.col("weight") * distance("coords", x)).alias("objective"))
-
-
-def as_array(centers: CenterList) -> np.ndarray:
-    return np.array([c for _, c in centers])

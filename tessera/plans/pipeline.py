@@ -135,8 +135,3 @@ def cost_trace(points: DataFrame, centers: list, iterations: int, epsilon: float
         rows.append(("phase2", it, A.clustering_cost_value(merged, centers, multiplicity="n")))
     merged.unpersist()
     return spark.createDataFrame(rows, "phase STRING, iteration INT, cost DOUBLE")
-
-
-def assignments_table(points: DataFrame, result: ClusterResult) -> DataFrame:
-    return A.assign_nearest(points, result.center_list).select(
-        "point_id", "center_id", F.col("distance"))

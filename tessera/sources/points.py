@@ -12,7 +12,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.session import persist
 
@@ -182,11 +181,3 @@ def explode_coords(df: DataFrame, d: int, col: str = "coords", prefix: str = "x"
     """Replace an array column by scalar columns ``x0..x{d-1}``."""
     others = [c for c in df.columns if c != col]
     return df.select(*others, *[F.col(col).getItem(i).alias(f"{prefix}{i}") for i in range(d)])
-
-
-# the schema of a point table, for readers that build one by hand
-POINT_STRUCT = T.StructType([
-    T.StructField("point_id", T.LongType(), False),
-    T.StructField("coords", T.ArrayType(T.DoubleType(), False), False),
-    T.StructField("weight", T.DoubleType(), False),
-])
