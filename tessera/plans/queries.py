@@ -345,10 +345,65 @@ def q_cell_medoid(spark, sf_dir):
     return res.select("cell_key", "point_id", rnd(F.col("cell_cost"), 4).alias("cell_cost"))
 
 
-@register("cell_pam")
+def _cell_pam_ctes() -> str:
+    """Recursive CTE: per-cell slot sweeps until stable, all cells at once.
+
+    State per cell: its medoid ids as a list, the slot to visit, whether the
+    sweep swapped, whether the cell stopped. A LATERAL subquery scores the
+    cell's candidates for the slot with copy counts as weights.
+    """
+    tol = SM.TIE_RTOL
+
+    def d(a, b):
+        return f"sqrt(({a}.x0 - {b}.x0) * ({a}.x0 - {b}.x0) + ({a}.x1 - {b}.x1) * ({a}.x1 - {b}.x1))"
+
+    return _PART_SAMPLE.replace("WITH pts AS", "WITH RECURSIVE pts AS", 1) + f"""
+, mem AS (SELECT cell_key, point_id, x0, x1, n, rank FROM mr)
+, init AS (SELECT cell_key, any_value(q.k) AS k, list(point_id ORDER BY rank, point_id) AS ordered
+           FROM mr JOIN q USING (cell_key) GROUP BY cell_key)
+, s(step, cell_key, k, slot, meds, changed, stop) AS (
+  SELECT 0, cell_key, k, 0, ordered[1:k], false, false FROM init
+  UNION ALL
+  SELECT s.step + 1, s.cell_key, s.k, (s.slot + 1) % s.k,
+         CASE WHEN coalesce(b.swap, false)
+              THEN list_transform(s.meds, lambda x, i: CASE WHEN i - 1 = s.slot THEN b.best ELSE x END)
+              ELSE s.meds END,
+         CASE WHEN s.slot = 0 THEN coalesce(b.swap, false) ELSE s.changed OR coalesce(b.swap, false) END,
+         s.slot = s.k - 1 AND NOT (s.changed OR coalesce(b.swap, false))
+  FROM s LEFT JOIN LATERAL (
+    WITH md AS (SELECT r.idx, m.x0, m.x1 FROM (SELECT unnest(range(len(s.meds))) AS idx) r
+                JOIN mem m ON m.cell_key = s.cell_key AND m.point_id = s.meds[r.idx + 1]),
+    pr AS (SELECT p.point_id, p.x0, p.x1, p.n,
+                  coalesce(min(CASE WHEN md.idx <> s.slot THEN {d('p', 'md')} END), CAST('inf' AS DOUBLE)) AS rest
+           FROM mem p, md WHERE p.cell_key = s.cell_key GROUP BY p.point_id, p.x0, p.x1, p.n),
+    cand AS (SELECT c.point_id, c.rank, sum(pr.n * least(pr.rest, {d('pr', 'c')})) AS cost
+             FROM mem c, pr WHERE c.cell_key = s.cell_key GROUP BY c.point_id, c.rank),
+    cur AS (SELECT cost FROM cand WHERE point_id = s.meds[s.slot + 1]),
+    oth AS (SELECT * FROM cand WHERE NOT list_contains(s.meds, point_id)),
+    bst AS (SELECT point_id, cost FROM oth WHERE cost <= (SELECT min(cost) FROM oth) * (1 + {tol})
+            ORDER BY rank, point_id LIMIT 1)
+    SELECT bst.point_id AS best, bst.cost < cur.cost * (1 - {tol}) AS swap FROM bst, cur) b ON true
+  WHERE NOT s.stop)
+, fin AS (SELECT cell_key, meds FROM s WHERE stop)
+, fm AS (SELECT cell_key, CAST(i - 1 AS INTEGER) AS slot, meds[i] AS point_id
+         FROM fin, (SELECT unnest(range(1, len(meds) + 1)) AS i))
+, fmc AS (SELECT fm.cell_key, m.x0, m.x1 FROM fm JOIN mem m USING (cell_key, point_id))
+, fc AS (SELECT cell_key, sum(n * dmin) AS cost
+         FROM (SELECT p.cell_key, p.point_id, any_value(p.n) AS n, min({d('p', 'c')}) AS dmin
+               FROM mem p JOIN fmc c USING (cell_key) GROUP BY p.cell_key, p.point_id) GROUP BY cell_key)
+, smp AS (SELECT fm.point_id, m.x0, m.x1, m.rank FROM fm JOIN mem m USING (cell_key, point_id))
+"""
+
+
+def _cell_pam_sql() -> str:
+    return _cell_pam_ctes() + """
+SELECT cell_key, slot, point_id, round(cost, 4) + 0.0 AS cell_cost FROM fm JOIN fc USING (cell_key)"""
+
+
+@register("cell_pam", _cell_pam_sql())
 def q_cell_pam(spark, sf_dir):
-    """Per-cell PAM with the density quota (A3): no SQL form; pytest checks it
-    against a plain-Python slot sweep."""
+    """Per-cell PAM with the density quota (A3); the oracle replays the
+    sweeps of every cell in a recursive CTE."""
     grid, merged = _part_merged(spark, sf_dir)
     res = SM.cell_pam(merged, 2, grid.avg_per_cell)
     return res.select("cell_key", "slot", "point_id", rnd(F.col("cell_cost"), 4).alias("cell_cost"))
@@ -478,13 +533,80 @@ def q_medoid_lookup(spark, sf_dir):
     return explode_coords(SR.medoid_lookup(pts, med), 2)
 
 
-@register("sample_medoids")
+def _sweep_ctes(src: str, k: int, p: str) -> str:
+    """CTEs replaying slot sweeps until a sweep changes nothing, over the
+    points of CTE ``src`` (``point_id, x0, x1, rank``).
+
+    State per step: the ``k`` medoid ids, the slot to visit, whether the
+    current sweep swapped, and whether the run stopped. Each step scores
+    every candidate for the slot (a LATERAL subquery over all point pairs).
+    Defines ``{p}s`` (steps), ``{p}fin``, ``{p}med(slot, point_id, x0, x1)``
+    and ``{p}cost(cost)`` (cost of the final set over ``src``).
+    """
+    def d(a, b):
+        return f"sqrt(({a}.x0 - {b}.x0) * ({a}.x0 - {b}.x0) + ({a}.x1 - {b}.x1) * ({a}.x1 - {b}.x1))"
+
+    def least(xs):
+        return xs[0] if len(xs) == 1 else f"least({', '.join(xs)})"
+
+    tol = SM.TIE_RTOL
+    ms = [f"m{i}" for i in range(k)]
+    dcols = ", ".join(f"{d('p', f'q{j}')} AS d{j}" for j in range(k))
+    qjoins = " ".join(f"JOIN {src} q{j} ON q{j}.point_id = s.m{j}" for j in range(k))
+    rest = "CASE s.slot " + " ".join(
+        f"WHEN {i} THEN {least([f'd{j}' for j in range(k) if j != i])}" for i in range(k)) + " END"
+    cur_med = "CASE s.slot " + " ".join(f"WHEN {i} THEN s.m{i}" for i in range(k)) + " END"
+    dmin = least([d("p", f"f{j}") for j in range(k)])
+    fjoins = " ".join(f"JOIN {src} f{j} ON f{j}.point_id = fin.m{j}" for j in range(k))
+    slots = " UNION ALL ".join(f"SELECT CAST({i} AS INTEGER) AS slot, m{i} AS point_id FROM {p}fin"
+                               for i in range(k))
+    return f"""
+, {p}start AS (SELECT list(point_id ORDER BY rank, point_id)[1:{k}] AS m FROM {src})
+, {p}s(step, slot, {', '.join(ms)}, changed, stop) AS (
+  SELECT 0, 0, {', '.join(f'm[{i + 1}]' for i in range(k))}, false, false FROM {p}start
+  UNION ALL
+  SELECT s.step + 1, (s.slot + 1) % {k},
+         {', '.join(f"CASE WHEN s.slot = {i} AND b.swap THEN b.best ELSE s.m{i} END" for i in range(k))},
+         CASE WHEN s.slot = 0 THEN b.swap ELSE s.changed OR b.swap END,
+         s.slot = {k - 1} AND NOT (s.changed OR b.swap)
+  FROM {p}s s, LATERAL (
+    WITH pr AS (SELECT p.point_id, {rest} AS rest FROM (SELECT p.*, {dcols} FROM {src} p, (SELECT 1) one {qjoins}) p),
+    cand AS (SELECT c.point_id, c.rank, sum(least(pr.rest, {d('pp', 'c')})) AS cost
+             FROM {src} c, pr JOIN {src} pp USING (point_id) GROUP BY c.point_id, c.rank),
+    cur AS (SELECT cost FROM cand WHERE point_id = {cur_med}),
+    oth AS (SELECT * FROM cand WHERE point_id NOT IN ({', '.join('s.' + m for m in ms)})),
+    bst AS (SELECT point_id, cost FROM oth WHERE cost <= (SELECT min(cost) FROM oth) * (1 + {tol})
+            ORDER BY rank, point_id LIMIT 1)
+    SELECT bst.point_id AS best, bst.cost < cur.cost * (1 - {tol}) AS swap FROM bst, cur) b
+  WHERE NOT s.stop)
+, {p}fin AS (SELECT * FROM {p}s WHERE stop)
+, {p}cost AS (SELECT sum({dmin}) AS cost FROM {src} p, {p}fin fin {fjoins})
+, {p}med AS (SELECT x.slot, x.point_id, q.x0, q.x1 FROM ({slots}) x JOIN {src} q USING (point_id))
+"""
+
+
+def _sweep_sql(ps, k: int) -> str:
+    """Sweeps until stable over all points of ``ps``."""
+    return (f"WITH RECURSIVE pts AS (SELECT point_id, x0, x1, {_RANK_SQL.format(seed=SEED)} AS rank "
+            f"FROM ({ps.sql()}))" + _sweep_ctes("pts", k, "w_") + f"""
+SELECT slot, point_id, CAST((SELECT step FROM w_fin) / {k} AS INTEGER) AS sweeps,
+       round((SELECT cost FROM w_cost), 4) + 0.0 AS cost
+FROM w_med""")
+
+
+def _phase1_ctes() -> str:
+    """Grid sample (cell PAM) then sweeps until stable over it with k = K."""
+    return _cell_pam_ctes() + _sweep_ctes("smp", K, "p1_")
+
+
+@register("sample_medoids", _phase1_ctes() + """
+SELECT slot, point_id, round((SELECT cost FROM p1_cost), 4) + 0.0 AS sample_cost FROM p1_med""")
 def q_sample_medoids(spark, sf_dir):
     """k = 5 medoids of the grid sample (tau 20) by sweeps until stable."""
     grid, merged = _part_merged(spark, sf_dir)
     sample = SM.cell_pam(merged, 2, grid.avg_per_cell).cache()
     res = SR.sample_medoids(sample, K, 2)
-    return spark.createDataFrame([(i, m, round(res.cost, 4)) for i, m in enumerate(res.medoid_ids)],
+    return spark.createDataFrame([(i, m, round(res.cost, 4) + 0.0) for i, m in enumerate(res.medoid_ids)],
                                  "slot INT, point_id BIGINT, sample_cost DOUBLE")
 
 
@@ -776,7 +898,17 @@ def _pipeline(spark, sf_dir, iterations=PIPE_ITER):
     return PL.cluster(PART.load(spark, sf_dir), PIPE_K, PIPE_TAU, iterations, seed=SEED)
 
 
-@register("cluster_pipeline")
+def _pipeline_ctes() -> str:
+    """The whole run: grid sample, sweeps (k = K), two refinements."""
+    assert PIPE_K == K and PIPE_TAU == TAU and PIPE_ITER == 2
+    return (_phase1_ctes()
+            + ", ctr0 AS (SELECT slot AS center_id, x0 AS c0, x1 AS c1 FROM p1_med)"
+            + _median_sql("g", "ctr0", W.EPSILON, None) + _median_sql("h", "g_out", W.EPSILON, None))
+
+
+@register("cluster_pipeline", _pipeline_ctes() + """
+SELECT CAST(center_id AS INTEGER) AS center_id, round(c0, 4) + 0.0 AS x0, round(c1, 4) + 0.0 AS x1,
+       'median' AS kind FROM h_out""")
 def q_cluster_pipeline(spark, sf_dir):
     """The whole run on part (k 5, tau 20, 2 refinements): final centers (M1)."""
     res = _pipeline(spark, sf_dir)
@@ -784,13 +916,33 @@ def q_cluster_pipeline(spark, sf_dir):
                               "kind")
 
 
-@register("run_metrics")
+@register("run_metrics", _pipeline_ctes() + f"""
+, vals(phase, iteration, metric, value) AS (
+  SELECT 'grid', 0, 'n', CAST(n AS DOUBLE) FROM spec
+  UNION ALL SELECT 'grid', 0, 'k', {PIPE_K}.0
+  UNION ALL SELECT 'grid', 0, 'tau', {PIPE_TAU}.0
+  UNION ALL SELECT 'grid', 0, 'uniform_cells', CAST(P0 * P1 AS DOUBLE) FROM spec
+  UNION ALL SELECT 'grid', 0, 'uniform_avg_per_cell', n / (P0 * P1) FROM spec
+  UNION ALL SELECT 'grid', 0, 'adaptive_cells', CAST(n_cells AS DOUBLE) FROM st
+  UNION ALL SELECT 'grid', 0, 'levels', CAST(max(level) + 1 AS DOUBLE) FROM leafp
+  UNION ALL SELECT 'sample', 0, 'sample_size', CAST(count(*) AS DOUBLE) FROM fm
+  UNION ALL SELECT 'phase1', 0, 'sample_cost', cost FROM p1_cost
+  UNION ALL SELECT 'phase1', 0, 'sweeps', CAST(step / {K} AS DOUBLE) FROM p1_fin
+  UNION ALL SELECT 'phase1', 0, 'cost', {_cost_sql('ctr0')}
+  UNION ALL SELECT 'phase2', 0, 'passes', CAST(max(passes) AS DOUBLE) FROM g_out
+  UNION ALL SELECT 'phase2', 0, 'cost', {_cost_sql('g_out')}
+  UNION ALL SELECT 'phase2', 1, 'passes', CAST(max(passes) AS DOUBLE) FROM h_out
+  UNION ALL SELECT 'phase2', 1, 'cost', {_cost_sql('h_out')})
+SELECT phase, CAST(iteration AS INTEGER) AS iteration, metric, round(value, 4) + 0.0 AS value FROM vals""")
 def q_run_metrics(spark, sf_dir):
     """The run report as rows."""
-    return _pipeline(spark, sf_dir).metrics
+    m = _pipeline(spark, sf_dir).metrics
+    return m.select("phase", "iteration", "metric", rnd(F.col("value"), 4).alias("value"))
 
 
-@register("refine_trace")
+@register("refine_trace", _pipeline_ctes() + f"""
+SELECT CAST(0 AS INTEGER) AS iteration, round({_cost_sql('g_out')}, 4) + 0.0 AS cost
+UNION ALL SELECT 1, round({_cost_sql('h_out')}, 4) + 0.0""")
 def q_refine_trace(spark, sf_dir):
     """Phase-2 cost after each refinement of the whole run."""
     m = _pipeline(spark, sf_dir).metrics
@@ -891,3 +1043,20 @@ def q_assign_nearest_hd(spark, sf_dir):
     pts = EMBED.load(spark, sf_dir)
     out = A.assign_nearest(pts, first_k_centers(pts, _EMB_BIG_K))
     return out.select("point_id", "center_id", rnd(F.col("distance"), 6).alias("distance"))
+
+
+# ---------------------------------------------------------------- sweeps until stable
+
+
+_SWEEP_K = 3
+
+
+@register("sweep_until_stable", _sweep_sql(PART, _SWEEP_K))
+def q_sweep_until_stable(spark, sf_dir):
+    """k = 3 medoids of all part points by slot sweeps until a sweep changes
+    nothing (A9-A11), through the distributed scoring path."""
+    pts = _ranked_part(spark, sf_dir)
+    res = SR.sample_medoids(pts, _SWEEP_K, 2, local_sample=0)
+    cost = A.clustering_cost_value(pts, [(j, list(map(float, c))) for j, c in enumerate(res.medoids)])
+    rows = [(i, m, res.sweeps, round(cost, 4) + 0.0) for i, m in enumerate(res.medoid_ids)]
+    return spark.createDataFrame(rows, "slot INT, point_id BIGINT, sweeps INT, cost DOUBLE")
