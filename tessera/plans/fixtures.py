@@ -33,7 +33,7 @@ class PointSet:
             xs = ", ".join(f"CAST({self.columns}[{i + 1}] AS DOUBLE) AS x{i}" for i in range(self.d))
         else:
             xs = ", ".join(f"CAST({c} AS DOUBLE) AS x{i}" for i, c in enumerate(self.columns))
-        return (f"SELECT CAST({self.id_col} AS BIGINT) AS point_id, {xs}, 1.0 AS weight "
+        return (f"SELECT CAST({self.id_col} AS BIGINT) AS point_id, {xs}, CAST(1.0 AS DOUBLE) AS weight "
                 f"FROM {self.table}")
 
 

@@ -992,7 +992,7 @@ _LI3 = ("l_quantity", "l_discount", "l_tax")
 
 @register("merge_duplicates_lineitem", """
 SELECT CAST(l_quantity AS DOUBLE) AS x0, CAST(l_discount AS DOUBLE) AS x1, CAST(l_tax AS DOUBLE) AS x2,
-       count(*) AS n, sum(1.0) AS weight
+       count(*) AS n, sum(CAST(1.0 AS DOUBLE)) AS weight
 FROM lineitem GROUP BY ALL""")
 def q_merge_duplicates_lineitem(spark, sf_dir):
     """Distinct points of lineitem(l_quantity, l_discount, l_tax) with copies counted."""

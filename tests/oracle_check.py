@@ -18,6 +18,9 @@ import duckdb
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "float": "FLOAT", "smallint": "SMALLINT"}
+
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
@@ -65,6 +68,13 @@ def compare(spark, name, fn, sql, sf_dir, con):
     if sorted(scols) != sorted(dcols):
         out.update(ok=False, why=f"columns {sorted(scols)} vs {sorted(dcols)}")
         return out
+    stypes = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+              for f in sdf.schema.fields}
+    dtypes = {d[0]: str(d[1]) for d in res.description}
+    bad = {c: (stypes[c], dtypes[c]) for c in scols if stypes[c] != dtypes[c]}
+    if bad:
+        out.update(ok=False, why=f"types differ {bad}")
+        return out
     a, b = rows_of(scols, srows), rows_of(dcols, drows)
     if a != b:
         diff = [(x, y) for x, y in zip(a, b) if x != y][:3]
