@@ -22,7 +22,7 @@ merged point table (distinct coordinates with weights, W2) keeps the passes
 small when the data repeat.
 
 Small clusters finish locally: the first pass counts every cluster's rows;
-a cluster with at most ``LOCAL_ROWS`` rows (a proven bound on one task's
+a cluster whose rows fit ``LOCAL_BYTES`` (a proven bound on one task's
 memory) runs its remaining passes inside one ``applyInPandas`` task, the
 same arithmetic in numpy, instead of one Spark job per pass. Larger
 clusters (a hot one may hold any share of the data) keep the distributed
@@ -43,8 +43,13 @@ from tessera.operators.assign import CenterList, nearest
 # fixed value: the median loop stops when a step is at most 0.01, with no
 # cap on the number of passes
 EPSILON = 0.01
-# clusters with at most this many (merged) rows finish their passes in one task
-LOCAL_ROWS = 2_000_000
+# a cluster whose rows take at most this many bytes (d coordinates and a
+# weight, 8 bytes each) finishes its passes inside one task
+LOCAL_BYTES = 256 * 1024 ** 2
+
+
+def local_row_limit(d: int) -> int:
+    return LOCAL_BYTES // (8 * (d + 1))
 
 
 def merge_duplicates(points: DataFrame) -> DataFrame:
@@ -140,13 +145,16 @@ def _local_passes(d: int, starts: dict[int, list[float]], done: dict[int, int],
 
 def geometric_medians(assigned: DataFrame, start: dict[int, list[float]], d: int,
                       epsilon: float = EPSILON, max_passes: int | None = None,
-                      local_rows: int = LOCAL_ROWS) -> MedianResult:
+                      local_rows: int | None = None) -> MedianResult:
     """Weiszfeld/Vardi-Zhang iteration for every cluster at once.
 
     ``assigned`` has ``center_id, coords, weight``. Clusters with no points
     keep their start (D8). After the first (distributed) pass, clusters of
-    at most ``local_rows`` rows finish in one task each.
+    at most ``local_rows`` rows (default: ``LOCAL_BYTES`` worth) finish in
+    one task each.
     """
+    if local_rows is None:
+        local_rows = local_row_limit(d)
     xs = {j: list(map(float, v)) for j, v in start.items()}
     active = dict(xs)
     passes = {j: 0 for j in xs}
@@ -201,7 +209,7 @@ def assign_to(points: DataFrame, centers: CenterList) -> DataFrame:
 
 def refine_once(points: DataFrame, centers: CenterList, d: int, epsilon: float = EPSILON,
                 max_passes: int | None = None,
-                local_rows: int = LOCAL_ROWS) -> tuple[CenterList, MedianResult]:
+                local_rows: int | None = None) -> tuple[CenterList, MedianResult]:
     """Assign, then move every center to its cluster's geometric median."""
     assigned = assign_to(points, centers)
     res = geometric_medians(assigned, {j: c for j, c in centers}, d, epsilon, max_passes,
