@@ -194,6 +194,9 @@ def _pam_buckets(d: int, max_sweeps: int | None, quota_one: bool, avg_per_cell:
         ends = np.r_[starts[1:], len(pdf)]
         rows, slots, costs = [], [], []
         for a, b in zip(starts, ends):
+            if b - a > MAX_CELL_ROWS:
+                raise ValueError(f"cell {keys[a]} holds {b - a} distinct points (more than "
+                                 f"{MAX_CELL_ROWS}); raise max_depth so the grid splits it")
             k = 1 if quota_one else quota_of(int(counts[a:b].sum()), b - a, avg_per_cell)
             med, cost = pam_slot_sweep(pairwise(X[a:b]), w[a:b], k, max_sweeps)
             rows.extend(a + j for j in med)
@@ -207,6 +210,11 @@ def _pam_buckets(d: int, max_sweeps: int | None, quota_one: bool, avg_per_cell:
     return fn
 
 
+# distinct points one cell may bring to PAM (its distance matrix is the
+# square of this); the adaptive grid keeps cells at about tau unless
+# max_depth stops it early
+MAX_CELL_ROWS = 20_000
+
 # merged rows per PAM task (cells are whole inside a task; each cell holds at
 # most about tau distinct points, so a task's memory is bounded by tau^2)
 ROWS_PER_TASK = 100_000
