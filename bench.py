@@ -41,7 +41,7 @@ def load_lineitem(spark, sf_dir):
 def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = local_session(cpus, shuffle_partitions=int(cpus) * 2, app="tessera-bench")
+    spark = local_session(cpus, shuffle_partitions=int(cpus), app="tessera-bench")
     spark.sparkContext.setLogLevel("ERROR")
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     times: dict[str, float] = {}
