@@ -87,13 +87,24 @@ def initial_medoids(merged: DataFrame, quota: DataFrame) -> DataFrame:
 # ----------------------------------------------------------------- numpy PAM
 
 
+def cross_distances(P: np.ndarray, C: np.ndarray) -> np.ndarray:
+    """Euclidean distances between the rows of ``P`` and of ``C``.
+
+    Squares are summed dimension by dimension in order, the same sum as the
+    SQL and Spark expressions, in one buffer updated in place.
+    """
+    D = np.subtract.outer(P[:, 0], C[:, 0])
+    np.multiply(D, D, out=D)
+    for i in range(1, P.shape[1]):
+        T = np.subtract.outer(P[:, i], C[:, i])
+        np.multiply(T, T, out=T)
+        D += T
+    return np.sqrt(D, out=D)
+
+
 def pairwise(X: np.ndarray) -> np.ndarray:
     """Euclidean distances between the rows of ``X`` (m x m)."""
-    sq = np.zeros((X.shape[0], X.shape[0]))
-    for i in range(X.shape[1]):
-        diff = X[:, i][:, None] - X[:, i][None, :]
-        sq += diff * diff
-    return np.sqrt(sq)
+    return cross_distances(X, X)
 
 
 def nearest_two(DM: np.ndarray):
