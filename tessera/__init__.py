@@ -1 +1,12 @@
 """Spark-native grid-sampled k-medoids and geometric-median clustering."""
+
+import sys as _sys
+
+try:
+    # ship our functions to the Python workers inside the pickled closures, so
+    # tasks run wherever the package is not on the workers' import path
+    from pyspark import cloudpickle as _cloudpickle
+
+    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # pragma: no cover - older pyspark without the hook
+    pass

@@ -12,8 +12,13 @@ also writes centers, assignments and metrics as parquet.
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
+if __name__ == "__main__" and __package__ in (None, ""):
+    # run as a file (spark-submit): make the package importable
+    sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+
 from pyspark.sql import SparkSession
 
 # fixed values: the report lines, in the order they are printed
