@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.assign import CenterList, nearest
+from tessera.session import persist
 
 # fixed value: the median loop stops when a step is at most 0.01, with no
 # cap on the number of passes
@@ -160,6 +161,7 @@ def geometric_medians(assigned: DataFrame, start: dict[int, list[float]], d: int
     passes = {j: 0 for j in xs}
     jobs = 0
     first = True
+    cached = None
     while active:
         rows = pass_stats(assigned, active, d).collect()
         jobs += 1
@@ -196,6 +198,14 @@ def geometric_medians(assigned: DataFrame, start: dict[int, list[float]], d: int
                     passes[j] = int(r["passes"])
                     del active[j]
                 jobs += 1
+            if active:
+                # large clusters keep moving: read only their rows, with the
+                # assignment computed once instead of in every pass
+                cached = persist(assigned.where(F.col("center_id").isin(list(active)))
+                                 .select("center_id", "coords", "weight"))
+                assigned = cached
+    if cached is not None:
+        cached.unpersist()
     return MedianResult(xs, passes, jobs)
 
 
