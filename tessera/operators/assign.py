@@ -38,7 +38,7 @@ def centers_list(centers: DataFrame | Sequence) -> CenterList:
     else:
         out = []
         for j, c in enumerate(centers):
-            if isinstance(c, tuple) and len(c) == 2 and not isinstance(c[0], float):
+            if isinstance(c, tuple) and len(c) == 2 and hasattr(c[1], "__len__"):
                 out.append((int(c[0]), [float(v) for v in c[1]]))
             else:
                 out.append((j, [float(v) for v in c]))
