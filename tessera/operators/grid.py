@@ -27,7 +27,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import checkpoint
+from tessera.session import checkpoint, persist
 
 MAX_DEPTH = 60  # doubles separate after at most ~53 halvings
 # split-cell keys up to this count are broadcast to route the points
@@ -191,6 +191,13 @@ class AdaptiveGrid:
     points: DataFrame            # point rows + c, cell, u, depth, a, cell_key
     splits: list[int] = field(default_factory=list)   # over-full cells split at each level
     levels: int = 0
+    cached: list = field(default_factory=list)         # split keys read by ``points``
+
+    def release(self) -> None:
+        """Drop the cached split keys once ``points`` has been consumed."""
+        for df in self.cached:
+            df.unpersist()
+        self.cached = []
 
     @property
     def n_splits(self) -> int:
@@ -236,6 +243,7 @@ def adaptive_grid(points: DataFrame, tau: int, d: int | None = None,
     base_cols = cur.columns
     leaves: list[DataFrame] = []
     splits: list[int] = []
+    cached: list[DataFrame] = []
     level = 0
     while True:
         keyed = cur.withColumn("a", _level_index(level))
@@ -247,8 +255,12 @@ def adaptive_grid(points: DataFrame, tau: int, d: int | None = None,
         over = (F.col("cell_n") > F.lit(tau)) & ~F.col("_same")
         if level >= max_depth:
             over = F.lit(False)
-        split = checkpoint(stats.where(over).select("cell", "a"))
+        # the keys' lineage is one aggregate over a checkpointed level (or the
+        # scan at level 0), so caching them is enough; the rows that go on
+        # are checkpointed below
+        split = persist(stats.where(over).select("cell", "a"))
         n_split = split.count()
+        cached.append(split)
         splits.append(n_split)
         label = _child_label(spec, level).alias("cell_key")
         if n_split == 0:
@@ -262,7 +274,7 @@ def adaptive_grid(points: DataFrame, tau: int, d: int | None = None,
     out = leaves[0]
     for lf in leaves[1:]:
         out = out.unionByName(lf)
-    return AdaptiveGrid(spec, out, splits, level + 1)
+    return AdaptiveGrid(spec, out, splits, level + 1, cached)
 
 
 def leaf_counts(grid: AdaptiveGrid) -> DataFrame:

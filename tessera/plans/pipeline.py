@@ -82,6 +82,7 @@ def cluster(points: DataFrame, k: int, tau: int, iterations: int, seed: int = 0,
     sample = checkpoint(SM.cell_pam(merged, d, grid.avg_per_cell, max_sweeps, n_rows=spec.n)
                         .select("point_id", "coords", "rank", "cell_key", "slot"))
     s = sample.count()
+    grid.release()
     metric("sample", 0, "sample_size", s)
     t["sample"] = time.time() - t1
 
