@@ -44,7 +44,7 @@ class ClusterResult:
 def cluster(points: DataFrame, k: int, tau: int, iterations: int, seed: int = 0,
             epsilon: float = W.EPSILON, max_passes: int | None = None,
             max_sweeps: int | None = None, max_depth: int = G.MAX_DEPTH,
-            block_rows: int = SR.BLOCK_ROWS,
+            block_rows: int | None = None,
             cache_limit_bytes: int = CACHE_LIMIT_BYTES) -> ClusterResult:
     """Cluster ``points`` (``point_id, coords, weight``) around ``k`` centers.
 

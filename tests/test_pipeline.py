@@ -36,3 +36,32 @@ def test_written_result(spark, tmp_path):
     PL.write_cluster_result(res, str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out" / "centers"))
     assert back.count() == 5
+
+
+def test_one_center_and_one_dimension(spark):
+    from tessera.plans.fixtures import CUSTOMER
+    pts = CUSTOMER.load(spark, SF001)
+    res = PL.cluster(pts, 1, 10, 1)
+    assert res.centers.count() == 1
+    assert res.assignments.where(F.col("center_id") != 0).count() == 0
+    # the 1-d geometric median is a median of the values
+    vals = sorted(r["coords"][0] for r in pts.collect())
+    c = res.center_list[0][1][0]
+    below = sum(v < c - 1e-6 for v in vals)
+    above = sum(v > c + 1e-6 for v in vals)
+    assert abs(below - above) <= 2
+
+
+def test_distributed_paths_give_the_same_run(spark):
+    from tessera.operators import refine as W
+    from tessera.operators import search as SR
+    pts = PART.load(spark, SF001)
+    a = PL.cluster(pts, 4, 20, 1).center_list
+    old = (SR.LOCAL_SAMPLE, W.LOCAL_BYTES)
+    SR.LOCAL_SAMPLE, W.LOCAL_BYTES = 0, 0
+    try:
+        b = PL.cluster(pts, 4, 20, 1).center_list
+    finally:
+        SR.LOCAL_SAMPLE, W.LOCAL_BYTES = old
+    for (_, x), (_, y) in zip(a, b):
+        assert x == pytest.approx(y, abs=1e-6)
