@@ -161,9 +161,10 @@ leafp AS (SELECT * FROM settled QUALIFY row_number() OVER (PARTITION BY point_id
 
 def _key_sql(d: int) -> str:
     """DuckDB label ``cell.child...`` of a leaf row with ``level`` and ``a{i}``."""
-    child = " + ".join(f"((a{i} >> (level - j)) & 1) * {2 ** (d - 1 - i)}" for i in range(d))
+    child = " + ".join(f"((a{i} >> (level - t.j)) & 1) * {2 ** (d - 1 - i)}" for i in range(d))
     return (f"CASE WHEN level = 0 THEN CAST(cell AS VARCHAR) ELSE CAST(cell AS VARCHAR) || '.' || "
-            f"array_to_string(list_transform(range(1, level + 1), lambda j: CAST({child} AS VARCHAR)), '.') END")
+            f"(SELECT string_agg(CAST({child} AS VARCHAR), '.' ORDER BY t.j) "
+            f"FROM range(1, level + 1) t(j)) END")
 
 
 _PART_GRID = _grid_sql(PART, TAU, MAX_DEPTH)
@@ -366,7 +367,7 @@ def _cell_pam_ctes() -> str:
   UNION ALL
   SELECT s.step + 1, s.cell_key, s.k, (s.slot + 1) % s.k,
          CASE WHEN coalesce(b.swap, false)
-              THEN list_transform(s.meds, lambda x, i: CASE WHEN i - 1 = s.slot THEN b.best ELSE x END)
+              THEN list_concat(s.meds[1:s.slot], [b.best], s.meds[s.slot + 2:])
               ELSE s.meds END,
          CASE WHEN s.slot = 0 THEN coalesce(b.swap, false) ELSE s.changed OR coalesce(b.swap, false) END,
          s.slot = s.k - 1 AND NOT (s.changed OR coalesce(b.swap, false))
