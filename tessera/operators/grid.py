@@ -223,8 +223,8 @@ def adaptive_grid(points: DataFrame, tau: int, d: int | None = None,
     ``max_depth``.
 
     Per level: count points per (cell, sub-cell) with partial aggregation,
-    keep only the keys of the cells that split (checkpointed; their number
-    is counted), and route the points with a ``left_anti`` join (settled)
+    keep only the keys of the cells that split (cached; their number is
+    counted), and route the points with a ``left_anti`` join (settled)
     and a ``left_semi`` join (go one level deeper) against those keys. The
     keys are broadcast when at most ``broadcast_keys`` of them exist, so
     the points are not shuffled at all; beyond that the joins shuffle and
