@@ -1,15 +1,19 @@
 """The whole clustering run (M1): grid, sample, phase 1, phase 2.
 
-    points -> bounds (1 job) -> adaptive grid (one aggregate + join per level,
-    checkpointed) -> distinct points per cell -> per-cell k-medoids
-    (applyInPandas, checkpointed sample) -> slot sweeps over the sample
-    (broadcast in size-checked blocks) -> cost over all points -> phase 2:
-    ``iterations`` x (Weiszfeld passes, one k-row aggregate each; cost).
+    points -> bounds (1 job) -> adaptive grid (per level: one count
+    aggregate, points routed by broadcast semi/anti joins on the counted
+    split keys, unsettled rows checkpointed) -> distinct points per cell
+    (partial aggregation) -> per-cell k-medoids (grouped map over buckets
+    of cells; sample checkpointed) -> slot sweeps over the sample (one task
+    when small, else broadcast in counted blocks and scored in
+    mapInPandas) -> cost over all points -> phase 2: ``iterations`` x
+    (Weiszfeld: one k-row aggregate per pass, small clusters in one task;
+    cost).
 
 Only k centers, bounds and scalar counts reach the driver, plus the
-sample's coordinates when they fit the broadcast bound (else they travel
-in bounded blocks). Centers enter each plan as literals, so plans keep a
-constant size and lineage does not grow across iterations.
+sample's coordinates in counted blocks for the broadcast. Centers enter
+each plan as literals, so plans keep a constant size and lineage does not
+grow across iterations.
 """
 
 from __future__ import annotations
