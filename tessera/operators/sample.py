@@ -143,6 +143,56 @@ def swap_table(D: np.ndarray, w: np.ndarray, m1, d1, d2, k: int) -> np.ndarray:
     return out
 
 
+class SwapScorer:
+    """Swap costs of candidate blocks against a fixed set of scored points
+    and medoids, for the distributed search.
+
+    Same sums as ``swap_table``; the scored points are sorted by nearest
+    slot once, so each slot's correction reads a contiguous slice, and the
+    distance buffers are reused across candidate chunks.
+    """
+
+    def __init__(self, P: np.ndarray, w: np.ndarray, medoids: np.ndarray, chunk: int):
+        m1, d1, d2 = nearest_two(cross_distances(P, medoids))
+        order = np.argsort(m1, kind="stable")
+        self.k = medoids.shape[0]
+        self.P, self.w = P[order], w[order]
+        self.d1, self.d2 = d1[order][:, None], d2[order][:, None]
+        self.bounds = np.searchsorted(m1[order], np.arange(self.k + 1))
+        self.own = [float(self.w[a:b] @ self.d1[a:b, 0])
+                    for a, b in zip(self.bounds[:-1], self.bounds[1:])]
+        self.chunk = chunk
+        n = len(P)
+        self.D, self.T, self.L = (np.empty((n, chunk)) for _ in range(3))
+
+    def table(self, C: np.ndarray) -> np.ndarray:
+        """``k x len(C)`` swap costs."""
+        out = np.empty((self.k, len(C)))
+        P, d = self.P, self.P.shape[1]
+        for s in range(0, len(C), self.chunk):
+            c = C[s:s + self.chunk]
+            n = len(c)
+            D, T, L = self.D[:, :n], self.T[:, :n], self.L[:, :n]
+            np.subtract(P[:, 0:1], c[None, :, 0], out=D)
+            np.multiply(D, D, out=D)
+            for i in range(1, d):
+                np.subtract(P[:, i:i + 1], c[None, :, i], out=T)
+                np.multiply(T, T, out=T)
+                D += T
+            np.sqrt(D, out=D)
+            np.minimum(D, self.d1, out=L)
+            base = self.w @ L
+            for i in range(self.k):
+                a, b = self.bounds[i], self.bounds[i + 1]
+                if b > a:
+                    seg = T[a:b]
+                    np.clip(D[a:b], self.d1[a:b], self.d2[a:b], out=seg)
+                    out[i, s:s + n] = base + (self.w[a:b] @ seg - self.own[i])
+                else:
+                    out[i, s:s + n] = base
+        return out
+
+
 def slot_costs(D: np.ndarray, w: np.ndarray, med: list[int]) -> np.ndarray:
     """``k x m`` table: cost of the medoid set with slot ``i`` swapped for
     row ``j`` (the medoid's own column holds the current cost)."""
