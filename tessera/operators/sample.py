@@ -257,7 +257,8 @@ def _pam_buckets(d: int, max_sweeps: int | None, quota_one: bool, avg_per_cell:
         for a, b in zip(starts, ends):
             if b - a > MAX_CELL_ROWS:
                 raise ValueError(f"cell {keys[a]} holds {b - a} distinct points (more than "
-                                 f"{MAX_CELL_ROWS}); raise max_depth so the grid splits it")
+                                 f"{MAX_CELL_ROWS}): use a smaller tau, or a larger max_depth "
+                                 f"so the grid splits it")
             k = 1 if quota_one else quota_of(int(counts[a:b].sum()), b - a, avg_per_cell)
             med, cost = pam_slot_sweep(pairwise(X[a:b]), w[a:b], k, max_sweeps)
             rows.extend(a + j for j in med)
