@@ -25,7 +25,7 @@ from tessera.operators import grid as G  # noqa: E402
 from tessera.operators import refine as W  # noqa: E402
 from tessera.operators import sample as SM  # noqa: E402
 from tessera.operators import search as SR  # noqa: E402
-from tessera.plans import pipeline as PL  # noqa: E402
+from tessera.plans import run as PL  # noqa: E402
 from tessera.plans.fixtures import EMBED, PART, PointSet, first_k_centers  # noqa: E402
 from tessera.session import local_session, persist  # noqa: E402
 
@@ -99,8 +99,8 @@ def main():
     timed("refine_part", lambda: W.refine_once(merged_part, ctr, 2))
 
     # M1 whole runs
-    timed("pipeline_part", lambda: PL.cluster(part, 5, 20, 2).centers.collect())
-    timed("pipeline_lineitem", lambda: PL.cluster(line, 5, 600, 1).centers.collect())
+    timed("run_part", lambda: PL.cluster(part, 5, 20, 2).centers.collect())
+    timed("run_lineitem", lambda: PL.cluster(line, 5, 600, 1).centers.collect())
 
     total = round(sum(times.values()), 3)
     print(json.dumps({"metric": "total_wall", "value": total, "unit": "sec",

@@ -1,5 +1,5 @@
 """Command line: the same positional arguments and report as the reference's
-driver, over the Spark pipeline.
+driver, over the Spark clustering run.
 
     spark-submit tessera/plans/cli.py <master> <input> <cores> <tau> <k> <iterations> \
         [--seed N] [--out DIR]
@@ -50,7 +50,7 @@ def report_lines(path: str, metrics: list[tuple]) -> list[str]:
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
-    from tessera.plans.pipeline import cluster, write_cluster_result
+    from tessera.plans.run import cluster, write_cluster_result
     from tessera.sources.points import read_points_text
 
     ap = argparse.ArgumentParser(description=__doc__.splitlines()[0])

@@ -614,7 +614,7 @@ def q_sample_medoids(spark, sf_dir):
 # ---------------------------------------------------------------- refinement
 
 from tessera.operators import refine as W  # noqa: E402
-from tessera.plans import pipeline as PL  # noqa: E402
+from tessera.plans import run as PL  # noqa: E402
 
 _BASE_SQL = f"WITH RECURSIVE pts AS ({PART.sql()}), ctr AS ({centers_sql(PART, K)})"
 
@@ -890,38 +890,38 @@ def q_point_index(spark, sf_dir):
                    F.max("point_id").alias("max_id"), F.countDistinct("point_id").alias("n_distinct"))
 
 
-# ---------------------------------------------------------------- whole pipeline
+# ---------------------------------------------------------------- whole run
 
-PIPE_K, PIPE_TAU, PIPE_ITER = 5, 20, 2
+RUN_K, RUN_TAU, RUN_ITER = 5, 20, 2
 
 
-def _pipeline(spark, sf_dir, iterations=PIPE_ITER):
-    return PL.cluster(PART.load(spark, sf_dir), PIPE_K, PIPE_TAU, iterations, seed=SEED)
+def _run(spark, sf_dir, iterations=RUN_ITER):
+    return PL.cluster(PART.load(spark, sf_dir), RUN_K, RUN_TAU, iterations, seed=SEED)
 
 
-def _pipeline_ctes() -> str:
+def _run_ctes() -> str:
     """The whole run: grid sample, sweeps (k = K), two refinements."""
-    assert PIPE_K == K and PIPE_TAU == TAU and PIPE_ITER == 2
+    assert RUN_K == K and RUN_TAU == TAU and RUN_ITER == 2
     return (_phase1_ctes()
             + ", ctr0 AS (SELECT slot AS center_id, x0 AS c0, x1 AS c1 FROM p1_med)"
             + _median_sql("g", "ctr0", W.EPSILON, None) + _median_sql("h", "g_out", W.EPSILON, None))
 
 
-@register("cluster_pipeline", _pipeline_ctes() + """
+@register("cluster_run", _run_ctes() + """
 SELECT CAST(center_id AS INTEGER) AS center_id, round(c0, 4) + 0.0 AS x0, round(c1, 4) + 0.0 AS x1,
        'median' AS kind FROM h_out""")
-def q_cluster_pipeline(spark, sf_dir):
+def q_cluster_run(spark, sf_dir):
     """The whole run on part (k 5, tau 20, 2 refinements): final centers (M1)."""
-    res = _pipeline(spark, sf_dir)
+    res = _run(spark, sf_dir)
     return res.centers.select("center_id", *[rnd(F.col("coords")[i], 4).alias(f"x{i}") for i in range(2)],
                               "kind")
 
 
-@register("run_metrics", _pipeline_ctes() + f"""
+@register("run_metrics", _run_ctes() + f"""
 , vals(phase, iteration, metric, value) AS (
   SELECT 'grid', 0, 'n', CAST(n AS DOUBLE) FROM spec
-  UNION ALL SELECT 'grid', 0, 'k', {PIPE_K}.0
-  UNION ALL SELECT 'grid', 0, 'tau', {PIPE_TAU}.0
+  UNION ALL SELECT 'grid', 0, 'k', {RUN_K}.0
+  UNION ALL SELECT 'grid', 0, 'tau', {RUN_TAU}.0
   UNION ALL SELECT 'grid', 0, 'uniform_cells', CAST(P0 * P1 AS DOUBLE) FROM spec
   UNION ALL SELECT 'grid', 0, 'uniform_avg_per_cell', n / (P0 * P1) FROM spec
   UNION ALL SELECT 'grid', 0, 'adaptive_cells', CAST(n_cells AS DOUBLE) FROM st
@@ -937,16 +937,16 @@ def q_cluster_pipeline(spark, sf_dir):
 SELECT phase, CAST(iteration AS INTEGER) AS iteration, metric, round(value, 4) + 0.0 AS value FROM vals""")
 def q_run_metrics(spark, sf_dir):
     """The run report as rows."""
-    m = _pipeline(spark, sf_dir).metrics
+    m = _run(spark, sf_dir).metrics
     return m.select("phase", "iteration", "metric", rnd(F.col("value"), 4).alias("value"))
 
 
-@register("refine_trace", _pipeline_ctes() + f"""
+@register("refine_trace", _run_ctes() + f"""
 SELECT CAST(0 AS INTEGER) AS iteration, round({_cost_sql('g_out')}, 4) + 0.0 AS cost
 UNION ALL SELECT 1, round({_cost_sql('h_out')}, 4) + 0.0""")
 def q_refine_trace(spark, sf_dir):
     """Phase-2 cost after each refinement of the whole run."""
-    m = _pipeline(spark, sf_dir).metrics
+    m = _run(spark, sf_dir).metrics
     return m.where((F.col("phase") == "phase2") & (F.col("metric") == "cost")).select(
         "iteration", rnd(F.col("value"), 4).alias("cost"))
 
@@ -954,7 +954,7 @@ def q_refine_trace(spark, sf_dir):
 def flagship(spark, sf_dir):
     """Flagship: the whole run's centers with their cluster sizes."""
     pts = PART.load(spark, sf_dir)
-    res = PL.cluster(pts, PIPE_K, PIPE_TAU, PIPE_ITER, seed=SEED)
+    res = PL.cluster(pts, RUN_K, RUN_TAU, RUN_ITER, seed=SEED)
     sizes = res.assignments.groupBy("center_id").agg(F.count("*").alias("n"),
                                                      F.sum("distance").alias("cost"))
     cen = res.centers.select("center_id", *[F.col("coords")[i].alias(f"x{i}") for i in range(2)], "kind")

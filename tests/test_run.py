@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF001
-from tessera.plans import pipeline as PL
+from tessera.plans import run as PL
 from tessera.plans.fixtures import PART
 
 
@@ -13,7 +13,7 @@ def _run(spark, parts):
     return PL.cluster(pts, 5, 20, 2, seed=3)
 
 
-def test_pipeline_outputs(spark):
+def test_run_outputs(spark):
     res = _run(spark, 4)
     assert res.centers.count() == 5
     assert res.assignments.count() == 200

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from conftest import make_points
 from tessera.operators import grid as G
 from tessera.operators import sample as SM
-from tessera.plans import pipeline as PL
+from tessera.plans import run as PL
 
 
 def _skewed(spark, n=3000):
@@ -39,7 +39,7 @@ def test_merge_aggregates_before_the_shuffle(spark):
     assert "partial_count" in plan
 
 
-def test_pipeline_on_skewed_table_keeps_every_row(spark):
+def test_run_on_skewed_table_keeps_every_row(spark):
     pts = _skewed(spark)
     res = PL.cluster(pts, 4, 30, 1)
     assert res.assignments.count() == 3000
