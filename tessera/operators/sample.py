@@ -215,7 +215,9 @@ def pam_slot_sweep(D: np.ndarray, w: np.ndarray, k: int, max_sweeps: int | None
     k = min(k, m)
     med = list(start) if start is not None else list(range(k))
     sweeps = 0
-    table = None
+    # one medoid: the cost of candidate j is w @ D[:, j] whatever the
+    # current medoid, so a single table serves every sweep
+    table = (w @ D)[None, :] if k == 1 else None
     while True:
         before = set(med)
         for i in range(k):
@@ -230,7 +232,8 @@ def pam_slot_sweep(D: np.ndarray, w: np.ndarray, k: int, max_sweeps: int | None
             j = int(np.argmax(costs <= low + TIE_RTOL * abs(low)))
             if costs[j] < current - TIE_RTOL * abs(current):
                 med[i] = j
-                table = None
+                if k > 1:
+                    table = None
         sweeps += 1
         if set(med) == before or (max_sweeps is not None and sweeps >= max_sweeps):
             break
