@@ -54,6 +54,7 @@ def main():
 
     # warm the JVM and the Python workers outside the clock
     spark.range(1000).selectExpr("sum(id)").collect()
+    spark.range(0, 10000, 1, int(cpus)).mapInPandas(lambda it: it, "id BIGINT").count()
 
     part = persist(PART.load(spark, sf_dir))
     part.count()
