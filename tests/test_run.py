@@ -65,3 +65,20 @@ def test_distributed_paths_give_the_same_run(spark):
         SR.LOCAL_SAMPLE, W.LOCAL_BYTES = old
     for (_, x), (_, y) in zip(a, b):
         assert x == pytest.approx(y, abs=1e-6)
+
+
+def test_no_refinement_returns_medoids(spark):
+    pts = PART.load(spark, SF001)
+    res = PL.cluster(pts, 3, 20, 0)
+    assert {r["kind"] for r in res.centers.collect()} == {"medoid"}
+    ids = {tuple(r["coords"]) for r in pts.collect()}
+    assert all(tuple(c) in ids for _, c in res.center_list)
+    assert not [m for m in res.metric_rows if m[0] == "phase2"]
+
+
+def test_tau_one_makes_every_distinct_point_a_medoid(spark):
+    pts = PART.load(spark, SF001)
+    res = PL.cluster(pts, 3, 1, 1)
+    m = {(p, i, name): v for p, i, name, v in res.metric_rows}
+    distinct = pts.select("coords").distinct().count()
+    assert m[("sample", 0, "sample_size")] == distinct
