@@ -61,6 +61,7 @@ def cluster(points: DataFrame, k: int, tau: int, iterations: int, seed: int = 0,
     spark = points.sparkSession
     t = {}
     t0 = time.time()
+    points = points.select("point_id", "coords", "weight")
     d = point_dimension(points)
     pts = maybe_persist(points, cache_limit_bytes)
     metrics = []
