@@ -31,3 +31,19 @@ def test_stream_scoring_matches_batch(spark):
     tot = {r["center_id"]: r["n"] for r in spark.sql("SELECT * FROM totals").collect()}
     sizes = {r["center_id"]: r["n"] for r in A.cluster_sizes(batch, ctr).collect()}
     assert tot == sizes
+
+
+def test_stream_scoring_with_many_centers_matches_batch(spark):
+    """k * d above the unroll limit: the Arrow-batched path on a stream."""
+    d = tempfile.mkdtemp(prefix="tessera-stream-hd-")
+    spark.read.parquet(f"{SF01}/part.parquet").repartition(3).write.parquet(d + "/in")
+    batch = PART.load(spark, SF01)
+    ctr = first_k_centers(batch, 40)
+    stream = points_stream(spark, d + "/in", ["p_size", "p_retailprice"], "p_partkey")
+    q = (score_stream(stream, ctr).writeStream.format("memory").queryName("scored_hd")
+         .option("checkpointLocation", d + "/ck").outputMode("append").start())
+    q.processAllAvailable()
+    q.stop()
+    got = {r["point_id"]: (r["center_id"], r["distance"]) for r in spark.sql("SELECT * FROM scored_hd").collect()}
+    want = {r["point_id"]: (r["center_id"], r["distance"]) for r in A.assign_nearest(batch, ctr).collect()}
+    assert got == want
