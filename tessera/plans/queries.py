@@ -16,8 +16,15 @@ from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
 from tessera.operators import assign as A
-from tessera.plans.fixtures import (EMBED, PART, centers_sql, first_k_centers, rnd,
-                                    sql_dist)
+from tessera.operators import grid as G
+from tessera.operators import refine as W
+from tessera.operators import sample as SM
+from tessera.operators import search as SR
+from tessera.plans import run as PL
+from tessera.plans.fixtures import (CUSTOMER, EMBED, EVENTS, PART, centers_sql, first_k_centers,
+                                    rnd, sql_dist)
+from tessera.session import scratch_path
+from tessera.sources import points as SP
 from tessera.sources.points import explode_coords
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -116,7 +123,6 @@ def q_vec_distance_hd(spark, sf_dir):
 
 # ---------------------------------------------------------------- gridding
 
-from tessera.operators import grid as G  # noqa: E402
 
 TAU = 20        # points per cell of the grid queries (part, sf0.01: 2,000 points)
 MAX_DEPTH = 16  # levels unrolled by the oracle; the part grid settles well before
@@ -269,7 +275,6 @@ def q_cell_members(spark, sf_dir):
 
 # ---------------------------------------------------------------- sample
 
-from tessera.operators import sample as SM  # noqa: E402
 
 _RANK_SQL = ("(((point_id % 2147483648) + 2147483648) % 2147483648 * 2654435761 + {seed}) "
              "% 4294967296")
@@ -422,7 +427,6 @@ def q_cell_sample(spark, sf_dir):
 
 # ---------------------------------------------------------------- phase-1 search
 
-from tessera.operators import search as SR  # noqa: E402
 
 _D2 = "sqrt(({a}.x0 - {b}.x0) * ({a}.x0 - {b}.x0) + ({a}.x1 - {b}.x1) * ({a}.x1 - {b}.x1))"
 
@@ -613,8 +617,6 @@ def q_sample_medoids(spark, sf_dir):
 
 # ---------------------------------------------------------------- refinement
 
-from tessera.operators import refine as W  # noqa: E402
-from tessera.plans import run as PL  # noqa: E402
 
 _BASE_SQL = f"WITH RECURSIVE pts AS ({PART.sql()}), ctr AS ({centers_sql(PART, K)})"
 
@@ -791,9 +793,6 @@ def q_cost_trace(spark, sf_dir):
 
 # ---------------------------------------------------------------- vector functions, sources
 
-from tessera.session import scratch_path  # noqa: E402
-from tessera.sources import points as SP  # noqa: E402
-
 
 def _emb_with_label(spark, sf_dir):
     src = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
@@ -963,7 +962,6 @@ def flagship(spark, sf_dir):
 
 # ---------------------------------------------------------------- other point sets
 
-from tessera.plans.fixtures import CUSTOMER, EVENTS  # noqa: E402
 
 _EVENTS_GRID = _grid_sql(EVENTS, TAU, MAX_DEPTH)
 
