@@ -22,7 +22,6 @@ import time
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tessera.operators import assign as A
 from tessera.operators import grid as G

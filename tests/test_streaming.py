@@ -2,7 +2,6 @@
 
 import tempfile
 
-from pyspark.sql import functions as F
 
 from conftest import SF01
 from tessera.operators import assign as A
