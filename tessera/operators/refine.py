@@ -74,19 +74,23 @@ def pass_stats(assigned: DataFrame, xs: dict[int, list[float]], d: int) -> DataF
     ids = sorted(xs)
     act = assigned.where(F.col("center_id").isin(ids))
     x = _center_vec(xs, ids)
-    rows = act.select("center_id", "coords", "weight", x.alias("_x"))
+    mult = F.col("n") if "n" in assigned.columns else F.lit(1)
+    rows = act.select("center_id", "coords", "weight", mult.alias("_mult"), x.alias("_x"))
     sq = None
     for i in range(d):
         diff = F.col("coords")[i] - F.col("_x")[i]
         sq = diff * diff if sq is None else sq + diff * diff
-    rows = rows.select("center_id", "coords", "weight", "_x",
+    rows = rows.select("center_id", "coords", "weight", "_mult", "_x",
                        (F.col("coords") == F.col("_x")).alias("_at"), F.sqrt(sq).alias("_dist"))
     away = (~F.col("_at")) & (F.col("_dist") > 0)
     inv = F.when(away, F.col("weight") / F.col("_dist"))
     aggs = [F.sum(F.when(away, F.col("weight") * (F.col("coords")[i] - F.col("_x")[i]) / F.col("_dist")))
             .alias(f"r_{i}") for i in range(d)]
     aggs += [F.sum(inv).alias("den"), F.sum(F.when(F.col("_at"), F.col("weight"))).alias("w_at"),
-             F.count("*").alias("n")]
+             F.count("*").alias("n"),
+             # input rows times distance to x: at the first pass x is the
+             # cluster's center, so this sums to the clustering cost
+             F.sum(F.col("_mult") * F.col("_dist")).alias("cost")]
     return rows.groupBy("center_id").agg(*aggs)
 
 
@@ -108,6 +112,7 @@ class MedianResult:
     centers: dict[int, list[float]]
     passes: dict[int, int] = field(default_factory=dict)
     jobs: int = 0
+    start_cost: float = 0.0     # clustering cost of the start centers (E1)
 
 
 def _local_passes(d: int, starts: dict[int, list[float]], done: dict[int, int],
@@ -162,6 +167,7 @@ def geometric_medians(assigned: DataFrame, start: dict[int, list[float]], d: int
     jobs = 0
     first = True
     cached = None
+    start_cost = 0.0
     while active:
         rows = pass_stats(assigned, active, d).collect()
         jobs += 1
@@ -170,6 +176,8 @@ def geometric_medians(assigned: DataFrame, start: dict[int, list[float]], d: int
             j = int(r["center_id"])
             seen.add(j)
             sizes[j] = int(r["n"])
+            if first:
+                start_cost += float(r["cost"] or 0.0)
             R = [float(r[f"r_{i}"] or 0.0) for i in range(d)]
             new, _ = weiszfeld_update(active[j], R, float(r["den"] or 0.0), float(r["w_at"] or 0.0))
             step = math.sqrt(sum((a - b) ** 2 for a, b in zip(new, active[j])))
@@ -206,7 +214,7 @@ def geometric_medians(assigned: DataFrame, start: dict[int, list[float]], d: int
                 assigned = cached
     if cached is not None:
         cached.unpersist()
-    return MedianResult(xs, passes, jobs)
+    return MedianResult(xs, passes, jobs, start_cost)
 
 
 def assign_to(points: DataFrame, centers: CenterList) -> DataFrame:

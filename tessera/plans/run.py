@@ -92,23 +92,28 @@ def cluster(points: DataFrame, k: int, tau: int, iterations: int, seed: int = 0,
 
     # phase 1
     t2 = time.time()
-    res = SR.sample_medoids(sample, k, d, max_sweeps=max_sweeps, block_rows=block_rows)
+    res = SR.sample_medoids(sample, k, d, max_sweeps=max_sweeps, block_rows=block_rows, n=s)
     centers = [(j, [float(v) for v in res.medoids[j]]) for j in range(k)]
-    cost = A.clustering_cost_value(merged, centers, multiplicity="n")
     metric("phase1", 0, "sample_cost", res.cost)
     metric("phase1", 0, "sweeps", res.sweeps)
-    metric("phase1", 0, "cost", cost)
     t["phase1"] = time.time() - t2
 
-    # phase 2
+    # phase 2; the cost of a center set comes with the first Weiszfeld pass
+    # of the refinement that starts from it (same rows, same assignment), so
+    # only the final centers need a cost job of their own
     t3 = time.time()
     kind = "medoid"
+    trace = []
     for it in range(iterations):
         centers, mres = W.refine_once(merged, centers, d, epsilon, max_passes)
-        cost = A.clustering_cost_value(merged, centers, multiplicity="n")
-        metric("phase2", it, "passes", max(mres.passes.values()) if mres.passes else 0)
-        metric("phase2", it, "cost", cost)
+        trace.append((it, mres.start_cost, max(mres.passes.values()) if mres.passes else 0))
         kind = "median"
+    final_cost = A.clustering_cost_value(merged, centers, multiplicity="n")
+    costs = [c for _, c, _ in trace] + [final_cost]
+    metric("phase1", 0, "cost", costs[0])
+    for (it, _, passes), cost in zip(trace, costs[1:]):
+        metric("phase2", it, "passes", passes)
+        metric("phase2", it, "cost", cost)
     t["phase2"] = time.time() - t3
     merged.unpersist()
 
