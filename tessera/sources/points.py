@@ -104,7 +104,7 @@ def read_points_text(spark: SparkSession, path: str, d: int | None = None,
     indexed = with_point_index(parsed)
     coords, keep = _validate(F.col("coords"), d, invalid,
                              F.concat(F.lit("line "), F.col("point_id").cast("string")))
-    out = indexed.where(keep).select("point_id", coords.alias("coords"),
+    out = indexed.where(keep).select("point_id", coords.alias("coords", metadata={"dim": d}),
                                      F.lit(1.0).alias("weight"))
     if min_partitions and out.rdd.getNumPartitions() < min_partitions:
         out = out.repartition(min_partitions)
@@ -154,11 +154,15 @@ def read_points_table(source: DataFrame | str, columns: Sequence[str] | str,
     # the message names the coordinates, not the id, so scans that do not
     # need the id column do not read it
     checked, keep = _validate(F.col("coords"), d, invalid, F.to_json(F.col("coords")))
-    return pts.where(keep).select("point_id", checked.alias("coords"), "weight")
+    return pts.where(keep).select("point_id", checked.alias("coords", metadata={"dim": d}), "weight")
 
 
 def point_dimension(points: DataFrame) -> int:
-    """Dimension of a point table, from one row."""
+    """Dimension of a point table: from the ``coords`` column's metadata
+    (set by the readers), else from one row."""
+    meta = points.schema["coords"].metadata or {}
+    if "dim" in meta:
+        return int(meta["dim"])
     row = points.select(F.size("coords").alias("d")).first()
     if row is None:
         raise ValueError("empty point table")
