@@ -139,9 +139,11 @@ def cost_trace(points: DataFrame, centers: list, iterations: int, epsilon: float
     spark = points.sparkSession
     d = len(centers[0][1])
     merged = persist(W.merge_duplicates(points))
-    rows = [("start", 0, A.clustering_cost_value(merged, centers, multiplicity="n"))]
-    for it in range(iterations):
-        centers, _ = W.refine_once(merged, centers, d, epsilon, max_passes)
-        rows.append(("phase2", it, A.clustering_cost_value(merged, centers, multiplicity="n")))
+    costs = []
+    for _ in range(iterations):
+        centers, mres = W.refine_once(merged, centers, d, epsilon, max_passes)
+        costs.append(mres.start_cost)       # cost of the centers this refinement started from
+    costs.append(A.clustering_cost_value(merged, centers, multiplicity="n"))
     merged.unpersist()
+    rows = [("start", 0, costs[0])] + [("phase2", it, c) for it, c in enumerate(costs[1:])]
     return spark.createDataFrame(rows, "phase STRING, iteration INT, cost DOUBLE")
