@@ -125,14 +125,18 @@ def _local_passes(d: int, starts: dict[int, list[float]], done: dict[int, int],
         j = int(pdf["center_id"].iloc[0])
         X = pdf[xs].to_numpy(np.float64)
         w = pdf["weight"].to_numpy(np.float64)
+        mult = pdf["_mult"].to_numpy(np.float64)
         x = list(starts[j])
         passes = done[j]
+        cost0 = None
         while True:
             diff = X - np.array(x)
             sq = np.zeros(len(X))
             for i in range(d):
                 sq += diff[:, i] * diff[:, i]
             dist = np.sqrt(sq)
+            if cost0 is None:
+                cost0 = float(mult @ dist)      # cost of the start (E1 share)
             at = np.all(diff == 0, axis=1)
             away = ~at & (dist > 0)
             inv = np.where(away, w / np.where(away, dist, 1.0), 0.0)
@@ -143,15 +147,28 @@ def _local_passes(d: int, starts: dict[int, list[float]], done: dict[int, int],
             x = new
             if step <= epsilon or (max_passes is not None and passes >= max_passes):
                 break
-        return pd.DataFrame({"center_id": [j], "passes": [passes],
+        return pd.DataFrame({"center_id": [j], "passes": [passes], "cost0": [cost0],
                              **{f"c{i}": [x[i]] for i in range(d)}})
 
     return fn
 
 
+def _run_local(assigned: DataFrame, ids: list[int], xs: dict, done: dict, d: int,
+               epsilon: float, max_passes: int | None):
+    """Remaining passes of the clusters ``ids``, one task each; k rows back."""
+    mult = F.col("n") if "n" in assigned.columns else F.lit(1)
+    flat = (assigned.where(F.col("center_id").isin(ids))
+            .select("center_id", "weight", mult.cast("double").alias("_mult"),
+                    *[F.col("coords")[i].alias(f"x{i}") for i in range(d)]))
+    schema = ("center_id INT, passes INT, cost0 DOUBLE, "
+              + ", ".join(f"c{i} DOUBLE" for i in range(d)))
+    fn = _local_passes(d, {j: xs[j] for j in ids}, {j: done[j] for j in ids}, epsilon, max_passes)
+    return flat.groupBy("center_id").applyInPandas(fn, schema).collect()
+
+
 def geometric_medians(assigned: DataFrame, start: dict[int, list[float]], d: int,
                       epsilon: float = EPSILON, max_passes: int | None = None,
-                      local_rows: int | None = None) -> MedianResult:
+                      local_rows: int | None = None, n_rows: int | None = None) -> MedianResult:
     """Weiszfeld/Vardi-Zhang iteration for every cluster at once.
 
     ``assigned`` has ``center_id, coords, weight``. Clusters with no points
@@ -162,6 +179,16 @@ def geometric_medians(assigned: DataFrame, start: dict[int, list[float]], d: int
     if local_rows is None:
         local_rows = local_row_limit(d)
     xs = {j: list(map(float, v)) for j, v in start.items()}
+    if n_rows is not None and n_rows <= local_rows:
+        # every cluster fits one task: all passes locally, in one job
+        passes = {j: 0 for j in xs}
+        cost = 0.0
+        for r in _run_local(assigned, list(xs), xs, passes, d, epsilon, max_passes):
+            j = int(r["center_id"])
+            xs[j] = [float(r[f"c{i}"]) for i in range(d)]
+            passes[j] = int(r["passes"])
+            cost += float(r["cost0"])
+        return MedianResult(xs, passes, 1, cost)
     active = dict(xs)
     passes = {j: 0 for j in xs}
     jobs = 0
@@ -194,13 +221,7 @@ def geometric_medians(assigned: DataFrame, start: dict[int, list[float]], d: int
             first = False
             small = [j for j in active if sizes.get(j, 0) <= local_rows]
             if small:
-                flat = (assigned.where(F.col("center_id").isin(small))
-                        .select("center_id", "weight",
-                                *[F.col("coords")[i].alias(f"x{i}") for i in range(d)]))
-                schema = "center_id INT, passes INT, " + ", ".join(f"c{i} DOUBLE" for i in range(d))
-                fn = _local_passes(d, {j: active[j] for j in small}, {j: passes[j] for j in small},
-                                   epsilon, max_passes)
-                for r in flat.groupBy("center_id").applyInPandas(fn, schema).collect():
+                for r in _run_local(assigned, small, active, passes, d, epsilon, max_passes):
                     j = int(r["center_id"])
                     xs[j] = [float(r[f"c{i}"]) for i in range(d)]
                     passes[j] = int(r["passes"])
@@ -226,10 +247,11 @@ def assign_to(points: DataFrame, centers: CenterList) -> DataFrame:
 
 
 def refine_once(points: DataFrame, centers: CenterList, d: int, epsilon: float = EPSILON,
-                max_passes: int | None = None,
-                local_rows: int | None = None) -> tuple[CenterList, MedianResult]:
-    """Assign, then move every center to its cluster's geometric median."""
+                max_passes: int | None = None, local_rows: int | None = None,
+                n_rows: int | None = None) -> tuple[CenterList, MedianResult]:
+    """Assign, then move every center to its cluster's geometric median.
+    ``n_rows`` bounds the rows of ``points`` when known (no job counts it)."""
     assigned = assign_to(points, centers)
     res = geometric_medians(assigned, {j: c for j, c in centers}, d, epsilon, max_passes,
-                            local_rows)
+                            local_rows, n_rows)
     return [(j, res.centers[j]) for j, _ in centers], res

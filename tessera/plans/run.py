@@ -105,7 +105,7 @@ def cluster(points: DataFrame, k: int, tau: int, iterations: int, seed: int = 0,
     kind = "medoid"
     trace = []
     for it in range(iterations):
-        centers, mres = W.refine_once(merged, centers, d, epsilon, max_passes)
+        centers, mres = W.refine_once(merged, centers, d, epsilon, max_passes, n_rows=spec.n)
         trace.append((it, mres.start_cost, max(mres.passes.values()) if mres.passes else 0))
         kind = "median"
     final_cost = A.clustering_cost_value(merged, centers, multiplicity="n")
