@@ -92,7 +92,8 @@ def cluster(points: DataFrame, k: int, tau: int, iterations: int, seed: int = 0,
 
     # phase 1
     t2 = time.time()
-    res = SR.sample_medoids(sample, k, d, max_sweeps=max_sweeps, block_rows=block_rows, n=s)
+    res = SR.sample_medoids(sample, k, d, max_sweeps=max_sweeps, block_rows=block_rows, n=s,
+                            materialized=True)
     centers = [(j, [float(v) for v in res.medoids[j]]) for j in range(k)]
     metric("phase1", 0, "sample_cost", res.cost)
     metric("phase1", 0, "sweeps", res.sweeps)
