@@ -475,7 +475,7 @@ def q_swap_cost(spark, sf_dir):
     med = SR.initial_global(pts, K)
     scored = SR.broadcast_points(pts, 2)
     M = SR._Lookup(scored).coords(med)
-    costs = SR.swap_costs(pts, scored, M)
+    costs = SR.swap_costs(SR.spread(pts, scored.n, scored.n), scored, M)
     return (costs.where(~F.col("point_id").isin(med))
             .select("point_id", rnd(F.col("cost_0"), 4).alias("cost")))
 
@@ -494,7 +494,8 @@ def q_best_swap(spark, sf_dir):
     med = SR.initial_global(pts, K)
     scored = SR.broadcast_points(pts, 2)
     M = SR._Lookup(scored).coords(med)
-    table = SR.best_swaps(SR.swap_costs(pts, scored, M), med, list(range(K)))
+    table = SR.best_swaps(SR.swap_costs(SR.spread(pts, scored.n, scored.n), scored, M), med,
+                          list(range(K)))
     rows = [(i, table[i][1][0], round(table[i][1][1], 4) + 0.0, round(table[i][0], 4) + 0.0)
             for i in range(K)]
     return spark.createDataFrame(rows, "slot INT, point_id BIGINT, cost DOUBLE, current_cost DOUBLE")
