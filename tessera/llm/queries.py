@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tessera.llm.language import identify, training_rows
 from tessera.llm.ngram_join import jaccard_components
+from tessera.llm.quality_classifier import classify, line_quality_model
+from tessera.llm.quality_rules import line_model, quality_rules
+from tessera.llm.secrets import RULES, scan
 from tessera.llm.tables import table
+from tessera.llm.token_counts import token_counts
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -39,3 +46,79 @@ m AS (SELECT x, min(y) AS y FROM r GROUP BY x)
 SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, least(doc_id, coalesce(m.y, doc_id)) AS component_id
 FROM s LEFT JOIN m ON m.x = s.doc_id
 """
+
+
+@query
+def op2_language_id(spark, sf_dir):
+    """Language of every document by compression; a third of the ids is held out."""
+    docs = table(spark, sf_dir, "documents")
+    held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    return identify(docs, training_rows(docs, 3, 1), held)
+
+
+@query
+def op4_token_counts(spark, sf_dir):
+    """Tokens of every document under word_bpe_49k."""
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
+
+
+@query
+def op6_secret_scan(spark, sf_dir):
+    """Secrets of every document."""
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def _sql_any_case(pattern: str) -> str:
+    out, escaped, inside = [], False, False
+    for ch in pattern:
+        if ch.isalpha() and not escaped and not inside:
+            out.append(f"[{ch.lower()}{ch.upper()}]")
+        else:
+            out.append(ch)
+        inside = (inside or ch == "[") and ch != "]"
+        escaped = ch == "\\" and not escaped
+    return "".join(out)
+
+
+def _secret_sql() -> str:
+    parts = []
+    for k, r in enumerate(RULES):
+        pat = (_sql_any_case(r.pattern).replace(r"[xX]20", "x20") if r.any_case else r.pattern).replace("'", "''")
+        parts.append(f"""SELECT doc_id, {k} AS k, '{r.kind}' AS kind, regexp_extract_all(text, '{pat}') AS ms,
+      regexp_split_to_array(text, '{pat}') AS ps, {r.least} AS least, '{pat}' AS pat, {r.group} AS grp FROM t""")
+    counts = ", ".join(f"count(*) FILTER (k = {k}) AS n_{r.kind}" for k, r in enumerate(RULES) if r.base)
+    base = sum(r.base for r in RULES)
+    extract = " ".join(f"WHEN {k} THEN length(regexp_extract(m, '{(_sql_any_case(r.pattern).replace('[xX]20', 'x20') if r.any_case else r.pattern).replace(chr(39), chr(39) * 2)}', {r.group}))"
+                       for k, r in enumerate(RULES) if r.group)
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+f AS ({' UNION ALL '.join(parts)}),
+i AS (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM f WHERE len(ms) > 0),
+s AS (SELECT doc_id, k, kind, least, ms[i] AS m,
+      CAST(list_sum(list_transform(ps[1:i], lambda x: length(x)))
+           + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a FROM i),
+g AS (SELECT doc_id, k, a, kind || ':' || a || ':' || (a + length(m)) AS span FROM s
+      WHERE CASE k {extract} ELSE length(m) END >= least),
+c AS (SELECT doc_id, {counts}, coalesce(string_agg(span, ',' ORDER BY a, k) FILTER (k < {base}), '') AS b,
+      string_agg(span, ',' ORDER BY a, k) AS spans FROM g GROUP BY doc_id)
+SELECT t.doc_id, {', '.join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in RULES if r.base)},
+       sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN c USING (doc_id)
+"""
+
+
+ORACLE["op6_secret_scan"] = _secret_sql()
+
+
+@query
+def op7_quality_rules(spark, sf_dir):
+    """Base counts and line labels of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules(docs, line_model(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op8_quality_classifier(spark, sf_dir):
+    """Quality score of every document; a fifth of the ids is held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    remainder = F.crc32(F.col("doc_id").cast("string")) % 5
+    return classify(docs, line_quality_model(docs, labels.where(remainder != 0)), remainder == 0)
