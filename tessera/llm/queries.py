@@ -13,8 +13,9 @@ from tessera.llm.ngram_join import jaccard_components
 from tessera.llm.quality_classifier import classify, line_quality_model
 from tessera.llm.quality_rules import line_model, quality_rules
 from tessera.llm.secrets import RULES, scan
-from tessera.llm.tables import table
+from tessera.llm.tables import table, written
 from tessera.llm.token_counts import token_counts
+from tessera.llm.warc import SEGMENT_RECORDS, SPAN, audit, damaged, hashed, placed, records, segment_count
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -122,3 +123,35 @@ def op8_quality_classifier(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     remainder = F.crc32(F.col("doc_id").cast("string")) % 5
     return classify(docs, line_quality_model(docs, labels.where(remainder != 0)), remainder == 0)
+
+
+@query
+def op9_merkle_fixity(spark, sf_dir):
+    """All pages as an archive, audited against a replica with damage in one of 40 records.
+
+    The replica's records lie where the archive's index has them, with lengths and hashes
+    of their own."""
+    pages = table(spark, sf_dir, "pages")
+    rows = records(pages)
+    index = written(placed(hashed(rows), segment_count(pages)), "index")
+    found = hashed(damaged(rows, 40)).groupBy("record_id").agg(F.min("length").alias("length"), F.min("hash").alias("hash"))
+    replica = written(index.select("record_id", "segment", "offset").join(found, "record_id"), "replica")
+    return audit(index, replica).join(index.select("segment", "offset", "page_id", "copies"), ["segment", "offset"], "left")
+
+
+ORACLE["op9_merkle_fixity"] = rf"""
+WITH p AS (SELECT *, sha256(concat_ws(E'\n', coalesce('=' || page_id, '-'), coalesce('=' || url, '-'), coalesce('=' || html, '-'))) AS id FROM pages),
+r AS (SELECT id, page_id, hex(encode(E'WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:sha256:' || id
+  || E'>\r\nWARC-Target-URI: ' || coalesce(url, '') || E'\r\nWARC-Block-Digest: sha256:' || sha256(encode(coalesce(html, '')))
+  || E'\r\nContent-Type: text/html\r\nContent-Length: ' || octet_length(encode(coalesce(html, ''))) || E'\r\n\r\n'
+  || coalesce(html, '') || E'\r\n\r\n')) AS h FROM p),
+g AS (SELECT id, min(page_id) AS page_id, min(h) AS h, count(*) AS copies FROM r GROUP BY id),
+i AS (SELECT *, CAST(CAST('0x' || substr(id, 1, 8) AS BIGINT) % (SELECT greatest(1, ceil(count(*) / {SEGMENT_RECORDS})::BIGINT) FROM pages) AS BIGINT) AS segment,
+  length(h) // 2 AS n, CAST('0x' || substr(id, 9, 8) AS BIGINT) % 120 AS draw FROM g),
+o AS (SELECT *, CAST(coalesce(sum(n) OVER (PARTITION BY segment ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
+  CASE draw WHEN 0 THEN NULL WHEN 1 THEN substr(h, 1, 2 * (n // 2)) || '00' || substr(h, 2 * (n // 2) + 3) WHEN 2 THEN substr(h, 1, 2 * (n // 2)) END AS d
+  FROM i)
+SELECT segment, "offset", CASE draw WHEN 0 THEN 'missing' ELSE 'changed' END AS status, CAST("offset" // {SPAN} * {SPAN} AS BIGINT) AS range_start,
+  CAST("offset" // {SPAN} * {SPAN} + {SPAN} AS BIGINT) AS range_end, CAST(n AS BIGINT) AS primary_length, CAST(length(d) // 2 AS BIGINT) AS replica_length,
+  sha256(unhex(h)) AS primary_hash, sha256(unhex(d)) AS replica_hash, page_id, copies FROM o WHERE draw < 3
+"""
