@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.language import identify, training_rows
+from tessera.llm.mixing import mix
 from tessera.llm.ngram_join import jaccard_components
 from tessera.llm.quality_classifier import classify, line_quality_model
 from tessera.llm.quality_rules import line_model, quality_rules
@@ -155,3 +156,19 @@ SELECT segment, "offset", CASE draw WHEN 0 THEN 'missing' ELSE 'changed' END AS
   CAST("offset" // {SPAN} * {SPAN} + {SPAN} AS BIGINT) AS range_end, CAST(n AS BIGINT) AS primary_length, CAST(length(d) // 2 AS BIGINT) AS replica_length,
   sha256(unhex(h)) AS primary_hash, sha256(unhex(d)) AS replica_hash, page_id, copies FROM o WHERE draw < 3
 """
+
+
+#: target weights of the domains that the labels make
+TARGETS = {"good": 0.9, "good_toxic": 0.02, "poor": 0.07, "poor_toxic": 0.01}
+
+
+def label_domains(labels):
+    """Domains of the labelled table: good or poor, toxic or not."""
+    return labels.select("doc_id", F.concat(F.when(F.col("quality") == 1, "good").otherwise("poor"),
+                                            F.when(F.col("toxic") == 1, "_toxic").otherwise("")).alias("domain"))
+
+
+@query
+def op10_soft_mixing(spark, sf_dir):
+    """Rates of all documents by which half of the words meet the target weights."""
+    return mix(table(spark, sf_dir, "documents"), label_domains(table(spark, sf_dir, "labels")), TARGETS)
