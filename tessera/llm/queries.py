@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.decontamination import contaminated
 from tessera.llm.language import identify, training_rows
 from tessera.llm.mixing import mix
 from tessera.llm.ngram_join import jaccard_components
@@ -58,6 +59,12 @@ def op2_language_id(spark, sf_dir):
     return identify(docs, training_rows(docs, 3, 1), held)
 
 
+@query
+def op3_decontamination(spark, sf_dir):
+    """Documents that hold test items."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op4_token_counts(spark, sf_dir):
     """Tokens of every document under word_bpe_49k."""

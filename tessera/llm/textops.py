@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 #: bytes of text that one set of numpy temporaries covers (a longer single text is taken whole)
@@ -63,10 +64,12 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         at = end
 
 
-def text_slices(batch: pa.RecordBatch, name: str = "text", limit: int = SLICE_BYTES):
-    """(first row, end row, bytes, offsets) of every slice of a batch's text column."""
-    data, offsets = buffers(batch.column(batch.schema.get_field_index(name)))
-    for a, b in slices(offsets, limit):
+def text_slices(batch: pa.RecordBatch, name: str = "text", fold: bool = False):
+    """(first row, end row, bytes, offsets) of every slice of a batch's text column; with
+    ``fold`` in lower case, letters of all scripts."""
+    column = batch.column(batch.schema.get_field_index(name))
+    data, offsets = buffers(pc.utf8_lower(column) if fold else column)
+    for a, b in slices(offsets):
         yield a, b, data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]
 
 
