@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.decontamination import contaminated
+from tessera.llm.html_text import extract
 from tessera.llm.language import identify, training_rows
 from tessera.llm.mixing import mix
 from tessera.llm.ngram_join import jaccard_components
@@ -71,6 +72,12 @@ def op4_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
 
 
+@query
+def op5_html_text(spark, sf_dir):
+    """Main text of every page."""
+    return extract(table(spark, sf_dir, "pages"))
+
+
 @query
 def op6_secret_scan(spark, sf_dir):
     """Secrets of every document."""
