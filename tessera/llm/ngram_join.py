@@ -4,7 +4,8 @@ Documents are rows and word n-grams are columns of a sparse 0/1 matrix A; two
 documents link when ``denominator * |x & y| >= numerator * |x | y|``. The product
 A A' is built in blocks and never in full:
 
-1. Documents with equal n-gram sets form one class; a class is one matrix row.
+1. Documents with equal n-gram sets form one class; a class is one matrix row (copies
+   are combined within a batch, and again within a block).
 2. A row keeps only its lowest n-grams in hash order, as many as a partner must
    hit ``c`` times (prefix bound: n - ceil(threshold * n) + c), and some slack.
 3. The rows' entries are dealt into blocks of n-grams, as packed arrays. A block
@@ -12,7 +13,7 @@ A A' is built in blocks and never in full:
    positions already rule a link out.
 4. Counts are accumulated per pair in blocks of documents. A pair below its
    size-derived count ``c`` is discarded.
-5. Survivors pass a bound from 512-bit parity sketches (each element of the
+5. Survivors pass a bound from 2048-bit parity sketches (each element of the
    symmetric difference flips at most one bit), then the exact overlap decides.
 
 A hot n-gram, one in ``HOT`` classes or more, is never multiplied out. Rows that
@@ -45,7 +46,7 @@ HOT = 32
 BLOCK_BYTES = 8 << 20
 #: so many counted document ids are broadcast (16 MB); more are joined by a shuffle
 BROADCAST_IDS = 1_000_000
-SKETCH = 8
+SKETCH = 32
 _SK = [f"s{i}" for i in range(SKETCH)]
 ENTRY = np.dtype([("g", "<u8"), ("k", "<i8"), ("n", "<i4"), ("r", "<i4")])
 PAIR = np.dtype([("a", "<i8"), ("b", "<i8"), ("c", "<i4"), ("need", "<i4")])
@@ -57,14 +58,14 @@ def least_overlap(n, num: int, den: int):
 
 
 def hits(n):
-    """How many common n-grams a pair's prefixes must share: one, and one more per 40."""
-    return 1 + n // 40
+    """How many common n-grams a pair's prefixes must share: one, and one more per 64."""
+    return 1 + n // 64
 
 
 def emitted(n, num: int, den: int):
-    """N-grams a row emits: its prefix for ``hits`` and a quarter of slack for hot ones."""
+    """N-grams a row emits: its prefix for ``hits`` and an eighth of slack for hot ones."""
     need = n - least_overlap(n, num, den) + hits(n)
-    return np.minimum(n, need + need // 4 + 2)
+    return np.minimum(n, need + need // 8 + 2)
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.ndarray]:
@@ -138,14 +139,14 @@ def _run_lengths(g: np.ndarray):
     return at, np.diff(np.r_[at, len(g)])
 
 
-def _entries_fn(blocks: int):
+def _entries_fn(blocks: int, most: int):
     """Deals the rows' entries into blocks of n-grams. Of an n-gram that is hot within
-    the batch the block gets HOT entries, enough to see it; the rest goes by itself."""
+    the batch the block gets ``most`` entries, enough to see it; the rest goes by itself."""
     def run(batches):
         for batch in batches:
-            key = batch.column("key").to_numpy(zero_copy_only=False)
-            n = batch.column("n").to_numpy(zero_copy_only=False)
-            grams = [np.frombuffer(x, "<u8") for x in batch.column("grams").to_pylist()]
+            key, first = np.unique(batch.column("key").to_numpy(zero_copy_only=False), return_index=True)
+            n = batch.column("n").to_numpy(zero_copy_only=False)[first]
+            grams = [np.frombuffer(x, "<u8") for x in batch.column("grams").take(pa.array(first)).to_pylist()]
             size = np.array([len(x) for x in grams], np.int64)
             for a, b in X.slices(np.r_[0, np.cumsum(size)], 1 << 18):
                 m = size[a:b]
@@ -155,7 +156,7 @@ def _entries_fn(blocks: int):
                 e["r"] = np.arange(len(e)) - np.repeat(np.cumsum(m) - m, m)
                 e = e[np.argsort(e["g"], kind="stable")]
                 at, ln = _run_lengths(e["g"])
-                over = np.arange(len(e)) - np.repeat(at, ln) >= HOT
+                over = np.arange(len(e)) - np.repeat(at, ln) >= most
                 out = _dealt(e[~over], (e["g"][~over] % np.uint64(blocks)).astype(np.int32), 0)
                 if over.any():
                     out += _dealt(e[over], (e["k"][over] % blocks).astype(np.int32), 1)
@@ -163,7 +164,7 @@ def _entries_fn(blocks: int):
     return run
 
 
-def _product_fn(num: int, den: int, buckets: int):
+def _product_fn(num: int, den: int, buckets: int, top: int):
     """Multiplies the columns of one block: pairs with counts (kind 0, once by either
     document), entries of hot n-grams (kind 1)."""
     def run(t: pa.Table) -> pa.Table:
@@ -172,13 +173,15 @@ def _product_fn(num: int, den: int, buckets: int):
         e = np.frombuffer(b"".join(p for p, k in zip(payload, kind) if k == 0), ENTRY)
         hot = [p for p, k in zip(payload, kind) if k == 1]
         e = e[np.lexsort((e["k"], e["n"], e["g"]))]
+        if len(e):
+            e = e[np.r_[True, (e["g"][1:] != e["g"][:-1]) | (e["k"][1:] != e["k"][:-1])]]
         at, ln = _run_lengths(e["g"])
-        many = np.repeat(ln >= HOT, ln)
+        many = np.repeat(ln >= top, ln)
         if many.any():
             hot.append(e[many].tobytes())
         out = [(0, 1, h) for h in hot]
         found = []
-        for size in np.unique(ln[(ln > 1) & (ln < HOT)]):
+        for size in np.unique(ln[(ln > 1) & (ln < top)]):
             i, j = np.triu_indices(size, 1)
             starts = at[ln == size]
             for lo in range(0, len(starts), max(1, (1 << 19) // len(i))):
@@ -273,7 +276,54 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num:
             .where(F.col("both") * (num + den) >= F.col("all") * num).select("a", "b"))
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, numerator: int = 8, denominator: int = 10) -> DataFrame:
+def _key_fn(k: int):
+    def run(batches):
+        for batch in batches:
+            for a, b, data, offsets in X.text_slices(batch):
+                sets = list(shingles(_lower(data), offsets, k))
+                key = [np.uint64(xxhash.xxh64_intdigest(g.tobytes())).astype(np.int64) if len(g) else None for g in sets]
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(key, pa.int64())], [*part.schema.names, "_key"])
+    return run
+
+
+def one_of_each(docs: DataFrame, k: int = 5, numerator: int = 8, denominator: int = 10, hot: int = HOT) -> DataFrame:
+    """The rows of ``docs``, with all their columns, of which one in each near-duplicate
+    component stays: the one with the lowest doc_id (of equal ids, one). Documents without
+    n-grams all stay. Rows that share an id with others, and those without one, are
+    looked at by id and n-gram set; the rest, by id alone."""
+    named = checkpoint(_named(docs, k, numerator, denominator, hot))
+    drop = named.where((F.col("n") > 0) & ~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    again = checkpoint(named.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").select("doc_id"))
+    go = checkpoint(drop.select("doc_id").union(again).distinct())
+    out = _against(docs, go, ["doc_id"], "left_anti")
+    if again.isEmpty():
+        return out
+    some = _against(docs, again, ["doc_id"], "left_semi")
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    keyed = some.mapInArrow(_key_fn(k), f"{types}, _key BIGINT")
+    gone = drop.select("doc_id", F.col("key").alias("_key")).distinct()
+    # several sets of one id can lie in its own component: the lowest stays
+    own = (named.where("n > 0").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "component")
+           .agg(F.min("key").alias("least"), F.collect_set("key").alias("all")))
+    more = own.select("doc_id", F.explode("all").alias("_key"), "least").where("_key <> least").select("doc_id", "_key")
+    kept = _against(keyed, gone.union(more), ["doc_id", "_key"], "left_anti")
+    full = kept.where("_key IS NOT NULL").dropDuplicates(["doc_id", "_key"])
+    return out.unionAll(full.drop("_key")).unionAll(kept.where("_key IS NULL").drop("_key"))
+
+
+def _against(rows: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Semi or anti join by null-safe keys, broadcast if their counted number is small."""
+    hint = "broadcast" if keys.count() <= BROADCAST_IDS else "shuffle_hash"
+    other = keys.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(on)]).hint(hint)
+    cond = None
+    for i, c in enumerate(on):
+        eq = F.col(c).eqNullSafe(F.col(f"_k{i}"))
+        cond = eq if cond is None else cond & eq
+    return rows.join(other, cond, how)
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, numerator: int = 8, denominator: int = 10, hot: int = HOT) -> DataFrame:
     """Near-duplicate components of ``docs(doc_id, text, ...)`` by word n-gram Jaccard.
 
     Returns (doc_id, n_shingles, component_id): the size of the n-gram set and the
@@ -282,48 +332,57 @@ def jaccard_components(docs: DataFrame, k: int = 5, numerator: int = 8, denomina
     Repeated rows give repeated result rows; a null doc_id is kept, and is a
     component's id only if no member has one. Other columns are ignored.
     """
+    return _named(docs, k, numerator, denominator, hot).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+
+
+def _named(docs: DataFrame, k: int, numerator: int, denominator: int, top: int) -> DataFrame:
+    """(doc_id, n, key, component, component_id) of every document."""
     spark, num, den = docs.sparkSession, numerator, denominator
     rows = written(matrix_rows(docs, k, num, den), "rows")
     some = rows.where("n > 0")
     classes = written(some.groupBy("key").agg(
-        F.min("doc_id").alias("rep"), F.first("n").alias("n"), *[F.first(s).alias(s) for s in _SK], F.first("grams").alias("grams")), "classes")
-    total = classes.agg(F.sum(F.length("grams"))).first()[0] or 0
+        F.min("doc_id").alias("rep"), F.first("n").alias("n"), *[F.first(s).alias(s) for s in _SK]), "classes")
+    total = some.agg(F.sum(F.length("grams"))).first()[0] or 0
     blocks = max(4 * partitions(spark), total // 8 * ENTRY.itemsize // BLOCK_BYTES)
     # steps 3 and 4
-    dealt = classes.select("key", "n", "grams").mapInArrow(_entries_fn(blocks), "bucket INT, kind INT, payload BINARY")
+    dealt = some.select("key", "n", "grams").mapInArrow(_entries_fn(blocks, top), "bucket INT, kind INT, payload BINARY")
     product = written(dealt.groupBy("bucket").applyInArrow(
-        _product_fn(num, den, blocks), "bucket INT, kind INT, payload BINARY"), "product")
-    hot = checkpoint(product.where("kind = 1").mapInArrow(_unpack_fn, "g BIGINT, key BIGINT, n INT, r INT"))
+        _product_fn(num, den, blocks, top), "bucket INT, kind INT, payload BINARY"), "product")
+    hot = checkpoint(product.where("kind = 1").mapInArrow(_unpack_fn, "g BIGINT, key BIGINT, n INT, r INT")
+                     .dropDuplicates(["g", "key"]))
     prefix = F.col("n") - F.ceil(F.col("n") * num / den) + 1
-    need = prefix + F.floor(F.col("n") / 40)
-    length = F.least("n", need + F.floor(need / 4) + 2)
+    need = prefix + F.floor(F.col("n") / 64)
+    length = F.least("n", need + F.floor(need / 8) + 2)
     # a row that emits too few cold n-grams depends on hot ones
-    dependent = checkpoint(hot.groupBy("key", "n").agg(F.count("*").alias("h"))
-                           .where(length - F.col("h") < need).select("key"))
+    dependent = checkpoint(hot.groupBy("key", "n").agg(F.count("*").alias("h")).where(length - F.col("h") < need)
+                           .select("key", (length - F.col("h")).alias("cold")))
     dep = dependent.select(F.pmod("key", F.lit(blocks)).cast("int").alias("bucket"), "key")
     pairs = (product.where("kind = 0").select("bucket", "payload").groupBy("bucket")
              .cogroup(dep.groupBy("bucket")).applyInArrow(_accumulate_fn, "a BIGINT, b BIGINT"))
     # representatives of hot n-grams, per size band
     # a little wider than the ratio of linked sizes, so that they lie at most one band apart
     band = F.floor(F.log(F.col("n")) / float(np.log(den / num) * 1.000001))
-    reach = (hot.where(F.col("r") < prefix).join(dependent.withColumn("dep", F.lit(True)), "key", "left")
-             .select("g", "key", "n", band.cast("int").alias("band"), F.coalesce("dep", F.lit(False)).alias("dep")))
-    reach = checkpoint(reach)
-    lead = reach.where("dep").groupBy("g", "band").agg(F.min("key").alias("lead"))
-    near = lead.select("g", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), "lead")
-    star = (reach.join(near, ["g", "band"]).where("key <> lead")
-            .select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b")))
+    reach = checkpoint(hot.where(F.col("r") < prefix).join(dependent, "key", "left")
+                       .select("g", "key", band.cast("int").alias("band"), "cold"))
+    # the row with the fewest n-grams of its own is nearest to what the others are copies of
+    lead = (reach.where("cold IS NOT NULL").groupBy("g", "band")
+            .agg(F.min(F.struct("cold", "key")).alias("lead")).select("g", "band", F.col("lead.key").alias("lead")))
+    near = lead.select("g", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "lead")
+    meets = checkpoint(reach.join(near, ["g", "band"])
+                       .select("lead", "key", "band", F.col("cold").isNotNull().alias("dep")).distinct())
+    star = meets.where("key <> lead").select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b"))
     links = checkpoint(verified(pairs.union(star), classes, docs, k, num, den))
     found = checkpoint(components(links))
-    # what still lies in different components, through hot n-grams
-    at = (reach.join(found.withColumnRenamed("node", "key"), "key", "left")
-          .select("g", "key", "band", "dep", F.coalesce("root", "key").alias("root")))
-    split = at.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("g")
-    at = at.join(split, "g", "left_semi").join(classes.select("key", "n", *_SK), "key")
-    x = at.where("dep").select("g", "band", *[F.col(c).alias(f"{c}a") for c in ("key", "root", "n", *_SK)])
-    y = at.select("g", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"),
+    # rows that share a hot n-gram share the representative that one of them gave it; what still
+    # lies in different components is compared among those
+    at = (meets.join(found.withColumnRenamed("node", "key"), "key", "left")
+          .select("lead", "key", "band", "dep", F.coalesce("root", "key").alias("root")))
+    split = at.groupBy("lead").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("lead")
+    at = at.join(split, "lead", "left_semi").join(classes.select("key", "n", *_SK), "key")
+    x = at.where("dep").select("lead", "band", *[F.col(c).alias(f"{c}a") for c in ("key", "root", "n", *_SK)])
+    y = at.select("lead", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"),
                   *[F.col(c).alias(f"{c}b") for c in ("key", "root", "n", *_SK)])
-    rest = checkpoint(x.join(y, ["g", "band"]).where((F.col("roota") != F.col("rootb")) & _may_link(num, den))
+    rest = checkpoint(x.join(y, ["lead", "band"]).where((F.col("roota") != F.col("rootb")) & _may_link(num, den))
                       .select(F.least("keya", "keyb").alias("a"), F.greatest("keya", "keyb").alias("b")).distinct())
     if not rest.isEmpty():
         links = checkpoint(links.union(verified(rest, classes, docs, k, num, den)))
@@ -332,11 +391,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, numerator: int = 8, denomina
 
 
 def _labelled(rows: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
     member = classes.select("key", "rep").join(found.withColumnRenamed("node", "key"), "key", "left")
     member = checkpoint(member.select("key", "rep", F.coalesce("root", "key").alias("root")))
     least = member.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = member.join(least, "root").select("key", "component_id")
+    named = member.join(least, "root").select("key", F.col("root").alias("component"), "component_id")
     return (rows.select("doc_id", "n", "key").join(named, "key", "left")
-            .select("doc_id", F.col("n").cast("long").alias("n_shingles"),
+            .select("doc_id", "n", "key", "component",
                     F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
