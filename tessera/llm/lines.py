@@ -96,16 +96,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, texts: int =
     return [(r["text"], int(r["label"])) for r in sorted(found.collect(), key=lambda r: r["doc_id"])]
 
 
-def fitted(sample: list[tuple[str, int]], neighbours: bool, per_line=None) -> crf.Model:
-    """A model of the sample's lines. A line has its text's label, or what
-    ``per_line(lines, label)`` makes of it; both labels weigh alike."""
+def fitted(sample: list[tuple[str, int]], neighbours: bool, balanced: bool = True) -> crf.Model:
+    """A model of the sample's lines. A line has its text's label; ``balanced``, both labels
+    weigh alike, else lines without a mark of either go with the commoner one."""
     data, offsets = X.buffers(pa.array([t for t, _ in sample], pa.string()))
     lines = Lines(data, offsets)
     label = np.array([y for _, y in sample], np.int64)[lines.row] if sample else np.zeros(0, np.int64)
-    if per_line is not None:
-        label = per_line(lines, label)
     weight = np.ones(len(label))
-    for y in (0, 1):
+    for y in (0, 1) if balanced else ():
         if (label == y).any():
             weight[label == y] = len(label) / 2 / (label == y).sum()
     return crf.fit(lines.features(neighbours), label, lines.lengths, weight)

@@ -84,11 +84,11 @@ def _score_fn(model: crf.Model):
 
 
 def line_model(docs: DataFrame, labels: DataFrame) -> crf.Model:
-    """Content (1) or boilerplate (0) lines: those of low-quality texts and those that
-    repeat an earlier line of their text are boilerplate. Fitted on a bounded sample
-    (``lines.SAMPLE_TEXTS``); without labels every line is content."""
-    sample = labelled_sample(docs, labels, "quality")
-    return fitted(sample, False, lambda lines, label: label * ~lines.repeated())
+    """Content (1) or boilerplate (0) lines, those of texts with ``labels.quality`` 1 or 0.
+    Fitted on a bounded sample (``lines.SAMPLE_TEXTS``); without labels every line is
+    content. A line's features are its own (its repetition in the text among them);
+    the lines around it count by the labels' transitions."""
+    return fitted(labelled_sample(docs, labels, "quality"), False, balanced=False)
 
 
 def quality_rules(docs: DataFrame, model: crf.Model) -> DataFrame:
