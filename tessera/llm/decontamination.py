@@ -101,17 +101,15 @@ class Postings:
 class Index:
     """BM25 index of items with normalised impacts."""
 
-    def __init__(self, items: list[Item], df: dict[int, int], total: int, mean_length: float):
+    def __init__(self, items: list[Item], df: dict[int, int], total: int, mean_length: float, longest: int):
         self.items = items
         lists: dict[int, list[tuple[int, float]]] = {}
         essential: list[tuple[int, int, float]] = []
-        longest = 0
         for i, item in enumerate(items):
             words, tf = np.unique(np.r_[item.question, item.answer], return_counts=True)
             n = int(tf.sum())
             if not n:
                 continue
-            longest = max(longest, n)
             d = np.array([df[int(w)] for w in words], float)
             impact = np.log1p((total - d + 0.5) / (d + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n / mean_length))
             impact /= impact.sum()
@@ -254,7 +252,7 @@ def indexes(items: DataFrame) -> list[Index]:
         return []
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
     words = items.select("text").mapInArrow(_item_word_rows, "word BIGINT, length BIGINT")
-    mean = (words.agg(F.sum("length")).first()[0] or 0) / total
+    length, longest = words.agg(F.sum("length"), F.max("length")).first()
     counts = words.where("length = 0").groupBy("word").count()
     out = []
     for b in range(blocks):
@@ -263,7 +261,7 @@ def indexes(items: DataFrame) -> list[Index]:
         used = mine.select("text").mapInArrow(_item_word_rows, "word BIGINT, length BIGINT").select("word").distinct()
         df = {int(np.int64(r["word"]).astype(np.uint64)): r["count"] for r in counts.join(used, "word").collect()}
         parts = [Item(r["item_id"], *map(hashes_of, parts_of(r["text"]))) for r in rows]
-        out.append(Index(parts, df, total, max(mean, 1.0)))
+        out.append(Index(parts, df, total, max((length or 0) / total, 1.0), longest or 0))
     return out
 
 
