@@ -24,8 +24,6 @@ from tessera.functions.vectors import distance
 
 # at most this many k*d terms go into one unrolled least(...) expression
 UNROLL_TERMS = 48
-# centers are held on the driver as literals; beyond this a run is refused
-MAX_CENTERS = 100_000
 
 CenterList = list[tuple[int, list[float]]]
 
@@ -33,13 +31,10 @@ CenterList = list[tuple[int, list[float]]]
 def centers_list(centers: DataFrame | Sequence) -> CenterList:
     """Normalize centers to ``[(center_id, coords)]`` sorted by id.
 
-    A DataFrame must have ``center_id`` and ``coords``; its row count is
-    checked before it is collected (k rows).
+    A DataFrame must have ``center_id`` and ``coords``. Centers are the
+    method's ``k`` rows, which the driver holds whatever their source.
     """
     if isinstance(centers, DataFrame):
-        n = centers.count()
-        if n > MAX_CENTERS:
-            raise ValueError(f"{n} centers exceed the literal limit {MAX_CENTERS}")
         rows = centers.select("center_id", "coords").collect()
         out = [(int(r["center_id"]), [float(v) for v in r["coords"]]) for r in rows]
     else:
@@ -65,8 +60,8 @@ def _nearest_udf(centers: CenterList):
         if len(coords) == 0:
             return pd.DataFrame({"distance": np.empty(0), "center_id": np.empty(0, dtype=np.int32)})
         X = np.stack(coords.to_numpy()).astype(np.float64, copy=False)
-        best = np.full(len(X), np.inf)
-        best_id = np.full(len(X), -1, dtype=np.int32)
+        old = np.seterr(over="ignore", invalid="ignore")
+        best, best_id = None, None
         for j in range(len(C)):
             acc = X[:, 0] - C[j, 0]
             acc = acc * acc
@@ -74,9 +69,14 @@ def _nearest_udf(centers: CenterList):
                 t = X[:, i] - C[j, i]
                 acc += t * t
             dist = np.sqrt(acc)
-            closer = dist < best          # strict: the lower id keeps a tie
+            if best is None:
+                best, best_id = dist, np.full(len(X), ids[j], dtype=np.int32)
+                continue
+            # strict, so the lower id keeps a tie; NaN is above every number
+            closer = (dist < best) | (np.isnan(best) & ~np.isnan(dist))
             best = np.where(closer, dist, best)
             best_id = np.where(closer, ids[j], best_id)
+        np.seterr(**old)
         return pd.DataFrame({"distance": best, "center_id": best_id})
 
     return nearest_center
@@ -85,15 +85,21 @@ def _nearest_udf(centers: CenterList):
 def nearest(x: Column | str, centers: CenterList) -> Column:
     """``struct(distance, center_id)`` of the nearest center (E2 body).
 
-    Ties go to the lowest center id, as a strict ``<`` scan in id order does.
+    Ties go to the lowest center id, whatever the order of ``centers``. A
+    distance that overflows is infinite, one with a NaN coordinate NaN, and
+    NaN is above infinity; both forms below agree on every row.
     """
+    centers = sorted(centers, key=lambda t: t[0])
     x = F.col(x) if isinstance(x, str) else x
     d = len(centers[0][1])
     if len(centers) * d <= UNROLL_TERMS:
         cands = [F.struct(distance(x, c).alias("distance"), F.lit(j).cast("int").alias("center_id"))
                  for j, c in centers]
         return cands[0] if len(cands) == 1 else F.least(*cands)
-    return _nearest_udf(centers)(x)
+    m = _nearest_udf(centers)(x)
+    # pandas hands NaN back as null
+    return F.struct(F.coalesce(m["distance"], F.lit(float("nan"))).alias("distance"),
+                    m["center_id"].alias("center_id"))
 
 
 def assign_nearest(points: DataFrame, centers: DataFrame | Sequence,

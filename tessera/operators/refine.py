@@ -19,14 +19,9 @@ at most ``epsilon`` or ``max_passes`` is reached.
 The points are assigned to the iteration's start centers inside each pass
 (a narrow projection), so nothing is re-materialized per iteration; a
 merged point table (distinct coordinates with weights, W2) keeps the passes
-small when the data repeat.
-
-Small clusters finish locally: the first pass counts every cluster's rows;
-a cluster whose rows fit ``LOCAL_BYTES`` (a proven bound on one task's
-memory) runs its remaining passes inside one ``applyInPandas`` task, the
-same arithmetic in numpy, instead of one Spark job per pass. Larger
-clusters (a hot one may hold any share of the data) keep the distributed
-passes.
+small when the data repeat. The current estimates enter a pass as a k-row
+broadcast table keyed by center id, so the plan has one size whatever k and
+the ids are, and settled clusters are filtered out by the same join.
 """
 
 from __future__ import annotations
@@ -34,24 +29,14 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.assign import CenterList, nearest
-from tessera.session import persist
 
 # fixed value: the median loop stops when a step is at most 0.01, with no
 # cap on the number of passes
 EPSILON = 0.01
-# a cluster whose rows take at most this many bytes (d coordinates and a
-# weight, 8 bytes each) finishes its passes inside one task
-LOCAL_BYTES = 256 * 1024 ** 2
-
-
-def local_row_limit(d: int) -> int:
-    return LOCAL_BYTES // (8 * (d + 1))
-
 
 def merge_duplicates(points: DataFrame) -> DataFrame:
     """Distinct coordinates with ``n`` (row count) and summed ``weight``.
@@ -60,22 +45,18 @@ def merge_duplicates(points: DataFrame) -> DataFrame:
                                         F.min("point_id").alias("point_id"))
 
 
-def _center_vec(xs: dict[int, list[float]], ids: list[int]):
-    """Per-row current estimate of the row's cluster, from a literal array."""
-    top = max(ids) + 1
-    d = len(next(iter(xs.values())))
-    rows = [F.array(*[F.lit(float(v)) for v in xs.get(j, [0.0] * d)]) for j in range(top)]
-    return F.array(*rows)[F.col("center_id")]
+def estimates(spark, xs: dict[int, list[float]]) -> DataFrame:
+    """The current estimates as rows ``center_id, _x``."""
+    return spark.createDataFrame([(int(j), [float(v) for v in x]) for j, x in xs.items()],
+                                 "center_id INT, _x ARRAY<DOUBLE>")
 
 
 def pass_stats(assigned: DataFrame, xs: dict[int, list[float]], d: int) -> DataFrame:
     """One Weiszfeld pass aggregate: ``center_id, r_0.., den, w_at, n``
     for the clusters in ``xs`` (W3-W5)."""
-    ids = sorted(xs)
-    act = assigned.where(F.col("center_id").isin(ids))
-    x = _center_vec(xs, ids)
     mult = F.col("n") if "n" in assigned.columns else F.lit(1)
-    rows = act.select("center_id", "coords", "weight", mult.alias("_mult"), x.alias("_x"))
+    rows = (assigned.select("center_id", "coords", "weight", mult.alias("_mult"))
+            .join(F.broadcast(estimates(assigned.sparkSession, xs)), "center_id"))
     sq = None
     for i in range(d):
         diff = F.col("coords")[i] - F.col("_x")[i]
@@ -115,126 +96,35 @@ class MedianResult:
     start_cost: float = 0.0     # clustering cost of the start centers (E1)
 
 
-def _local_passes(d: int, starts: dict[int, list[float]], done: dict[int, int],
-                  epsilon: float, max_passes: int | None):
-    """applyInPandas body: the remaining passes of one small cluster."""
-    import pandas as pd
-    xs = [f"x{i}" for i in range(d)]
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        j = int(pdf["center_id"].iloc[0])
-        X = pdf[xs].to_numpy(np.float64)
-        w = pdf["weight"].to_numpy(np.float64)
-        mult = pdf["_mult"].to_numpy(np.float64)
-        x = list(starts[j])
-        passes = done[j]
-        cost0 = None
-        while True:
-            diff = X - np.array(x)
-            sq = np.zeros(len(X))
-            for i in range(d):
-                sq += diff[:, i] * diff[:, i]
-            dist = np.sqrt(sq)
-            if cost0 is None:
-                cost0 = float(mult @ dist)      # cost of the start (E1 share)
-            at = np.all(diff == 0, axis=1)
-            away = ~at & (dist > 0)
-            inv = np.where(away, w / np.where(away, dist, 1.0), 0.0)
-            R = [float((inv * diff[:, i]).sum()) for i in range(d)]
-            new, _ = weiszfeld_update(x, R, float(inv.sum()), float(w[at].sum()))
-            step = math.sqrt(sum((a - b) ** 2 for a, b in zip(new, x)))
-            passes += 1
-            x = new
-            if step <= epsilon or (max_passes is not None and passes >= max_passes):
-                break
-        return pd.DataFrame({"center_id": [j], "passes": [passes], "cost0": [cost0],
-                             **{f"c{i}": [x[i]] for i in range(d)}})
-
-    return fn
-
-
-def _run_local(assigned: DataFrame, ids: list[int], xs: dict, done: dict, d: int,
-               epsilon: float, max_passes: int | None):
-    """Remaining passes of the clusters ``ids``, one task each; k rows back."""
-    mult = F.col("n") if "n" in assigned.columns else F.lit(1)
-    flat = (assigned.where(F.col("center_id").isin(ids))
-            .select("center_id", "weight", mult.cast("double").alias("_mult"),
-                    *[F.col("coords")[i].alias(f"x{i}") for i in range(d)]))
-    schema = ("center_id INT, passes INT, cost0 DOUBLE, "
-              + ", ".join(f"c{i} DOUBLE" for i in range(d)))
-    fn = _local_passes(d, {j: xs[j] for j in ids}, {j: done[j] for j in ids}, epsilon, max_passes)
-    return flat.groupBy("center_id").applyInPandas(fn, schema).collect()
-
-
 def geometric_medians(assigned: DataFrame, start: dict[int, list[float]], d: int,
-                      epsilon: float = EPSILON, max_passes: int | None = None,
-                      local_rows: int | None = None, n_rows: int | None = None) -> MedianResult:
+                      epsilon: float = EPSILON, max_passes: int | None = None) -> MedianResult:
     """Weiszfeld/Vardi-Zhang iteration for every cluster at once.
 
-    ``assigned`` has ``center_id, coords, weight``. Clusters with no points
-    keep their start (D8). After the first (distributed) pass, clusters of
-    at most ``local_rows`` rows (default: ``LOCAL_BYTES`` worth) finish in
-    one task each.
+    ``assigned`` has ``center_id, coords, weight``. One job a pass over the
+    rows of the clusters still moving. Clusters with no points keep their
+    start (D8).
     """
-    if local_rows is None:
-        local_rows = local_row_limit(d)
     xs = {j: list(map(float, v)) for j, v in start.items()}
-    if n_rows is not None and n_rows <= local_rows:
-        # every cluster fits one task: all passes locally, in one job
-        passes = {j: 0 for j in xs}
-        cost = 0.0
-        for r in _run_local(assigned, list(xs), xs, passes, d, epsilon, max_passes):
-            j = int(r["center_id"])
-            xs[j] = [float(r[f"c{i}"]) for i in range(d)]
-            passes[j] = int(r["passes"])
-            cost += float(r["cost0"])
-        return MedianResult(xs, passes, 1, cost)
     active = dict(xs)
     passes = {j: 0 for j in xs}
     jobs = 0
-    first = True
-    cached = None
     start_cost = 0.0
     while active:
-        rows = pass_stats(assigned, active, d).collect()
-        jobs += 1
-        seen, sizes = set(), {}
+        rows = pass_stats(assigned, active, d).collect()      # at most k rows
+        moving = {}
         for r in rows:
             j = int(r["center_id"])
-            seen.add(j)
-            sizes[j] = int(r["n"])
-            if first:
+            if not jobs:
                 start_cost += float(r["cost"] or 0.0)
             R = [float(r[f"r_{i}"] or 0.0) for i in range(d)]
             new, _ = weiszfeld_update(active[j], R, float(r["den"] or 0.0), float(r["w_at"] or 0.0))
             step = math.sqrt(sum((a - b) ** 2 for a, b in zip(new, active[j])))
             passes[j] += 1
             xs[j] = new
-            if step <= epsilon or (max_passes is not None and passes[j] >= max_passes):
-                del active[j]
-            else:
-                active[j] = new
-        if first:
-            for j in list(active):
-                if j not in seen:      # empty cluster: keep its center
-                    del active[j]
-            first = False
-            small = [j for j in active if sizes.get(j, 0) <= local_rows]
-            if small:
-                for r in _run_local(assigned, small, active, passes, d, epsilon, max_passes):
-                    j = int(r["center_id"])
-                    xs[j] = [float(r[f"c{i}"]) for i in range(d)]
-                    passes[j] = int(r["passes"])
-                    del active[j]
-                jobs += 1
-            if active:
-                # large clusters keep moving: read only their rows, with the
-                # assignment computed once instead of in every pass
-                cached = persist(assigned.where(F.col("center_id").isin(list(active)))
-                                 .select("center_id", "coords", "weight"))
-                assigned = cached
-    if cached is not None:
-        cached.unpersist()
+            if step > epsilon and (max_passes is None or passes[j] < max_passes):
+                moving[j] = new
+        active = moving
+        jobs += 1
     return MedianResult(xs, passes, jobs, start_cost)
 
 
@@ -247,11 +137,8 @@ def assign_to(points: DataFrame, centers: CenterList) -> DataFrame:
 
 
 def refine_once(points: DataFrame, centers: CenterList, d: int, epsilon: float = EPSILON,
-                max_passes: int | None = None, local_rows: int | None = None,
-                n_rows: int | None = None) -> tuple[CenterList, MedianResult]:
-    """Assign, then move every center to its cluster's geometric median.
-    ``n_rows`` bounds the rows of ``points`` when known (no job counts it)."""
+                max_passes: int | None = None) -> tuple[CenterList, MedianResult]:
+    """Assign, then move every center to its cluster's geometric median."""
     assigned = assign_to(points, centers)
-    res = geometric_medians(assigned, {j: c for j, c in centers}, d, epsilon, max_passes,
-                            local_rows, n_rows)
+    res = geometric_medians(assigned, {j: c for j, c in centers}, d, epsilon, max_passes)
     return [(j, res.centers[j]) for j, _ in centers], res

@@ -721,8 +721,8 @@ def q_weiszfeld_step(spark, sf_dir):
     assigned = W.assign_to(pts, ctr)
     xs = {j: [v + _OFF for v in c] for j, c in ctr}
     st = W.pass_stats(assigned, xs, 2)
-    xcol = W._center_vec(xs, list(xs))
-    return st.select("center_id", *[rnd(xcol[i] + F.col(f"r_{i}") / F.col("den"), 6).alias(f"t{i}")
+    st = st.join(F.broadcast(W.estimates(spark, xs)), "center_id")
+    return st.select("center_id", *[rnd(F.col("_x")[i] + F.col(f"r_{i}") / F.col("den"), 6).alias(f"t{i}")
                                     for i in range(2)])
 
 

@@ -96,12 +96,35 @@ def test_merged_points_give_the_same_medians(spark):
         assert x == pytest.approx(y, abs=1e-9)
 
 
-def test_distributed_passes_equal_local_passes(spark):
-    pts = PART.load(spark, SF01)
-    ctr = first_k_centers(pts, 5)
-    a, ra = W.refine_once(pts, ctr, 2)
-    b, rb = W.refine_once(pts, ctr, 2, local_rows=0)
-    assert ra.passes == rb.passes
-    assert rb.jobs > ra.jobs
-    for (_, x), (_, y) in zip(a, b):
-        assert x == pytest.approx(y, abs=1e-7)
+def test_sparse_and_negative_center_ids(spark):
+    pts = make_points(spark, [[0, 0], [1, 0], [0, 1], [50, 50], [51, 50], [50, 51.5]])
+    near = [(0, [0.2, 0.2]), (1, [50.2, 50.2])]
+    want, _ = W.refine_once(pts, near, 2, epsilon=1e-9)
+    for ids in ((0, 20000), (-1, 2 ** 31 - 1), (7, 3)):
+        got, res = W.refine_once(pts, [(ids[0], near[0][1]), (ids[1], near[1][1])], 2, epsilon=1e-9)
+        assert [j for j, _ in got] == list(ids) and set(res.passes) == set(ids)
+        for (_, x), (_, y) in zip(got, want):
+            assert x == pytest.approx(y, abs=1e-9)
+
+
+def test_nearest_forms_agree_on_odd_rows(spark):
+    """Ties, overflow, infinity and NaN: the expression and the batched form
+    give the same rows, in whatever order the centers come."""
+    nan, inf = float("nan"), float("inf")
+    pts = make_points(spark, [[0, 0], [1e200, 0], [-1e200, 1e200], [inf, 0], [nan, 0], [1, 1], [0.5, 0]])
+    few = [(4, [1.0, 0.0]), (1, [0.0, 0.0]), (2, [0.0, 0.0]), (0, [1e200, 5.0]), (9, [nan, 0.0])]
+    many = few + [(100 + i, [1e150, 1e150 + i]) for i in range(30)]      # beyond UNROLL_TERMS
+    assert len(few) * 2 <= A.UNROLL_TERMS < len(many) * 2
+
+    def rows(centers):
+        return {r["point_id"]: (r["center_id"], repr(r["distance"])) for r in A.assign_nearest(pts, centers).collect()}
+    old = A.UNROLL_TERMS
+    try:
+        for centers in (few, many, few[::-1], many[::-1]):
+            A.UNROLL_TERMS = 0
+            batched = rows(centers)
+            A.UNROLL_TERMS = 10 ** 6
+            assert rows(centers) == batched
+    finally:
+        A.UNROLL_TERMS = old
+    assert rows(few)[0][0] == 1 and rows(few)[6][0] == 1

@@ -52,21 +52,6 @@ def test_one_center_and_one_dimension(spark):
     assert abs(below - above) <= 2
 
 
-def test_distributed_paths_give_the_same_run(spark):
-    from tessera.operators import refine as W
-    from tessera.operators import search as SR
-    pts = PART.load(spark, SF001)
-    a = PL.cluster(pts, 4, 20, 1).center_list
-    old = (SR.LOCAL_SAMPLE, W.LOCAL_BYTES)
-    SR.LOCAL_SAMPLE, W.LOCAL_BYTES = 0, 0
-    try:
-        b = PL.cluster(pts, 4, 20, 1).center_list
-    finally:
-        SR.LOCAL_SAMPLE, W.LOCAL_BYTES = old
-    for (_, x), (_, y) in zip(a, b):
-        assert x == pytest.approx(y, abs=1e-6)
-
-
 def test_no_refinement_returns_medoids(spark):
     pts = PART.load(spark, SF001)
     res = PL.cluster(pts, 3, 20, 0)
