@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.tables import type_of, written
+from tessera.llm.tables import counted, type_of, written
 
 #: weight of content in the importance, the least importance that stays, pages of a host
 #: that allow a judgement, and the share of them that a judged path must be on
@@ -160,56 +160,64 @@ class Page:
 
 
 BLOCK_TYPE = pa.list_(pa.struct([("path", pa.int64()), ("text", pa.string())]))
-NODE_TYPE = pa.list_(pa.struct([("kind", pa.int32()), ("path", pa.int64()), ("value", pa.int64()), ("chars", pa.int64())]))
+STYLE_TYPE = pa.list_(pa.struct([("path", pa.int64()), ("parent", pa.int64()), ("value", pa.int64())]))
 
 
 def _parse_fn(batches):
     for batch in batches:
         for lo in range(0, max(batch.num_rows, 1), 256):
             part = batch.slice(lo, 256)
-            hosts, marks, blocks, nodes = [], [], [], []
+            hosts, marks, blocks, styles = [], [], [], []
             for url, source in zip(part.column("url").to_pylist(), part.column("html").to_pylist()):
                 page = Page(source or "")
-                own = [(_key(p), t) for p, t in page.blocks]
-                parent = {_key(p): _key(p.rpartition("/")[0]) for p, _ in page.blocks}
-                found = {(0, p, _key(t)): len(t) for p, t in own}
-                found |= {(1, _key(p), _key(s)): 0 for p, s in page.styles}
-                found |= {(2, p, q): 0 for p, q in parent.items()}
                 hosts.append(_host(url))
                 marks.append(_key("\n".join(t for _, t in page.blocks)))
-                blocks.append([{"path": p, "text": t} for p, t in own])
-                nodes.append([{"kind": k, "path": p, "value": v, "chars": c} for (k, p, v), c in found.items()])
+                blocks.append([{"path": _key(p), "text": t} for p, t in page.blocks])
+                styles.append([{"path": _key(p), "parent": _key(p.rpartition("/")[0]), "value": _key(s)}
+                               for p, s in dict.fromkeys(page.styles)])
             yield pa.RecordBatch.from_arrays(
                 [part.column("page_id"), part.column("url"), pa.array(hosts, pa.string()), pa.array(marks, pa.int64()),
-                 pa.array(blocks, BLOCK_TYPE), pa.array(nodes, NODE_TYPE)], ["page_id", "url", "host", "mark", "blocks", "nodes"])
+                 pa.array(blocks, BLOCK_TYPE), pa.array(styles, STYLE_TYPE)], ["page_id", "url", "host", "mark", "blocks", "styles"])
 
 
 def parsed(pages: DataFrame) -> DataFrame:
     schema = (f"page_id {type_of(pages, 'page_id')}, url STRING, host STRING, mark BIGINT, "
               "blocks ARRAY<STRUCT<path: BIGINT, text: STRING>>, "
-              "nodes ARRAY<STRUCT<kind: INT, path: BIGINT, value: BIGINT, chars: BIGINT>>")
+              "styles ARRAY<STRUCT<path: BIGINT, parent: BIGINT, value: BIGINT>>")
     return pages.select("page_id", "url", "html").mapInArrow(_parse_fn, schema)
 
 
+def _spread(n, m):
+    """The mean share of log(m) that the logarithm of a value's pages takes: 0 if every value is
+    on a page of its own, 1 if one value is on all pages."""
+    return F.sum(n * F.log(n)) / F.sum(n) / F.log(F.max(m))
+
+
 def style_tree(rows: DataFrame) -> DataFrame:
-    """The merged trees of parsed pages: (host, path, importance, pages, chars, main) a path
-    with text. Pages of a host with equal text count once."""
-    one = rows.where("host IS NOT NULL").groupBy("host", "mark").agg(F.first("nodes").alias("nodes"))
-    total = one.groupBy("host").agg(F.count("*").alias("m")).where(F.col("m") >= LEAST_PAGES)
-    node = one.select("host", F.explode("nodes").alias("x")).select("host", "x.*")
-    value = node.groupBy("host", "kind", "path", "value").agg(F.count("*").alias("n"), F.max("chars").alias("chars"))
-    value = value.join(total, "host")
-    # content: 1 - the mean share of log(m) that a text's spread takes; presentation: entropy of the styles
-    content = (value.where("kind = 0").groupBy("host", "path").agg(
-        (1 - F.sum(F.col("n") * F.log(F.col("n"))) / F.sum(F.col("n")) / F.max(F.log("m"))).alias("content"),
-        F.sum("n").alias("n_texts"), F.sum("chars").alias("chars"), F.max("m").alias("m")))
-    style = (value.where("kind = 1").groupBy("host", "path").agg(
-        ((F.log(F.sum("n")) - F.sum(F.col("n") * F.log(F.col("n"))) / F.sum("n")) / F.max(F.log("m"))).alias("style"))
-        .withColumnRenamed("path", "parent"))
-    up = value.where("kind = 2").select("host", "path", F.col("value").alias("parent"), F.col("n").alias("pages"))
-    out = (content.join(up, ["host", "path"]).join(style, ["host", "parent"], "left")
+    """The merged trees of parsed pages: (host, path, importance, pages, m, chars, main) a path
+    with text, of ``m`` pages. Pages of a host with equal text count as one together."""
+    same = rows.where("host IS NOT NULL").groupBy("host", "mark").agg(F.count("*").alias("c"))
+    total = same.groupBy("host").agg(F.count("*").alias("m")).where(F.col("m") >= LEAST_PAGES)
+    at = F.xxhash64("host")
+    weight = F.coalesce(1.0 / F.col("c"), F.lit(1.0))
+    pages = (rows.where("host IS NOT NULL").join(counted(same.where("c > 1")), ["host", "mark"], "left")
+             .select(at.alias("h"), weight.alias("w"), "blocks", "styles"))
+    many = total.select(at.alias("h"), "host", "m")
+    # a text twice on a page counts once there
+    text = (pages.select("h", "w", F.explode(F.array_distinct(F.transform("blocks", lambda b: F.struct(
+        b["path"].alias("path"), F.xxhash64(b["text"]).alias("value"), F.length(b["text"]).alias("chars"))))).alias("x"))
+        .groupBy("h", "x.path", "x.value").agg(F.sum("w").alias("n"), F.max("x.chars").alias("chars")).join(many, "h"))
+    one = F.greatest("n", F.lit(1.0))
+    content = text.groupBy("host", "path").agg((1 - _spread(one, F.col("m"))).alias("content"),
+                                               F.sum("chars").alias("chars"), F.max("m").alias("m"))
+    style = (pages.select("h", "w", F.explode("styles").alias("x"))
+             .groupBy("h", "x.path", "x.parent", "x.value").agg(F.sum("w").alias("n")).join(many, "h"))
+    node = style.groupBy("host", "path", "parent").agg((1 - _spread(one, F.col("m"))).alias("style"), F.sum("n").alias("n"))
+    on = node.select("host", "path", "parent", F.col("n").alias("pages"))
+    out = (content.join(on, ["host", "path"])
+           .join(node.select("host", F.col("path").alias("parent"), "style"), ["host", "parent"], "left")
            .select("host", "path", "pages", "m", "chars",
-                   (CONTENT * F.col("content") + (1 - CONTENT) * F.least(F.coalesce("style", F.lit(0.0)), F.lit(1.0))).alias("importance")))
+                   (CONTENT * F.col("content") + (1 - CONTENT) * F.coalesce("style", F.lit(0.0))).alias("importance")))
     main = out.groupBy("host").agg(F.max_by("path", F.struct("chars", "path")).alias("main"))
     return out.join(main, "host").withColumn("main", F.col("main") == F.col("path"))
 
@@ -229,7 +237,7 @@ def extract(pages: DataFrame) -> DataFrame:
     is null or names no host is judged by its own branches only. One result row per
     input row, repeated rows and null ids included; other columns are ignored."""
     rows = written(parsed(pages), "parsed")
-    noise = unimportant(style_tree(rows))
+    noise = counted(unimportant(style_tree(rows)), values="noise")
     kept = F.when(F.col("noise").isNull(), F.col("blocks")).otherwise(
         F.filter("blocks", lambda b: ~F.array_contains(F.col("noise"), b["path"])))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")

@@ -17,10 +17,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     lost executor re-reads files instead of replaying the plan."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: so many counted rows, or array values in them, are broadcast
+BROADCAST_ROWS = 1_000_000
+
+
+def counted(df: DataFrame, values: str | None = None) -> DataFrame:
+    """``df``, checkpointed and counted, with a broadcast hint if its rows (with ``values``, the
+    values of that array column) are at most BROADCAST_ROWS; else a join shuffles it."""
+    df = checkpoint(df)
+    n = df.agg(F.sum(F.size(values) + 1) if values else F.count("*")).first()[0] or 0
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
