@@ -73,20 +73,21 @@ def main():
     sample, _ = timed("sample_part", lambda: (lambda s: (s[0], s[0].count()))(sample_part()))
     timed("search_part", lambda: SR.sample_medoids(sample, 5, 2))
 
-    # one distributed scoring pass over the sample, all slots (BASELINE: swap pass)
-    def swap_pass():
-        s = sample.select("point_id", "rank", "coords")
-        scored = SR.broadcast_points(s, 2)
-        med = SR.initial_global(s, 5)
-        M = SR._Lookup(scored).coords(med)
-        return SR.best_swaps(SR.swap_costs(s, scored, M), med, list(range(5)))
-    timed("swap_pass_part", swap_pass)
+    # one scoring round over the sample, all slots (BASELINE: swap pass)
+    med = SR.initial_global(sample, 5)
+    scored = SR.block_pairs(sample, 2)
+    timed("swap_pass_part", lambda: SR.best_swaps(scored, SR.medoid_coords(sample, med), med, list(range(5))))
+
+    # one scoring round with 40,000 points against as many candidates
+    big = (line.limit(40_000).withColumn("rank", SM.seeded_rank("point_id", 0)))
+    med = SR.initial_global(big, 5)
+    scored = SR.block_pairs(big, 2)
+    timed("swap_pass_40k", lambda: SR.best_swaps(scored, SR.medoid_coords(big, med), med, list(range(5))))
 
     # geometric median of one cluster holding all part points (BASELINE: median)
     one = part.select("coords", "weight", F.lit(0).alias("center_id"))
     start = {0: [float(v) for v in part.orderBy("point_id").first()["coords"]]}
-    timed("median_part_local", lambda: W.geometric_medians(one, start, 2))
-    timed("median_part_distributed", lambda: W.geometric_medians(one, start, 2, local_rows=0))
+    timed("median_part", lambda: W.geometric_medians(one, start, 2))
 
     # E1 cost and E2 assignment over all lineitem rows
     ctr = first_k_centers(part, 5)

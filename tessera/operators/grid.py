@@ -9,13 +9,15 @@ Spark plan: one aggregate for the bounds (G1); cell numbers are arithmetic
 on the coordinates (G4, no lookup table). The adaptive split runs one level
 per step over the points that are still unsettled: count per cell
 (partial aggregation, so a hot cell costs one row per task in the shuffle),
-keep the keys of the cells that split, and route the points by a semi/anti
-join against those keys (broadcast when their counted number is small, so
-the points are never shuffled). Most points settle at level 0, so later
-levels touch few rows.
-
-Cell labels: the uniform cell's row-major number (dimension 0 outermost),
-then one ``.child`` per split, ``child = sum(b_i * 2^(d-1-i))`` with
+then one left join against the keys of the cells that split routes every
+point; its rows are checkpointed once and read as the level's settled and
+unsettled points. The keys are broadcast when their counted bytes are few,
+so the points are not shuffled. Most points settle at level 0, so later
+levels touch few rows. The input is read twice: by the level-0 count and by
+the level-0 routing (three times with the bounds).
+
+Cell labels: the uniform cell's row-major number (dimension 0 outermost; the
+indices themselves, joined by ``-``, when the numbers exceed 63 bits), then one ``.child`` per split, ``child = sum(b_i * 2^(d-1-i))`` with
 ``b_i`` = 1 when the point lies in the upper half of dimension ``i``.
 """
 
@@ -27,11 +29,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import checkpoint, persist
+from tessera.session import checkpoint
 
 MAX_DEPTH = 60  # doubles separate after at most ~53 halvings
-# split-cell keys up to this count are broadcast to route the points
-BROADCAST_KEYS = 2_000_000
+# split-cell keys of at most this many bytes are broadcast to route the points
+BROADCAST_BYTES = 64 * 1024 ** 2
+# up to this many dimensions the level index is one expression a dimension
+UNROLL_DIMS = 8
 
 
 @dataclass
@@ -62,6 +66,11 @@ class GridSpec:
     def n_uniform(self) -> int:
         return math.prod(self.parts)
 
+    @property
+    def numbered(self) -> bool:
+        """Whether the row-major cell numbers fit 63 bits."""
+        return self.n_uniform < 2 ** 63
+
 
 def bounding_box(points: DataFrame, d: int) -> DataFrame:
     """One row: ``n`` and ``min_x{i}``, ``max_x{i}`` per dimension, in one job (G1)."""
@@ -115,13 +124,17 @@ def uniform_index(spec: GridSpec, x: Column | str = "coords") -> list[Column]:
 
 
 def uniform_grid_assign(points: DataFrame, spec: GridSpec) -> DataFrame:
-    """Add ``c`` (per-dimension indices), ``cell`` (row-major number) and ``u``
-    (position inside the cell, each coordinate in [0, 1]) (G4, G5)."""
+    """Add ``c`` (per-dimension indices), ``cell`` (row-major number, or the
+    joined indices beyond 63 bits) and ``u`` (position inside the cell, each
+    coordinate in [0, 1]) (G4, G5)."""
     idx = uniform_index(spec)
-    number = F.lit(0).cast("bigint")
-    for i, st in enumerate(spec.strides):
-        if spec.parts[i] > 1:
-            number = number + idx[i] * F.lit(st)
+    if spec.numbered:
+        number = F.lit(0).cast("bigint")
+        for i, st in enumerate(spec.strides):
+            if spec.parts[i] > 1:
+                number = number + idx[i] * F.lit(st)
+    else:
+        number = F.concat_ws("-", *[x.cast("string") for x in idx])
     c = F.array(*idx)
     us = []
     for i in range(spec.d):
@@ -141,6 +154,8 @@ def uniform_cells(spark, spec: GridSpec) -> DataFrame:
     exponentially with the dimension (D9), so callers should check
     ``spec.n_uniform`` first.
     """
+    if not spec.numbered:
+        raise ValueError(f"{spec.n_uniform} uniform cells cannot be listed")
     cols = [F.col("id").alias("cell")]
     for i, st in enumerate(spec.strides):
         ci = (F.col("id") / F.lit(st)).cast("bigint") % F.lit(spec.parts[i])
@@ -158,12 +173,23 @@ def cell_counts(gridded: DataFrame) -> DataFrame:
     return gridded.groupBy("cell").agg(F.count("*").alias("n"))
 
 
-def _level_index(level: int) -> Column:
+def _cell_index(spec: GridSpec, i: int) -> Column:
+    """Index of a cell in dimension ``i``, from ``cell``."""
+    if spec.numbered:
+        return F.expr(f"cell div {spec.strides[i]}L") % F.lit(spec.parts[i])
+    return F.split("cell", "-")[i].cast("bigint")
+
+
+def _level_index(level: int, d: int) -> Column:
     """Sub-cell index per dimension at ``level``: ``min(floor(u * 2^l), 2^l - 1)``."""
     scale = float(2 ** level)
-    top = (2 ** level) - 1
-    return F.transform(F.col("u"), lambda v: F.least(F.floor(v * F.lit(scale)),
-                                                    F.lit(top).cast("bigint")))
+    top = F.lit((2 ** level) - 1).cast("bigint")
+
+    def at(v):
+        return F.least(F.floor(v * F.lit(scale)), top)
+    if d <= UNROLL_DIMS:
+        return F.array(*[at(F.col("u")[i]) for i in range(d)])
+    return F.transform(F.col("u"), at)
 
 
 def _child_label(spec: GridSpec, level: int) -> Column:
@@ -189,15 +215,10 @@ class AdaptiveGrid:
     """Result of the adaptive split."""
     spec: GridSpec
     points: DataFrame            # point rows + c, cell, u, depth, a, cell_key
+    cells: DataFrame             # occupied leaves: cell, a, depth, cell_key, n (checkpointed)
     splits: list[int] = field(default_factory=list)   # over-full cells split at each level
+    split_keys: list = field(default_factory=list)    # their (cell, a), a table a level (checkpointed)
     levels: int = 0
-    cached: list = field(default_factory=list)         # split keys read by ``points``
-
-    def release(self) -> None:
-        """Drop the cached split keys once ``points`` has been consumed."""
-        for df in self.cached:
-            df.unpersist()
-        self.cached = []
 
     @property
     def n_splits(self) -> int:
@@ -212,89 +233,121 @@ class AdaptiveGrid:
     def avg_per_cell(self) -> float:
         return self.spec.n / self.n_cells
 
+    def average(self, basis: str = "all") -> float:
+        """Points per cell (G9): over all cells, empty ones included, or over the
+        ``occupied`` ones, which keeps its meaning where most cells are empty."""
+        if basis == "all":
+            return self.avg_per_cell
+        if basis == "occupied":
+            return self.spec.n / self.cells.count()
+        raise ValueError("basis must be 'all' or 'occupied'")
+
 
 def adaptive_grid(points: DataFrame, tau: int, d: int | None = None,
                   spec: GridSpec | None = None, max_depth: int = MAX_DEPTH,
-                  broadcast_keys: int = BROADCAST_KEYS) -> AdaptiveGrid:
+                  broadcast_bytes: int = BROADCAST_BYTES) -> AdaptiveGrid:
     """Assign every point to its adaptive leaf cell (G7, G8 labels, G9 counts).
 
     A leaf is the first level at which the point's cell holds at most
     ``tau`` points, or holds copies of one point only (D4), or sits at
     ``max_depth``.
 
-    Per level: count points per (cell, sub-cell) with partial aggregation,
-    keep only the keys of the cells that split (cached; their number is
-    counted), and route the points with a ``left_anti`` join (settled)
-    and a ``left_semi`` join (go one level deeper) against those keys. The
-    keys are broadcast when at most ``broadcast_keys`` of them exist, so
-    the points are not shuffled at all; beyond that the joins shuffle and
-    AQE splits skewed partitions.
+    Per level: count points per (cell, sub-cell) with partial aggregation
+    (checkpointed, one row per occupied cell), then one left join with the
+    keys of the cells that split marks the points that go on. The keys are
+    broadcast while their counted bytes stay within ``broadcast_bytes``;
+    beyond that the join shuffles and AQE splits skewed partitions.
     """
     if d is None:
         from tessera.sources.points import point_dimension
         d = point_dimension(points)
     if spec is None:
         spec = grid_spec(points, tau, d)
-    # level 0 reads the caller's points through a narrow projection; every
-    # later level reads a checkpoint of the rows still unsettled, so each
-    # branch of the final union has a short plan and a lost executor
-    # re-reads checkpoints instead of replaying earlier levels
     cur = uniform_grid_assign(points, spec)
     base_cols = cur.columns
-    leaves: list[DataFrame] = []
+    leaves, cells, split_keys = [], [], []
     splits: list[int] = []
-    cached: list[DataFrame] = []
     level = 0
     while True:
-        keyed = cur.withColumn("a", _level_index(level))
+        keyed = cur.withColumn("a", _level_index(level, spec.d))
         same = None
         for i in range(spec.d):
             eq = F.min(F.col("coords")[i]) == F.max(F.col("coords")[i])
             same = eq if same is None else (same & eq)
-        stats = keyed.groupBy("cell", "a").agg(F.count("*").alias("cell_n"), same.alias("_same"))
-        over = (F.col("cell_n") > F.lit(tau)) & ~F.col("_same")
-        if level >= max_depth:
-            over = F.lit(False)
-        # the keys' lineage is one aggregate over a checkpointed level (or the
-        # scan at level 0), so caching them is enough; the rows that go on
-        # are checkpointed below
-        split = persist(stats.where(over).select("cell", "a"))
+        stats = keyed.groupBy("cell", "a").agg(F.count("*").alias("n"), same.alias("_same"))
+        over = (F.col("n") > F.lit(tau)) & ~F.col("_same") if level < max_depth else F.lit(False)
+        # a lost executor re-reads the level's counts instead of the points
+        stats = checkpoint(stats.withColumn("_split", over))
+        label = _child_label(spec, level).alias("cell_key")
+        depth = F.lit(level).alias("depth")
+        split = stats.where("_split").select("cell", "a")
         n_split = split.count()
-        cached.append(split)
         splits.append(n_split)
-        label = _child_label(spec, level).alias("cell_key")
+        split_keys.append(split)
+        cells.append(stats.where(~F.col("_split")).select("cell", "a", depth, label, "n"))
         if n_split == 0:
-            leaves.append(keyed.select(*base_cols, F.lit(level).alias("depth"), "a", label))
+            leaves.append(keyed.select(*base_cols, depth, "a", label))
             break
-        keys = F.broadcast(split) if n_split <= broadcast_keys else split
-        leaves.append(keyed.join(keys, ["cell", "a"], "left_anti")
-                      .select(*base_cols, F.lit(level).alias("depth"), "a", label))
-        cur = checkpoint(keyed.join(keys, ["cell", "a"], "left_semi").select(*base_cols))
+        marked = split.withColumn("_on", F.lit(True))
+        key_bytes = (16 if spec.numbered else 8 + 2 * spec.d) + 24 + 8 * spec.d
+        if n_split * key_bytes <= broadcast_bytes:
+            marked = F.broadcast(marked)
+        routed = checkpoint(keyed.join(marked, ["cell", "a"], "left").select(*base_cols, "a", "_on"))
+        leaves.append(routed.where("_on IS NULL").select(*base_cols, depth, "a", label))
+        cur = routed.where("_on").select(*base_cols)
         level += 1
-    out = leaves[0]
-    for lf in leaves[1:]:
-        out = out.unionByName(lf)
-    return AdaptiveGrid(spec, out, splits, level + 1, cached)
+    out, table = leaves[0], cells[0]
+    for lf, cl in zip(leaves[1:], cells[1:]):
+        out, table = out.unionByName(lf), table.unionByName(cl)
+    return AdaptiveGrid(spec, out, table, splits, split_keys, level + 1)
 
 
 def leaf_counts(grid: AdaptiveGrid) -> DataFrame:
-    """``point_id, cell_key, depth, cell_n``: every point with its leaf's size."""
-    n = grid.points.groupBy("cell_key").agg(F.count("*").alias("cell_n"))
+    """``point_id, cell_key, depth, cell_n``: every point with its leaf's size,
+    from the counts of the split (the points are not counted again)."""
+    n = grid.cells.select("cell_key", F.col("n").alias("cell_n"))
     return grid.points.select("point_id", "cell_key", "depth").join(n, "cell_key")
 
 
-def adaptive_cells(grid: AdaptiveGrid) -> DataFrame:
-    """Occupied leaf cells with bounds and counts (G8, S7):
-    ``cell_key, depth, lo ARRAY<DOUBLE>, hi ARRAY<DOUBLE>, n``."""
+# a split has 2^d children; listing the empty ones stops making sense beyond this
+LIST_DIMS = 20
+
+
+def _empty_and_occupied(grid: AdaptiveGrid, spark) -> DataFrame:
+    """All leaves: uniform cells and children of split cells that don't split."""
+    spec = grid.spec
+    if spec.d_eff > LIST_DIMS:
+        raise ValueError(f"2^{spec.d_eff} children per split cannot be listed")
+    act = [i for i in range(spec.d) if spec.active[i]]
+    out = None
+    for level, split in enumerate(grid.split_keys):
+        if level == 0:
+            zero = F.array(*[F.lit(0).cast("bigint") for _ in range(spec.d)])
+            found = spark.range(spec.n_uniform).select(F.col("id").alias("cell"), zero.alias("a"))
+        else:
+            child = grid.split_keys[level - 1].select("cell", "a", F.explode(F.sequence(
+                F.lit(0), F.lit(2 ** len(act) - 1))).alias("_child"))
+            a = [F.col("a")[i] * 2 + (F.shiftright("_child", len(act) - 1 - act.index(i)).bitwiseAND(F.lit(1))
+                                      if i in act else F.lit(0)) for i in range(spec.d)]
+            found = child.select("cell", F.array(*[x.cast("bigint") for x in a]).alias("a"))
+        leaf = found.join(split, ["cell", "a"], "left_anti").select(
+            "cell", "a", F.lit(level).alias("depth"), _child_label(spec, level).alias("cell_key"))
+        out = leaf if out is None else out.unionByName(leaf)
+    n = grid.cells.select("cell_key", F.col("n").alias("_n"))
+    return out.join(n, "cell_key", "left").withColumn("n", F.coalesce("_n", F.lit(0).cast("bigint"))).drop("_n")
+
+
+def adaptive_cells(grid: AdaptiveGrid, empty: bool = False) -> DataFrame:
+    """Leaf cells with bounds and counts (G8, S7): ``cell_key, depth, lo
+    ARRAY<DOUBLE>, hi ARRAY<DOUBLE>, n``. With ``empty`` also those without a
+    point: the uniform cells and all ``2^d`` children of every split cell."""
     spec = grid.spec
-    g = grid.points.groupBy("cell_key").agg(
-        F.first("depth").alias("depth"), F.first("c").alias("c"),
-        F.first("a").alias("a"), F.count("*").alias("n"))
+    g = _empty_and_occupied(grid, grid.points.sparkSession) if empty else grid.cells
     los, his = [], []
     for i in range(spec.d):
         if spec.active[i]:
             width = F.lit(spec.side) / F.pow(F.lit(2.0), F.col("depth"))
-            lo = F.lit(spec.mins[i]) + (F.col("c")[i] + F.col("a")[i] / F.pow(F.lit(2.0), F.col("depth"))) * F.lit(spec.side)
+            lo = F.lit(spec.mins[i]) + (_cell_index(spec, i) + F.col("a")[i] / F.pow(F.lit(2.0), F.col("depth"))) * F.lit(spec.side)
             los.append(lo)
             his.append(lo + width)
         else:
@@ -305,12 +358,9 @@ def adaptive_cells(grid: AdaptiveGrid) -> DataFrame:
 
 
 def cell_members(grid: AdaptiveGrid) -> DataFrame:
-    """Per leaf cell: member count and id summary.
+    """The members of every leaf cell as rows ``cell_key, point_id``.
 
-    Member lists are not concatenated: a leaf of copies of one point may hold
-    any share of the data. The per-cell PAM consumes the grouped rows
-    directly.
+    Rows, not lists: a leaf of copies of one point may hold any share of the
+    data.
     """
-    return grid.points.groupBy("cell_key").agg(
-        F.count("*").alias("n"), F.min("point_id").alias("min_point_id"),
-        F.max("point_id").alias("max_point_id"), F.sum("point_id").alias("sum_point_id"))
+    return grid.points.select("cell_key", "point_id")

@@ -5,8 +5,8 @@ coords)`` with partial aggregation, so a hot group of copies is combined
 map-side), give every cell its quota ``k_c`` (A1), and run a swap-based
 k-medoids per cell (A3) with a grouped map over hash buckets of cells. A
 leaf holds at most ``tau`` distinct points (the adaptive grid guarantees
-it), so a task holds one cell's ``O(tau^2)`` distances at a time and never
-a whole table.
+it); a task holds its cells' points and scores candidates in chunks, so its
+memory grows with ``tau``, not with its square.
 The medoids of all cells are the sample (A5).
 
 Randomness is a seeded rank, ``pmod(pmod(id, 2^31) * 2654435761 + seed,
@@ -35,6 +35,9 @@ ID_MODULUS = 2 ** 31
 # order, which varies with partitioning
 TIE_RTOL = 1e-9
 
+# doubles in one numpy distance buffer inside a task
+CHUNK_DOUBLES = 1_000_000
+
 
 def seeded_rank(point_id: Column | str, seed: int = 0) -> Column:
     """Seeded pseudo-random order key of a point id (ties broken by id)."""
@@ -102,11 +105,6 @@ def cross_distances(P: np.ndarray, C: np.ndarray) -> np.ndarray:
     return np.sqrt(D, out=D)
 
 
-def pairwise(X: np.ndarray) -> np.ndarray:
-    """Euclidean distances between the rows of ``X`` (m x m)."""
-    return cross_distances(X, X)
-
-
 def nearest_two(DM: np.ndarray):
     """Per row of a point-by-medoid distance block: nearest slot (lowest on
     ties), its distance, and the distance to the nearest other medoid."""
@@ -122,107 +120,79 @@ def nearest_two(DM: np.ndarray):
     return m1, d1, d2
 
 
-def swap_table(D: np.ndarray, w: np.ndarray, m1, d1, d2, k: int) -> np.ndarray:
-    """``k x c`` swap costs for the candidate columns of ``D`` (points x
-    candidates): ``sum_p w_p * min(rest_i(p), D[p, j])``.
-
-    A base term ``sum_p w_p min(d1_p, D[p, j])`` over all points, plus for
-    the points whose nearest medoid is slot ``i`` the correction
-    ``min(d2, D) - min(d1, D) = clip(D, d1, d2) - d1``: about ``3 m c``
-    operations for all ``k`` slots instead of ``k m c``.
-    """
-    base = w @ np.minimum(D, d1[:, None])
-    out = np.empty((k, D.shape[1]))
-    for i in range(k):
-        g = np.flatnonzero(m1 == i)
-        if len(g):
-            wg = w[g]
-            out[i] = base + (wg @ np.clip(D[g], d1[g, None], d2[g, None]) - float(wg @ d1[g]))
-        else:
-            out[i] = base
-    return out
-
-
 class SwapScorer:
-    """Swap costs of candidate blocks against a fixed set of scored points
-    and medoids, for the distributed search.
-
-    Same sums as ``swap_table``; the scored points are sorted by nearest
-    slot once, so each slot's correction reads a contiguous slice, and the
-    distance buffers are reused across candidate chunks.
+    """Swap costs of candidates against fixed scored points and medoids.
+
+    The cost of slot ``i`` swapped for candidate ``c`` is the weighted sum of
+    ``min(rest_i(p), |p - c|)``, ``rest_i`` being the distance to the nearest
+    other medoid: ``d2`` for points whose nearest medoid is slot ``i``, else
+    ``d1``. So a candidate changes a point's term only where it is nearer than
+    ``d2``: for a chunk of candidates, points whose distance to the chunk's
+    bounding box is ``d2`` or more add what they add anyway, and no distance
+    is computed. Candidates are sorted along their widest dimension so that
+    chunks are compact. Points are sorted by nearest slot, so each slot's
+    points are a slice. Memory is ``CHUNK_DOUBLES`` per buffer.
     """
 
-    def __init__(self, P: np.ndarray, w: np.ndarray, medoids: np.ndarray, chunk: int):
+    def __init__(self, P: np.ndarray, w: np.ndarray, medoids: np.ndarray):
         m1, d1, d2 = nearest_two(cross_distances(P, medoids))
         order = np.argsort(m1, kind="stable")
         self.k = medoids.shape[0]
         self.P, self.w = P[order], w[order]
-        self.d1, self.d2 = d1[order][:, None], d2[order][:, None]
+        self.d1, self.d2 = d1[order], d2[order]
         self.bounds = np.searchsorted(m1[order], np.arange(self.k + 1))
-        self.own = [float(self.w[a:b] @ self.d1[a:b, 0])
-                    for a, b in zip(self.bounds[:-1], self.bounds[1:])]
-        self.chunk = chunk
-        n = len(P)
-        self.D, self.T, self.L = (np.empty((n, chunk)) for _ in range(3))
+        if self.k > 1:
+            self.base = float(self.w @ self.d1)
+            gap = self.w * (self.d2 - self.d1)
+            self.own = [float(gap[a:b].sum()) for a, b in zip(self.bounds[:-1], self.bounds[1:])]
 
     def table(self, C: np.ndarray) -> np.ndarray:
         """``k x len(C)`` swap costs."""
         out = np.empty((self.k, len(C)))
-        P, d = self.P, self.P.shape[1]
-        for s in range(0, len(C), self.chunk):
-            c = C[s:s + self.chunk]
-            n = len(c)
-            D, T, L = self.D[:, :n], self.T[:, :n], self.L[:, :n]
-            np.subtract(P[:, 0:1], c[None, :, 0], out=D)
-            np.multiply(D, D, out=D)
-            for i in range(1, d):
-                np.subtract(P[:, i:i + 1], c[None, :, i], out=T)
-                np.multiply(T, T, out=T)
-                D += T
-            np.sqrt(D, out=D)
-            np.minimum(D, self.d1, out=L)
-            base = self.w @ L
+        if not len(C) or not len(self.P):
+            out[:] = 0.0
+            return out
+        order = np.argsort(C[:, int(np.argmax(np.ptp(C, axis=0)))], kind="stable")
+        chunk = max(1, CHUNK_DOUBLES // len(self.P))
+        for s in range(0, len(C), chunk):
+            at = order[s:s + chunk]
+            c = C[at]
+            if self.k == 1:
+                out[0, at] = self.w @ cross_distances(self.P, c)
+                continue
+            away = np.maximum(0.0, np.maximum(c.min(axis=0) - self.P, self.P - c.max(axis=0)))
+            near = np.flatnonzero(np.sqrt((away * away).sum(axis=1)) < self.d2)
+            bounds = np.searchsorted(near, self.bounds)
+            D = cross_distances(self.P[near], c)
+            w, d1, d2 = self.w[near], self.d1[near, None], self.d2[near, None]
+            base = self.base + w @ np.minimum(D - d1, 0.0)
             for i in range(self.k):
-                a, b = self.bounds[i], self.bounds[i + 1]
+                a, b = bounds[i], bounds[i + 1]
+                out[i, at] = base + self.own[i]
                 if b > a:
-                    seg = T[a:b]
-                    np.clip(D[a:b], self.d1[a:b], self.d2[a:b], out=seg)
-                    out[i, s:s + n] = base + (self.w[a:b] @ seg - self.own[i])
-                else:
-                    out[i, s:s + n] = base
+                    out[i, at] += w[a:b] @ (np.clip(D[a:b], d1[a:b], d2[a:b]) - d2[a:b])
         return out
 
 
-def slot_costs(D: np.ndarray, w: np.ndarray, med: list[int]) -> np.ndarray:
-    """``k x m`` table: cost of the medoid set with slot ``i`` swapped for
-    row ``j`` (the medoid's own column holds the current cost)."""
-    m1, d1, d2 = nearest_two(D[:, med])
-    return swap_table(D, w, m1, d1, d2, len(med))
-
-
-def pam_slot_sweep(D: np.ndarray, w: np.ndarray, k: int, max_sweeps: int | None = None,
-                   start: list[int] | None = None, stats: dict | None = None):
-    """Swap-based k-medoids on a distance matrix, rows in rank order.
+def pam_points(X: np.ndarray, w: np.ndarray, k: int, max_sweeps: int | None = None):
+    """Swap-based k-medoids on points, rows in rank order.
 
     Start from rows ``0..k-1``. A sweep visits slot 0..k-1; for each it finds
     the non-medoid whose swap gives the lowest weighted cost (first in rank
     order among costs within ``TIE_RTOL`` of the lowest) and takes it only
     when cheaper than the current cost by more than ``TIE_RTOL``. Sweeps repeat
     until the medoid set does not change. One cost table serves the slots
-    until a swap changes the set. Returns (medoid rows, cost).
+    until a swap changes the set. Candidates are scored in chunks, so memory
+    grows with the points, not with their square. Returns (medoid rows, cost).
     """
-    m = D.shape[0]
-    k = min(k, m)
-    med = list(start) if start is not None else list(range(k))
-    sweeps = 0
-    # one medoid: the cost of candidate j is w @ D[:, j] whatever the
-    # current medoid, so a single table serves every sweep
-    table = (w @ D)[None, :] if k == 1 else None
+    k = min(k, len(X))
+    med = list(range(k))
+    sweeps, table = 0, None
     while True:
         before = set(med)
         for i in range(k):
             if table is None:
-                table = slot_costs(D, w, med)
+                table = SwapScorer(X, w, X[med]).table(X)
             costs = table[i].copy()
             current = float(costs[med[i]])
             costs[med] = np.inf
@@ -232,14 +202,12 @@ def pam_slot_sweep(D: np.ndarray, w: np.ndarray, k: int, max_sweeps: int | None
             j = int(np.argmax(costs <= low + TIE_RTOL * abs(low)))
             if costs[j] < current - TIE_RTOL * abs(current):
                 med[i] = j
-                if k > 1:
+                if k > 1:       # with one medoid the table holds whatever it is
                     table = None
         sweeps += 1
         if set(med) == before or (max_sweeps is not None and sweeps >= max_sweeps):
             break
-    if stats is not None:
-        stats["sweeps"] = sweeps
-    nearest = D[:, med].min(axis=1)
+    nearest = nearest_two(cross_distances(X, X[med]))[1]
     return med, float(np.dot(w, nearest))
 
 
@@ -258,12 +226,8 @@ def _pam_buckets(d: int, max_sweeps: int | None, quota_one: bool, avg_per_cell:
         ends = np.r_[starts[1:], len(pdf)]
         rows, slots, costs = [], [], []
         for a, b in zip(starts, ends):
-            if b - a > MAX_CELL_ROWS:
-                raise ValueError(f"cell {keys[a]} holds {b - a} distinct points (more than "
-                                 f"{MAX_CELL_ROWS}): use a smaller tau, or a larger max_depth "
-                                 f"so the grid splits it")
             k = 1 if quota_one else quota_of(int(counts[a:b].sum()), b - a, avg_per_cell)
-            med, cost = pam_slot_sweep(pairwise(X[a:b]), w[a:b], k, max_sweeps)
+            med, cost = pam_points(X[a:b], w[a:b], k, max_sweeps)
             rows.extend(a + j for j in med)
             slots.extend(range(len(med)))
             costs.extend([cost] * len(med))
@@ -275,13 +239,8 @@ def _pam_buckets(d: int, max_sweeps: int | None, quota_one: bool, avg_per_cell:
     return fn
 
 
-# distinct points one cell may bring to PAM (its distance matrix is the
-# square of this); the adaptive grid keeps cells at about tau unless
-# max_depth stops it early
-MAX_CELL_ROWS = 20_000
-
 # merged rows per PAM task (cells are whole inside a task; each cell holds at
-# most about tau distinct points, so a task's memory is bounded by tau^2)
+# most tau distinct points, and is scored in chunks)
 ROWS_PER_TASK = 100_000
 
 
@@ -313,7 +272,9 @@ def cell_pam(merged: DataFrame, d: int, avg_per_cell: float, max_sweeps: int | N
                       F.array(*[F.col(f"x{i}") for i in range(d)]).alias("coords"), "cell_cost")
 
 
-def grid_sample(grid: AdaptiveGrid, seed: int = 0, max_sweeps: int | None = None) -> DataFrame:
-    """The sample: medoids of all cells (A5), ``point_id, coords, rank, cell_key, slot``."""
+def grid_sample(grid: AdaptiveGrid, seed: int = 0, max_sweeps: int | None = None,
+                avg_basis: str = "all") -> DataFrame:
+    """The sample: medoids of all cells (A5), ``point_id, coords, rank, cell_key, slot``.
+    ``avg_basis`` is the average the quota divides by (``AdaptiveGrid.average``)."""
     merged = merged_cells(grid, seed)
-    return cell_pam(merged, grid.spec.d, grid.avg_per_cell, max_sweeps, n_rows=grid.spec.n)
+    return cell_pam(merged, grid.spec.d, grid.average(avg_basis), max_sweeps, n_rows=grid.spec.n)

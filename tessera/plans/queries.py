@@ -23,7 +23,7 @@ from tessera.operators import search as SR
 from tessera.plans import run as PL
 from tessera.plans.fixtures import (CUSTOMER, EMBED, EVENTS, PART, centers_sql, first_k_centers,
                                     rnd, sql_dist)
-from tessera.session import scratch_path
+from tessera.session import checkpoint, scratch_path
 from tessera.sources import points as SP
 from tessera.sources.points import explode_coords
 
@@ -125,7 +125,7 @@ def q_vec_distance_hd(spark, sf_dir):
 
 
 TAU = 20        # points per cell of the grid queries (part, sf0.01: 2,000 points)
-MAX_DEPTH = 16  # levels unrolled by the oracle; the part grid settles well before
+LEVELS = 16     # levels unrolled by the oracle; a point over tau beyond them would be missing there
 
 
 def _grid_sql(ps, tau: int, levels: int) -> str:
@@ -160,7 +160,7 @@ lv AS (SELECT g.*, lvl.level, {avs} FROM g, (SELECT range AS level FROM range(0,
 cnt AS (SELECT cell, level, {akeys}, count(*) AS cell_n, ({same}) AS same FROM lv
         GROUP BY cell, level, {akeys}),
 settled AS (SELECT lv.*, cnt.cell_n, cnt.same FROM lv JOIN cnt USING (cell, level, {akeys})
-            WHERE cnt.cell_n <= {tau} OR cnt.same OR lv.level = {levels}),
+            WHERE cnt.cell_n <= {tau} OR cnt.same),
 leafp AS (SELECT * FROM settled QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY level) = 1)
 """
 
@@ -173,7 +173,7 @@ def _key_sql(d: int) -> str:
             f"FROM range(1, level + 1) t(j)) END")
 
 
-_PART_GRID = _grid_sql(PART, TAU, MAX_DEPTH)
+_PART_GRID = _grid_sql(PART, TAU, LEVELS)
 
 
 def _part_grid(spark, sf_dir):
@@ -225,7 +225,7 @@ def q_cell_counts(spark, sf_dir):
 
 def _part_adaptive(spark, sf_dir):
     pts, spec = _part_grid(spark, sf_dir)
-    return G.adaptive_grid(pts, TAU, PART.d, spec=spec, max_depth=MAX_DEPTH)
+    return G.adaptive_grid(pts, TAU, PART.d, spec=spec)
 
 
 @register("adaptive_grid_assign", _PART_GRID + f"""
@@ -237,23 +237,28 @@ def q_adaptive_grid_assign(spark, sf_dir):
 
 
 @register("adaptive_cells", _PART_GRID + f"""
-, lc AS (SELECT {_key_sql(2)} AS cell_key, level, c0, c1, a0, a1, min0, min1, side FROM leafp)
-SELECT cell_key, CAST(level AS INTEGER) AS depth,
+, sc AS (SELECT cell, level, a0, a1 FROM cnt WHERE cell_n > {TAU} AND NOT same)
+, al AS (SELECT range AS cell, CAST(0 AS BIGINT) AS level, CAST(0 AS BIGINT) AS a0, CAST(0 AS BIGINT) AS a1
+         FROM range(0, (SELECT P0 * P1 FROM spec))
+         UNION ALL SELECT cell, level + 1, a0 * 2 + (r >> 1), a1 * 2 + (r & 1) FROM sc, (SELECT range AS r FROM range(4)))
+, lc AS (SELECT al.cell, al.level, al.a0, al.a1, coalesce(cnt.cell_n, 0) AS n, CAST(al.cell // P1 AS BIGINT) AS c0,
+                al.cell % P1 AS c1, min0, min1, side
+         FROM al ANTI JOIN sc USING (cell, level, a0, a1) LEFT JOIN cnt USING (cell, level, a0, a1), spec)
+SELECT {_key_sql(2)} AS cell_key, CAST(level AS INTEGER) AS depth,
        round(min0 + (c0 + a0 / pow(2, level)) * side, 6) + 0.0 AS lo0,
        round(min1 + (c1 + a1 / pow(2, level)) * side, 6) + 0.0 AS lo1,
        round(min0 + (c0 + a0 / pow(2, level)) * side + side / pow(2, level), 6) + 0.0 AS hi0,
-       round(min1 + (c1 + a1 / pow(2, level)) * side + side / pow(2, level), 6) + 0.0 AS hi1,
-       count(*) AS n
-FROM lc GROUP BY ALL""")
+       round(min1 + (c1 + a1 / pow(2, level)) * side + side / pow(2, level), 6) + 0.0 AS hi1, n FROM lc""")
 def q_adaptive_cells(spark, sf_dir):
-    cells = G.adaptive_cells(_part_adaptive(spark, sf_dir))
+    """All leaves with bounds and counts, empty children of splits included."""
+    cells = G.adaptive_cells(_part_adaptive(spark, sf_dir), empty=True)
     return cells.select("cell_key", "depth",
                         *[rnd(F.col(b)[i], 6).alias(f"{b}{i}") for b in ("lo", "hi") for i in range(2)],
                         "n")
 
 
 @register("grid_stats", _PART_GRID + f"""
-, sp AS (SELECT count(*) AS n_splits FROM cnt WHERE cell_n > {TAU} AND NOT same AND level < {MAX_DEPTH})
+, sp AS (SELECT count(*) AS n_splits FROM cnt WHERE cell_n > {TAU} AND NOT same)
 SELECT n, P0 * P1 AS n_uniform, n_splits, P0 * P1 + 3 * n_splits AS n_cells,
        round(n / (P0 * P1 + 3 * n_splits), 9) + 0.0 AS avg_per_cell
 FROM spec, sp""")
@@ -265,11 +270,9 @@ def q_grid_stats(spark, sf_dir):
         row, "n BIGINT, n_uniform BIGINT, n_splits BIGINT, n_cells BIGINT, avg_per_cell DOUBLE")
 
 
-@register("cell_members", _PART_GRID + f"""
-SELECT {_key_sql(2)} AS cell_key, count(*) AS n, min(point_id) AS min_point_id,
-       max(point_id) AS max_point_id, CAST(sum(point_id) AS BIGINT) AS sum_point_id
-FROM leafp GROUP BY ALL""")
+@register("cell_members", _PART_GRID + f"SELECT {_key_sql(2)} AS cell_key, point_id FROM leafp")
 def q_cell_members(spark, sf_dir):
+    """Every member of every leaf cell."""
     return G.cell_members(_part_adaptive(spark, sf_dir))
 
 
@@ -282,8 +285,7 @@ SEED = 0
 
 _PART_SAMPLE = _PART_GRID + f"""
 , lk AS (SELECT {_key_sql(2)} AS cell_key, point_id, x0, x1, cell_n FROM leafp)
-, st AS (SELECT n, P0 * P1 + 3 * (SELECT count(*) FROM cnt WHERE cell_n > {TAU} AND NOT same
-                                   AND level < {MAX_DEPTH}) AS n_cells FROM spec)
+, st AS (SELECT n, P0 * P1 + 3 * (SELECT count(*) FROM cnt WHERE cell_n > {TAU} AND NOT same) AS n_cells FROM spec)
 , av AS (SELECT n / n_cells AS avg FROM st)
 , mg AS (SELECT cell_key, x0, x1, count(*) AS n, min(point_id) AS point_id, any_value(cell_n) AS cell_n
          FROM lk GROUP BY cell_key, x0, x1)
@@ -415,14 +417,55 @@ def q_cell_pam(spark, sf_dir):
     return res.select("cell_key", "slot", "point_id", rnd(F.col("cell_cost"), 4).alias("cell_cost"))
 
 
-@register("cell_sample", _PART_SAMPLE + """
-SELECT CAST(sum(k) AS BIGINT) AS sample_size, count(*) AS occupied_cells FROM q""")
+@register("cell_sample", _cell_pam_ctes() + """
+SELECT fm.point_id, m.x0, m.x1, m.rank, fm.cell_key, fm.slot FROM fm JOIN mem m USING (cell_key, point_id)""")
 def q_cell_sample(spark, sf_dir):
-    """Size of the sample (A5): one medoid row per slot of every cell."""
-    grid, merged = _part_merged(spark, sf_dir)
-    res = SM.cell_pam(merged, 2, grid.avg_per_cell)
-    return res.agg(F.count("*").alias("sample_size"),
-                   F.countDistinct("cell_key").alias("occupied_cells"))
+    """The sample (A5): one medoid row per slot of every cell; the oracle
+    replays the sweeps of every cell."""
+    sample = SM.grid_sample(_part_adaptive(spark, sf_dir), SEED)
+    return explode_coords(sample, 2).select("point_id", "x0", "x1", "rank", "cell_key", "slot")
+
+
+# 64 dimensions: most cells are empty, their numbers may exceed 63 bits, a split has 2^64 children
+_EMB_GRID = f"""
+WITH e AS (SELECT vec_id AS point_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings),
+dims AS (SELECT i, min(x[i]) AS lo, max(x[i]) AS hi FROM e, (SELECT range AS i FROM range(1, {EMBED.d + 1})) GROUP BY i),
+bb AS (SELECT list(lo ORDER BY i) AS lo, list(hi ORDER BY i) AS hi, (SELECT count(*) FROM e) AS n FROM dims),
+sp AS (SELECT *, pow(list_reduce(list_transform(range(1, {EMBED.d + 1}), lambda i: hi[i] - lo[i]), lambda a, b: a * b) * {TAU} / n,
+       1.0 / {EMBED.d}) AS side FROM bb),
+spec AS (SELECT *, list_transform(range(1, {EMBED.d + 1}), lambda i: CAST(greatest(1, ceil((hi[i] - lo[i]) / side)) AS HUGEINT)) AS p FROM sp),
+g0 AS (SELECT point_id, x, list_transform(range(1, {EMBED.d + 1}), lambda i: least(CAST(floor((x[i] - lo[i]) / side) AS HUGEINT), p[i] - 1)) AS c,
+       lo, side, p FROM e, spec),
+g AS (SELECT point_id, x, list_transform(range(1, {EMBED.d + 1}), lambda i: (x[i] - lo[i]) / side - c[i]) AS u,
+      CASE WHEN list_reduce(list_transform(p, lambda v: log2(v)), lambda a, b: a + b) < 63
+           THEN CAST(list_reduce(list_transform(range(1, {EMBED.d + 1}), lambda i: [c[i], p[i]]),
+                                 lambda a, b: [a[1] * b[2] + b[1], b[2]])[1] AS VARCHAR)
+           ELSE array_to_string(c, '-') END AS cell FROM g0)
+"""
+
+
+@register("uniform_grid_assign_embeddings", _EMB_GRID + "SELECT point_id, cell FROM g")
+def q_uniform_grid_assign_embeddings(spark, sf_dir):
+    """Cells of 64-d points, by number or beyond 63 bits by indices."""
+    pts = EMBED.load(spark, sf_dir)
+    return G.uniform_grid_assign(pts, G.grid_spec(pts, TAU, EMBED.d)).select("point_id", F.col("cell").cast("string").alias("cell"))
+
+
+@register("cell_quota_embeddings", _EMB_GRID + f"""
+, lv AS (SELECT point_id, x, cell, level, list_transform(u, lambda v: least(CAST(floor(v * pow(2, level)) AS BIGINT),
+         CAST(pow(2, level) AS BIGINT) - 1)) AS a FROM g, (SELECT range AS level FROM range(0, 12)))
+, cnt AS (SELECT cell, level, a, count(*) AS n, count(DISTINCT x) AS nd FROM lv GROUP BY ALL)
+, leaf AS (SELECT lv.*, cnt.n, cnt.nd FROM lv JOIN cnt USING (cell, level, a) WHERE n <= {TAU} OR nd = 1
+           QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY level) = 1)
+, k AS (SELECT cell || coalesce((SELECT string_agg('.' || array_to_string(list_transform(a, lambda v: (v >> (level - t.j)) & 1), ''), ''
+          ORDER BY t.j) FROM range(1, level + 1) t(j)), '') AS cell_key, n AS cell_n, nd AS n_distinct FROM leaf)
+, q AS (SELECT cell_key, any_value(cell_n) AS cell_n, any_value(n_distinct) AS n_distinct FROM k GROUP BY cell_key)
+SELECT cell_key, cell_n, n_distinct,
+       least(CAST(ceil(cell_n / ((SELECT count(*) FROM e) / (SELECT count(*) FROM q))) AS BIGINT), n_distinct) AS k FROM q""")
+def q_cell_quota_embeddings(spark, sf_dir):
+    """Quota on the average of occupied cells (A1): 64-d points, mostly empty grid."""
+    grid = G.adaptive_grid(EMBED.load(spark, sf_dir), TAU, EMBED.d)
+    return SM.cell_quota(SM.merged_cells(grid, SEED), grid.average("occupied"))
 
 
 # ---------------------------------------------------------------- phase-1 search
@@ -451,7 +494,7 @@ FROM pts a, pts b GROUP BY a.point_id""")
 def q_pairwise_distance(spark, sf_dir):
     """Row sums and nearest-other distance of the all-pairs distance matrix."""
     pts = PART.load(spark, sf_dir)
-    st = SR.row_distance_stats(pts, SR.broadcast_points(pts, 2))
+    st = SR.row_distance_stats(pts, 2)
     return st.select("point_id", rnd(F.col("dist_sum"), 4).alias("dist_sum"),
                      rnd(F.col("dist_min"), 6).alias("dist_min"))
 
@@ -473,9 +516,7 @@ def q_swap_cost(spark, sf_dir):
     """Cost of swapping slot 0's medoid for each candidate."""
     pts = _ranked_part(spark, sf_dir)
     med = SR.initial_global(pts, K)
-    scored = SR.broadcast_points(pts, 2)
-    M = SR._Lookup(scored).coords(med)
-    costs = SR.swap_costs(SR.spread(pts, scored.n, scored.n), scored, M)
+    costs = SR.swap_costs(SR.block_pairs(pts, 2), SR.medoid_coords(pts, med))
     return (costs.where(~F.col("point_id").isin(med))
             .select("point_id", rnd(F.col("cost_0"), 4).alias("cost")))
 
@@ -492,10 +533,7 @@ def q_best_swap(spark, sf_dir):
     """Cheapest swap of every slot and the current cost."""
     pts = _ranked_part(spark, sf_dir)
     med = SR.initial_global(pts, K)
-    scored = SR.broadcast_points(pts, 2)
-    M = SR._Lookup(scored).coords(med)
-    table = SR.best_swaps(SR.swap_costs(SR.spread(pts, scored.n, scored.n), scored, M), med,
-                          list(range(K)))
+    table = SR.best_swaps(SR.block_pairs(pts, 2), SR.medoid_coords(pts, med), med, list(range(K)))
     rows = [(i, table[i][1][0], round(table[i][1][1], 4) + 0.0, round(table[i][0], 4) + 0.0)
             for i in range(K)]
     return spark.createDataFrame(rows, "slot INT, point_id BIGINT, cost DOUBLE, current_cost DOUBLE")
@@ -610,7 +648,7 @@ SELECT slot, point_id, round((SELECT cost FROM p1_cost), 4) + 0.0 AS sample_cost
 def q_sample_medoids(spark, sf_dir):
     """k = 5 medoids of the grid sample (tau 20) by sweeps until stable."""
     grid, merged = _part_merged(spark, sf_dir)
-    sample = SM.cell_pam(merged, 2, grid.avg_per_cell).cache()
+    sample = checkpoint(SM.cell_pam(merged, 2, grid.avg_per_cell))
     res = SR.sample_medoids(sample, K, 2)
     return spark.createDataFrame([(i, m, round(res.cost, 4) + 0.0) for i, m in enumerate(res.medoid_ids)],
                                  "slot INT, point_id BIGINT, sample_cost DOUBLE")
@@ -941,6 +979,23 @@ def q_run_metrics(spark, sf_dir):
     return m.select("phase", "iteration", "metric", rnd(F.col("value"), 4).alias("value"))
 
 
+@register("write_result", _run_ctes() + _assign_sql("w", "h_out") + """
+SELECT CAST(h.center_id AS INTEGER) AS center_id, round(c0, 4) + 0.0 AS x0, round(c1, 4) + 0.0 AS x1, 'median' AS kind,
+       coalesce(a.n, 0) AS n, round(coalesce(a.cost, 0), 3) + 0.0 AS cost, 15 AS n_metrics
+FROM h_out h LEFT JOIN (SELECT center_id, count(*) AS n, sum(dist) AS cost FROM w_ap GROUP BY center_id) a USING (center_id)""")
+def q_write_result(spark, sf_dir):
+    """The whole run's result written to the shared folder and read back (S6):
+    centers, their assigned points, and the rows of the report."""
+    path = scratch_path(spark, "result")
+    PL.write_cluster_result(_run(spark, sf_dir), path)
+    centers, points, metrics = (spark.read.parquet(f"{path}/{t}") for t in ("centers", "assignments", "run_metrics"))
+    per = points.groupBy("center_id").agg(F.count("*").alias("n"), F.sum("distance").alias("cost"))
+    return (centers.join(per, "center_id", "left")
+            .select("center_id", *[rnd(F.col("coords")[i], 4).alias(f"x{i}") for i in range(2)], "kind",
+                    F.coalesce("n", F.lit(0)).alias("n"), rnd(F.coalesce("cost", F.lit(0.0)), 3).alias("cost"),
+                    F.lit(metrics.count()).cast("int").alias("n_metrics")))
+
+
 @register("refine_trace", _run_ctes() + f"""
 SELECT CAST(0 AS INTEGER) AS iteration, round({_cost_sql('g_out')}, 4) + 0.0 AS cost
 UNION ALL SELECT 1, round({_cost_sql('h_out')}, 4) + 0.0""")
@@ -964,7 +1019,7 @@ def flagship(spark, sf_dir):
 # ---------------------------------------------------------------- other point sets
 
 
-_EVENTS_GRID = _grid_sql(EVENTS, TAU, MAX_DEPTH)
+_EVENTS_GRID = _grid_sql(EVENTS, TAU, LEVELS)
 
 
 @register("adaptive_grid_events", _EVENTS_GRID + f"""
@@ -972,17 +1027,17 @@ SELECT point_id, {_key_sql(2)} AS cell_key, CAST(level AS INTEGER) AS depth FROM
 def q_adaptive_grid_events(spark, sf_dir):
     """Adaptive leaves of events(value, user_id): skewed density, deep splits."""
     pts = EVENTS.load(spark, sf_dir)
-    grid = G.adaptive_grid(pts, TAU, 2, max_depth=MAX_DEPTH)
+    grid = G.adaptive_grid(pts, TAU, 2)
     return grid.points.select("point_id", "cell_key", F.col("depth").cast("int").alias("depth"))
 
 
 @register("grid_stats_events", _EVENTS_GRID + f"""
-, sp AS (SELECT count(*) AS n_splits FROM cnt WHERE cell_n > {TAU} AND NOT same AND level < {MAX_DEPTH})
+, sp AS (SELECT count(*) AS n_splits FROM cnt WHERE cell_n > {TAU} AND NOT same)
 SELECT n, P0 * P1 AS n_uniform, n_splits, P0 * P1 + 3 * n_splits AS n_cells FROM spec, sp""")
 def q_grid_stats_events(spark, sf_dir):
     """Cell counts of the events grid, empty cells included."""
     pts = EVENTS.load(spark, sf_dir)
-    grid = G.adaptive_grid(pts, TAU, 2, max_depth=MAX_DEPTH)
+    grid = G.adaptive_grid(pts, TAU, 2)
     row = [(grid.spec.n, grid.spec.n_uniform, grid.n_splits, grid.n_cells)]
     return spark.createDataFrame(row, "n BIGINT, n_uniform BIGINT, n_splits BIGINT, n_cells BIGINT")
 
@@ -1056,7 +1111,7 @@ def q_sweep_until_stable(spark, sf_dir):
     """k = 3 medoids of all part points by slot sweeps until a sweep changes
     nothing (A9-A11), through the distributed scoring path."""
     pts = _ranked_part(spark, sf_dir)
-    res = SR.sample_medoids(pts, _SWEEP_K, 2, local_sample=0)
+    res = SR.sample_medoids(pts, _SWEEP_K, 2)
     cost = A.clustering_cost_value(pts, [(j, list(map(float, c))) for j, c in enumerate(res.medoids)])
     rows = [(i, m, res.sweeps, round(cost, 4) + 0.0) for i, m in enumerate(res.medoid_ids)]
     return spark.createDataFrame(rows, "slot INT, point_id BIGINT, sweeps INT, cost DOUBLE")

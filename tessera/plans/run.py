@@ -1,19 +1,17 @@
 """The whole clustering run (M1): grid, sample, phase 1, phase 2.
 
     points -> bounds (1 job) -> adaptive grid (per level: one count
-    aggregate, points routed by broadcast semi/anti joins on the counted
-    split keys, unsettled rows checkpointed) -> distinct points per cell
-    (partial aggregation) -> per-cell k-medoids (grouped map over buckets
-    of cells; sample checkpointed) -> slot sweeps over the sample (one task
-    when small, else broadcast in counted blocks and scored in
-    mapInPandas) -> cost over all points -> phase 2: ``iterations`` x
-    (Weiszfeld: one k-row aggregate per pass, small clusters in one task;
-    cost).
-
-Only k centers, bounds and scalar counts reach the driver, plus the
-sample's coordinates in counted blocks for the broadcast. Centers enter
-each plan as literals, so plans keep a constant size and lineage does not
-grow across iterations.
+    aggregate, points routed by a join with the counted split keys, rows
+    checkpointed) -> distinct points per cell (partial aggregation,
+    checkpointed) -> per-cell k-medoids (grouped map over buckets of cells;
+    sample checkpointed) -> slot sweeps over the sample (pairs of blocks,
+    scored in tasks) -> cost over all points -> phase 2: ``iterations`` x
+    (Weiszfeld: one k-row aggregate per pass; cost).
+
+Only k centers, bounds, scalar counts and, per scoring round, the few
+candidates that can win a slot reach the driver. Plans keep a constant size
+and lineage does not grow across iterations. The input is read three times:
+bounds, level-0 count, level-0 routing; the assignment reads the routed rows.
 """
 
 from __future__ import annotations
@@ -28,7 +26,7 @@ from tessera.operators import grid as G
 from tessera.operators import refine as W
 from tessera.operators import sample as SM
 from tessera.operators import search as SR
-from tessera.session import CACHE_LIMIT_BYTES, checkpoint, maybe_persist, persist
+from tessera.session import checkpoint
 from tessera.sources.points import point_dimension, write_result
 
 METRICS_SCHEMA = "phase STRING, iteration INT, metric STRING, value DOUBLE"
@@ -47,22 +45,20 @@ class ClusterResult:
 def cluster(points: DataFrame, k: int, tau: int, iterations: int, seed: int = 0,
             epsilon: float = W.EPSILON, max_passes: int | None = None,
             max_sweeps: int | None = None, max_depth: int = G.MAX_DEPTH,
-            block_rows: int | None = None,
-            cache_limit_bytes: int = CACHE_LIMIT_BYTES) -> ClusterResult:
+            avg_basis: str = "all",
+            block_rows: int | None = None) -> ClusterResult:
     """Cluster ``points`` (``point_id, coords, weight``) around ``k`` centers.
 
-    The input is cached only when Catalyst estimates it at most
-    ``cache_limit_bytes``; a larger table is re-read by its (column-pruned)
-    scan at the few stages that touch every row: bounds, level-0 split and
-    the final assignment. Everything after the merge reads the persisted
-    distinct points.
+    ``avg_basis`` is the average that the per-cell quota divides by: ``all``
+    cells, or the ``occupied`` ones. In more than a few dimensions most cells
+    are empty, the average over all is far below one, and every distinct
+    point would be sampled; use ``occupied`` there.
     """
     spark = points.sparkSession
     t = {}
     t0 = time.time()
-    points = points.select("point_id", "coords", "weight")
-    d = point_dimension(points)
-    pts = maybe_persist(points, cache_limit_bytes)
+    pts = points.select("point_id", "coords", "weight")
+    d = point_dimension(pts)
     metrics = []
 
     def metric(phase, it, name, value):
@@ -82,18 +78,16 @@ def cluster(points: DataFrame, k: int, tau: int, iterations: int, seed: int = 0,
 
     # sample: distinct points per cell, k-medoids inside each cell
     t1 = time.time()
-    merged = persist(SM.merged_cells(grid, seed))
-    sample = checkpoint(SM.cell_pam(merged, d, grid.avg_per_cell, max_sweeps, n_rows=spec.n)
+    merged = checkpoint(SM.merged_cells(grid, seed))
+    sample = checkpoint(SM.cell_pam(merged, d, grid.average(avg_basis), max_sweeps, n_rows=spec.n)
                         .select("point_id", "coords", "rank", "cell_key", "slot"))
     s = sample.count()
-    grid.release()
     metric("sample", 0, "sample_size", s)
     t["sample"] = time.time() - t1
 
     # phase 1
     t2 = time.time()
-    res = SR.sample_medoids(sample, k, d, max_sweeps=max_sweeps, block_rows=block_rows, n=s,
-                            materialized=True)
+    res = SR.sample_medoids(sample, k, d, max_sweeps=max_sweeps, block_rows=block_rows, n=s)
     centers = [(j, [float(v) for v in res.medoids[j]]) for j in range(k)]
     metric("phase1", 0, "sample_cost", res.cost)
     metric("phase1", 0, "sweeps", res.sweeps)
@@ -116,11 +110,10 @@ def cluster(points: DataFrame, k: int, tau: int, iterations: int, seed: int = 0,
         metric("phase2", it, "passes", passes)
         metric("phase2", it, "cost", cost)
     t["phase2"] = time.time() - t3
-    merged.unpersist()
 
     center_df = spark.createDataFrame([(j, c, kind) for j, c in centers],
                                       "center_id INT, coords ARRAY<DOUBLE>, kind STRING")
-    assignments = A.assign_nearest(pts, centers)
+    assignments = A.assign_nearest(grid.points.select("point_id", "coords"), centers)
     metrics_df = spark.createDataFrame(metrics, METRICS_SCHEMA)
     t["total"] = time.time() - t0
     return ClusterResult(center_df, assignments, metrics_df, centers, metrics, t)
@@ -139,12 +132,11 @@ def cost_trace(points: DataFrame, centers: list, iterations: int, epsilon: float
     ``phase, iteration, cost``."""
     spark = points.sparkSession
     d = len(centers[0][1])
-    merged = persist(W.merge_duplicates(points))
+    merged = checkpoint(W.merge_duplicates(points))
     costs = []
     for _ in range(iterations):
         centers, mres = W.refine_once(merged, centers, d, epsilon, max_passes)
         costs.append(mres.start_cost)       # cost of the centers this refinement started from
     costs.append(A.clustering_cost_value(merged, centers, multiplicity="n"))
-    merged.unpersist()
     rows = [("start", 0, costs[0])] + [("phase2", it, c) for it, c in enumerate(costs[1:])]
     return spark.createDataFrame(rows, "phase STRING, iteration INT, cost DOUBLE")

@@ -83,21 +83,3 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def persist(df: DataFrame) -> DataFrame:
     """Keep a reused input cached; lost blocks are recomputed from lineage."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
-# inputs estimated above this many bytes are re-read (pruned columnar scans)
-# instead of cached: caching a table of that size costs more than a rescan
-CACHE_LIMIT_BYTES = 8 * 1024 ** 3
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan (no job runs)."""
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # estimate unavailable: treat as large
-        return 1 << 62
-
-
-def maybe_persist(df: DataFrame, limit_bytes: int = CACHE_LIMIT_BYTES) -> DataFrame:
-    """Cache ``df`` when its estimated size is at most ``limit_bytes``."""
-    return persist(df) if estimated_bytes(df) <= limit_bytes else df

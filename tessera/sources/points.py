@@ -13,8 +13,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.session import persist
-
 POINT_SCHEMA = "point_id BIGINT, coords ARRAY<DOUBLE>, weight DOUBLE"
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
@@ -48,20 +46,17 @@ def with_point_index(df: DataFrame, name: str = "point_id", reliable: bool = Fal
 
     The row numbers must be the same in the counting job and in every later
     read. A plan made only of file scans and narrow steps re-reads the same
-    splits in the same order, so a large such input is not materialized; a
-    small input is cached; an input with a shuffle or sort (whose layout a
-    re-run could change), or ``reliable=True``, is checkpointed. One small
-    job counts the rows of each split; the offsets (one per split) join back
-    through a broadcast of that per-split table, whose size is the number
-    of splits, not of rows.
+    splits in the same order, so such an input is not materialized; an input
+    with a shuffle or sort (whose layout a re-run could change), or
+    ``reliable=True``, is checkpointed. One job counts the rows of each split
+    (column-pruned); the offsets (one per split) join back through a broadcast
+    of that per-split table, whose size is the number of splits, not of rows.
     """
-    from tessera.session import CACHE_LIMIT_BYTES, checkpoint, estimated_bytes
+    from tessera.session import checkpoint
     tagged = df.withColumn("_mid", F.monotonically_increasing_id())
     tagged = tagged.withColumn("_split", F.shiftright("_mid", _ROW_BITS))
     if reliable or _has_exchange(df):
         tagged = checkpoint(tagged)
-    elif estimated_bytes(df) <= CACHE_LIMIT_BYTES:
-        tagged = persist(tagged)
     counts = (tagged.groupBy("_split").count().orderBy("_split").collect())
     offsets, running = [], 0
     for row in counts:

@@ -158,3 +158,29 @@ def test_high_dimension_grid_does_not_enumerate_cells(spark):
     assert grid.points.count() == 500
     assert grid.points.select("cell_key").distinct().count() <= 500
     assert grid.avg_per_cell < 1e-6
+
+
+def test_a_run_in_100_dimensions(spark):
+    """Cell numbers beyond 63 bits: cells are keyed by their indices, and the
+    quota on occupied cells still samples."""
+    import random
+    from tessera.plans.run import cluster
+    rng = random.Random(3)
+    centers = [[0.0] * 100, [1.0] * 100] + [[float(rng.randrange(2)) for _ in range(100)] for _ in range(2)]
+    coords = [[abs(v - 1e-3 * rng.random()) for v in rng.choice(centers)] for _ in range(300)]
+    pts = make_points(spark, coords)
+    spec = G.grid_spec(pts, 100, 100)
+    assert not spec.numbered
+    res = cluster(pts, 3, 100, 1, avg_basis="occupied")
+    m = {(p, n): v for p, _, n, v in res.metric_rows}
+    assert m[("sample", "sample_size")] < 30
+    assert res.assignments.count() == 300 and len(res.center_list) == 3
+
+
+def test_all_leaves_with_empty_children(spark):
+    pts = PART.load(spark, SF01)
+    grid = G.adaptive_grid(pts, 20, 2)
+    cells = G.adaptive_cells(grid, empty=True)
+    assert cells.count() == grid.n_cells
+    assert cells.agg(F.sum("n")).first()[0] == grid.spec.n
+    assert cells.where("n > 0").count() == G.adaptive_cells(grid).count()

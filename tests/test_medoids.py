@@ -60,7 +60,7 @@ def test_numpy_sweep_equals_plain_sweep():
         X = [[rng.uniform(0, 10), rng.uniform(0, 10)] for _ in range(m)]
         w = [float(rng.randint(1, 3)) for _ in range(m)]
         k = rng.randint(1, min(4, m))
-        med, cost = SM.pam_slot_sweep(SM.pairwise(np.array(X)), np.array(w), k)
+        med, cost = SM.pam_points(np.array(X), np.array(w), k)
         pmed, pcost = pam_plain(X, w, k)
         assert med == pmed
         assert cost == pytest.approx(pcost, rel=1e-12)
@@ -100,22 +100,48 @@ def test_sample_search_matches_plain_sweep(spark):
     assert res.cost == pytest.approx(cost, rel=1e-9)
 
 
-def test_distributed_search_equals_one_task_search(spark):
+def test_search_with_many_blocks_equals_one_block(spark, monkeypatch):
     pts = PART.load(spark, SF001).withColumn("rank", SM.seeded_rank("point_id", 0))
-    local = SR.sample_medoids(pts, 4, 2)
-    dist = SR.sample_medoids(pts, 4, 2, local_sample=0)
-    assert local.jobs == 1 and dist.jobs > 1
-    assert local.medoid_ids == dist.medoid_ids
-    assert local.cost == pytest.approx(dist.cost, rel=1e-9)
-    assert local.sweeps == dist.sweeps
+    monkeypatch.setattr(SR, "PAIRS_PER_CORE", 0)
+    one = SR.sample_medoids(pts, 3, 2)
+    many = SR.sample_medoids(pts, 3, 2, block_rows=37)
+    monkeypatch.setattr(SR, "ADD_AT_ONCE", 2)      # tables added in several steps
+    steps = SR.sample_medoids(pts, 3, 2, block_rows=37)
+    assert one.medoid_ids == many.medoid_ids == steps.medoid_ids
+    assert one.cost == pytest.approx(many.cost, rel=1e-9) and many.cost == pytest.approx(steps.cost, rel=1e-9)
+
+
+def test_scorer_equals_plain_costs_with_many_medoids():
+    """Points near two medoids are skipped by chunk; the sums stay the same."""
+    rng = np.random.default_rng(2)
+    X, w = rng.uniform(0, 100, (300, 2)), rng.integers(1, 4, 300).astype(float)
+    for k in (1, 2, 40):
+        med = list(range(k))
+        got = SM.SwapScorer(X, w, X[med]).table(X)
+        D = SM.cross_distances(X, X)
+        for i in range(k):
+            rest = np.min(np.delete(D[:, med], i, axis=1), axis=1, initial=np.inf)
+            want = (w[:, None] * np.minimum(rest[:, None], D)).sum(axis=0)
+            assert np.allclose(got[i], want, rtol=1e-12)
 
 
-def test_search_with_many_blocks_equals_one_block(spark):
-    pts = PART.load(spark, SF001).withColumn("rank", SM.seeded_rank("point_id", 0))
-    one = SR.sample_medoids(pts, 3, 2, local_sample=0)
-    many = SR.sample_medoids(pts, 3, 2, block_rows=37, local_sample=0)
-    assert one.medoid_ids == many.medoid_ids
-    assert one.cost == pytest.approx(many.cost, rel=1e-9)
+def test_a_cell_of_any_size_is_swept(spark, monkeypatch):
+    """tau above the number of points: one big cell, in small chunks."""
+    rng = np.random.default_rng(4)
+    X, w = rng.normal(size=(3000, 2)), np.ones(3000)
+    small = SM.pam_points(X, w, 2, max_sweeps=1)
+    monkeypatch.setattr(SM, "CHUNK_DOUBLES", 20_000)
+    assert SM.pam_points(X, w, 2, max_sweeps=1)[0] == small[0]
+
+
+def test_many_ties_send_few_rows(spark):
+    """All points of a circle tie for one slot; a block sends the one that can win."""
+    ang = np.arange(400) * 2 * np.pi / 400
+    pts = make_points(spark, np.c_[np.cos(ang), np.sin(ang)].tolist()).withColumn("rank", SM.seeded_rank("point_id", 0))
+    med = SR.initial_global(pts, 1)
+    cur, best = SR.best_swaps(SR.block_pairs(pts, 2), SR.medoid_coords(pts, med), med, [0])[0]
+    order = [r["point_id"] for r in pts.orderBy("rank", "point_id").collect()]
+    assert best[0] == order[1] and best[1] == pytest.approx(cur, rel=1e-9)
 
 
 def test_phase1_beats_random_start(spark):
@@ -125,8 +151,7 @@ def test_phase1_beats_random_start(spark):
     coords = [[cx + rng.gauss(0, 1), cy + rng.gauss(0, 1)] for cx, cy in blobs for _ in range(20)]
     pts = make_points(spark, coords).withColumn("rank", SM.seeded_rank("point_id", 0))
     start = SR.initial_global(pts, 3)
-    scored = SR.broadcast_points(pts, 2)
-    M0 = SR._Lookup(scored).coords(start)
+    M0 = SR.medoid_coords(pts, start)
     start_cost = SR.set_cost(pts, M0).first()["cost"]
     res = SR.sample_medoids(pts, 3, 2)
     assert res.cost < start_cost
