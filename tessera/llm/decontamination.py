@@ -274,7 +274,7 @@ def _batch_matches(batch: pa.RecordBatch, index: Index):
 
 def _match_fn(index: Index):
     def run(batches):
-        for batch in batches:
+        for batch in X.pieces(batches):
             found = list(_batch_matches(batch, index))
             ids = batch.column(0).take(pa.array([f[0] for f in found], pa.int64()))
             yield pa.RecordBatch.from_arrays(
@@ -306,7 +306,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def _clean_fn(index: Index):
     def run(batches):
-        for batch in batches:
+        for batch in X.pieces(batches):
             keep = np.ones(batch.num_rows, bool)
             keep[[f[0] for f in _batch_matches(batch, index)]] = False
             yield batch.filter(pa.array(keep))

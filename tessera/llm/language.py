@@ -17,6 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import textops as X
 from tessera.llm.tables import type_of
 
 UNKNOWN = "und"
@@ -94,7 +95,7 @@ class Classifier:
 def _predict_fn(content: dict[str, bytes], narrow: float):
     def run(batches):
         model = Classifier(content)
-        for batch in batches:
+        for batch in X.pieces(batches):
             found = [model.predict(t) for t in batch.column("text").to_pylist()]
             margin = [f[2] for f in found]
             yield pa.RecordBatch.from_arrays(

@@ -105,7 +105,7 @@ def _keep_fn(model: crf.Model):
     score = _score_fn(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in X.pieces(batches):
             texts = pa.RecordBatch.from_arrays([batch.column("text")] * 2, ["doc_id", "text"])
             kept = pa.concat_arrays([b.column("kept") for b in score([texts])]) if batch.num_rows else pa.array([], pa.bool_())
             yield batch.filter(kept)

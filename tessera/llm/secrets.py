@@ -221,7 +221,7 @@ def _scan_fn(rules):
 
     def run(batches):
         prepared = _prepared(rules)
-        for batch in batches:
+        for batch in X.pieces(batches):
             found = scan_batch(batch.column("text"), rules, *prepared)
             counts = [pa.array([sum(s[1] == k for s in spans) for spans in found], pa.int64()) for k in base]
             base_text = [joined([s for s in spans if s[1] in base], rules) for spans in found]
@@ -248,7 +248,7 @@ def scan(docs: DataFrame, rules=RULES) -> DataFrame:
 def _mask_fn(rules, names):
     def run(batches):
         prepared = _prepared(rules)
-        for batch in batches:
+        for batch in X.pieces(batches):
             found = scan_batch(batch.column("text"), rules, *prepared)
             texts = [masked(t, spans, rules) if spans else t for t, spans in zip(batch.column("text").to_pylist(), found)]
             cols = {n: batch.column(n) for n in names}

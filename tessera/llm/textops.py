@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: bytes of text that one set of numpy temporaries covers (a longer single text is taken whole)
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 SEPARATOR = np.zeros(256, dtype=bool)
 SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -64,6 +64,14 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         at = end
 
 
+def pieces(batches, name: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut into row ranges of at most ``limit`` bytes of text (one row at least), so
+    that what a task makes of them at once stays small however many rows a batch has."""
+    for batch in batches:
+        for a, b in slices(buffers(batch.column(batch.schema.get_field_index(name)))[1], limit):
+            yield batch.slice(a, b - a)
+
+
 def text_slices(batch: pa.RecordBatch, name: str = "text", fold: bool = False):
     """(first row, end row, bytes, offsets) of every slice of a batch's text column; with
     ``fold`` in lower case, letters of all scripts."""

@@ -23,6 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from tessera.llm import textops as X
 from tessera.llm.tables import type_of
 
 #: entries of the younger half of a memo
@@ -128,7 +129,7 @@ def counter(path: str) -> BpeCounter:
 def _count_fn(path: str, limit: int):
     def run(batches) -> Iterator[pa.RecordBatch]:
         count = counter(path).count
-        for batch in batches:
+        for batch in X.pieces(batches):
             texts = batch.column("text").to_pylist()
             n = np.fromiter((count(t) if t else 0 for t in texts), np.int64, len(texts))
             size = np.fromiter((len(t.encode("utf-8")) if t else 0 for t in texts), np.int64, len(texts))
