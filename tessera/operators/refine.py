@@ -32,6 +32,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.vectors import squared_distance
 from tessera.operators.assign import CenterList, nearest
 
 # fixed value: the median loop stops when a step is at most 0.01, with no
@@ -57,10 +58,7 @@ def pass_stats(assigned: DataFrame, xs: dict[int, list[float]], d: int) -> DataF
     mult = F.col("n") if "n" in assigned.columns else F.lit(1)
     rows = (assigned.select("center_id", "coords", "weight", mult.alias("_mult"))
             .join(F.broadcast(estimates(assigned.sparkSession, xs)), "center_id"))
-    sq = None
-    for i in range(d):
-        diff = F.col("coords")[i] - F.col("_x")[i]
-        sq = diff * diff if sq is None else sq + diff * diff
+    sq = squared_distance("coords", "_x", d)
     rows = rows.select("center_id", "coords", "weight", "_mult", "_x",
                        (F.col("coords") == F.col("_x")).alias("_at"), F.sqrt(sq).alias("_dist"))
     away = (~F.col("_at")) & (F.col("_dist") > 0)

@@ -18,7 +18,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -211,30 +211,36 @@ def pam_points(X: np.ndarray, w: np.ndarray, k: int, max_sweeps: int | None = No
     return med, float(np.dot(w, nearest))
 
 
+def coords_matrix(column, d: int) -> np.ndarray:
+    """An Arrow column of coordinate arrays as an ``m x d`` matrix."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, d)
+
+
+_PAM_COLS = ["cell_key", "point_id", "rank", "n", "weight", "coords"]
+
+
 def _pam_buckets(d: int, max_sweeps: int | None, quota_one: bool, avg_per_cell: float):
-    """applyInPandas body: every cell of one hash bucket, cell by cell."""
-    xs = [f"x{i}" for i in range(d)]
-    cols = ["cell_key", "slot", "point_id", "rank", "n", "weight", *xs, "cell_cost"]
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["cell_key", "rank", "point_id"], kind="mergesort").reset_index(drop=True)
-        keys = pdf["cell_key"].to_numpy()
-        X = pdf[xs].to_numpy(dtype=np.float64)
-        w = pdf["n"].to_numpy(dtype=np.float64)
-        counts = pdf["n"].to_numpy(dtype=np.int64)
+    """applyInArrow body: every cell of one hash bucket, cell by cell."""
+
+    def fn(t: pa.Table) -> pa.Table:
+        t = t.select(_PAM_COLS).sort_by([("cell_key", "ascending"), ("rank", "ascending"), ("point_id", "ascending")])
+        keys = t.column("cell_key").to_numpy()
+        X = coords_matrix(t.column("coords"), d)
+        counts = t.column("n").to_numpy()
+        w = counts.astype(np.float64)
         starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        ends = np.r_[starts[1:], len(pdf)]
+        ends = np.r_[starts[1:], len(keys)]
         rows, slots, costs = [], [], []
         for a, b in zip(starts, ends):
             k = 1 if quota_one else quota_of(int(counts[a:b].sum()), b - a, avg_per_cell)
             med, cost = pam_points(X[a:b], w[a:b], k, max_sweeps)
-            rows.extend(a + j for j in med)
+            rows.extend(int(a + j) for j in med)
             slots.extend(range(len(med)))
             costs.extend([cost] * len(med))
-        out = pdf.iloc[rows].copy()
-        out["slot"] = np.asarray(slots, dtype=np.int32)
-        out["cell_cost"] = np.asarray(costs, dtype=np.float64)
-        return out[cols]
+        out = t.take(pa.array(rows, pa.int64()))
+        return (out.append_column("slot", pa.array(slots, pa.int32()))
+                .append_column("cell_cost", pa.array(costs, pa.float64())))
 
     return fn
 
@@ -260,16 +266,11 @@ def cell_pam(merged: DataFrame, d: int, avg_per_cell: float, max_sweeps: int | N
         n_rows = merged.count()
     par = merged.sparkSession.sparkContext.defaultParallelism
     buckets = max(par, -(-int(n_rows) // rows_per_task))
-    flat = merged.select(F.pmod(F.xxhash64("cell_key"), F.lit(buckets)).alias("_b"),
-                    "cell_key", "point_id", "rank", "n", "weight",
-                    *[F.col("coords")[i].alias(f"x{i}") for i in range(d)])
-    xs_schema = ", ".join(f"x{i} DOUBLE" for i in range(d))
-    schema = (f"cell_key STRING, slot INT, point_id BIGINT, rank BIGINT, n BIGINT, "
-              f"weight DOUBLE, {xs_schema}, cell_cost DOUBLE")
-    res = flat.groupBy("_b").applyInPandas(_pam_buckets(d, max_sweeps, quota_one, avg_per_cell),
-                                           schema)
-    return res.select("cell_key", "slot", "point_id", "rank", "n", "weight",
-                      F.array(*[F.col(f"x{i}") for i in range(d)]).alias("coords"), "cell_cost")
+    flat = merged.select(F.pmod(F.xxhash64("cell_key"), F.lit(buckets)).alias("_b"), *_PAM_COLS)
+    schema = ("cell_key STRING, point_id BIGINT, rank BIGINT, n BIGINT, weight DOUBLE, coords ARRAY<DOUBLE>, "
+              "slot INT, cell_cost DOUBLE")
+    res = flat.groupBy("_b").applyInArrow(_pam_buckets(d, max_sweeps, quota_one, avg_per_cell), schema)
+    return res.select("cell_key", "slot", "point_id", "rank", "n", "weight", "coords", "cell_cost")
 
 
 def grid_sample(grid: AdaptiveGrid, seed: int = 0, max_sweeps: int | None = None,
