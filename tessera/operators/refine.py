@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import squared_distance
-from tessera.operators.assign import CenterList, nearest
+from tessera.operators.assign import UNROLL_TERMS, CenterList, nearest
 
 # fixed value: the median loop stops when a step is at most 0.01, with no
 # cap on the number of passes
@@ -56,8 +56,14 @@ def pass_stats(assigned: DataFrame, xs: dict[int, list[float]], d: int) -> DataF
     """One Weiszfeld pass aggregate: ``center_id, r_0.., den, w_at, n``
     for the clusters in ``xs`` (W3-W5)."""
     mult = F.col("n") if "n" in assigned.columns else F.lit(1)
-    rows = (assigned.select("center_id", "coords", "weight", mult.alias("_mult"))
-            .join(F.broadcast(estimates(assigned.sparkSession, xs)), "center_id"))
+    rows = assigned.select("center_id", "coords", "weight", mult.alias("_mult"))
+    if len(xs) * d <= UNROLL_TERMS:
+        # the same estimates as a literal map of the ids present: no job for the broadcast
+        known = F.create_map(*[v for j, x in xs.items() for v in
+                               (F.lit(int(j)).cast("int"), F.array(*[F.lit(float(c)) for c in x]))])
+        rows = rows.where(F.col("center_id").isin(list(xs))).withColumn("_x", known[F.col("center_id")])
+    else:
+        rows = rows.join(F.broadcast(estimates(assigned.sparkSession, xs)), "center_id")
     sq = squared_distance("coords", "_x", d)
     rows = rows.select("center_id", "coords", "weight", "_mult", "_x",
                        (F.col("coords") == F.col("_x")).alias("_at"), F.sqrt(sq).alias("_dist"))

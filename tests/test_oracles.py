@@ -6,8 +6,9 @@ import pytest
 import __spark_entry__ as E
 from oracle_check import compare, duck
 from conftest import SF01
+from tessera.plans import queries as Q
 
-ORACLES = E.oracle_sql()
+ORACLES = Q.ORACLE
 
 
 @pytest.fixture(scope="module")

@@ -3,20 +3,20 @@ point scans read only the point columns."""
 
 import pytest
 
-import __spark_entry__ as E
 from conftest import SF001
 from tessera.operators import assign as A
+from tessera.plans import queries as Q
 from tessera.plans.fixtures import PART, first_k_centers
 
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin")
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(Q.REGISTRY))
 def test_no_cross_join(spark, name):
     """Neither the returned plan nor that of any job run on the way has one."""
     store = spark._jsparkSession.sharedState().statusStore()
     before = store.executionsList().size()
-    df = E.queries()[name](spark, SF001)
+    df = Q.REGISTRY[name](spark, SF001)
     plans = [df._jdf.queryExecution().executedPlan().toString()]
     done = store.executionsList()
     plans += [done.apply(i).physicalPlanDescription() for i in range(min(before, done.size() - 1), done.size())]
