@@ -31,12 +31,12 @@ from tessera.llm.tables import counted, type_of, written
 #: that allow a judgement, and the share of them that a judged path must be on
 CONTENT, LEAST_IMPORTANCE, LEAST_PAGES, LEAST_SHARE = 0.9, 0.35, 5, 0.3
 
-_SKIP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|svg|iframe|object|math|canvas|audio|video)\b"
+_SKIP = re.compile(r"<!--.*?(?:-->|\Z)|<(?:svg|math)\b[^>]*/>|<(script|style|template|noscript|svg|iframe|object|math|canvas|audio|video)\b"
                    r"[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>"']*+(?:(?:"[^"]*"|'[^']*')[^>"']*+)*+)>|<[!?/][^>]*>|<(?:[a-zA-Z/!?][^>]*)\Z""")
 _BROKEN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>")
-_MARK = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b(?!\s*=)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_ATTR = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: elements within a block's text
@@ -45,12 +45,14 @@ s samp small span strike strong sub sup time tt u var""".split())
 #: elements that are never article text
 OUTSIDE = frozenset("""head title nav footer aside form menu dialog button select option textarea input fieldset
 datalist frameset frame applet""".split())
-#: words of a class, id or role that mark a branch as other than article text
-_OTHER = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|popup|"
-    r"modal|newsletter|subscribe|subscription|nav|navbar|navigation|menu|breadcrumbs?|sidebar|aside|widget|footer|header|masthead|"
-    r"topbar|toolbar|share|sharing|social|related|recommended|comments?|commentlist|disqus|replies|respond|notices?|alert|"
-    r"disclaimer|copyright|login|signup|search|pagination|pager|skip|tags?|complementary|contentinfo|search-?box)(?=$|[\s_-])", re.I)
+#: words of a class, id or role that mark a branch as other than article text: a whole token, or all its hyphenated parts
+_OTHER = frozenset("""ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies
+consent gdpr popup modal newsletter subscribe subscription nav navbar navigation menu breadcrumb breadcrumbs sidebar aside
+widget footer header masthead topbar toolbar share sharing social related recommended comment comments commentlist disqus
+replies respond notice notices alert disclaimer copyright login signup search pagination pager skip tag tags complementary
+contentinfo searchbox site-header site-footer site-nav site-navigation main-nav main-menu main-navigation search-box""".split())
+#: of them and of the elements above, those that list other articles, or comments as articles
+_LISTS = frozenset("nav footer aside related recommended comment comments commentlist disqus replies respond".split())
 _CLOSED_BY_BLOCK = "p"
 _SAME = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr",), "th": ("tr",), "option": ("select",)}
 
@@ -64,56 +66,124 @@ def _key(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+def _attributes(attrs: str) -> dict[str, str]:
+    found: dict[str, str] = {}
+    for name, a, b, c in _ATTR.findall(attrs):
+        found.setdefault(name.lower(), a or b or c)
+    return found
+
+
+def _hidden(attributes: dict[str, str]) -> bool:
+    return (attributes.get("hidden", "until-found").lower() != "until-found" or attributes.get("aria-hidden", "").strip().lower() == "true"
+            or bool(_NO_DISPLAY.search(attributes.get("style", ""))))
+
+
+def _others(marks: list[str]) -> set[str]:
+    """The words by which marks name a branch as other than article text."""
+    found = set()
+    for mark in marks:
+        parts = re.split(r"[-_]+", mark.strip("-_"))
+        if mark in _OTHER:
+            found.add(mark)
+        elif all(x in _OTHER for x in parts):
+            found.update(parts)
+    return found
+
+
+class Element:
+    """An open or closed element; ``listed`` if its name, a mark or an attribute excludes it."""
+
+    __slots__ = ("tag", "path", "parent", "listed", "lists", "in_article", "children")
+
+    def __init__(self, tag: str, path: str, parent: Element | None):
+        self.tag, self.path, self.parent = tag, path, parent
+        self.listed = self.lists = False
+        self.in_article = tag == "article" or (parent is not None and parent.in_article)
+        self.children: list[str] = []
+
+    def up(self):
+        e = self
+        while e is not None:
+            yield e
+            e = e.parent
+
+
 class Page:
     """Blocks (path, text) of a page outside of excluded branches, and the child
-    sequences of its elements."""
+    sequences of its elements.
+
+    A branch that holds the page's article or main is not excluded; lists of other articles
+    and comments are, if an article or main lies outside of them."""
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, str]] = []
-        self.styles: list[tuple[str, str]] = []
-        self._stack: list[tuple[str, str, bool, list[str]]] = [("", "", False, [])]
+        self._found: list[tuple[Element, str]] = []
+        self._closed: list[Element] = []
+        self._stack: list[Element] = [Element("", "", None)]
         self._text: list[str] = []
+        self._main, self._in_lists = False, []
         self._parse(_SKIP.sub(" ", source))
+        if not self._main:
+            for e in self._in_lists:
+                e.listed = False
+        self.blocks: list[tuple[str, str]] = [(e.path, t) for e, t in self._found if not self._out(e)]
+        self.styles: list[tuple[str, str]] = [(e.path, ",".join(e.children)) for e in self._closed if not self._out(e)]
+
+    @staticmethod
+    def _out(e: Element) -> bool:
+        return any(x.listed for x in e.up())
 
     def _flush(self):
         if self._text:
             text = " ".join(entities.unescape("".join(self._text)).split())
             self._text = []
-            if text and not self._stack[-1][2]:
-                self.blocks.append((self._stack[-1][1], text))
+            if text:
+                self._found.append((self._stack[-1], text))
 
     def _close(self, depth: int):
         while len(self._stack) > depth:
             self._flush()
-            tag, path, out, children = self._stack.pop()
-            if not out:
-                self.styles.append((path, ",".join(children)))
+            self._closed.append(self._stack.pop())
 
     def _open(self, tag: str, attrs: str):
         self._flush()
-        if self._stack[-1][0] == _CLOSED_BY_BLOCK:
+        if self._stack[-1].tag == _CLOSED_BY_BLOCK:
             self._close(len(self._stack) - 1)
         if tag in _SAME:
             for d in range(len(self._stack) - 1, 0, -1):
-                if self._stack[d][0] in _SAME[tag]:
+                at = self._stack[d].tag
+                if at in _SAME[tag]:
                     break
-                if self._stack[d][0] == tag or (tag in ("dt", "dd") and self._stack[d][0] in ("dt", "dd")) \
-                        or (tag in ("td", "th") and self._stack[d][0] in ("td", "th")):
+                if at == tag or (tag in ("dt", "dd") and at in ("dt", "dd")) or (tag in ("td", "th") and at in ("td", "th")):
                     self._close(d)
                     break
-        marks = " ".join(a or b or c for a, b, c in _MARK.findall(attrs)) if attrs else ""
-        _, path, out, children = self._stack[-1]
-        name = f"{tag}.{marks.split()[0].lower()}" if marks else tag
-        children.append(name)
-        if not out and tag not in ("html", "body", "article", "main"):
-            out = (tag in OUTSIDE or (tag == "header" and "article" not in path) or bool(marks and _OTHER.search(marks))
-                   or bool(attrs and _HIDDEN.search(attrs)))
-        self._stack.append((tag, path if tag in ("html", "body") else f"{path}/{name}", out, children := []))
-
-    @staticmethod
-    def _other(marks: str, path: str) -> bool:
-        found = _OTHER.search(marks) if marks else None
-        return bool(found) and not ("article" in path and "header" in found[0].lower())
+        attributes = _attributes(attrs) if attrs else {}
+        marks = " ".join(attributes[k] for k in attributes if k in ("class", "id", "role")).lower().split() if attributes else []
+        parent = self._stack[-1]
+        name = f"{tag}.{marks[0]}" if marks else tag
+        parent.children.append(name)
+        e = Element(tag, parent.path if tag in ("html", "body") else f"{parent.path}/{name}", parent)
+        if tag in ("body", "article", "main"):
+            self._spare(parent, tag)
+        elif tag != "html":
+            words = _others(marks) if marks else set()
+            if e.in_article:
+                words.discard("header")  # the article's own
+            e.listed = (tag in OUTSIDE or (tag == "header" and not e.in_article) or bool(words)
+                        or (bool(attributes) and _hidden(attributes)))
+            e.lists = e.listed and (tag in _LISTS or not words.isdisjoint(_LISTS))
+        self._stack.append(e)
+
+    def _spare(self, parent: Element, tag: str):
+        """What holds a body, article or main is not excluded."""
+        above = list(parent.up())
+        lists = [e for e in above if e.lists] if tag == "article" else []
+        for e in above:
+            if e.listed and e not in lists:
+                e.listed = False
+        if lists:
+            self._in_lists += lists
+        elif tag != "body":
+            self._main = True
 
     def _parse(self, source: str):
         at = 0
@@ -152,10 +222,10 @@ class Page:
             return
         self._flush()
         for d in range(len(self._stack) - 1, 0, -1):
-            if self._stack[d][0] == tag:
+            if self._stack[d].tag == tag:
                 self._close(d)
                 return
-            if self._stack[d][0] in ("article", "body", "td") and tag not in ("body", "html", "table", "tr", "article", "main"):
+            if self._stack[d].tag in ("article", "body", "td") and tag not in ("body", "html", "table", "tr", "article", "main"):
                 return  # a stray end tag doesn't close what it lies in
 
 

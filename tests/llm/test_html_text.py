@@ -82,3 +82,18 @@ def test_odd_rows(spark):
     by = {r.page_id: r for r in got}
     assert (by[1].text, by[1].n_chars, by[2].text, by[None].text) == ("", 0, "", "a") and by[3].n_chars == 599_999
     assert extract(pages.limit(0)).collect() == []
+
+
+def test_an_article_is_not_lost_by_loose_words_or_its_wrapper():
+    inside = "<header class='entry-header'><h1>T</h1></header><p>one</p>"
+    for attrs in ("style='overflow:hidden'", "class='hidden-xs'", "title='hidden gems'", "id='content-sidebar-wrap'", "class='has-sidebar'",
+                  "class='search-results'", "class='post tag-news'", "class='sidebar'", "class='menu' hidden", "data-x='display:none'"):
+        assert text(f"<div {attrs}><article>{inside}</article></div><p class='menu'>m</p>") == "T\none", attrs
+        assert text(f"<div {attrs}><b>w</b><main>{inside.replace('header', 'div')}</main></div>") == "w\nT\none", attrs
+    assert text(f"<form><aside><article>{inside}</article></aside></form><nav>n</nav>") == "T\none"
+    assert text(f"<head><title>t</title><body><article>{inside}</article>") == "T\none"
+    assert text(f"<svg viewBox='0 0 1 1'/><math/><article>{inside}</article>") == "T\none"
+    assert text(f"<svg><title>s</title></svg><article>{inside}</article><div style='color:red; display: none'>h</div><p hidden>i</p>") == "T\none"
+    page = f"<article>{inside}</article><section class='comments'><article>first!</article></section><aside><article>more</article></aside>"
+    assert text(page) == "T\none"
+    assert text("<div class='particles'><header>top</header></div><p>x") == "x"
