@@ -51,9 +51,17 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 16, base=True),
     Rule("hex", r"[0-9a-f]{32,}", 32, base=True),  # runs are taken whole, so shorter ones need no match
 )
+#: a key from BEGIN through its END line; else through the headers, base64 lines (line breaks may be escaped or
+#: spaces), short last line and checksum that follow. No look-around, so that RE2 reads it too
+_KEY_NAME = r"(?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"
+_BREAK = r"(?:[\x20\t\r\n]|\\[nr])*"
+_KEY = (rf"-----BEGIN {_KEY_NAME}(?:[^-]*(?:-{{1,4}}[^-]+)*-----END {_KEY_NAME}"
+        rf"|(?:[\x20\t\r\n]*[A-Za-z][A-Za-z-]*:\x20[^\n]*\n)*(?:{_BREAK}[A-Za-z0-9+/]{{16,}}={{0,2}})+"
+        rf"(?:{_BREAK}[A-Za-z0-9+/]{{1,15}}(?:==|=(?m:\r?$))|\r?\n[A-Za-z0-9+/]{{1,15}}(?m:\r?$))?"
+        rf"(?:{_BREAK}=[A-Za-z0-9+/]{{4}}(?m:\r?$))?)?")
 #: kinds beyond the base: public formats of keys
 MORE_RULES = (
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    Rule("private_key", _KEY),
     Rule("hub_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}"),
