@@ -15,6 +15,8 @@ one vector of domain totals. Nothing but such vectors reaches the driver.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,8 +25,9 @@ from pyspark.sql import functions as F
 from tessera.llm import textops as X
 from tessera.llm.tables import type_of, written
 
-#: hashed words of the classifier, labelled texts (about) it is fitted on, and characters of the longest
-BUCKETS, SAMPLE_TEXTS, SAMPLE_CHARS = 1 << 16, 2500, 20_000
+#: hashed words of the classifier, labelled texts (about) it is fitted on, those of a domain that has as many,
+#: and characters of each
+BUCKETS, SAMPLE_TEXTS, LEAST_TEXTS, SAMPLE_CHARS = 1 << 16, 2500, 50, 20_000
 STEPS, RATE, PENALTY = 100, 0.3, 1e-4
 
 
@@ -57,27 +60,43 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def texts_of(counts: dict[str, int]) -> int:
+    """The most texts to draw of a domain by which all draw SAMPLE_TEXTS together: small domains give all
+    they have, the others alike, at least LEAST_TEXTS."""
+    left, most = SAMPLE_TEXTS, 0
+    for k, n in enumerate(sorted(counts.values())):
+        most = left // (len(counts) - k)
+        if n > most:
+            break
+        left -= n
+    return max(most, LEAST_TEXTS)
+
+
 def fit_domains(docs: DataFrame, labels: DataFrame) -> Domains:
-    """A classifier from ``labels(doc_id, domain)``, on a bounded sample: about SAMPLE_TEXTS
-    texts of at most SAMPLE_CHARS characters, those whose id has the lowest hash. A
+    """A classifier from ``labels(doc_id, domain)``. The domains and their shares are those of all
+    labelled documents that have a text; the words are weighed on a bounded sample: of each domain
+    about ``texts_of`` texts, cut to SAMPLE_CHARS characters, those whose id has the lowest hash. A
     repeated id counts once, with its first domain by name; null ids and domains don't."""
     rows = labels.where("domain IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("domain").alias("domain"))
-    n = rows.count()
-    order = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30))
-    some = rows.where(order < min(1.0, SAMPLE_TEXTS / max(n, 1)) * float(1 << 30))
-    found = (docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(some), "doc_id")
-             .groupBy("doc_id").agg(F.min("text").alias("text"), F.min("domain").alias("domain")).collect())
-    found.sort(key=lambda r: r["doc_id"])
-    names = sorted({r["domain"] for r in found})
+    rows = written(rows.join(docs.where("text IS NOT NULL").select("doc_id").distinct(), "doc_id"), "labelled")
+    counts = {r["domain"]: r["n"] for r in rows.groupBy("domain").agg(F.count("*").alias("n")).collect()}
+    names = sorted(counts)
     if not names:
         return Domains([], np.zeros((BUCKETS, 0)), np.zeros(0))
+    most = texts_of(counts)
+    below = docs.sparkSession.createDataFrame([(d, min(1.0, most / n) * (1 << 30)) for d, n in counts.items()], "domain STRING, below DOUBLE")
+    order = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30))
+    some = rows.join(F.broadcast(below), "domain").where(order < F.col("below")).select("doc_id", "domain")
+    found = (docs.where("text IS NOT NULL").select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+             .join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("domain").alias("domain")).collect())
+    found.sort(key=lambda r: r["doc_id"])
     data, offsets = X.buffers(pa.array([r["text"] for r in found], pa.string()))
     at, row, n_words = _bags(data, offsets)
     scale = 1 / np.sqrt(np.maximum(n_words, 1))
     y = np.zeros((len(found), len(names)))
     y[np.arange(len(found)), [names.index(r["domain"]) for r in found]] = 1
-    share = y.mean(axis=0)
-    balance = (y / share).sum(axis=1)  # all domains weigh alike while fitting; the bias then gets their shares
+    share = np.array([counts[n] for n in names]) / sum(counts.values())
+    balance = (y / np.maximum(y.mean(axis=0), 1 / len(found))).sum(axis=1)  # all domains weigh alike while fitting; the bias then gets their shares
     w, b = np.zeros((BUCKETS, len(names))), np.zeros(len(names))
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, STEPS + 1):
@@ -174,12 +193,14 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], share: fl
 
     The totals' sum is ``share`` of all words. Domains are those of the labelled table,
     by name; one without a weight has target 0, a weight without a labelled domain can't
-    be met and is left out. Returns (doc_id, n_tokens, posteriors, domain, rate): words,
+    be met: a warning names it and the others share its part. Returns (doc_id, n_tokens, posteriors, domain, rate): words,
     posteriors in the order of the names, the likeliest domain, and the rate. A null or
     empty text has no tokens, the domains' shares as posteriors and rate 0; without a
     labelled text there are no domains and every rate is 0. One result row per input
     row; other columns are ignored."""
     model = fit_domains(docs, labels)
+    if without := sorted(n for n, w in weights.items() if w > 0 and n not in model.names):
+        warnings.warn(f"no labelled text for the targets {', '.join(without)}; the others share their part", stacklevel=2)
     kind = type_of(docs, "doc_id")
     members = written(docs.select("doc_id", "text").mapInArrow(
         _posterior_fn(model), f"doc_id {kind}, n_tokens BIGINT, p ARRAY<DOUBLE>"), "members")

@@ -1,8 +1,11 @@
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from helpers import ODD, no_docs, odd
-from tessera.llm.mixing import mix, rates_of, solve
+from tessera.llm import textops as X
+from tessera.llm.mixing import fit_domains, mix, rates_of, solve, texts_of
 from tessera.llm.queries import TARGETS, label_domains
 
 SF = "/root/testdata/sf0.01"
@@ -55,3 +58,20 @@ def test_odd_rows(spark):
     assert all(r.rate == 0 and r.domain is None and r.posteriors == [] for r in none) and len(none) == len(ODD)
     assert mix(no_docs(spark), labels, {"w": 1.0}).collect() == []
     assert mix(docs := odd(spark).where(F.col("text").isNull()), labels, {"w": 1.0}).count() == docs.count()
+
+
+def test_rare_domains_keep_their_names_and_shares(spark):
+    rows = [(i, "rare word here" if i < 3 else "other" if i < 2000 else "common text") for i in range(12_000)]
+    docs = spark.createDataFrame([(i, t + " x" * (i % 5)) for i, t in rows] + [(20_000, "long " * 5000)], "doc_id BIGINT, text STRING")
+    names = {"rare word here": "rare", "other": "some", "common text": "most"}
+    # most labels are of documents that an earlier stage has taken out
+    labels = spark.createDataFrame([(i, names[t]) for i, t in rows] + [(20_000, "long")] + [(i, "most") for i in range(30_000, 200_000)]
+                                   + [(300_000, "gone")], "doc_id BIGINT, domain STRING")
+    model = fit_domains(docs, labels)
+    assert model.names == ["long", "most", "rare", "some"]
+    data, offsets = X.buffers(pa.array(["", "rare word here"]))
+    p, _ = model.posteriors(data, offsets)
+    assert p[1, 2] > 20 * p[0, 2] and p[0, 1] > 0.7 > 0.01 > p[0, 2]  # what 3 of 12,001 texts can show
+    assert texts_of({"a": 3, "b": 100, "c": 10_000, "d": 10_000}) == 1198 and texts_of({"a": 1 << 40}) == 2500 and texts_of({"a": 1}) >= 1
+    with pytest.warns(UserWarning, match="gone"):
+        mix(docs.limit(50), labels, {"most": 1.0, "gone": 1.0})
