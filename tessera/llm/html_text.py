@@ -4,15 +4,22 @@ The DOMs of a host's pages are merged by path (tags with their classes from the
 down). In the merged tree an element's presentation importance is the entropy of its
 styles (sequences of child elements) over the pages, and its content importance one
 minus the mean entropy of the contents found there: what many pages repeat scores low.
-Branches of low importance are taken out of each page. The path that holds most of the
-host's distinct text is its main content and stays, as does everything on hosts with
-too few pages to compare. Branches that are never article text (navigation, headers,
-footers, asides, forms, scripts, adverts, notices, comments, by tag, role or class)
-are left out on every page.
+Paths of low importance are taken out of each page, and with them all that lies in a
+branch of which nearly all text is on such paths. The path that holds most of the
+host's distinct text is its main content and stays with what it lies in, as does
+everything on hosts with too few pages to compare.
+
+What an importance can't tell is text that differs from page to page and still is no
+article: links, adverts and notices by the page. Navigation, headers, footers, asides,
+forms, adverts, notices and comments, by tag, role or class, are judged in the tree like
+all else, and the list takes what the tree leaves of them; words of a class, id or role
+don't count on hosts whose important text lies nowhere but there. On pages without a
+host and hosts with few pages there is the list alone. Head, scripts and comments of the
+source are no part of the tree.
 
 A page is parsed once. Its blocks and the hashes of its merged-tree rows are written;
-only hashes are shuffled to build the trees, and each host's unimportant paths, few by
-construction, are joined to the pages' blocks.
+only hashes are shuffled to build the trees. Each host's unimportant paths are broadcast
+to the pages' blocks, or joined to them by a shuffle where they are many.
 """
 
 from __future__ import annotations
@@ -25,11 +32,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.tables import counted, type_of, written
+from tessera.llm.tables import BROADCAST_ROWS, counted, type_of, written
+from tessera.session import checkpoint
 
-#: weight of content in the importance, the least importance that stays, pages of a host
-#: that allow a judgement, and the share of them that a judged path must be on
-CONTENT, LEAST_IMPORTANCE, LEAST_PAGES, LEAST_SHARE = 0.9, 0.35, 5, 0.3
+#: weight of content in the importance, the least importance that stays, pages of a host that allow
+#: a judgement, and the least share of a branch's text that is important
+CONTENT, LEAST_IMPORTANCE, LEAST_PAGES, LEAST_WITHIN = 0.9, 0.35, 5, 0.1
 
 _SKIP = re.compile(r"<!--.*?(?:-->|\Z)|<(?:svg|math)\b[^>]*/>|<(script|style|template|noscript|svg|iframe|object|math|canvas|audio|video)\b"
                    r"[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
@@ -90,14 +98,18 @@ def _others(marks: list[str]) -> set[str]:
     return found
 
 
+WORD, TAG, META = 1, 2, 3
+
+
 class Element:
-    """An open or closed element; ``listed`` if its name, a mark or an attribute excludes it."""
+    """An open or closed element; ``listed`` if a mark (WORD), its tag or an attribute (TAG) excludes it
+    or it is no part of the body (META)."""
 
     __slots__ = ("tag", "path", "parent", "listed", "lists", "in_article", "children")
 
     def __init__(self, tag: str, path: str, parent: Element | None):
         self.tag, self.path, self.parent = tag, path, parent
-        self.listed = self.lists = False
+        self.listed, self.lists = 0, False
         self.in_article = tag == "article" or (parent is not None and parent.in_article)
         self.children: list[str] = []
 
@@ -124,13 +136,15 @@ class Page:
         self._parse(_SKIP.sub(" ", source))
         if not self._main:
             for e in self._in_lists:
-                e.listed = False
-        self.blocks: list[tuple[str, str]] = [(e.path, t) for e, t in self._found if not self._out(e)]
-        self.styles: list[tuple[str, str]] = [(e.path, ",".join(e.children)) for e in self._closed if not self._out(e)]
+                e.listed = 0
+        #: (element, text, how it is listed) of all branches of the body
+        self.found = [(e, t, out) for e, t in self._found if (out := self._out(e)) != META]
+        self.blocks: list[tuple[str, str]] = [(e.path, t) for e, t, out in self.found if not out]
+        self.styles: list[tuple[str, str]] = [(e.path, ",".join(e.children)) for e in self._closed if self._out(e) != META]
 
     @staticmethod
-    def _out(e: Element) -> bool:
-        return any(x.listed for x in e.up())
+    def _out(e: Element) -> int:
+        return max(x.listed for x in e.up())
 
     def _flush(self):
         if self._text:
@@ -168,9 +182,13 @@ class Page:
             words = _others(marks) if marks else set()
             if e.in_article:
                 words.discard("header")  # the article's own
-            e.listed = (tag in OUTSIDE or (tag == "header" and not e.in_article) or bool(words)
-                        or (bool(attributes) and _hidden(attributes)))
-            e.lists = e.listed and (tag in _LISTS or not words.isdisjoint(_LISTS))
+            if tag in ("head", "title"):
+                e.listed = META
+            elif tag in OUTSIDE or (tag == "header" and not e.in_article) or (attributes and _hidden(attributes)):
+                e.listed = TAG
+            elif words:
+                e.listed = WORD
+            e.lists = bool(e.listed) and (tag in _LISTS or not words.isdisjoint(_LISTS))
         self._stack.append(e)
 
     def _spare(self, parent: Element, tag: str):
@@ -179,7 +197,7 @@ class Page:
         lists = [e for e in above if e.lists] if tag == "article" else []
         for e in above:
             if e.listed and e not in lists:
-                e.listed = False
+                e.listed = 0
         if lists:
             self._in_lists += lists
         elif tag != "body":
@@ -229,31 +247,37 @@ class Page:
                 return  # a stray end tag doesn't close what it lies in
 
 
-BLOCK_TYPE = pa.list_(pa.struct([("path", pa.int64()), ("text", pa.string())]))
+BLOCK_TYPE = pa.list_(pa.struct([("path", pa.int64()), ("text", pa.string()), ("listed", pa.int8())]))
 STYLE_TYPE = pa.list_(pa.struct([("path", pa.int64()), ("parent", pa.int64()), ("value", pa.int64())]))
+#: the paths with text, each with the paths of its elements from itself to the body
+UP_TYPE = pa.list_(pa.struct([("path", pa.int64()), ("up", pa.list_(pa.int64()))]))
 
 
 def _parse_fn(batches):
     for batch in batches:
         for lo in range(0, max(batch.num_rows, 1), 256):
             part = batch.slice(lo, 256)
-            hosts, marks, blocks, styles = [], [], [], []
+            hosts, marks, blocks, styles, ups = [], [], [], [], []
             for url, source in zip(part.column("url").to_pylist(), part.column("html").to_pylist()):
                 page = Page(source or "")
                 hosts.append(_host(url))
-                marks.append(_key("\n".join(t for _, t in page.blocks)))
-                blocks.append([{"path": _key(p), "text": t} for p, t in page.blocks])
+                marks.append(_key("\n".join([t for _, t, out in page.found if out < TAG] or [t for _, t, _ in page.found])))
+                blocks.append([{"path": _key(e.path), "text": t, "listed": out} for e, t, out in page.found])
                 styles.append([{"path": _key(p), "parent": _key(p.rpartition("/")[0]), "value": _key(s)}
                                for p, s in dict.fromkeys(page.styles)])
+                ups.append([{"path": _key(e.path), "up": list(dict.fromkeys(_key(x.path) for x in e.up()))}
+                            for e in {e.path: e for e, _, _ in page.found}.values()])
             yield pa.RecordBatch.from_arrays(
                 [part.column("page_id"), part.column("url"), pa.array(hosts, pa.string()), pa.array(marks, pa.int64()),
-                 pa.array(blocks, BLOCK_TYPE), pa.array(styles, STYLE_TYPE)], ["page_id", "url", "host", "mark", "blocks", "styles"])
+                 pa.array(blocks, BLOCK_TYPE), pa.array(styles, STYLE_TYPE), pa.array(ups, UP_TYPE)],
+                ["page_id", "url", "host", "mark", "blocks", "styles", "ups"])
 
 
 def parsed(pages: DataFrame) -> DataFrame:
     schema = (f"page_id {type_of(pages, 'page_id')}, url STRING, host STRING, mark BIGINT, "
-              "blocks ARRAY<STRUCT<path: BIGINT, text: STRING>>, "
-              "styles ARRAY<STRUCT<path: BIGINT, parent: BIGINT, value: BIGINT>>")
+              "blocks ARRAY<STRUCT<path: BIGINT, text: STRING, listed: TINYINT>>, "
+              "styles ARRAY<STRUCT<path: BIGINT, parent: BIGINT, value: BIGINT>>, "
+              "ups ARRAY<STRUCT<path: BIGINT, up: ARRAY<BIGINT>>>")
     return pages.select("page_id", "url", "html").mapInArrow(_parse_fn, schema)
 
 
@@ -264,8 +288,12 @@ def _spread(n, m):
 
 
 def style_tree(rows: DataFrame) -> DataFrame:
-    """The merged trees of parsed pages: (host, path, importance, pages, m, chars, main) a path
-    with text, of ``m`` pages. Pages of a host with equal text count as one together."""
+    """The merged trees of parsed pages: (host, path, importance, pages, m, chars, listed, main,
+    by_tree, low) a path with text, of ``m`` pages. Pages of a host with equal text count as one
+    together. A path is low by its own importance, or as it lies in an element of whose text, over
+    all pages, less than LEAST_WITHIN is on important paths and that doesn't hold the main one.
+    The main path is not a listed one, unless a host has important text nowhere but in branches
+    that a word excludes: then it is ``by_tree``, and its words don't count."""
     same = rows.where("host IS NOT NULL").groupBy("host", "mark").agg(F.count("*").alias("c"))
     total = same.groupBy("host").agg(F.count("*").alias("m")).where(F.col("m") >= LEAST_PAGES)
     at = F.xxhash64("host")
@@ -275,28 +303,42 @@ def style_tree(rows: DataFrame) -> DataFrame:
     many = total.select(at.alias("h"), "host", "m")
     # a text twice on a page counts once there
     text = (pages.select("h", "w", F.explode(F.array_distinct(F.transform("blocks", lambda b: F.struct(
-        b["path"].alias("path"), F.xxhash64(b["text"]).alias("value"), F.length(b["text"]).alias("chars"))))).alias("x"))
-        .groupBy("h", "x.path", "x.value").agg(F.sum("w").alias("n"), F.max("x.chars").alias("chars")).join(many, "h"))
+        b["path"].alias("path"), F.xxhash64(b["text"]).alias("value"), F.length(b["text"]).alias("chars"), b["listed"].alias("listed"))))).alias("x"))
+        .groupBy("h", "x.path", "x.value").agg(F.sum("w").alias("n"), F.max("x.chars").alias("chars"), F.min("x.listed").alias("listed"))
+        .join(many, "h"))
     one = F.greatest("n", F.lit(1.0))
     content = text.groupBy("host", "path").agg((1 - _spread(one, F.col("m"))).alias("content"),
-                                               F.sum("chars").alias("chars"), F.max("m").alias("m"))
+                                               F.sum("chars").alias("chars"), F.sum(F.col("n") * F.col("chars")).alias("mass"),
+                                               F.min("listed").alias("listed"), F.max("m").alias("m"))
     style = (pages.select("h", "w", F.explode("styles").alias("x"))
              .groupBy("h", "x.path", "x.parent", "x.value").agg(F.sum("w").alias("n")).join(many, "h"))
     node = style.groupBy("host", "path", "parent").agg((1 - _spread(one, F.col("m"))).alias("style"), F.sum("n").alias("n"))
     on = node.select("host", "path", "parent", F.col("n").alias("pages"))
-    out = (content.join(on, ["host", "path"])
-           .join(node.select("host", F.col("path").alias("parent"), "style"), ["host", "parent"], "left")
-           .select("host", "path", "pages", "m", "chars",
-                   (CONTENT * F.col("content") + (1 - CONTENT) * F.coalesce("style", F.lit(0.0))).alias("importance")))
-    main = out.groupBy("host").agg(F.max_by("path", F.struct("chars", "path")).alias("main"))
-    return out.join(main, "host").withColumn("main", F.col("main") == F.col("path"))
+    out = written(
+        content.join(on, ["host", "path"])
+        .join(node.select("host", F.col("path").alias("parent"), "style"), ["host", "parent"], "left")
+        .select("host", "path", "pages", "m", "chars", "mass", "listed",
+                (CONTENT * F.col("content") + (1 - CONTENT) * F.coalesce("style", F.lit(0.0))).alias("importance")), "tree")
+    important = F.col("importance") >= LEAST_IMPORTANCE
+    hosts = out.groupBy("host").agg((~F.max(important & (F.col("listed") == 0)) & F.max(important & (F.col("listed") == WORD))).alias("by_tree"))
+    named = out.join(hosts, "host").withColumn("may", F.when(F.col("by_tree"), important & (F.col("listed") == WORD)).otherwise(F.col("listed") == 0))
+    main = named.where("may").groupBy("host").agg(F.max_by("path", F.struct("chars", "path")).alias("main"))
+    nodes = checkpoint(named.drop("may").join(main, "host", "left").withColumn("main", F.coalesce(F.col("main") == F.col("path"), F.lit(False))))
+    up = (rows.where("host IS NOT NULL").select(at.alias("h"), F.explode("ups").alias("x")).groupBy("h", "x.path").agg(F.any_value("x.up").alias("up"))
+          .join(many, "h").select("host", "path", "up"))
+    within = checkpoint(nodes.join(up, ["host", "path"]).select("host", "path", "mass", "main", important.alias("good"), F.explode("up").alias("at")))
+    branch = (within.groupBy("host", "at").agg(F.sum(F.when(F.col("good"), F.col("mass")).otherwise(0.0)).alias("good"),
+                                               F.sum("mass").alias("mass"), F.max("main").alias("main"))
+              .where(~F.col("main") & (F.col("good") < LEAST_WITHIN * F.col("mass"))).select("host", "at"))
+    cut = within.join(branch, ["host", "at"]).select("host", "path").distinct().withColumn("cut", F.lit(True))
+    return (nodes.join(cut, ["host", "path"], "left")
+            .withColumn("low", ~F.col("main") & (~important | F.col("cut").isNotNull())).drop("cut", "mass"))
 
 
 def unimportant(tree: DataFrame) -> DataFrame:
-    """(host, noise): the paths to take out, an array a host. Each is on LEAST_SHARE of the
-    host's pages, so they are at most the paths of a mean page over LEAST_SHARE."""
-    low = tree.where((F.col("importance") < LEAST_IMPORTANCE) & ~F.col("main") & (F.col("pages") >= LEAST_SHARE * F.col("m")))
-    return low.groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("noise"))
+    """(host, noise, by_tree): the paths to take out, an array a host."""
+    return tree.groupBy("host").agg(F.sort_array(F.collect_set(F.when(F.col("low"), F.col("path")))).alias("noise"),
+                                    F.max("by_tree").alias("by_tree"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -306,11 +348,24 @@ def extract(pages: DataFrame) -> DataFrame:
     A null or empty html, or one without article text, gives an empty text. A page whose url
     is null or names no host is judged by its own branches only. One result row per
     input row, repeated rows and null ids included; other columns are ignored."""
-    rows = written(parsed(pages), "parsed")
-    noise = counted(unimportant(style_tree(rows)), values="noise")
-    kept = F.when(F.col("noise").isNull(), F.col("blocks")).otherwise(
-        F.filter("blocks", lambda b: ~F.array_contains(F.col("noise"), b["path"])))
-    text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
-    return (rows.select("page_id", "url", "host", "blocks").join(noise, "host", "left")
-            .select("page_id", "url", text.alias("text"))
+    rows = written(parsed(pages).withColumn("row", F.monotonically_increasing_id()), "parsed")
+    tree = checkpoint(style_tree(rows))
+    if tree.where("low").count() <= BROADCAST_ROWS:
+        texts = rows.select("page_id", "url", "host", "blocks").join(counted(unimportant(tree), values="noise"), "host", "left")
+        out = F.coalesce("noise", F.array().cast("array<bigint>"))
+        texts = texts.withColumn("texts", F.transform(F.filter("blocks", lambda b: _stays(b["listed"]) & ~F.array_contains(out, b["path"])),
+                                                      lambda b: b["text"]))
+    else:  # the blocks meet the unimportant paths in a shuffle
+        blocks = (rows.select("row", "host", F.posexplode("blocks").alias("at", "b")).select("row", "host", "at", "b.*")
+                  .join(counted(tree.where("by_tree").select("host", "by_tree").distinct()), "host", "left").where(_stays(F.col("listed")))
+                  .join(tree.where("low").select("host", "path"), ["host", "path"], "left_anti"))
+        kept = blocks.groupBy("row").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "text"))), lambda b: b["text"]).alias("texts"))
+        texts = rows.select("row", "page_id", "url").join(kept, "row", "left")
+    text = F.array_join(F.coalesce("texts", F.array().cast("array<string>")), "\n")
+    return (texts.select("page_id", "url", text.alias("text"))
             .withColumn("n_chars", F.char_length("text").cast("long")))
+
+
+def _stays(listed):
+    """Whether a block is not taken out by name."""
+    return (listed == 0) | ((listed == WORD) & F.coalesce("by_tree", F.lit(False)))

@@ -97,3 +97,27 @@ def test_an_article_is_not_lost_by_loose_words_or_its_wrapper():
     page = f"<article>{inside}</article><section class='comments'><article>first!</article></section><aside><article>more</article></aside>"
     assert text(page) == "T\none"
     assert text("<div class='particles'><header>top</header></div><p>x") == "x"
+
+
+def test_rare_templates_branches_and_named_wrappers_are_judged(spark, monkeypatch):
+    rng = random.Random(4)
+    rows, want = [], {}
+    for i in range(200):
+        body = [" ".join(words(rng, 12)) for _ in range(3)]
+        inside = "".join(f"<p>{b}</p>" for b in body)
+        new = "<div class=new>only now</div>" if i == 7 else ""
+        second = "<ul class=second><li>a menu of the second template</li></ul>" if i % 4 == 0 else ""  # on a quarter of the pages
+        rows.append((i, f"http://big.example/{i}", f"<body><div class=top><b>Welcome to this site</b><div>all of it</div>{new}</div><nav>go</nav>"
+                     f"{second}<div class=text>{inside}</div></body>"))
+        # the articles of a host lie in a branch with a listed word
+        rows.append((1000 + i, f"http://odd.example/{i}", f"<body><nav>to {words(rng, 5)}</nav><div class=promo>the same offer on every page</div>"
+                     f"<div class=widget>{inside}</div><p>the same end</p></body>"))
+        want[i] = want[1000 + i] = "\n".join(body)
+    pages = spark.createDataFrame(rows, "page_id INT, url STRING, html STRING").repartition(3)
+    got = {r.page_id: r.text for r in extract(pages).collect()}
+    assert got == want
+    tree = style_tree(parsed(pages)).collect()
+    assert {(r.host, r.by_tree) for r in tree} == {("big.example", False), ("odd.example", True)}
+    assert {r.low for r in tree if r.listed and r.host == "big.example"} == {True}  # what a name excludes is in the tree
+    monkeypatch.setattr("tessera.llm.html_text.BROADCAST_ROWS", -1)  # unimportant paths meet the blocks in a shuffle
+    assert {r.page_id: r.text for r in extract(pages).collect()} == want
