@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.byte_bpe import decode, encode
 from tessera.llm.decontamination import contaminated
 from tessera.llm.html_text import extract
 from tessera.llm.language import identify, training_rows
@@ -186,3 +187,11 @@ def label_domains(labels):
 def op10_soft_mixing(spark, sf_dir):
     """Rates of all documents by which half of the words meet the target weights."""
     return mix(table(spark, sf_dir, "documents"), label_domains(table(spark, sf_dir, "labels")), TARGETS)
+
+
+@query
+def op13_byte_bpe(spark, sf_dir):
+    """Every document encoded and decoded under byte_bpe_50k; digests of both."""
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    rows = decode(encode(table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern)
+    return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
