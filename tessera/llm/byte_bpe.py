@@ -50,7 +50,7 @@ LATER_NUMBERS = "11DE0-11DE9 1246F 12475-1247F 12550-12686 16FF4-16FF6"
 
 
 def _set_of(ranges: str) -> str:
-    return "[" + "".join("-".join(f"\U{int(end, 16):08X}" for end in r.split("-")) for r in ranges.split()) + "]"
+    return "[" + "".join("-".join(f"\\U{int(end, 16):08X}" for end in r.split("-")) for r in ranges.split()) + "]"
 
 
 def pre_tokens(pattern: str) -> regex.Pattern:
