@@ -10,6 +10,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from helpers import LONG, ODD, no_docs, odd
+from tessera.llm import byte_bpe as B
 from tessera.llm.byte_bpe import RankQueue, byte_bpe, decode, encode
 from tessera.llm.queries import REGISTRY
 
@@ -28,16 +29,19 @@ def ids(packed):
     return np.frombuffer(packed, "<u4").tolist()
 
 
-def test_queue_pops_ranks_then_positions_in_order():
+def test_queue_gives_ranks_in_order():
     rng = random.Random(1)
     for ranks in (1, 64, 65, 5000, 300_000):
         q = RankQueue(ranks)
         for _ in range(3):
-            want = [(rng.randrange(ranks), rng.randrange(99)) for _ in range(500)]
-            for w in want:
-                q.push(*w)
-            assert [q.pop() for _ in want] == sorted(want)
-            assert q.pop() is None
+            want = sorted((rng.randrange(ranks), rng.randrange(99)) for _ in range(500))
+            for r, i in rng.sample(want, len(want)):
+                q.bucket(r).append(i)
+            got = []
+            while (found := q.lowest()) is not None:
+                q.drop(found[0])
+                got += [(found[0], i) for i in sorted(found[1])]
+            assert got == want
 
 
 def test_every_code_point_as_the_library_has_it(library):
@@ -46,21 +50,22 @@ def test_every_code_point_as_the_library_has_it(library):
     for start in range(0, len(points), 4096):
         block = points[start:start + 4096]
         for text in ("a ".join(block), "1".join(block)):
-            assert ids(bpe.encode(text)) == library.encode_ordinary(text)
+            assert ids(bpe.encode([text])[0]) == library.encode_ordinary(text)
 
 
 def test_random_strings(library):
     rng, bpe = random.Random(4), byte_bpe(PATH, PATTERN)
     for _ in range(20_000):
         text = "".join(rng.choice(PARTS) for _ in range(rng.randint(0, 24)))
-        packed = bpe.encode(text)
+        packed = bpe.encode([text])[0]
         assert ids(packed) == library.encode_ordinary(text), repr(text)
         assert bpe.decode(packed) == text.encode()
 
 
 def test_merges_equal_a_plain_search_for_the_lowest_pair():
     rng, bpe = random.Random(6), byte_bpe(PATH, PATTERN)
-    for _ in range(300):
+    pieces, want = [], []
+    for _ in range(1000):
         piece = bytes(rng.choice(b"abeinrst ") for _ in range(rng.randint(1, 60)))
         parts = [piece[i:i + 1] for i in range(len(piece))]
         while len(parts) > 1:
@@ -68,17 +73,29 @@ def test_merges_equal_a_plain_search_for_the_lowest_pair():
             if parts[low] + parts[low + 1] not in bpe.rank:
                 break
             parts[low:low + 2] = [parts[low] + parts[low + 1]]
-        assert bpe.merged(piece) == [bpe.rank[p] for p in parts]
+        pieces.append(piece)
+        want.append([bpe.rank[p] for p in parts])
+    assert list(map(ids, bpe.merge(pieces))) == want
+    assert [ids(bpe.merge([p], alone=True)[0]) for p in pieces] == want
 
 
 def test_very_long_pre_tokens(library):
     rng, bpe = random.Random(8), byte_bpe(PATH, PATTERN)
     began = time.time()
     for text in ("a" * 300_000, "".join(rng.choice("abcdefghij") for _ in range(300_000)), " " * 100_000 + "x", "é" * 100_000):
-        assert ids(bpe.encode(text)) == library.encode_ordinary(text)
+        assert ids(bpe.encode([text])[0]) == library.encode_ordinary(text)
     assert time.time() - began < 60
 
 
+def test_memo_of_bounded_size_changes_nothing(library, monkeypatch):
+    monkeypatch.setattr(B, "MEMO", 40)
+    rng, bpe = random.Random(11), B.ByteBpe(PATH, PATTERN)
+    for _ in range(200):
+        texts = ["".join(rng.choice(PARTS) for _ in range(rng.randint(0, 60))) for _ in range(rng.randint(0, 4))]
+        assert list(map(ids, bpe.encode(texts))) == list(map(library.encode_ordinary, texts))
+    assert len(bpe.by_run) <= 40 and max(map(len, bpe.by_piece), default=0) <= B.MEMO_CHARS
+
+
 def test_documents(spark, library):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = {r.doc_id: r for r in REGISTRY["op13_byte_bpe"](spark, "/root/testdata/sf0.01").collect()}
