@@ -16,7 +16,9 @@ from tessera.llm.mixing import mix
 from tessera.llm.ngram_join import jaccard_components
 from tessera.llm.quality_classifier import classify, line_quality_model
 from tessera.llm.quality_rules import line_model, quality_rules
+from tessera.llm.ranked_search import ranked
 from tessera.llm.secrets import RULES, scan
+from tessera.llm.spelling import variants
 from tessera.llm.tables import table, written
 from tessera.llm.token_counts import token_counts
 from tessera.llm.warc import SEGMENT_RECORDS, SPAN, audit, damaged, hashed, placed, records, segment_count
@@ -189,6 +191,63 @@ def op10_soft_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents"), label_domains(table(spark, sf_dir, "labels")), TARGETS)
 
 
+@query
+def op11_spelling_variants(spark, sf_dir):
+    """Words of 7 letters or more with their near words and the form that each goes back to."""
+    return variants(table(spark, sf_dir, "documents"))
+
+
+# checksums byte by byte; near words by the variants with one code point less
+ORACLE["op11_spelling_variants"] = r"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8),
+       lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS tab),
+a AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+g AS (SELECT doc_id, run, count(*) AS n FROM a WHERE length(run) >= 7 GROUP BY ALL),
+h AS (SELECT run, n, xor(list_reduce(flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''),
+        lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [CAST(195 AS BIGINT), unicode(c) - 64] END)),
+        lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS h FROM g, crc),
+w AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM w WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+x AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+d AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS s FROM x),
+l AS (SELECT a.word, b.word AS near, b.n FROM d a JOIN d b USING (i, s) WHERE a.word <> b.word
+  UNION SELECT d.word, v.word, v.n FROM d JOIN v ON d.s = v.word UNION SELECT v.word, d.word, d.n FROM d JOIN v ON d.s = v.word),
+m AS (SELECT word, count(*) AS n_near, max(n) AS top FROM l GROUP BY word),
+f AS (SELECT word, v.n, m.n_near, CASE WHEN top >= 10 * v.n THEN top END AS form_n,
+      CASE WHEN top >= 10 * v.n THEN (SELECT min(near) FROM l WHERE l.word = v.word AND l.n = m.top) END AS form
+      FROM v LEFT JOIN m USING (word)),
+r AS (SELECT word, word AS at, form AS next FROM f UNION ALL SELECT r.word, f.word, f.form FROM r JOIN f ON r.next = f.word)
+SELECT f.word, f.form, r.at AS root, f.n, CAST(coalesce(f.n_near, 0) AS BIGINT) AS n_near, CAST(f.form_n AS BIGINT) AS form_n
+FROM f JOIN r ON r.word = f.word AND r.next IS NULL
+"""
+
+
+@query
+def op12_ranked_search(spark, sf_dir):
+    """The 20 best documents of each benchmark item."""
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 20)
+
+
+_TERMS_SQL = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+ORACLE["op12_ranked_search"] = f"""
+WITH t AS (SELECT doc_id, row_number() OVER () AS r, {_TERMS_SQL} AS ws FROM documents),
+c AS (SELECT count(*) AS n, CAST(sum(len(ws)) AS BIGINT) AS l FROM t WHERE len(ws) > 0),
+e AS (SELECT r, unnest(ws) AS term FROM t),
+p AS (SELECT r, term, count(*) AS tf FROM e GROUP BY ALL),
+d AS (SELECT term, count(*) AS df FROM p GROUP BY ALL),
+q AS (SELECT item_id, row_number() OVER () AS i, {_TERMS_SQL} AS ws FROM benchmark),
+u AS (SELECT item_id, i, unnest(ws) AS term FROM q),
+s AS (SELECT item_id, i, doc_id, r, CAST(sum(CAST(floor(1000 * ln((2 * n + 2) / (2 * df + 1))) AS BIGINT)
+             * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * len(ws) * n) // l)))) AS BIGINT) AS score
+      FROM u JOIN d USING (term) JOIN p USING (term) JOIN t USING (r), c GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 20
+"""
+
+
 @query
 def op13_byte_bpe(spark, sf_dir):
     """Every document encoded and decoded under byte_bpe_50k; digests of both."""

@@ -81,12 +81,12 @@ def text_slices(batch: pa.RecordBatch, name: str = "text", fold: bool = False):
         yield a, b, data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of every word."""
+def words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of every word; ``separator`` tells of each byte whether words end at it."""
     if not len(data):
         z = np.zeros(0, np.int64)
         return z, z, z
-    sep = SEPARATOR[data]
+    sep = separator[data]
     edge = np.empty(len(data) + 1, bool)
     edge[0] = edge[-1] = True
     edge[1:-1] = sep[:-1]

@@ -22,7 +22,7 @@ def test_query_matches_oracle(spark, name):
 
 def test_all_operators_and_the_pipeline_are_registered():
     names = E.queries()
-    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13
     assert "pipeline" in names
 
 
@@ -34,7 +34,10 @@ def test_returned_columns(spark):
             "op6": "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string",
             "op7": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
                    "base_failed boolean, kept boolean",
-            "op8": "doc_id bigint, held_out boolean, score double, predicted int"}
+            "op8": "doc_id bigint, held_out boolean, score double, predicted int",
+            "op11": "word string, form string, root string, n bigint, n_near bigint, form_n bigint",
+            "op12": "item_id bigint, rank int, doc_id bigint, score bigint",
+            "op13": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"}
     for key, columns in want.items():
         name = next(n for n in Q.REGISTRY if n.startswith(key + "_"))
         got = dict(Q.REGISTRY[name](spark, "/root/testdata/sf0.001").dtypes)
