@@ -1,18 +1,20 @@
 """HTML extraction: a site style tree.
 
 The DOMs of a host's pages are merged by path (tags with their classes from the body
-down). In the merged tree an element's presentation importance is the entropy of its
-styles (sequences of child elements) over the pages, and its content importance one
-minus the mean entropy of the contents found there: what many pages repeat scores low.
-Paths of low importance are taken out of each page, and with them all that lies in a
-branch of which nearly all text is on such paths. The path that holds most of the
-host's distinct text is its main content and stays with what it lies in, as does
+down). In the merged tree a path's content importance is one minus the mean spread of the
+contents found there over the pages, so what many pages repeat scores low. An element's
+presentation importance is the same of its styles (sequences of child elements): a menu is
+built alike on every page, an article is not. It counts in relation to that of the element
+around the host's main content, the path that holds most of its distinct text; within that element,
+and where the body itself is the element or its styles don't differ, it is 1. A path's importance is
+the product of its content's and of its enclosing element's presentation. Paths of low importance are
+taken out of each page, and with them all that lies in a
+branch of which nearly all text is on such paths. The main path stays with what it lies in, as does
 everything on hosts with too few pages to compare.
 
-What an importance can't tell is text that differs from page to page and still is no
-article: links, adverts and notices by the page. Navigation, headers, footers, asides,
-forms, adverts, notices and comments, by tag, role or class, are judged in the tree like
-all else, and the list takes what the tree leaves of them; words of a class, id or role
+Navigation, headers, footers, asides, forms, adverts, notices and comments, by tag, role or
+class, are judged in the tree like all else, and a list of their names takes what the tree
+leaves of them (``by_name=False`` goes without it); words of a class, id or role
 don't count on hosts whose important text lies nowhere but there. On pages without a
 host and hosts with few pages there is the list alone. Head, scripts and comments of the
 source are no part of the tree.
@@ -26,6 +28,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import pyarrow as pa
 import xxhash
@@ -35,12 +38,15 @@ from pyspark.sql import functions as F
 from tessera.llm.tables import BROADCAST_ROWS, counted, type_of, written
 from tessera.session import checkpoint
 
-#: weight of content in the importance, the least importance that stays, pages of a host that allow
-#: a judgement, and the least share of a branch's text that is important
-CONTENT, LEAST_IMPORTANCE, LEAST_PAGES, LEAST_WITHIN = 0.9, 0.35, 5, 0.1
+#: the least importance that stays, pages of a host that allow a judgement, and the least share of a
+#: branch's text that is important
+LEAST_IMPORTANCE, LEAST_PAGES, LEAST_WITHIN = 0.5, 5, 0.1
 
-_SKIP = re.compile(r"<!--.*?(?:-->|\Z)|<(?:svg|math)\b[^>]*/>|<(script|style|template|noscript|svg|iframe|object|math|canvas|audio|video)\b"
-                   r"[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+# a tag's attributes end before the next tag, so that tags without an end cost no scan each
+_SKIP = re.compile(r"<!--.*?(?:-->|\Z)|<(?:svg|math)\b[^<>]*/>|<(script|style|template|noscript|svg|iframe|object|math|canvas|audio|video)\b"
+                   r"[^<>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+#: of these, what is left by an attribute with such a sign
+_NO_TEXT = frozenset("script style template noscript svg iframe object math canvas audio video".split())
 _TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>"']*+(?:(?:"[^"]*"|'[^']*')[^>"']*+)*+)>|<[!?/][^>]*>|<(?:[a-zA-Z/!?][^>]*)\Z""")
 _BROKEN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>")
 _ATTR = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -74,6 +80,9 @@ def _key(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+ROOT = _key("")
+
+
 def _attributes(attrs: str) -> dict[str, str]:
     found: dict[str, str] = {}
     for name, a, b, c in _ATTR.findall(attrs):
@@ -102,14 +111,14 @@ WORD, TAG, META = 1, 2, 3
 
 
 class Element:
-    """An open or closed element; ``listed`` if a mark (WORD), its tag or an attribute (TAG) excludes it
-    or it is no part of the body (META)."""
+    """An open or closed element; its path is a hash of its parent's path and its name. ``listed`` if a mark (WORD), its tag or an attribute (TAG) excludes it
+    or it is no part of the body (META); ``out`` if it or what it lies in is."""
 
-    __slots__ = ("tag", "path", "parent", "listed", "lists", "in_article", "children")
+    __slots__ = ("tag", "path", "parent", "listed", "lists", "in_article", "children", "out")
 
-    def __init__(self, tag: str, path: str, parent: Element | None):
+    def __init__(self, tag: str, path: int, parent: Element | None):
         self.tag, self.path, self.parent = tag, path, parent
-        self.listed, self.lists = 0, False
+        self.listed, self.lists, self.out = 0, False, 0
         self.in_article = tag == "article" or (parent is not None and parent.in_article)
         self.children: list[str] = []
 
@@ -129,22 +138,22 @@ class Page:
 
     def __init__(self, source: str):
         self._found: list[tuple[Element, str]] = []
-        self._closed: list[Element] = []
-        self._stack: list[Element] = [Element("", "", None)]
+        self._elements: list[Element] = [Element("", ROOT, None)]
+        self._stack: list[Element] = self._elements[:1]
+        self._within: Counter = Counter()      # open elements by tag
         self._text: list[str] = []
         self._main, self._in_lists = False, []
         self._parse(_SKIP.sub(" ", source))
         if not self._main:
             for e in self._in_lists:
                 e.listed = 0
+        for e in self._elements:
+            e.out = max(e.listed, e.parent.out if e.parent else 0)
         #: (element, text, how it is listed) of all branches of the body
-        self.found = [(e, t, out) for e, t in self._found if (out := self._out(e)) != META]
-        self.blocks: list[tuple[str, str]] = [(e.path, t) for e, t, out in self.found if not out]
-        self.styles: list[tuple[str, str]] = [(e.path, ",".join(e.children)) for e in self._closed if self._out(e) != META]
-
-    @staticmethod
-    def _out(e: Element) -> int:
-        return max(x.listed for x in e.up())
+        self.found = [(e, t, e.out) for e, t in self._found if e.out != META]
+        self.blocks: list[tuple[int, str]] = [(e.path, t) for e, t, out in self.found if not out]
+        #: (path, parent's path, child sequence)
+        self.styles: list[tuple[int, int, str]] = [(e.path, e.parent.path, ",".join(e.children)) for e in self._elements[1:] if e.out != META]
 
     def _flush(self):
         if self._text:
@@ -156,7 +165,7 @@ class Page:
     def _close(self, depth: int):
         while len(self._stack) > depth:
             self._flush()
-            self._closed.append(self._stack.pop())
+            self._within[self._stack.pop().tag] -= 1
 
     def _open(self, tag: str, attrs: str):
         self._flush()
@@ -175,14 +184,15 @@ class Page:
         parent = self._stack[-1]
         name = f"{tag}.{marks[0]}" if marks else tag
         parent.children.append(name)
-        e = Element(tag, parent.path if tag in ("html", "body") else f"{parent.path}/{name}", parent)
+        e = Element(tag, parent.path if tag in ("html", "body") else _key(f"{parent.path}/{name}"), parent)
+        self._elements.append(e)
         if tag in ("body", "article", "main"):
             self._spare(parent, tag)
         elif tag != "html":
             words = _others(marks) if marks else set()
             if e.in_article:
                 words.discard("header")  # the article's own
-            if tag in ("head", "title"):
+            if tag in ("head", "title") or tag in _NO_TEXT:
                 e.listed = META
             elif tag in OUTSIDE or (tag == "header" and not e.in_article) or (attributes and _hidden(attributes)):
                 e.listed = TAG
@@ -190,6 +200,7 @@ class Page:
                 e.listed = WORD
             e.lists = bool(e.listed) and (tag in _LISTS or not words.isdisjoint(_LISTS))
         self._stack.append(e)
+        self._within[tag] += 1
 
     def _spare(self, parent: Element, tag: str):
         """What holds a body, article or main is not excluded."""
@@ -239,6 +250,8 @@ class Page:
             self._open(tag, attrs)
             return
         self._flush()
+        if not self._within[tag]:
+            return
         for d in range(len(self._stack) - 1, 0, -1):
             if self._stack[d].tag == tag:
                 self._close(d)
@@ -253,36 +266,39 @@ STYLE_TYPE = pa.list_(pa.struct([("path", pa.int64()), ("parent", pa.int64()), (
 UP_TYPE = pa.list_(pa.struct([("path", pa.int64()), ("up", pa.list_(pa.int64()))]))
 
 
-def _parse_fn(batches):
-    for batch in batches:
-        for lo in range(0, max(batch.num_rows, 1), 256):
-            part = batch.slice(lo, 256)
-            hosts, marks, blocks, styles, ups = [], [], [], [], []
-            for url, source in zip(part.column("url").to_pylist(), part.column("html").to_pylist()):
-                page = Page(source or "")
-                hosts.append(_host(url))
-                marks.append(_key("\n".join([t for _, t, out in page.found if out < TAG] or [t for _, t, _ in page.found])))
-                blocks.append([{"path": _key(e.path), "text": t, "listed": out} for e, t, out in page.found])
-                styles.append([{"path": _key(p), "parent": _key(p.rpartition("/")[0]), "value": _key(s)}
-                               for p, s in dict.fromkeys(page.styles)])
-                ups.append([{"path": _key(e.path), "up": list(dict.fromkeys(_key(x.path) for x in e.up()))}
-                            for e in {e.path: e for e, _, _ in page.found}.values()])
-            yield pa.RecordBatch.from_arrays(
-                [part.column("page_id"), part.column("url"), pa.array(hosts, pa.string()), pa.array(marks, pa.int64()),
-                 pa.array(blocks, BLOCK_TYPE), pa.array(styles, STYLE_TYPE), pa.array(ups, UP_TYPE)],
-                ["page_id", "url", "host", "mark", "blocks", "styles", "ups"])
-
-
-def parsed(pages: DataFrame) -> DataFrame:
+def _parse_fn(by_name: bool):
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, max(batch.num_rows, 1), 256):
+                part = batch.slice(lo, 256)
+                hosts, marks, blocks, styles, ups = [], [], [], [], []
+                for url, source in zip(part.column("url").to_pylist(), part.column("html").to_pylist()):
+                    page = Page(source or "")
+                    found = page.found if by_name else [(e, t, 0) for e, t, _ in page.found]
+                    hosts.append(_host(url))
+                    marks.append(_key("\n".join([t for _, t, out in found if out < TAG] or [t for _, t, _ in found])))
+                    blocks.append([{"path": e.path, "text": t, "listed": out} for e, t, out in found])
+                    styles.append([{"path": p, "parent": up, "value": _key(s)} for p, up, s in dict.fromkeys(page.styles)])
+                    ups.append([{"path": e.path, "up": list(dict.fromkeys(x.path for x in e.up()))}
+                                for e in {e.path: e for e, _, _ in found}.values()])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("page_id"), part.column("url"), pa.array(hosts, pa.string()), pa.array(marks, pa.int64()),
+                     pa.array(blocks, BLOCK_TYPE), pa.array(styles, STYLE_TYPE), pa.array(ups, UP_TYPE)],
+                    ["page_id", "url", "host", "mark", "blocks", "styles", "ups"])
+    return run
+
+
+def parsed(pages: DataFrame, by_name: bool = True) -> DataFrame:
+    """Blocks, styles and paths of every page; without ``by_name`` no branch of the body is listed."""
     schema = (f"page_id {type_of(pages, 'page_id')}, url STRING, host STRING, mark BIGINT, "
               "blocks ARRAY<STRUCT<path: BIGINT, text: STRING, listed: TINYINT>>, "
               "styles ARRAY<STRUCT<path: BIGINT, parent: BIGINT, value: BIGINT>>, "
               "ups ARRAY<STRUCT<path: BIGINT, up: ARRAY<BIGINT>>>")
-    return pages.select("page_id", "url", "html").mapInArrow(_parse_fn, schema)
+    return pages.select("page_id", "url", "html").mapInArrow(_parse_fn(by_name), schema)
 
 
 def _spread(n, m):
-    """The mean share of log(m) that the logarithm of a value's pages takes: 0 if every value is
+    """Of a path: the mean share of log(m) that the logarithm of a value's pages takes: 0 if every value is
     on a page of its own, 1 if one value is on all pages."""
     return F.sum(n * F.log(n)) / F.sum(n) / F.log(F.max(m))
 
@@ -317,22 +333,26 @@ def style_tree(rows: DataFrame) -> DataFrame:
     out = written(
         content.join(on, ["host", "path"])
         .join(node.select("host", F.col("path").alias("parent"), "style"), ["host", "parent"], "left")
-        .select("host", "path", "pages", "m", "chars", "mass", "listed",
-                (CONTENT * F.col("content") + (1 - CONTENT) * F.coalesce("style", F.lit(0.0))).alias("importance")), "tree")
-    important = F.col("importance") >= LEAST_IMPORTANCE
-    hosts = out.groupBy("host").agg((~F.max(important & (F.col("listed") == 0)) & F.max(important & (F.col("listed") == WORD))).alias("by_tree"))
-    named = out.join(hosts, "host").withColumn("may", F.when(F.col("by_tree"), important & (F.col("listed") == WORD)).otherwise(F.col("listed") == 0))
-    main = named.where("may").groupBy("host").agg(F.max_by("path", F.struct("chars", "path")).alias("main"))
-    nodes = checkpoint(named.drop("may").join(main, "host", "left").withColumn("main", F.coalesce(F.col("main") == F.col("path"), F.lit(False))))
-    up = (rows.where("host IS NOT NULL").select(at.alias("h"), F.explode("ups").alias("x")).groupBy("h", "x.path").agg(F.any_value("x.up").alias("up"))
+        .select("host", "path", "parent", "pages", "m", "chars", "mass", "listed", "content", F.coalesce("style", F.lit(0.0)).alias("style")), "tree")
+    told = F.col("content") >= LEAST_IMPORTANCE
+    hosts = out.groupBy("host").agg((~F.max(told & (F.col("listed") == 0)) & F.max(told & (F.col("listed") == WORD))).alias("by_tree"))
+    named = out.join(hosts, "host").withColumn("may", F.when(F.col("by_tree"), told & (F.col("listed") == WORD)).otherwise(F.col("listed") == 0))
+    main = named.where("may").groupBy("host").agg(F.max_by(F.struct("path", "parent", "style"), F.struct("chars", "path")).alias("main"))
+    up = (rows.where("host IS NOT NULL").select(at.alias("h"), F.explode("ups").alias("x")).groupBy("h", "x.path").agg(F.min("x.up").alias("up"))
           .join(many, "h").select("host", "path", "up"))
-    within = checkpoint(nodes.join(up, ["host", "path"]).select("host", "path", "mass", "main", important.alias("good"), F.explode("up").alias("at")))
+    inside = F.col("main.path").isNull() | (F.col("main.parent") == ROOT) | (F.col("main.style") <= 0) | F.array_contains("up", F.col("main.parent"))
+    presentation = F.when(inside, 1.0).otherwise(F.least(F.lit(1.0), F.col("style") / F.col("main.style")))
+    nodes = checkpoint(named.join(main, "host", "left").join(up, ["host", "path"])
+                       .select("host", "path", "pages", "m", "chars", "mass", "listed", "by_tree", "up", (F.col("content") * presentation).alias("importance"),
+                               F.coalesce(F.col("main.path") == F.col("path"), F.lit(False)).alias("main")))
+    important = F.col("importance") >= LEAST_IMPORTANCE
+    within = checkpoint(nodes.select("host", "path", "mass", "main", important.alias("good"), F.explode("up").alias("at")))
     branch = (within.groupBy("host", "at").agg(F.sum(F.when(F.col("good"), F.col("mass")).otherwise(0.0)).alias("good"),
                                                F.sum("mass").alias("mass"), F.max("main").alias("main"))
               .where(~F.col("main") & (F.col("good") < LEAST_WITHIN * F.col("mass"))).select("host", "at"))
     cut = within.join(branch, ["host", "at"]).select("host", "path").distinct().withColumn("cut", F.lit(True))
     return (nodes.join(cut, ["host", "path"], "left")
-            .withColumn("low", ~F.col("main") & (~important | F.col("cut").isNotNull())).drop("cut", "mass"))
+            .withColumn("low", ~F.col("main") & (~important | F.col("cut").isNotNull())).drop("cut", "mass", "up"))
 
 
 def unimportant(tree: DataFrame) -> DataFrame:
@@ -341,14 +361,14 @@ def unimportant(tree: DataFrame) -> DataFrame:
                                     F.max("by_tree").alias("by_tree"))
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def extract(pages: DataFrame, by_name: bool = True) -> DataFrame:
     """The main text of every page of ``pages(page_id, url, html, ...)``: (page_id, url,
-    text, n_chars), blocks in page order, one a line.
+    text, n_chars), blocks in page order, one a line. Without ``by_name`` the tree alone decides.
 
     A null or empty html, or one without article text, gives an empty text. A page whose url
     is null or names no host is judged by its own branches only. One result row per
     input row, repeated rows and null ids included; other columns are ignored."""
-    rows = written(parsed(pages).withColumn("row", F.monotonically_increasing_id()), "parsed")
+    rows = written(parsed(pages, by_name).withColumn("row", F.monotonically_increasing_id()), "parsed")
     tree = checkpoint(style_tree(rows))
     if tree.where("low").count() <= BROADCAST_ROWS:
         texts = rows.select("page_id", "url", "host", "blocks").join(counted(unimportant(tree), values="noise"), "host", "left")

@@ -1,9 +1,14 @@
 import html
+import math
 import random
 import re
+import time
+from collections import Counter, defaultdict
+
+import pytest
 
 from helpers import words
-from tessera.llm.html_text import Page, extract, parsed, style_tree, unimportant
+from tessera.llm.html_text import LEAST_PAGES, META, ROOT, Page, _host, _key, extract, parsed, style_tree, unimportant
 
 
 def text(source):
@@ -121,3 +126,82 @@ def test_rare_templates_branches_and_named_wrappers_are_judged(spark, monkeypatc
     assert {r.low for r in tree if r.listed and r.host == "big.example"} == {True}  # what a name excludes is in the tree
     monkeypatch.setattr("tessera.llm.html_text.BROADCAST_ROWS", -1)  # unimportant paths meet the blocks in a shuffle
     assert {r.page_id: r.text for r in extract(pages).collect()} == want
+
+
+def article(source):
+    body = re.search(r"<article>(.*?)(</article>|$)", source, re.S)[1].replace("<br>", " ")
+    blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h1)>", body)]
+    return "\n".join(b for b in blocks if b)
+
+
+def test_the_tree_alone_finds_menus_footers_and_adverts(spark):
+    """Without the list of names: on hosts with enough pages all but the article is low, and articles stay whole."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    rows = pages.collect()
+    many = {h for h, n in Counter(_host(r.url) for r in rows).items() if h and n >= LEAST_PAGES}
+    got = {r.page_id: r.text for r in extract(pages, by_name=False).collect()}
+    judged = [r for r in rows if _host(r.url) in many]
+    assert len(judged) > 2400
+    assert all(re.search("<nav>.*<footer>", r.html, re.S) for r in judged[:50])
+    assert [r.page_id for r in judged if got[r.page_id] != article(r.html)] == []
+    assert sum('class="ad"' in r.html for r in judged) > 1000
+
+
+def brute_tree(rows):
+    """{(host, path): importance} from all pages of a host at once."""
+    hosts = defaultdict(dict)
+    for url, source in rows:
+        page = Page(source)
+        mark = "\n".join([t for _, t, out in page.found if out < 2] or [t for _, t, _ in page.found])
+        hosts[_host(url)].setdefault(mark, page)     # pages of equal text are one here: tests have equal html then
+    out = {}
+
+    def importance(values, m):
+        n = [max(1, v) for v in values.values()]
+        return 1 - sum(v * math.log(v) for v in n) / sum(n) / math.log(m)
+
+    for host, pages in hosts.items():
+        m = len(pages)
+        if m < LEAST_PAGES:
+            continue
+        text, style, chars, parent, ups, listed = defaultdict(Counter), defaultdict(Counter), Counter(), {}, {}, {}
+        for page in pages.values():
+            for p, t in {(e.path, t) for e, t, _ in page.found}:
+                chars[p] += 0 if text[p][t] else len(t)
+                text[p][t] += 1
+            for e, _, o in page.found:
+                ups[e.path], parent[e.path] = {x.path for x in e.up()}, e.parent.path if e.parent else ROOT
+                listed[e.path] = min(o, listed.get(e.path, META))
+            for p, _, s in set(page.styles):
+                style[p][s] += 1
+        main = max((p for p in text if listed[p] == 0), key=lambda p: (chars[p], p))
+        top = importance(style[parent[main]], m)
+        for p in text:
+            free = parent[main] == ROOT or top <= 0 or parent[main] in ups[p]
+            out[host, p] = importance(text[p], m) * (1 if free else min(1, importance(style[parent[p]], m) / top))
+    return out
+
+
+def test_importances_equal_a_recount(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(90):
+        body = "".join(f"<p>{' '.join(words(rng, 9))}</p>" + "<ul><li>x y</li></ul>" * (rng.random() < 0.2) for _ in range(rng.randint(2, 6)))
+        menu = "".join(f"<li>{words(rng, 1)[0]}</li>" for _ in range(rng.randint(3, 4)))
+        rows.append((i, f"http://h{i % 3}.example/{i}", f"<html><head><title>t</title></head><body><div class=menu2><ul>{menu}</ul></div>"
+                     f"<div class=text><h1>{words(rng, 1)[0]}</h1>{body}</div><div class=end>the end</div></body></html>"))
+    tree = style_tree(parsed(spark.createDataFrame(rows, "page_id INT, url STRING, html STRING").repartition(4))).collect()
+    want = brute_tree([r[1:] for r in rows])
+    assert {(r.host, r.path) for r in tree} == set(want)
+    for r in tree:
+        assert r.importance == pytest.approx(want[r.host, r.path], abs=1e-9)
+    assert {r.low for r in tree if r.path == _key(f"{ROOT}/div.end")} == {True}
+
+
+def test_deep_and_unclosed_tags_take_linear_time():
+    began = time.time()
+    assert text("<div>" * 100_000 + "deep") == "deep"
+    assert text("<div><b>" * 50_000 + "x" + "</p></b></span>" * 50_000) == "x"
+    assert text("a" + "<svg " * 100_000).startswith("a")
+    assert text("<p>a</p>" + "<script " * 50_000 + ">") == "a"
+    assert time.time() - began < 20
