@@ -153,6 +153,8 @@ class ByteBpe:
         self.single = np.array([self.rank[bytes([b])] for b in range(256)])
         self.double = np.array([self.rank.get(bytes([a, b]), -1) for a in range(256) for b in range(256)])
         self.pattern = pre_tokens(pattern)
+        # of ASCII text the same, in small sets
+        self.plain = regex.compile(pattern.replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]"), regex.V1 | regex.ASCII)
         # a pre-token never goes on from text into white space, so these runs are cut on their own
         self.runs = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
         self.by_piece, self.by_run = Remembered(), Remembered()
@@ -247,7 +249,8 @@ class ByteBpe:
         """Ids of every text as little-endian unsigned 32-bit integers."""
         cut = [self.runs.findall(t) for t in texts]
         new = self.by_run.lacks({r for runs in cut for r in runs})
-        pieces = [self.pattern.findall(r) for r in new]
+        plain, pattern = self.plain.findall, self.pattern.findall
+        pieces = [plain(r) if r.isascii() else pattern(r) for r in new]
         fresh = self.by_piece.lacks({p for ps in pieces for p in ps})
         self.by_piece.update(zip(fresh, self.merged(fresh)))
         self.by_run.update((r, b"".join([self.by_piece[p] for p in ps])) for r, ps in zip(new, pieces))
