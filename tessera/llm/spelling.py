@@ -16,7 +16,8 @@ edges, level by level. Plan:
   it. A join with the edges takes the first edit at an edge with another code point: replace
   (the word's code point is skipped) or insert (it is kept); of each pair one side finds the
   other, so deletions need no state. States with an edit only match, and a state whose
-  rest of the label is not what the word goes on with is dropped within the join.
+  rest of the label is not what the word goes on with, or whose word ends or goes on as nothing
+  below the child does, is dropped within the join.
 * states with an edit at a word's end and at the end of another word are pairs; the others go
   to the next level, until none is left.
 
@@ -175,7 +176,8 @@ def _paths(vocabulary: DataFrame) -> DataFrame:
 
 
 def _trie(paths: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The edges ``node, label, child, target`` (the word that ends at the child), and the states
+    """The edges ``node, label, child, target`` (the word that ends at the child), ``letters`` (first ones
+    of the child's own edges), and the states
     ``s, back, pos, node, edits`` of words on their own paths from their halves on."""
     s = F.when(F.col("back"), F.reverse("word")).otherwise(F.col("word"))
     pairs = paths.select("word", F.explode(F.expr("transform(sequence(1, size(steps) - 1), i -> struct(steps[i - 1] AS a, steps[i] AS b))")).alias("p"))
@@ -187,18 +189,27 @@ def _trie(paths: DataFrame) -> tuple[DataFrame, DataFrame]:
     ends = nodes.where(F.col("depth") == size).select(F.col("node").alias("child"), F.col("word").alias("target"))
     half = F.when(F.col("back"), F.ceil(size / 2)).otherwise(F.floor(size / 2))
     states = nodes.where(F.col("depth") >= half).select(s.alias("s"), "back", F.col("depth").alias("pos"), "node", F.lit(0).alias("edits"))
-    return edges.join(ends, "child", "left").select("node", "label", "child", "target"), states
+    letters = edges.groupBy(F.col("node").alias("child")).agg(F.array_join(F.collect_set(F.substring("label", 1, 1)), "").alias("letters"))
+    edges = edges.join(ends, "child", "left").join(letters, "child", "left")
+    return edges.select("node", "label", "child", "target", F.coalesce("letters", F.lit("")).alias("letters")), states
 
 
 def _level(states: DataFrame, edges: DataFrame) -> DataFrame:
-    """The states one edge further that have an edit."""
+    """The states one edge further that have an edit; those at their word's end are at the end of ``target``."""
     rows = states.join(edges, "node")
     step = F.char_length("label")
     goes = F.substring("s", F.col("pos") + 1, F.lit(1))
     first, rest = F.substring("label", 1, 1), F.substring("label", F.lit(2), step - 1)
-    match = F.when((F.col("edits") == 1) & (F.substring("s", F.col("pos") + 1, step) == F.col("label")), F.col("pos") + step)
-    insert = F.when((F.col("edits") == 0) & (first != goes) & (F.substring("s", F.col("pos") + 1, step - 1) == rest), F.col("pos") + step - 1)
-    replace = F.when((F.col("edits") == 0) & (goes != "") & (first > goes) & (F.substring("s", F.col("pos") + 2, step - 1) == rest), F.col("pos") + step)
+    def on(label, at, to):
+        """``to``, if ``label`` is what the word has at ``at`` and the child goes on as the word does there, or ends with it."""
+        text = F.substring("s", at + 1, F.char_length(label))
+        ahead = F.when(to < F.char_length("s"), F.col("letters").contains(F.substring("s", to + 1, F.lit(1)))).otherwise(F.col("target").isNotNull())
+        return F.when((text == label) & ahead, to)
+
+    pos = F.col("pos")
+    match = F.when(F.col("edits") == 1, on(F.col("label"), pos, pos + step))
+    insert = F.when((F.col("edits") == 0) & (first != goes), on(rest, pos, pos + step - 1))
+    replace = F.when((F.col("edits") == 0) & (goes != "") & (first > goes), on(rest, pos + 1, pos + step))
     return rows.select("s", "back", F.explode(F.array_compact(F.array(match, insert, replace))).alias("pos"),
                        F.col("child").alias("node"), F.lit(1).alias("edits"), "target")
 
@@ -213,7 +224,7 @@ def near_pairs(vocabulary: DataFrame) -> DataFrame:
     while states is not None:
         level = written(_level(states, edges), "level")
         at_end = F.col("pos") == F.char_length("s")
-        found.append(level.where(at_end & F.col("target").isNotNull())
+        found.append(level.where(at_end)
                      .select(F.when(F.col("back"), F.reverse("s")).otherwise(F.col("s")).alias("word"), F.col("target").alias("near")))
         states = level.where(~at_end).select("s", "back", "pos", "node", "edits")
         if states.isEmpty():
