@@ -6,15 +6,16 @@ halved in every dimension, recursively, until each leaf holds at most
 ``tau`` points (or only copies of one point, or ``max_depth`` is reached).
 
 Spark plan: one aggregate for the bounds (G1); cell numbers are arithmetic
-on the coordinates (G4, no lookup table). The adaptive split runs one level
-per step over the points that are still unsettled: count per cell
-(partial aggregation, so a hot cell costs one row per task in the shuffle),
-then one left join against the keys of the cells that split routes every
-point; its rows are checkpointed once and read as the level's settled and
-unsettled points. The keys are broadcast when their counted bytes are few,
-so the points are not shuffled. Most points settle at level 0, so later
-levels touch few rows. The input is read twice: by the level-0 count and by
-the level-0 routing (three times with the bounds).
+on the coordinates (G4, no lookup table). The adaptive split never rewrites the points. It
+builds a directory, the keys of the cells that split at each level, and a point's leaf is a
+narrow projection: the first level at which its cell, a prefix of its finest index,
+is not in the directory (one broadcast hash join a level, by counted bytes; rows that have
+settled carry a null key). Counts come level by level, several levels from one scan: the
+unsettled points are counted per cell of the finest level of a stage (0, then 1-2, then
+3-6, ...; partial aggregation, so a hot cell costs one row per task in the shuffle), and the
+coarser levels are added up from these counts. A cell that splits has only ancestors that
+split, so all levels of a stage are decided at once. The scans grow with the logarithm of the
+levels, and what is written are counts of cells.
 
 Cell labels: the uniform cell's row-major number (dimension 0 outermost; the
 indices themselves, joined by ``-``, when the numbers exceed 63 bits), then one ``.child`` per split, ``child = sum(b_i * 2^(d-1-i))`` with
@@ -34,6 +35,8 @@ from tessera.session import checkpoint
 MAX_DEPTH = 60  # doubles separate after at most ~53 halvings
 # split-cell keys of at most this many bytes are broadcast to route the points
 BROADCAST_BYTES = 64 * 1024 ** 2
+# levels whose joins one plan holds; what is unsettled after so many (few rows) is checkpointed
+LEVELS_AT_ONCE = 8
 # up to this many dimensions the level index is one expression a dimension
 UNROLL_DIMS = 8
 
@@ -194,28 +197,46 @@ def _level_index(level: int, d: int) -> Column:
 
 def _child_label(spec: GridSpec, level: int) -> Column:
     """``cell.child1.child2...`` for leaves at ``level`` (G5 for splits)."""
-    parts = [F.col("cell").cast("string")]
+    return F.concat_ws(".", F.col("cell").cast("string"), *[_child(spec, lambda x: F.shiftright(x, level - j)) for j in range(1, level + 1)])
+
+
+def _child(spec: GridSpec, shifted) -> Column:
+    """Text of the child that ``a``, shifted right to a level, takes there."""
     act = [i for i in range(spec.d) if spec.active[i]]
-    for j in range(1, level + 1):
-        shift = level - j
-        if len(act) <= 62:
-            child = F.lit(0).cast("bigint")
-            for pos, i in enumerate(act):
-                bit = F.shiftright(F.col("a")[i], shift).bitwiseAND(F.lit(1))
-                child = child + bit * F.lit(2 ** (len(act) - 1 - pos))
-            parts.append(child.cast("string"))
-        else:
-            bits = [F.shiftright(F.col("a")[i], shift).bitwiseAND(F.lit(1)).cast("string") for i in act]
-            parts.append(F.concat(*bits))
-    return F.concat_ws(".", *parts)
+    bits = [shifted(F.col("a")[i]).bitwiseAND(F.lit(1)) for i in act]
+    if len(act) > 62:
+        return F.concat(*[b.cast("string") for b in bits])
+    child = F.lit(0).cast("bigint")
+    for pos, bit in enumerate(bits):
+        child = child + bit * F.lit(2 ** (len(act) - 1 - pos))
+    return child.cast("string")
+
+
+def _leaf_label(spec: GridSpec) -> Column:
+    """The label by the row's own ``depth``."""
+    children = F.transform(F.sequence(F.lit(1), F.col("depth")),
+                           lambda j: _child(spec, lambda x: F.call_function("shiftright", x, F.col("depth") - j)))
+    cell = F.col("cell").cast("string")
+    return F.when(F.col("depth") == 0, cell).otherwise(F.concat_ws(".", cell, children))
+
+
+def _leaf_index(d: int) -> Column:
+    """Sub-cell index per dimension at the row's own ``depth``."""
+    cells = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("depth"))
+
+    def at(v):
+        return F.least(F.floor(v * cells.cast("double")), cells - 1)
+    if d <= UNROLL_DIMS:
+        return F.array(*[at(F.col("u")[i]) for i in range(d)])
+    return F.transform(F.col("u"), at)
 
 
 @dataclass
 class AdaptiveGrid:
     """Result of the adaptive split."""
     spec: GridSpec
-    points: DataFrame            # point rows + c, cell, u, depth, a, cell_key
-    cells: DataFrame             # occupied leaves: cell, a, depth, cell_key, n (checkpointed)
+    points: DataFrame            # point rows + c, cell, u, depth, a, cell_key (a projection of the input)
+    cells: DataFrame             # occupied leaves: cell, a, depth, cell_key, n (from checkpointed counts)
     splits: list[int] = field(default_factory=list)   # over-full cells split at each level
     split_keys: list = field(default_factory=list)    # their (cell, a), a table a level (checkpointed)
     levels: int = 0
@@ -243,6 +264,24 @@ class AdaptiveGrid:
         raise ValueError("basis must be 'all' or 'occupied'")
 
 
+def _level_counts(unsettled: DataFrame, spec: GridSpec, tau: int, low: int, high: int, max_depth: int) -> DataFrame:
+    """``level, cell, a, n, _split`` of the unsettled points' cells at levels ``low`` to ``high``, from one scan."""
+    ends = [f(F.col("coords")[i]).alias(f"{name}{i}") for i in range(spec.d) for f, name in ((F.min, "lo"), (F.max, "hi"))]
+    fine = unsettled.withColumn("a", _level_index(high, spec.d)).groupBy("cell", "a").agg(F.count("*").alias("n"), *ends)
+    rows = fine.withColumn("level", F.lit(high))
+    if low < high:
+        # a lost executor re-reads the finest counts instead of the points
+        up = F.transform("a", lambda x: F.call_function("shiftright", x, F.lit(high) - F.col("level")))
+        rows = checkpoint(fine).withColumn("level", F.explode(F.sequence(F.lit(low), F.lit(high)))).withColumn("a", up)
+        ends = [f(f"{name}{i}").alias(f"{name}{i}") for i in range(spec.d) for f, name in ((F.min, "lo"), (F.max, "hi"))]
+        rows = rows.groupBy("level", "cell", "a").agg(F.sum("n").alias("n"), *ends)
+    same = F.lit(True)
+    for i in range(spec.d):
+        same = same & (F.col(f"lo{i}") == F.col(f"hi{i}"))
+    over = (F.col("n") > F.lit(tau)) & ~same & (F.col("level") < max_depth)
+    return checkpoint(rows.select("level", "cell", "a", "n", over.alias("_split")))
+
+
 def adaptive_grid(points: DataFrame, tau: int, d: int | None = None,
                   spec: GridSpec | None = None, max_depth: int = MAX_DEPTH,
                   broadcast_bytes: int = BROADCAST_BYTES) -> AdaptiveGrid:
@@ -252,54 +291,63 @@ def adaptive_grid(points: DataFrame, tau: int, d: int | None = None,
     ``tau`` points, or holds copies of one point only (D4), or sits at
     ``max_depth``.
 
-    Per level: count points per (cell, sub-cell) with partial aggregation
-    (checkpointed, one row per occupied cell), then one left join with the
-    keys of the cells that split marks the points that go on. The keys are
-    broadcast while their counted bytes stay within ``broadcast_bytes``;
-    beyond that the join shuffles and AQE splits skewed partitions.
+    ``points`` are scanned once per stage of levels and by each use of the result. A level's
+    keys are broadcast while the directory's counted bytes stay within ``broadcast_bytes``;
+    beyond that its join shuffles, AQE splits skewed partitions, and the rows are
+    checkpointed with the depth they have reached. So are the rows that are unsettled after
+    ``LEVELS_AT_ONCE`` levels, that plans stay small.
     """
     if d is None:
         from tessera.sources.points import point_dimension
         d = point_dimension(points)
     if spec is None:
         spec = grid_spec(points, tau, d)
-    cur = uniform_grid_assign(points, spec)
-    base_cols = cur.columns
-    leaves, cells, split_keys = [], [], []
+    cur = uniform_grid_assign(points, spec).select("*", F.lit(True).alias("_on"), F.lit(0).alias("depth"))
+    columns = cur.columns
+    settled: list[DataFrame] = []
+    joins = 0
+    cells, split_keys = [], []
     splits: list[int] = []
+    key_bytes = (16 if spec.numbered else 8 + 2 * spec.d) + 24 + 8 * spec.d
     level = 0
-    while True:
-        keyed = cur.withColumn("a", _level_index(level, spec.d))
-        same = None
-        for i in range(spec.d):
-            eq = F.min(F.col("coords")[i]) == F.max(F.col("coords")[i])
-            same = eq if same is None else (same & eq)
-        stats = keyed.groupBy("cell", "a").agg(F.count("*").alias("n"), same.alias("_same"))
-        over = (F.col("n") > F.lit(tau)) & ~F.col("_same") if level < max_depth else F.lit(False)
-        # a lost executor re-reads the level's counts instead of the points
-        stats = checkpoint(stats.withColumn("_split", over))
-        label = _child_label(spec, level).alias("cell_key")
-        depth = F.lit(level).alias("depth")
-        split = stats.where("_split").select("cell", "a")
-        n_split = split.count()
-        splits.append(n_split)
-        split_keys.append(split)
-        cells.append(stats.where(~F.col("_split")).select("cell", "a", depth, label, "n"))
-        if n_split == 0:
-            leaves.append(keyed.select(*base_cols, depth, "a", label))
-            break
-        marked = split.withColumn("_on", F.lit(True))
-        key_bytes = (16 if spec.numbered else 8 + 2 * spec.d) + 24 + 8 * spec.d
-        if n_split * key_bytes <= broadcast_bytes:
-            marked = F.broadcast(marked)
-        routed = checkpoint(keyed.join(marked, ["cell", "a"], "left").select(*base_cols, "a", "_on"))
-        leaves.append(routed.where("_on IS NULL").select(*base_cols, depth, "a", label))
-        cur = routed.where("_on").select(*base_cols)
+    while not splits or splits[-1]:
+        low, high = level, min(2 * level, max_depth)
+        stats = _level_counts(cur.where("_on"), spec, tau, low, high, max_depth)
+        tally = {r["level"]: r["count"] for r in stats.where("_split").groupBy("level").count().collect()}
+        for level in range(low, high + 1):
+            at_level = stats.where(F.col("level") == level)
+            split = at_level.where("_split").select("cell", "a")
+            leaf = at_level.where(~F.col("_split"))
+            if level > low:
+                above = split_keys[-1].select("cell", F.col("a").alias("_above"))
+                up = F.transform("a", lambda x: F.shiftright(x, 1))
+                leaf = leaf.withColumn("_above", up).join(above, ["cell", "_above"], "left_semi")
+            cells.append(leaf.select("cell", "a", F.col("level").alias("depth"), _child_label(spec, level).alias("cell_key"), "n"))
+            splits.append(tally.get(level, 0))
+            split_keys.append(split)
+            if not splits[-1]:
+                break
+            key = F.when(F.col("_on"), _level_index(level, spec.d))
+            marked = split.select("cell", F.col("a").alias("_a"), F.lit(True).alias("_hit"))
+            few = sum(splits) * key_bytes <= broadcast_bytes
+            on = F.col("_hit").isNotNull()
+            cur = (cur.withColumn("_a", key).join(F.broadcast(marked) if few else marked, ["cell", "_a"], "left")
+                   .withColumn("depth", F.when(on, F.lit(level + 1)).otherwise(F.col("depth"))).withColumn("_on", on).select(*columns))
+            joins += 1
+            if not few or joins == LEVELS_AT_ONCE:
+                rows = cur if few else checkpoint(cur.select(*points.columns, "_on", "depth"))
+                done, open_ = rows.where(~F.col("_on")), rows.where("_on").select(*points.columns, "_on", "depth")
+                settled.append(done if few else uniform_grid_assign(done, spec).select(*columns))
+                cur = uniform_grid_assign(checkpoint(open_) if few else open_, spec).select(*columns)
+                joins = 0
         level += 1
-    out, table = leaves[0], cells[0]
-    for lf, cl in zip(leaves[1:], cells[1:]):
-        out, table = out.unionByName(lf), table.unionByName(cl)
-    return AdaptiveGrid(spec, out, table, splits, split_keys, level + 1)
+    for part in settled:
+        cur = cur.unionByName(part)
+    out = cur.drop("_on").withColumn("a", _leaf_index(spec.d)).withColumn("cell_key", _leaf_label(spec))
+    table = cells[0]
+    for cl in cells[1:]:
+        table = table.unionByName(cl)
+    return AdaptiveGrid(spec, out, table, splits, split_keys, len(splits))
 
 
 def leaf_counts(grid: AdaptiveGrid) -> DataFrame:

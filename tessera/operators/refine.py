@@ -16,12 +16,24 @@ weights ``w / |x - a|``); otherwise stay when ``|R| <= w_at``, else step
 ``+R``, which decreases the objective, D2). Stop a cluster when the step is
 at most ``epsilon`` or ``max_passes`` is reached.
 
-The points are assigned to the iteration's start centers inside each pass
-(a narrow projection), so nothing is re-materialized per iteration; a
+Weiszfeld's steps shrink by a constant factor, close to 1 where a cluster is much longer than
+wide: dozens of scans. ``method="newton"`` sums the curvature in the same aggregate,
+
+    M_ij = sum(w * (a_i - x_i) * (a_j - x_j) / |x - a|^3),   H = den * I - M
+
+and steps by ``H^-1 R``, a handful of scans. Safeguards: the objective comes with the sums, and a step
+that raised it is taken back, for shorter ones and then the Weiszfeld step from the place before, which
+never raises it; and where the pull of all other points is no more than the nearest point's weight, so that the
+median may be that point (where H is useless), the point itself is tried. Beyond
+``NEWTON_DIMS`` dimensions M has no direction of much weight and plain steps shrink by about 1 / d;
+they are taken there.
+
+A refinement assigns the points to its start centers once and keeps the assigned rows (cached, with
+the input, a checkpoint in a run, as lineage), coordinates as plain columns while there are few; a
 merged point table (distinct coordinates with weights, W2) keeps the passes
-small when the data repeat. The current estimates enter a pass as a k-row
-broadcast table keyed by center id, so the plan has one size whatever k and
-the ids are, and settled clusters are filtered out by the same join.
+small when the data repeat. The current estimates enter a pass as literals, or as a k-row
+broadcast table keyed by center id when k * d is large, so the plan has one size whatever k and
+the ids are, and settled clusters are filtered out.
 """
 
 from __future__ import annotations
@@ -29,16 +41,26 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import squared_distance
 from tessera.operators.assign import UNROLL_TERMS, CenterList, nearest
+from tessera.session import persist
 
 # fixed value: the median loop stops when a step is at most 0.01, with no
 # cap on the number of passes
 EPSILON = 0.01
 
+# curvature is summed, and coordinates are kept as columns, up to so many dimensions
+NEWTON_DIMS = 8
+# passes after which the nearest point is tried whatever its weight
+TRY_POINT = 5
+# parts of a second-order step that raised the objective to try before the Weiszfeld step
+SHORTER = (0.25, 0.03)
+
+
 def merge_duplicates(points: DataFrame) -> DataFrame:
     """Distinct coordinates with ``n`` (row count) and summed ``weight``.
     Partial aggregation combines copies before the shuffle."""
@@ -52,31 +74,56 @@ def estimates(spark, xs: dict[int, list[float]]) -> DataFrame:
                                  "center_id INT, _x ARRAY<DOUBLE>")
 
 
-def pass_stats(assigned: DataFrame, xs: dict[int, list[float]], d: int) -> DataFrame:
-    """One Weiszfeld pass aggregate: ``center_id, r_0.., den, w_at, n``
-    for the clusters in ``xs`` (W3-W5)."""
-    mult = F.col("n") if "n" in assigned.columns else F.lit(1)
-    rows = assigned.select("center_id", "coords", "weight", mult.alias("_mult"))
+def flat_columns(d: int) -> list[str]:
+    return [f"x_{i}" for i in range(d)]
+
+
+def _literal(v: float) -> str:
+    return f"{v!r}D" if math.isfinite(v) else f"double('{v}')"
+
+
+def _pass_rows(assigned: DataFrame, xs: dict[int, list[float]], d: int) -> DataFrame:
+    """The rows of the clusters in ``xs`` with ``_d0..`` (differences to the estimate), ``_at`` (equal to it) and
+    ``_dist``. Built from SQL text: a pass is short, and so is the text against a tree of calls."""
+    flat = "x_0" in assigned.columns
+    mult = "n" if "n" in assigned.columns else "1"
+    coord = [f"x_{i}" if flat else f"coords[{i}]" for i in range(d)]
     if len(xs) * d <= UNROLL_TERMS:
-        # the same estimates as a literal map of the ids present: no job for the broadcast
-        known = F.create_map(*[v for j, x in xs.items() for v in
-                               (F.lit(int(j)).cast("int"), F.array(*[F.lit(float(c)) for c in x]))])
-        rows = rows.where(F.col("center_id").isin(list(xs))).withColumn("_x", known[F.col("center_id")])
+        rows = assigned.where(f"center_id IN ({', '.join(map(str, xs))})")
+        # literals instead of a table of estimates: no job for the broadcast
+        at = ["CASE center_id " + " ".join(f"WHEN {j} THEN {_literal(x[i])}" for j, x in xs.items()) + " END" for i in range(d)]
+        equal = " AND ".join(f"{coord[i]} = _x{i}" for i in range(d))
+        rows = rows.selectExpr("*", *[f"{x} AS _x{i}" for i, x in enumerate(at)])
     else:
-        rows = rows.join(F.broadcast(estimates(assigned.sparkSession, xs)), "center_id")
-    sq = squared_distance("coords", "_x", d)
-    rows = rows.select("center_id", "coords", "weight", "_mult", "_x",
-                       (F.col("coords") == F.col("_x")).alias("_at"), F.sqrt(sq).alias("_dist"))
-    away = (~F.col("_at")) & (F.col("_dist") > 0)
-    inv = F.when(away, F.col("weight") / F.col("_dist"))
-    aggs = [F.sum(F.when(away, F.col("weight") * (F.col("coords")[i] - F.col("_x")[i]) / F.col("_dist")))
-            .alias(f"r_{i}") for i in range(d)]
-    aggs += [F.sum(inv).alias("den"), F.sum(F.when(F.col("_at"), F.col("weight"))).alias("w_at"),
-             F.count("*").alias("n"),
-             # input rows times distance to x: at the first pass x is the
-             # cluster's center, so this sums to the clustering cost
-             F.sum(F.col("_mult") * F.col("_dist")).alias("cost")]
-    return rows.groupBy("center_id").agg(*aggs)
+        rows = assigned.join(F.broadcast(estimates(assigned.sparkSession, xs)), "center_id")
+        rows = rows.selectExpr("*", *[f"_x[{i}] AS _x{i}" for i in range(d)]) if flat else rows
+        equal = " AND ".join(f"{coord[i]} = _x{i}" for i in range(d)) if flat else "coords = _x"
+    if not flat and "_x" in rows.columns:
+        return rows.select("center_id", "weight", F.expr(mult).alias("_mult"), F.expr(equal).alias("_at"),
+                           *[(F.col("coords")[i] - F.col("_x")[i]).alias(f"_d{i}") for i in range(d)],
+                           F.sqrt(squared_distance("coords", "_x", d)).alias("_dist"))
+    rows = rows.selectExpr("center_id", "weight", f"{mult} AS _mult", f"({equal}) AS _at", *[f"{c} - _x{i} AS _d{i}" for i, c in enumerate(coord)])
+    return rows.selectExpr("*", f"sqrt({' + '.join(f'_d{i} * _d{i}' for i in range(d))}) AS _dist")
+
+
+def pass_stats(assigned: DataFrame, xs: dict[int, list[float]], d: int, curvature: bool = False) -> DataFrame:
+    """One Weiszfeld pass aggregate: ``center_id, r_0.., den, w_at, n``
+    for the clusters in ``xs`` (W3-W5). ``assigned`` has ``coords``, or ``x_0..`` in its place.
+
+    With ``curvature`` also ``m_0_0..`` (the upper triangle of M), ``obj`` (the weighted
+    objective) and the nearest other point ``near_0.., near_w, near_dist``."""
+    away = "CASE WHEN NOT _at AND _dist > 0 THEN {} END"
+    aggs = {f"r_{i}": f"sum({away.format(f'weight * _d{i} / _dist')})" for i in range(d)}
+    # input rows times distance to x: at the first pass x is the
+    # cluster's center, so this sums to the clustering cost
+    aggs |= {"den": f"sum({away.format('weight / _dist')})", "w_at": "sum(CASE WHEN _at THEN weight END)", "n": "count(*)",
+             "cost": "sum(_mult * _dist)"}
+    if curvature:
+        gap = away.format("_dist")
+        aggs |= {f"m_{i}_{j}": f"sum({away.format(f'weight / (_dist * _dist * _dist) * _d{i} * _d{j}')})" for i in range(d) for j in range(i, d)}
+        aggs |= {"obj": "sum(weight * _dist)", "near_dist": f"min({gap})", "near_w": f"min_by(weight, {gap})"}
+        aggs |= {f"near_{i}": f"min_by(_d{i}, {gap})" for i in range(d)}
+    return _pass_rows(assigned, xs, d).groupBy("center_id").agg(*[F.expr(e).alias(name) for name, e in aggs.items()])
 
 
 def weiszfeld_update(x: list[float], R: list[float], den: float, w_at: float):
@@ -92,6 +139,34 @@ def weiszfeld_update(x: list[float], R: list[float], den: float, w_at: float):
     return [x[i] + t * R[i] / rn for i in range(len(x))], "S"
 
 
+def newton_update(x: list[float], row, d: int) -> list[float] | None:
+    """The second-order step from a pass's sums, or None where the curvature gives no descent."""
+    R = np.array([float(row[f"r_{i}"] or 0.0) for i in range(d)])
+    H = np.eye(d) * float(row["den"] or 0.0)
+    for i in range(d):
+        for j in range(i, d):
+            m = float(row[f"m_{i}_{j}"] or 0.0)
+            H[i, j] -= m
+            if i != j:
+                H[j, i] -= m
+    try:
+        p = np.linalg.solve(H, R)
+    except np.linalg.LinAlgError:
+        return None
+    if not np.all(np.isfinite(p)) or p @ R <= 0:
+        return None
+    return [float(v) for v in np.asarray(x) + p]
+
+
+def near_point(x: list[float], row, d: int) -> tuple[list[float], bool] | None:
+    """The nearest point, and whether the pull of all others there, as seen from ``x``, is no more than its weight."""
+    if row["near_dist"] is None:
+        return None
+    off, r, w = [float(row[f"near_{i}"]) for i in range(d)], float(row["near_dist"]), float(row["near_w"])
+    rest = [float(row[f"r_{i}"] or 0.0) - w * off[i] / r for i in range(d)]
+    return [a + b for a, b in zip(x, off)], math.sqrt(sum(v * v for v in rest)) <= w
+
+
 @dataclass
 class MedianResult:
     centers: dict[int, list[float]]
@@ -100,32 +175,68 @@ class MedianResult:
     start_cost: float = 0.0     # clustering cost of the start centers (E1)
 
 
+@dataclass
+class _Place:
+    """Where a cluster was before its last step, its objective there, the Weiszfeld step from there, and shorter
+    steps to try before that."""
+    x: list[float]
+    objective: float
+    safe: list[float]
+    shorter: list[list[float]]
+
+
+def _gap(a: list[float], b: list[float]) -> float:
+    return math.sqrt(sum((u - v) ** 2 for u, v in zip(a, b)))
+
+
 def geometric_medians(assigned: DataFrame, start: dict[int, list[float]], d: int,
-                      epsilon: float = EPSILON, max_passes: int | None = None) -> MedianResult:
+                      epsilon: float = EPSILON, max_passes: int | None = None, method: str = "weiszfeld") -> MedianResult:
     """Weiszfeld/Vardi-Zhang iteration for every cluster at once.
 
-    ``assigned`` has ``center_id, coords, weight``. One job a pass over the
+    ``assigned`` has ``center_id, coords, weight`` (or ``x_0..`` for ``coords``). One job a pass over the
     rows of the clusters still moving. Clusters with no points keep their
-    start (D8).
+    start (D8). ``method`` is ``weiszfeld`` for its plain steps, or ``newton``.
     """
+    if method not in ("weiszfeld", "newton"):
+        raise ValueError("method must be 'weiszfeld' or 'newton'")
+    newton = method == "newton" and d <= NEWTON_DIMS
     xs = {j: list(map(float, v)) for j, v in start.items()}
     active = dict(xs)
     passes = {j: 0 for j in xs}
+    before: dict[int, _Place] = {}      # only after a step that may have raised the objective
+    tried: dict[int, set] = {j: set() for j in xs}
     jobs = 0
     start_cost = 0.0
     while active:
-        rows = pass_stats(assigned, active, d).collect()      # at most k rows
+        rows = pass_stats(assigned, active, d, newton).collect()      # at most k rows
         moving = {}
         for r in rows:
             j = int(r["center_id"])
             if not jobs:
                 start_cost += float(r["cost"] or 0.0)
-            R = [float(r[f"r_{i}"] or 0.0) for i in range(d)]
-            new, _ = weiszfeld_update(active[j], R, float(r["den"] or 0.0), float(r["w_at"] or 0.0))
-            step = math.sqrt(sum((a - b) ** 2 for a, b in zip(new, active[j])))
+            x = active[j]
             passes[j] += 1
+            last = before.pop(j, None)
+            if last and not float(r["obj"]) <= last.objective:
+                new, at = last.safe, last.x
+                if last.shorter:
+                    new = last.shorter.pop(0)
+                    before[j] = last
+            else:
+                R = [float(r[f"r_{i}"] or 0.0) for i in range(d)]
+                (new, branch), at = weiszfeld_update(x, R, float(r["den"] or 0.0), float(r["w_at"] or 0.0)), x
+                if newton and branch == "T":
+                    bold = newton_update(x, r, d)
+                    shorter = [[a + f * (b - a) for a, b in zip(x, bold)] for f in SHORTER] if bold is not None else []
+                    point = near_point(x, r, d)
+                    if point and (point[1] or passes[j] % TRY_POINT == 0) and tuple(point[0]) not in tried[j] and _gap(bold or new, x) > epsilon:
+                        tried[j].add(tuple(point[0]))
+                        bold = point[0]
+                    if bold is not None:
+                        before[j] = _Place(x, float(r["obj"]), new, shorter)
+                        new = bold
             xs[j] = new
-            if step > epsilon and (max_passes is None or passes[j] < max_passes):
+            if _gap(new, at) > epsilon and (max_passes is None or passes[j] < max_passes):
                 moving[j] = new
         active = moving
         jobs += 1
@@ -141,8 +252,17 @@ def assign_to(points: DataFrame, centers: CenterList) -> DataFrame:
 
 
 def refine_once(points: DataFrame, centers: CenterList, d: int, epsilon: float = EPSILON,
-                max_passes: int | None = None) -> tuple[CenterList, MedianResult]:
-    """Assign, then move every center to its cluster's geometric median."""
+                max_passes: int | None = None, method: str = "newton") -> tuple[CenterList, MedianResult]:
+    """Assign, then move every center to its cluster's geometric median.
+
+    The assigned rows are cached for the passes; a lost block is assigned again from ``points``."""
     assigned = assign_to(points, centers)
-    res = geometric_medians(assigned, {j: c for j, c in centers}, d, epsilon, max_passes)
+    if d <= NEWTON_DIMS:
+        n = ["n"] if "n" in assigned.columns else []
+        assigned = assigned.select("center_id", *n, *[F.col("coords")[i].alias(x) for i, x in enumerate(flat_columns(d))], "weight")
+    assigned = persist(assigned)
+    try:
+        res = geometric_medians(assigned, {j: c for j, c in centers}, d, epsilon, max_passes, method)
+    finally:
+        assigned.unpersist()
     return [(j, res.centers[j]) for j, _ in centers], res

@@ -813,7 +813,7 @@ def q_refine_once(spark, sf_dir):
     """One refinement to epsilon 0.01 on merged points (W2 + W8)."""
     pts, ctr = _part_centers(spark, sf_dir)
     merged = W.merge_duplicates(pts)
-    new, res = W.refine_once(merged, ctr, 2)
+    new, res = W.refine_once(merged, ctr, 2, method="weiszfeld")
     rows = [(j, round(x[0], 4) + 0.0, round(x[1], 4) + 0.0, res.passes[j]) for j, x in new]
     return spark.createDataFrame(rows, "center_id INT, x0 DOUBLE, x1 DOUBLE, passes INT")
 
@@ -826,7 +826,7 @@ UNION ALL SELECT 'phase2', 1, round({_cost_sql('h_out')}, 4) + 0.0""")
 def q_cost_trace(spark, sf_dir):
     """Cost at the start centers and after each of two refinements."""
     pts, ctr = _part_centers(spark, sf_dir)
-    tr = PL.cost_trace(pts, ctr, 2)
+    tr = PL.cost_trace(pts, ctr, 2, method="weiszfeld")
     return tr.select("phase", "iteration", rnd(F.col("cost"), 4).alias("cost"))
 
 
@@ -934,7 +934,7 @@ RUN_K, RUN_TAU, RUN_ITER = 5, 20, 2
 
 
 def _run(spark, sf_dir, iterations=RUN_ITER):
-    return PL.cluster(PART.load(spark, sf_dir), RUN_K, RUN_TAU, iterations, seed=SEED)
+    return PL.cluster(PART.load(spark, sf_dir), RUN_K, RUN_TAU, iterations, seed=SEED, method="weiszfeld")
 
 
 def _run_ctes() -> str:
@@ -1009,7 +1009,7 @@ def q_refine_trace(spark, sf_dir):
 def flagship(spark, sf_dir):
     """Flagship: the whole run's centers with their cluster sizes."""
     pts = PART.load(spark, sf_dir)
-    res = PL.cluster(pts, RUN_K, RUN_TAU, RUN_ITER, seed=SEED)
+    res = PL.cluster(pts, RUN_K, RUN_TAU, RUN_ITER, seed=SEED, method="weiszfeld")
     sizes = res.assignments.groupBy("center_id").agg(F.count("*").alias("n"),
                                                      F.sum("distance").alias("cost"))
     cen = res.centers.select("center_id", *[F.col("coords")[i].alias(f"x{i}") for i in range(2)], "kind")

@@ -46,7 +46,7 @@ def cluster(points: DataFrame, k: int, tau: int, iterations: int, seed: int = 0,
             epsilon: float = W.EPSILON, max_passes: int | None = None,
             max_sweeps: int | None = None, max_depth: int = G.MAX_DEPTH,
             avg_basis: str = "all",
-            block_rows: int | None = None) -> ClusterResult:
+            block_rows: int | None = None, method: str = "newton") -> ClusterResult:
     """Cluster ``points`` (``point_id, coords, weight``) around ``k`` centers.
 
     ``avg_basis`` is the average that the per-cell quota divides by: ``all``
@@ -100,7 +100,7 @@ def cluster(points: DataFrame, k: int, tau: int, iterations: int, seed: int = 0,
     kind = "medoid"
     trace = []
     for it in range(iterations):
-        centers, mres = W.refine_once(merged, centers, d, epsilon, max_passes)
+        centers, mres = W.refine_once(merged, centers, d, epsilon, max_passes, method)
         trace.append((it, mres.start_cost, max(mres.passes.values()) if mres.passes else 0))
         kind = "median"
     final_cost = A.clustering_cost_value(merged, centers, multiplicity="n")
@@ -127,7 +127,7 @@ def write_cluster_result(result: ClusterResult, path: str) -> None:
 
 
 def cost_trace(points: DataFrame, centers: list, iterations: int, epsilon: float = W.EPSILON,
-               max_passes: int | None = None) -> DataFrame:
+               max_passes: int | None = None, method: str = "newton") -> DataFrame:
     """Cost with the given centers, then after each refinement (E3/W9):
     ``phase, iteration, cost``."""
     spark = points.sparkSession
@@ -135,7 +135,7 @@ def cost_trace(points: DataFrame, centers: list, iterations: int, epsilon: float
     merged = checkpoint(W.merge_duplicates(points))
     costs = []
     for _ in range(iterations):
-        centers, mres = W.refine_once(merged, centers, d, epsilon, max_passes)
+        centers, mres = W.refine_once(merged, centers, d, epsilon, max_passes, method)
         costs.append(mres.start_cost)       # cost of the centers this refinement started from
     costs.append(A.clustering_cost_value(merged, centers, multiplicity="n"))
     rows = [("start", 0, costs[0])] + [("phase2", it, c) for it, c in enumerate(costs[1:])]

@@ -125,6 +125,46 @@ def test_scorer_equals_plain_costs_with_many_medoids():
             assert np.allclose(got[i], want, rtol=1e-12)
 
 
+@pytest.mark.parametrize("k", [1, 2, 40])
+def test_blocks_far_from_the_candidates_are_skipped_exactly(spark, monkeypatch, k):
+    """Swap costs of the broadcast and of the joined form equal plain sums; far pairs are not computed."""
+    rng = np.random.default_rng(6)
+    X = rng.uniform(0, 100, (1500, 2))
+    X[100:160] = X[0]
+    pts = make_points(spark, X.tolist()).withColumn("rank", SM.seeded_rank("point_id", 0))
+    M = X[200:200 + k]
+    D, DM = SM.cross_distances(X, X), SM.cross_distances(X, M)
+    want = np.array([np.minimum(np.min(np.delete(DM, i, axis=1), axis=1, initial=np.inf)[:, None], D).sum(axis=0) for i in range(k)])
+    monkeypatch.setattr(SR, "PIECE_ROWS", 100)
+    for limit, at_once in ((SR.BROADCAST_BYTES, 64), (0, 64), (0, 3)):
+        monkeypatch.setattr(SR, "BROADCAST_BYTES", limit)
+        monkeypatch.setattr(SR, "ADD_AT_ONCE", at_once)
+        blocks = SR.block_pairs(pts, 2, block_rows=25)
+        assert (blocks.whole is None) == (limit == 0) and blocks.sizes.max() <= 25 and blocks.sizes.sum() == 1500
+        rows = SR.swap_costs(blocks, M).collect()
+        got = np.empty((k, 1500))
+        for r in rows:
+            got[:, r["point_id"]] = [r[f"cost_{i}"] for i in range(k)]
+        assert len(rows) == 1500 and np.allclose(got, want, rtol=1e-10)
+        bound = SR.reach(blocks, M)
+        pairs = sum(len(SR.near_blocks(blocks, b, bound)) for b in range(len(blocks.ids)))
+        assert {1: pairs == len(blocks.ids) ** 2, 2: pairs <= len(blocks.ids) ** 2, 40: pairs < 0.6 * len(blocks.ids) ** 2}[k]
+    near = X[np.argsort(SR.morton_keys(X, X.min(axis=0), X.max(axis=0)))]
+    points = SR.Points(near, M)
+    points.changes(near[:90])
+    assert points.distances < 0.3 * 90 * 1500 if k == 40 else points.distances > 0
+
+
+def test_row_statistics_of_both_forms_agree(spark, monkeypatch):
+    pts = PART.load(spark, SF001)
+    few = {r["point_id"]: r for r in SR.row_distance_stats(pts, 2).collect()}
+    monkeypatch.setattr(SR, "BROADCAST_BYTES", 0)
+    many = SR.row_distance_stats(pts, 2, block_rows=30).collect()
+    assert len(many) == len(few)
+    for r in many:
+        assert r["dist_sum"] == pytest.approx(few[r["point_id"]]["dist_sum"], rel=1e-9) and r["dist_min"] == few[r["point_id"]]["dist_min"]
+
+
 def test_a_cell_of_any_size_is_swept(spark, monkeypatch):
     """tau above the number of points: one big cell, in small chunks."""
     rng = np.random.default_rng(4)

@@ -131,3 +131,44 @@ def test_nearest_forms_agree_on_odd_rows(spark):
     finally:
         A.UNROLL_TERMS = old
     assert rows(few)[0][0] == 1 and rows(few)[6][0] == 1
+
+
+@pytest.mark.parametrize("scale,most", [((1.0, 1.0), 12), ((1.0, 1000.0), 30), ((1e-4, 1.0), 80)])
+def test_second_order_passes_reach_the_median_in_few_scans(spark, scale, most):
+    """Also of points nearly on a line, where plain steps take hundreds."""
+    pts = PART.load(spark, SF01)
+    X = np.array([r["coords"] for r in pts.collect()]) * scale
+    start = X[0].tolist()
+    asg = make_points(spark, X.tolist()).select("coords", "weight", F.lit(0).alias("center_id"))
+    res = W.geometric_medians(asg, {0: start}, 2, epsilon=1e-7, method="newton")
+    ref = numpy_median(X, np.ones(len(X)))
+    assert np.allclose(res.centers[0], ref, atol=1e-4)
+    assert res.passes[0] < most
+
+
+def test_second_order_passes_stop_at_a_data_point(spark):
+    """Medians at a point of much weight, of a few points, on a line, and of copies of one point."""
+    rng = np.random.default_rng(8)
+    clusters = [np.r_[rng.normal(size=(40, 2)), [[0.3, 0.2]] * 60], rng.normal(size=(3, 2)), np.c_[np.arange(9.0), np.arange(9.0)],
+                np.array([[1.0, 2.0]] * 5), np.r_[rng.normal(size=(20, 2)), rng.normal(size=(20, 2)) + 50]]
+    rows = [(j, x.tolist()) for j, X in enumerate(clusters) for x in X]
+    asg = (spark.createDataFrame(rows, "center_id INT, coords ARRAY<DOUBLE>").withColumn("weight", F.lit(1.0))
+           .groupBy("center_id", "coords").agg(F.sum("weight").alias("weight")))
+    start = {j: (X.mean(axis=0) + 0.01).tolist() for j, X in enumerate(clusters)}
+    res = W.geometric_medians(asg, start, 2, epsilon=1e-8, max_passes=40, method="newton")
+    for j, X in enumerate(clusters):
+        ref = numpy_median(X, np.ones(len(X)))
+        assert objective(X, 1, np.array(res.centers[j])) == pytest.approx(objective(X, 1, ref), rel=1e-7, abs=1e-7), j
+        assert res.passes[j] < 25
+
+
+def test_refined_runs_agree_by_method(spark):
+    pts = PART.load(spark, SF01)
+    ctr = first_k_centers(pts, 5)
+    plain, a = W.refine_once(pts, ctr, 2, epsilon=1e-7, method="weiszfeld")
+    fast, b = W.refine_once(pts, ctr, 2, epsilon=1e-5)
+    for (_, x), (_, y) in zip(plain, fast):
+        assert x == pytest.approx(y, abs=1e-4)
+    assert b.jobs < 12 < a.jobs
+    with pytest.raises(ValueError):
+        W.refine_once(pts, ctr, 2, method="steepest")
