@@ -57,8 +57,10 @@ EPSILON = 0.01
 NEWTON_DIMS = 8
 # passes after which the nearest point is tried whatever its weight
 TRY_POINT = 5
-# parts of a second-order step that raised the objective to try before the Weiszfeld step
-SHORTER = (0.25, 0.03)
+# relative rise of the objective that is summation order
+SAME = 1e-13
+# times that a second-order step which raised the objective is shortened before the Weiszfeld step
+SHORTER = 3
 
 
 def merge_duplicates(points: DataFrame) -> DataFrame:
@@ -177,12 +179,30 @@ class MedianResult:
 
 @dataclass
 class _Place:
-    """Where a cluster was before its last step, its objective there, the Weiszfeld step from there, and shorter
-    steps to try before that."""
+    """Where a cluster was before its last step, its objective there, the Weiszfeld step from there, and the
+    bold step that was tried: ``x + part * p``, down which the objective falls by ``slope`` at first; and the
+    nearest point there."""
     x: list[float]
     objective: float
     safe: list[float]
-    shorter: list[list[float]]
+    p: list[float]
+    slope: float
+    point: list[float] | None
+    part: float = 1.0
+    tries: int = 0
+
+    def at(self) -> list[float]:
+        return [a + self.part * b for a, b in zip(self.x, self.p)]
+
+    def shorten(self, objective: float) -> bool:
+        """After a step that raised the objective: the part at which a parabola through what is known is lowest;
+        False when steps have been shortened enough."""
+        self.tries += 1
+        if self.tries > SHORTER or self.slope <= 0 or not math.isfinite(objective):
+            return False
+        rise = objective - self.objective + self.slope * self.part
+        self.part *= min(0.5, max(0.02, self.slope * self.part / (2 * rise)))
+        return True
 
 
 def _gap(a: list[float], b: list[float]) -> float:
@@ -217,26 +237,30 @@ def geometric_medians(assigned: DataFrame, start: dict[int, list[float]], d: int
             x = active[j]
             passes[j] += 1
             last = before.pop(j, None)
-            if last and not float(r["obj"]) <= last.objective:
+            go = False
+            if last and not float(r["obj"]) <= last.objective * (1 + SAME):
                 new, at = last.safe, last.x
-                if last.shorter:
-                    new = last.shorter.pop(0)
-                    before[j] = last
+                if last.shorten(float(r["obj"])):
+                    new, before[j] = last.at(), last
+                elif _gap(new, at) <= epsilon and last.point and tuple(last.point) not in tried[j]:
+                    # so near a point Weiszfeld steps are short wherever the median is; from the point they are not
+                    tried[j].add(tuple(last.point))
+                    new, go = last.point, True
             else:
                 R = [float(r[f"r_{i}"] or 0.0) for i in range(d)]
                 (new, branch), at = weiszfeld_update(x, R, float(r["den"] or 0.0), float(r["w_at"] or 0.0)), x
                 if newton and branch == "T":
                     bold = newton_update(x, r, d)
-                    shorter = [[a + f * (b - a) for a, b in zip(x, bold)] for f in SHORTER] if bold is not None else []
                     point = near_point(x, r, d)
                     if point and (point[1] or passes[j] % TRY_POINT == 0) and tuple(point[0]) not in tried[j] and _gap(bold or new, x) > epsilon:
                         tried[j].add(tuple(point[0]))
                         bold = point[0]
                     if bold is not None:
-                        before[j] = _Place(x, float(r["obj"]), new, shorter)
+                        p = [b - a for a, b in zip(x, bold)]
+                        before[j] = _Place(x, float(r["obj"]), new, p, sum(a * b for a, b in zip(R, p)), point and point[0])
                         new = bold
             xs[j] = new
-            if _gap(new, at) > epsilon and (max_passes is None or passes[j] < max_passes):
+            if (go or _gap(new, at) > epsilon) and (max_passes is None or passes[j] < max_passes):
                 moving[j] = new
         active = moving
         jobs += 1

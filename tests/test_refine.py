@@ -133,7 +133,7 @@ def test_nearest_forms_agree_on_odd_rows(spark):
     assert rows(few)[0][0] == 1 and rows(few)[6][0] == 1
 
 
-@pytest.mark.parametrize("scale,most", [((1.0, 1.0), 12), ((1.0, 1000.0), 30), ((1e-4, 1.0), 80)])
+@pytest.mark.parametrize("scale,most", [((1.0, 1.0), 12), ((1.0, 1000.0), 30), ((1e-4, 1.0), 60)])
 def test_second_order_passes_reach_the_median_in_few_scans(spark, scale, most):
     """Also of points nearly on a line, where plain steps take hundreds."""
     pts = PART.load(spark, SF01)
@@ -169,6 +169,6 @@ def test_refined_runs_agree_by_method(spark):
     fast, b = W.refine_once(pts, ctr, 2, epsilon=1e-5)
     for (_, x), (_, y) in zip(plain, fast):
         assert x == pytest.approx(y, abs=1e-4)
-    assert b.jobs < 12 < a.jobs
+    assert 2 * b.jobs < a.jobs
     with pytest.raises(ValueError):
         W.refine_once(pts, ctr, 2, method="steepest")
