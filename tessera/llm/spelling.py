@@ -176,7 +176,7 @@ def _paths(vocabulary: DataFrame) -> DataFrame:
 
 
 def _trie(paths: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The edges ``node, label, child, target`` (the word that ends at the child), ``letters`` (first ones
+    """The edges ``node, first, label, child, target`` (the word that ends at the child), ``letters`` (first ones
     of the child's own edges), and the states
     ``s, back, pos, node, edits`` of words on their own paths from their halves on."""
     s = F.when(F.col("back"), F.reverse("word")).otherwise(F.col("word"))
@@ -191,27 +191,33 @@ def _trie(paths: DataFrame) -> tuple[DataFrame, DataFrame]:
     states = nodes.where(F.col("depth") >= half).select(s.alias("s"), "back", F.col("depth").alias("pos"), "node", F.lit(0).alias("edits"))
     letters = edges.groupBy(F.col("node").alias("child")).agg(F.array_join(F.collect_set(F.substring("label", 1, 1)), "").alias("letters"))
     edges = edges.join(ends, "child", "left").join(letters, "child", "left")
-    return edges.select("node", "label", "child", "target", F.coalesce("letters", F.lit("")).alias("letters")), states
+    return edges.select("node", F.substring("label", 1, 1).alias("first"), "label", "child", "target",
+                        F.coalesce("letters", F.lit("")).alias("letters")), states
 
 
-def _level(states: DataFrame, edges: DataFrame) -> DataFrame:
-    """The states one edge further that have an edit; those at their word's end are at the end of ``target``."""
-    rows = states.join(edges, "node")
-    step = F.char_length("label")
-    goes = F.substring("s", F.col("pos") + 1, F.lit(1))
-    first, rest = F.substring("label", 1, 1), F.substring("label", F.lit(2), step - 1)
+def _level(states: DataFrame, edges: DataFrame, edits: int) -> DataFrame:
+    """The states one edge further that have an edit; those at their word's end are at the end of ``target``.
+
+    States with an edit meet the one edge that begins as their words go on, states without one all edges."""
+    goes, pos = F.substring("s", F.col("pos") + 1, F.lit(1)), F.col("pos")
+    step, first = F.char_length("label"), F.col("first")
+    rest = F.substring("label", F.lit(2), step - 1)
+
     def on(label, at, to):
         """``to``, if ``label`` is what the word has at ``at`` and the child goes on as the word does there, or ends with it."""
         text = F.substring("s", at + 1, F.char_length(label))
         ahead = F.when(to < F.char_length("s"), F.col("letters").contains(F.substring("s", to + 1, F.lit(1)))).otherwise(F.col("target").isNotNull())
         return F.when((text == label) & ahead, to)
 
-    pos = F.col("pos")
-    match = F.when(F.col("edits") == 1, on(F.col("label"), pos, pos + step))
-    insert = F.when((F.col("edits") == 0) & (first != goes), on(rest, pos, pos + step - 1))
-    replace = F.when((F.col("edits") == 0) & (goes != "") & (first > goes), on(rest, pos + 1, pos + step))
-    return rows.select("s", "back", F.explode(F.array_compact(F.array(match, insert, replace))).alias("pos"),
-                       F.col("child").alias("node"), F.lit(1).alias("edits"), "target")
+    if edits:
+        rows = states.where(F.col("edits") == 1).withColumn("first", goes).join(edges, ["node", "first"])
+        rows = rows.withColumn("pos", on(F.col("label"), pos, pos + step)).where("pos IS NOT NULL")
+    else:
+        rows = states.where(F.col("edits") == 0).join(edges, "node")
+        insert = F.when(first != goes, on(rest, pos, pos + step - 1))
+        replace = F.when((goes != "") & (first > goes), on(rest, pos + 1, pos + step))
+        rows = rows.withColumn("pos", F.explode(F.array_compact(F.array(insert, replace))))
+    return rows.select("s", "back", "pos", F.col("child").alias("node"), F.lit(1).alias("edits"), "target")
 
 
 def near_pairs(vocabulary: DataFrame) -> DataFrame:
@@ -222,7 +228,7 @@ def near_pairs(vocabulary: DataFrame) -> DataFrame:
     edges = written(edges, "edges")
     found = []
     while states is not None:
-        level = written(_level(states, edges), "level")
+        level = written(_level(states, edges, len(found)), "level")
         at_end = F.col("pos") == F.char_length("s")
         found.append(level.where(at_end)
                      .select(F.when(F.col("back"), F.reverse("s")).otherwise(F.col("s")).alias("word"), F.col("target").alias("near")))
