@@ -13,6 +13,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -133,3 +135,27 @@ def lexicographic_index(points, col: str = "coords", name: str = "ord"):
     """
     from tessera.sources.points import with_point_index
     return with_point_index(points.orderBy(col, "point_id"), name, reliable=True)
+
+
+# ----------------------------------------------------------------- numpy, inside tasks
+
+
+def cross_distances(P: np.ndarray, C: np.ndarray) -> np.ndarray:
+    """Euclidean distances between the rows of ``P`` and of ``C``.
+
+    Squares are summed dimension by dimension in order, the same sum as the
+    SQL and Spark expressions, in one buffer updated in place.
+    """
+    D = np.subtract.outer(P[:, 0], C[:, 0])
+    np.multiply(D, D, out=D)
+    for i in range(1, P.shape[1]):
+        T = np.subtract.outer(P[:, i], C[:, i])
+        np.multiply(T, T, out=T)
+        D += T
+    return np.sqrt(D, out=D)
+
+
+def coords_matrix(column, d: int) -> np.ndarray:
+    """An Arrow column of coordinate arrays as an ``m x d`` matrix."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, d)

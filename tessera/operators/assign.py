@@ -6,9 +6,10 @@ unrolled ``least(struct(distance, id), ...)`` expression inside whole-stage
 codegen. Past about 48 terms the generated code stops compiling well
 (measured: 600k 2-d rows, k = 50 took 5.5 s unrolled; 100k 64-d rows, k = 10
 took 0.9 s with higher-order functions), so larger ``k * d`` uses an
-Arrow-batched pandas UDF that does the same arithmetic in numpy (0.8 s and
-0.4 s on those inputs), summing squares dimension by dimension in the same
-order and breaking ties to the lowest center id.
+Arrow UDF that does the same arithmetic in numpy on the batch's matrix,
+summing squares dimension by dimension in the same
+order and breaking ties to the lowest center id. Many centers are indexed (``CenterIndex``): groups
+around a few of them, passed over where the triangle inequality says that none can be nearest.
 """
 
 from __future__ import annotations
@@ -16,14 +17,20 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.vectors import distance
+from tessera.functions.vectors import coords_matrix, cross_distances, distance
 
 # at most this many k*d terms go into one unrolled least(...) expression
 UNROLL_TERMS = 48
+# centers from which an index is worth its groups
+INDEX_CENTERS = 64
+# coordinates beyond this may overflow when squared: the bounds don't hold there
+SAFE = 1e150
+# relative slack of the bounds against rounding
+SLACK = 1e-9
 
 CenterList = list[tuple[int, list[float]]]
 
@@ -50,34 +57,78 @@ def centers_list(centers: DataFrame | Sequence) -> CenterList:
     return out
 
 
+class CenterIndex:
+    """Nearest of many centers, the first of equals.
+
+    About ``sqrt(k)`` centers far from each other are pivots; every center belongs to its nearest pivot. A point
+    measures the pivots, then the centers around its nearest one, which bounds its distance; of
+    the other groups only those are measured whose pivot is no further than that plus the group's radius.
+    """
+
+    def __init__(self, C: np.ndarray):
+        self.C = C
+        self.distances = 0         # how many were computed
+        self.bounded = len(C) >= INDEX_CENTERS and bool(np.all(np.abs(C) < SAFE))
+        if not self.bounded:
+            return
+        pivots, far = [0], cross_distances(C, C[:1])[:, 0]
+        while len(pivots) ** 2 < len(C) and far.max() > 0:
+            pivots.append(int(far.argmax()))
+            far = np.minimum(far, cross_distances(C, C[pivots[-1:]])[:, 0])
+        self.pivots = C[pivots]
+        to = cross_distances(C, self.pivots)
+        own = to.argmin(axis=1)
+        self.groups = [np.flatnonzero(own == j) for j in range(len(pivots))]
+        self.radius = np.array([to[g, j].max(initial=0.0) for j, g in enumerate(self.groups)])
+
+    def nearest(self, X: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distance and row number of the nearest center of every row. An overflowing distance is infinite; NaN is
+        above every number."""
+        best, at = np.full(len(X), np.nan), np.zeros(len(X), np.int64)
+        fits = np.all(np.abs(X) < SAFE, axis=1) if self.bounded else np.zeros(len(X), bool)
+        odd = np.flatnonzero(~fits)
+        for j in range(len(self.C) if len(odd) else 0):
+            with np.errstate(over="ignore", invalid="ignore"):
+                d = cross_distances(X[odd], self.C[j:j + 1])[:, 0]
+            # strict, so the first keeps a tie
+            closer = (d < best[odd]) | (np.isnan(best[odd]) & ~np.isnan(d))
+            best[odd[closer]], at[odd[closer]] = d[closer], j
+        self.distances += len(odd) * len(self.C)
+        rows = np.flatnonzero(fits)
+        if len(rows):
+            best[rows], at[rows] = np.inf, len(self.C)
+            to = cross_distances(X[rows], self.pivots)
+            self.distances += to.size
+            own = to.argmin(axis=1)
+            for others in (False, True):
+                for j, group in enumerate(self.groups):
+                    near = (own != j) & (to[:, j] - self.radius[j] <= best[rows] * (1 + SLACK)) if others else own == j
+                    self._measure(X, rows[near], group, best, at)
+        return best, at
+
+    def _measure(self, X, rows, group, best, at) -> None:
+        if not len(rows):
+            return
+        D = cross_distances(X[rows], self.C[group])
+        self.distances += D.size
+        m = D.argmin(axis=1)                    # the first of equals: groups are in order
+        d, c = D[np.arange(len(rows)), m], group[m]
+        closer = (d < best[rows]) | ((d == best[rows]) & (c < at[rows]))
+        best[rows[closer]], at[rows[closer]] = d[closer], c[closer]
+
+
 def _nearest_udf(centers: CenterList):
-    """Arrow-batched nearest center for large ``k * d``."""
-    C = np.array([c for _, c in centers], dtype=np.float64)
+    """Nearest center by Arrow batches, for large ``k * d``."""
     ids = np.array([j for j, _ in centers], dtype=np.int32)
+    C = np.array([c for _, c in centers], dtype=np.float64)
+    made: list[CenterIndex] = []
 
-    @F.pandas_udf("distance double, center_id int")
-    def nearest_center(coords: pd.Series) -> pd.DataFrame:
-        if len(coords) == 0:
-            return pd.DataFrame({"distance": np.empty(0), "center_id": np.empty(0, dtype=np.int32)})
-        X = np.stack(coords.to_numpy()).astype(np.float64, copy=False)
-        old = np.seterr(over="ignore", invalid="ignore")
-        best, best_id = None, None
-        for j in range(len(C)):
-            acc = X[:, 0] - C[j, 0]
-            acc = acc * acc
-            for i in range(1, X.shape[1]):
-                t = X[:, i] - C[j, i]
-                acc += t * t
-            dist = np.sqrt(acc)
-            if best is None:
-                best, best_id = dist, np.full(len(X), ids[j], dtype=np.int32)
-                continue
-            # strict, so the lower id keeps a tie; NaN is above every number
-            closer = (dist < best) | (np.isnan(best) & ~np.isnan(dist))
-            best = np.where(closer, dist, best)
-            best_id = np.where(closer, ids[j], best_id)
-        np.seterr(**old)
-        return pd.DataFrame({"distance": best, "center_id": best_id})
+    @F.arrow_udf("struct<distance: double, center_id: int>")
+    def nearest_center(coords: pa.Array) -> pa.Array:
+        if not made:
+            made.append(CenterIndex(C))     # once a task
+        best, at = made[0].nearest(coords_matrix(coords, C.shape[1]))
+        return pa.StructArray.from_arrays([pa.array(best, pa.float64()), pa.array(ids[at])], ["distance", "center_id"])
 
     return nearest_center
 
@@ -96,10 +147,7 @@ def nearest(x: Column | str, centers: CenterList) -> Column:
         cands = [F.struct(distance(x, c).alias("distance"), F.lit(j).cast("int").alias("center_id"))
                  for j, c in centers]
         return cands[0] if len(cands) == 1 else F.least(*cands)
-    m = _nearest_udf(centers)(x)
-    # pandas hands NaN back as null
-    return F.struct(F.coalesce(m["distance"], F.lit(float("nan"))).alias("distance"),
-                    m["center_id"].alias("center_id"))
+    return _nearest_udf(centers)(x)
 
 
 def assign_nearest(points: DataFrame, centers: DataFrame | Sequence,

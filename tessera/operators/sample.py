@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.vectors import coords_matrix, cross_distances
 from tessera.operators.grid import AdaptiveGrid
 
 # fixed values: the multiplicative hash of the seeded rank
@@ -90,21 +91,6 @@ def initial_medoids(merged: DataFrame, quota: DataFrame) -> DataFrame:
 # ----------------------------------------------------------------- numpy PAM
 
 
-def cross_distances(P: np.ndarray, C: np.ndarray) -> np.ndarray:
-    """Euclidean distances between the rows of ``P`` and of ``C``.
-
-    Squares are summed dimension by dimension in order, the same sum as the
-    SQL and Spark expressions, in one buffer updated in place.
-    """
-    D = np.subtract.outer(P[:, 0], C[:, 0])
-    np.multiply(D, D, out=D)
-    for i in range(1, P.shape[1]):
-        T = np.subtract.outer(P[:, i], C[:, i])
-        np.multiply(T, T, out=T)
-        D += T
-    return np.sqrt(D, out=D)
-
-
 def nearest_two(DM: np.ndarray):
     """Per row of a point-by-medoid distance block: nearest slot (lowest on
     ties), its distance, and the distance to the nearest other medoid."""
@@ -211,12 +197,6 @@ def pam_points(X: np.ndarray, w: np.ndarray, k: int, max_sweeps: int | None = No
     return med, float(np.dot(w, nearest))
 
 
-def coords_matrix(column, d: int) -> np.ndarray:
-    """An Arrow column of coordinate arrays as an ``m x d`` matrix."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, d)
-
-
 _PAM_COLS = ["cell_key", "point_id", "rank", "n", "weight", "coords"]
 
 

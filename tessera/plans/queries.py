@@ -1100,6 +1100,21 @@ def q_assign_nearest_hd(spark, sf_dir):
     return out.select("point_id", "center_id", rnd(F.col("distance"), 6).alias("distance"))
 
 
+_MANY_K = 1000    # centers for which the index of E2 measures a few groups each
+
+
+@register("assign_nearest_many", f"""
+WITH pts AS ({EVENTS.sql()}), ctr AS ({centers_sql(EVENTS, _MANY_K)}),
+pc AS (SELECT p.point_id, c.center_id, {sql_dist(2, 'x', 'c', 'p.', 'c.')} AS dist FROM pts p, ctr c)
+SELECT point_id, center_id, round(dist, 6) + 0.0 AS distance FROM pc
+QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY dist, center_id) = 1""")
+def q_assign_nearest_many(spark, sf_dir):
+    """Nearest of a thousand centers (E2 by triangle-inequality bounds)."""
+    pts = EVENTS.load(spark, sf_dir)
+    out = A.assign_nearest(pts, first_k_centers(pts, _MANY_K))
+    return out.select("point_id", "center_id", rnd(F.col("distance"), 6).alias("distance"))
+
+
 # ---------------------------------------------------------------- sweeps until stable
 
 

@@ -172,3 +172,24 @@ def test_refined_runs_agree_by_method(spark):
     assert 2 * b.jobs < a.jobs
     with pytest.raises(ValueError):
         W.refine_once(pts, ctr, 2, method="steepest")
+
+
+@pytest.mark.parametrize("d,k", [(1, 200), (2, 1000), (3, 64), (2, 10)])
+def test_indexed_centers_give_the_plain_nearest(d, k):
+    """Bounds pass over groups, never over a nearest center; ties, copies and odd rows included."""
+    rng = np.random.default_rng(d * k)
+    C = np.round(rng.uniform(0, 50, (k, d)), 1)
+    X = np.r_[np.round(rng.uniform(-5, 60, (3000, d)), 1), C[:50], [[np.nan] * d], [[np.inf] * d], [[1e200] * d]]
+    index = A.CenterIndex(C)
+    dist, at = index.nearest(X)
+    few = index.distances
+    plain = A.CenterIndex(C)
+    plain.bounded = False
+    want, first = plain.nearest(X)
+    assert np.array_equal(dist, want, equal_nan=True) and np.array_equal(at, first)
+    D = np.sqrt(sum((X[:3050, i, None] - C[None, :, i]) ** 2 for i in range(d)))
+    assert np.array_equal(at[:3050], D.argmin(axis=1))
+    if k == 1000:
+        assert few < len(X) * k / 5
+    same = A.CenterIndex(np.repeat(C[:1], 100, axis=0))
+    assert np.all(same.nearest(X[:100])[1] == 0)
