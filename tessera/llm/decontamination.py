@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textops as X
-from tessera.llm.tables import type_of
+from tessera.llm.tables import arrow_type_of, type_of
 
 K1, B = 1.2, 0.75
 #: share of an item's weight that a passage must hold; weight that lists outside the essential ones may have
@@ -278,15 +278,12 @@ def _match_fn(index: Index):
             found = list(_batch_matches(batch, index))
             ids = batch.column(0).take(pa.array([f[0] for f in found], pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array([index.items[f[1]].id for f in found]).cast(index.id_type),
+                [ids, pa.array([index.items[f[1]].id for f in found], index.id_type),
                  pa.array([f[2] for f in found], pa.int64()), *(pa.array([f[k] for f in found], pa.float64()) for k in (3, 4, 5))],
                 ["doc_id", "item_id", "first_word", "score", "question_share", "answer_share"])
     return run
 
 
-_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-
-
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Verified pairs of ``docs(doc_id, text, ...)`` and ``items(item_id, text, ...)``:
     (doc_id, item_id, first_word, score, question_share, answer_share), where ``first_word``
@@ -298,7 +295,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
               "question_share DOUBLE, answer_share DOUBLE")
     out = None
     for index in indexes(items):
-        index.id_type = _ARROW[type_of(items, "item_id")]
+        index.id_type = arrow_type_of(items, "item_id")
         part = docs.select("doc_id", "text").mapInArrow(_match_fn(index), schema)
         out = part if out is None else out.unionAll(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)

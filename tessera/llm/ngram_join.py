@@ -276,14 +276,22 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num:
             .where(F.col("both") * (num + den) >= F.col("all") * num).select("a", "b"))
 
 
-def _key_fn(k: int):
+def _free(name: str, columns: list[str]) -> str:
+    """``name``, lengthened until it is none of ``columns``."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
+def _key_fn(k: int, name: str):
     def run(batches):
         for batch in batches:
             for a, b, data, offsets in X.text_slices(batch):
                 sets = list(shingles(_lower(data), offsets, k))
                 key = [np.uint64(xxhash.xxh64_intdigest(g.tobytes())).astype(np.int64) if len(g) else None for g in sets]
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(key, pa.int64())], [*part.schema.names, "_key"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(key, pa.int64())], [*part.schema.names, name])
     return run
 
 
@@ -301,24 +309,26 @@ def one_of_each(docs: DataFrame, k: int = 5, numerator: int = 8, denominator: in
         return out
     some = _against(docs, again, ["doc_id"], "left_semi")
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    keyed = some.mapInArrow(_key_fn(k), f"{types}, _key BIGINT")
-    gone = drop.select("doc_id", F.col("key").alias("_key")).distinct()
+    name = _free("_key", docs.columns)
+    keyed = some.mapInArrow(_key_fn(k, name), f"{types}, {name} BIGINT")
+    gone = drop.select("doc_id", F.col("key").alias(name)).distinct()
     # several sets of one id can lie in its own component: the lowest stays
     own = (named.where("n > 0").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "component")
            .agg(F.min("key").alias("least"), F.collect_set("key").alias("all")))
-    more = own.select("doc_id", F.explode("all").alias("_key"), "least").where("_key <> least").select("doc_id", "_key")
-    kept = _against(keyed, gone.union(more), ["doc_id", "_key"], "left_anti")
-    full = kept.where("_key IS NOT NULL").dropDuplicates(["doc_id", "_key"])
-    return out.unionAll(full.drop("_key")).unionAll(kept.where("_key IS NULL").drop("_key"))
+    more = own.select("doc_id", F.explode("all").alias(name), "least").where(F.col(name) != F.col("least")).select("doc_id", name)
+    kept = _against(keyed, gone.union(more), ["doc_id", name], "left_anti")
+    full = kept.where(F.col(name).isNotNull()).dropDuplicates(["doc_id", name])
+    return out.unionAll(full.drop(name)).unionAll(kept.where(F.col(name).isNull()).drop(name))
 
 
 def _against(rows: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
     """Semi or anti join by null-safe keys, broadcast if their counted number is small."""
     hint = "broadcast" if keys.count() <= BROADCAST_IDS else "shuffle_hash"
-    other = keys.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(on)]).hint(hint)
+    names = [_free(f"_k{i}", rows.columns) for i in range(len(on))]
+    other = keys.select(*[F.col(c).alias(x) for c, x in zip(on, names)]).hint(hint)
     cond = None
-    for i, c in enumerate(on):
-        eq = F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    for c, x in zip(on, names):
+        eq = F.col(c).eqNullSafe(F.col(x))
         cond = eq if cond is None else cond & eq
     return rows.join(other, cond, how)
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import textops as X
-from tessera.llm.tables import type_of, written
+from tessera.llm.tables import arrow_type_of, type_of, written
 
 #: bytes of query texts that one scan of the documents serves (a longer text is a block of its own)
 BLOCK_BYTES = 1 << 20
@@ -219,7 +219,7 @@ def ranked(docs: DataFrame, items: DataFrame, k: int = 20, block_bytes: int = BL
     Null ids of documents come last among equals. Other columns are ignored.
     """
     spark = docs.sparkSession
-    doc_type, doc_field = type_of(docs, "doc_id"), docs.select("doc_id").schema
+    doc_type, doc_arrow = type_of(docs, "doc_id"), arrow_type_of(docs, "doc_id")
     asked = items.select("item_id", "text").where("text IS NOT NULL").withColumn("_query", F.sha2("text", 256))
     texts, blocks = query_blocks(written(asked.select("_query", "text").distinct(), "queries"), block_bytes)
     found = None
@@ -234,7 +234,7 @@ def ranked(docs: DataFrame, items: DataFrame, k: int = 20, block_bytes: int = BL
             df[r[0]] = r[1]
         weights = np.array([math.floor(1000 * math.log((2 * n + 2) / (2 * int(x) + 1))) for x in df], np.int64)
         part = index.where(F.size("terms") > 0).mapInArrow(
-            _search_fn(queries, weights, n, total, k, _arrow_type(doc_field)), f"_query STRING, doc_id {doc_type}, score BIGINT")
+            _search_fn(queries, weights, n, total, k, doc_arrow), f"_query STRING, doc_id {doc_type}, score BIGINT")
         found = part if found is None else found.union(part)
     if found is None:
         found = spark.createDataFrame([], f"_query STRING, doc_id {doc_type}, score BIGINT")
@@ -243,8 +243,3 @@ def ranked(docs: DataFrame, items: DataFrame, k: int = 20, block_bytes: int = BL
     for keys in (["_query", "_part"], ["_query"]):
         found = found.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
     return asked.select("item_id", "_query").join(found, "_query").select("item_id", "rank", "doc_id", "score")
-
-
-def _arrow_type(schema) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    return to_arrow_schema(schema).field(0).type

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.session import checkpoint, scratch_path
 
@@ -41,6 +43,10 @@ def type_of(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
+def arrow_type_of(df: DataFrame, column: str) -> pa.DataType:
+    return to_arrow_type(df.schema[column].dataType)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of an undirected graph by alternating large-star and
     small-star steps (Kiveris et al.), on edge rows only.

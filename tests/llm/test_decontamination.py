@@ -101,3 +101,12 @@ def test_odd_rows(spark):
     assert D.contaminated(no_docs(spark), items).collect() == []
     empty = spark.createDataFrame([], "item_id BIGINT, text STRING")
     assert D.contaminated(odd(spark), empty).collect() == [] and D.clean(odd(spark), empty).count() == len(ODD)
+
+
+def test_item_ids_of_any_type(spark):
+    items = spark.createDataFrame([(1, "a text without an id, of some words at least"), (2, "nowhere to be found in any document of these")], "item_id INT, text STRING")
+    for kind in ("smallint", "decimal(12,2)", "double", "date", "binary"):
+        cast = F.col("item_id").cast(kind) if kind != "date" else F.date_add(F.lit("2020-01-01").cast("date"), F.col("item_id"))
+        typed = items.select(cast.alias("item_id") if kind != "binary" else F.col("item_id").cast("string").cast("binary").alias("item_id"), "text")
+        want = typed.where(F.col("text").startswith("a text")).first()["item_id"]
+        assert [(r.doc_id, r.item_id) for r in D.contaminated(odd(spark), typed).collect()] == [(None, want)]

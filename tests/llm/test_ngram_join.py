@@ -3,6 +3,8 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from helpers import LONG, ODD, docs_of, no_docs, odd, words
 from tessera.llm.ngram_join import jaccard_components, one_of_each
 
@@ -79,3 +81,14 @@ def test_one_of_each_keeps_one_row_a_component(spark):
         key=repr)
     assert one_of_each(no_docs(spark)).collect() == []
     assert one_of_each(odd(spark)).columns == odd(spark).columns
+
+
+def test_columns_named_as_the_keys_in_use(spark):
+    rows = [(3, "a b c d e f g"), (2, "a b c d e f g"), (2, "a b c d e f g"), (9, "h i j k l m"), (9, "n o p q r s"), (None, "t u v w x y z")]
+    docs = docs_of(spark, rows)
+    for c in ("_key", "_k0", "_k1", "__key", "_K0x"):
+        docs = docs.withColumn(c, F.lit(7))
+    got = one_of_each(docs)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text, r["_key"]) for r in got.collect()), key=repr) == sorted(
+        [(2, "a b c d e f g", 7), (9, "h i j k l m", 7), (9, "n o p q r s", 7), (None, "t u v w x y z", 7)], key=repr)
