@@ -1,6 +1,7 @@
 """Gridding: edge cases D3-D7 and properties of the adaptive leaves."""
 
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from conftest import SF01, make_points
 from tessera.operators import grid as G
 from tessera.operators import sample as SM
-from tessera.plans.fixtures import PART
+from tessera.plans.fixtures import EVENTS, PART
 
 
 def simulate(points, tau, spec):
@@ -184,3 +185,45 @@ def test_all_leaves_with_empty_children(spark):
     assert cells.count() == grid.n_cells
     assert cells.agg(F.sum("n")).first()[0] == grid.spec.n
     assert cells.where("n > 0").count() == G.adaptive_cells(grid).count()
+
+
+def _bytes_in(folder) -> int:
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(folder) for f in names)
+
+
+def test_points_are_not_rewritten_and_scans_are_few(spark, tmp_path, monkeypatch):
+    """What a split writes are counts of cells; its scans grow with the logarithm of the levels."""
+    pts = EVENTS.load(spark, "/root/testdata/sf0.1")
+    scans = []
+    counted = G._level_counts
+    monkeypatch.setattr(G, "_level_counts", lambda *a: scans.append(a[3:5]) or counted(*a))
+    before = spark.sparkContext.getCheckpointDir()
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    try:
+        grid = G.adaptive_grid(pts, 200, 2)
+        written = _bytes_in(tmp_path)
+        sizes = grid.points.groupBy("cell_key").count()
+        assert sizes.agg(F.sum("count"), F.max("count")).first() == (grid.spec.n, 200)
+    finally:
+        if before:
+            spark._jsc.sc().setCheckpointDir(os.path.dirname(before))
+    assert grid.levels == 3 and written < 1.5 * grid.spec.n * 32
+    assert scans == [(0, 0), (1, 2), (3, 6), (7, 14)][:len(scans)] and len(scans) <= 2 + math.log2(grid.levels)
+
+
+@pytest.mark.parametrize("at_once,broadcast_bytes", [(1, G.BROADCAST_BYTES), (2, G.BROADCAST_BYTES), (8, 0)])
+def test_cut_plans_and_shuffled_directories_give_the_same_leaves(spark, monkeypatch, at_once, broadcast_bytes):
+    import random
+    rng = random.Random(5)
+    pts = make_points(spark, [[rng.random() ** 6 * 100, rng.random() ** 6 * 100] for _ in range(800)])
+    want = {r["point_id"]: (r["cell_key"], r["depth"], list(r["a"])) for r in G.adaptive_grid(pts, 5, 2).points.collect()}
+    monkeypatch.setattr(G, "LEVELS_AT_ONCE", at_once)
+    grid = G.adaptive_grid(pts, 5, 2, broadcast_bytes=broadcast_bytes)
+    got = grid.points.collect()
+    assert grid.levels > 3 and len(got) == len(want)
+    assert {r["point_id"]: (r["cell_key"], r["depth"], list(r["a"])) for r in got} == want
+    leaves = {(r["cell_key"], r["depth"]): r["n"] for r in grid.cells.collect()}
+    counts = {}
+    for key, depth, _ in want.values():
+        counts[key, depth] = counts.get((key, depth), 0) + 1
+    assert leaves == counts
