@@ -216,7 +216,8 @@ def _level(states: DataFrame, edges: DataFrame, edits: int) -> DataFrame:
         rows = states.where(F.col("edits") == 0).join(edges, "node")
         insert = F.when(first != goes, on(rest, pos, pos + step - 1))
         replace = F.when((goes != "") & (first > goes), on(rest, pos + 1, pos + step))
-        rows = rows.withColumn("pos", F.explode(F.array_compact(F.array(insert, replace))))
+        # most pairs of a state and an edge end here, within the join
+        rows = rows.where(insert.isNotNull() | replace.isNotNull()).withColumn("pos", F.explode(F.array_compact(F.array(insert, replace))))
     return rows.select("s", "back", "pos", F.col("child").alias("node"), F.lit(1).alias("edits"), "target")
 
 
