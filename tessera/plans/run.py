@@ -1,17 +1,17 @@
 """The whole clustering run (M1): grid, sample, phase 1, phase 2.
 
-    points -> bounds (1 job) -> adaptive grid (per level: one count
-    aggregate, points routed by a join with the counted split keys, rows
-    checkpointed) -> distinct points per cell (partial aggregation,
-    checkpointed) -> per-cell k-medoids (grouped map over buckets of cells;
-    sample checkpointed) -> slot sweeps over the sample (pairs of blocks,
-    scored in tasks) -> cost over all points -> phase 2: ``iterations`` x
-    (Weiszfeld: one k-row aggregate per pass; cost).
-
-Only k centers, bounds, scalar counts and, per scoring round, the few
-candidates that can win a slot reach the driver. Plans keep a constant size
-and lineage does not grow across iterations. The input is read three times:
-bounds, level-0 count, level-0 routing; the assignment reads the routed rows.
+    points -> bounds (1 job) -> adaptive grid (a directory of split cells from
+    counts, several levels a scan; a point's leaf is a projection) -> distinct
+    points per cell (partial aggregation, checkpointed) -> per-cell k-medoids
+    (grouped map over buckets of cells; sample checkpointed) -> slot sweeps over
+    the sample (a narrow job a round) -> phase 2: ``iterations`` x (assign, one
+    k-row aggregate per pass; cost with the first pass).
+
+Only k centers, bounds, scalar counts, the boxes of the sample's blocks and, per
+scoring round, the few candidates that can win a slot reach the driver (a
+packed sample of at most 32 MB passes through it to be broadcast). Plans keep a bounded size
+and lineage does not grow across iterations. The input is read for the bounds, once
+per stage of levels, by the copy merge and by the assignment.
 """
 
 from __future__ import annotations

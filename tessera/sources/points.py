@@ -2,19 +2,21 @@
 
 A point table has the schema ``point_id BIGINT, coords ARRAY<DOUBLE>,
 weight DOUBLE``. It is never collected: readers return lazy DataFrames and
-only the dimension (from one row) and per-partition row counts (one number
-per input split) reach the driver.
+only the dimension (from one row) and the number of splits reach the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 POINT_SCHEMA = "point_id BIGINT, coords ARRAY<DOUBLE>, weight DOUBLE"
 
+# splits whose counts one window adds up, and offsets that are broadcast
+SPLITS_AT_ONCE = 4096
+BROADCAST_SPLITS = 1_000_000
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
 
 
@@ -41,6 +43,18 @@ def _has_exchange(df: DataFrame) -> bool:
     return "Exchange" in plan or "Sort " in plan
 
 
+def running_offsets(counts: DataFrame) -> DataFrame:
+    """``_split, _offset``: the rows before each split of ``counts(_split, count)``. Sums inside groups of splits,
+    then over the groups, so that no task holds the counts of all splits."""
+    grouped = counts.withColumn("_group", F.expr(f"_split div {SPLITS_AT_ONCE}"))
+    inside = Window.partitionBy("_group").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy(F.lit(0)).orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    groups = grouped.groupBy("_group").agg(F.sum("count").alias("_n"))
+    groups = groups.select("_group", F.coalesce(F.sum("_n").over(across), F.lit(0)).alias("_before"))
+    rows = grouped.withColumn("_in", F.coalesce(F.sum("count").over(inside), F.lit(0)))
+    return rows.join(groups, "_group").select("_split", (F.col("_before") + F.col("_in")).alias("_offset"))
+
+
 def with_point_index(df: DataFrame, name: str = "point_id", reliable: bool = False) -> DataFrame:
     """Number the rows 0..n-1 in partition order (S3).
 
@@ -49,25 +63,20 @@ def with_point_index(df: DataFrame, name: str = "point_id", reliable: bool = Fal
     splits in the same order, so such an input is not materialized; an input
     with a shuffle or sort (whose layout a re-run could change), or
     ``reliable=True``, is checkpointed. One job counts the rows of each split
-    (column-pruned); the offsets (one per split) join back through a broadcast
-    of that per-split table, whose size is the number of splits, not of rows.
+    (column-pruned); the counts stay a table, are added up in two levels, and the offsets (one per
+    split) join back, by broadcast while they are at most ``BROADCAST_SPLITS``.
     """
     from tessera.session import checkpoint
     tagged = df.withColumn("_mid", F.monotonically_increasing_id())
     tagged = tagged.withColumn("_split", F.shiftright("_mid", _ROW_BITS))
     if reliable or _has_exchange(df):
         tagged = checkpoint(tagged)
-    counts = (tagged.groupBy("_split").count().orderBy("_split").collect())
-    offsets, running = [], 0
-    for row in counts:
-        offsets.append((int(row["_split"]), running))
-        running += int(row["count"])
-    spark = df.sparkSession
-    off_df = spark.createDataFrame(offsets or [(0, 0)], "_split BIGINT, _offset BIGINT")
-    out = (tagged.join(F.broadcast(off_df), "_split")
-           .withColumn(name, F.col("_offset") + F.col("_mid").bitwiseAND((1 << _ROW_BITS) - 1))
-           .drop("_mid", "_split", "_offset"))
-    return out
+    offsets = checkpoint(running_offsets(checkpoint(tagged.groupBy("_split").count())))
+    if offsets.count() <= BROADCAST_SPLITS:
+        offsets = F.broadcast(offsets)
+    return (tagged.join(offsets, "_split")
+            .withColumn(name, F.col("_offset") + F.col("_mid").bitwiseAND((1 << _ROW_BITS) - 1))
+            .drop("_mid", "_split", "_offset"))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -3,6 +3,8 @@
 import os
 import tempfile
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,3 +68,22 @@ def test_text_roundtrip_is_exact(spark):
     a = sorted(tuple(r["coords"]) for r in pts.collect())
     b = sorted(tuple(r["coords"]) for r in back.collect())
     assert a == b
+
+
+def test_offsets_of_many_splits(spark):
+    """100,000 splits, some missing, with counts up to millions: the running sum of a plain loop."""
+    rng = np.random.default_rng(2)
+    splits = np.sort(rng.choice(130_000, 100_000, replace=False))
+    counts = rng.integers(1, 5_000_000, len(splits))
+    table = spark.createDataFrame(pd.DataFrame({"_split": splits, "count": counts})).repartition(7)
+    got = {r["_split"]: r["_offset"] for r in SP.running_offsets(table).collect()}
+    assert got == dict(zip(splits.tolist(), (np.cumsum(counts) - counts).tolist()))
+
+
+def test_ids_of_a_file_are_line_numbers(spark, monkeypatch):
+    lines = [f"{i}\t{i % 7}" for i in range(5000)]
+    path = _write(lines)
+    for limit in (SP.BROADCAST_SPLITS, 0):
+        monkeypatch.setattr(SP, "BROADCAST_SPLITS", limit)
+        rows = SP.read_points_text(spark, path).collect()
+        assert len(rows) == 5000 and all(r["point_id"] == r["coords"][0] for r in rows)
