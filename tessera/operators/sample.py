@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.vectors import coords_matrix, cross_distances
 from tessera.operators.grid import AdaptiveGrid
+from tessera.session import checkpoint
 
 # fixed values: the multiplicative hash of the seeded rank
 RANK_MULTIPLIER = 2654435761
@@ -257,5 +258,5 @@ def grid_sample(grid: AdaptiveGrid, seed: int = 0, max_sweeps: int | None = None
                 avg_basis: str = "all") -> DataFrame:
     """The sample: medoids of all cells (A5), ``point_id, coords, rank, cell_key, slot``.
     ``avg_basis`` is the average the quota divides by (``AdaptiveGrid.average``)."""
-    merged = merged_cells(grid, seed)
-    return cell_pam(merged, grid.spec.d, grid.average(avg_basis), max_sweeps, n_rows=grid.spec.n)
+    merged = checkpoint(merged_cells(grid, seed))
+    return cell_pam(merged, grid.spec.d, grid.average(avg_basis), max_sweeps)

@@ -79,7 +79,7 @@ def cluster(points: DataFrame, k: int, tau: int, iterations: int, seed: int = 0,
     # sample: distinct points per cell, k-medoids inside each cell
     t1 = time.time()
     merged = checkpoint(SM.merged_cells(grid, seed))
-    sample = checkpoint(SM.cell_pam(merged, d, grid.average(avg_basis), max_sweeps, n_rows=spec.n)
+    sample = checkpoint(SM.cell_pam(merged, d, grid.average(avg_basis), max_sweeps)
                         .select("point_id", "coords", "rank", "cell_key", "slot"))
     s = sample.count()
     metric("sample", 0, "sample_size", s)
