@@ -23,6 +23,10 @@ edges, level by level. Plan:
 
 A node of a third of all words has a third of the states but no more edges than the
 alphabet has letters, so the join's state side can be split.
+
+All joins are of tables that grow with the vocabulary, and Spark sizes these by their
+compressed files, or by what they were before an explode or a Python step, so each join is
+a sort-merge join (``_merged``): none of them passes through the driver.
 """
 
 from __future__ import annotations
@@ -162,17 +166,22 @@ def _prefix_fn(batches) -> Iterator[pa.RecordBatch]:
                  pa.array(X.mix(node + np.uint64(back)).view(np.int64)), pa.array(following)], ["w", "back", "depth", "node", "next"])
 
 
+def _merged(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join that is never broadcast, whatever size Spark takes its sides for."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def _paths(vocabulary: DataFrame) -> DataFrame:
     """``word, steps``: every word with its nodes, ``struct(back, depth, node)`` in order."""
     known = vocabulary.select(F.xxhash64("word").alias("w"), "word")
     prefixes = known.mapInArrow(_prefix_fn, "w BIGINT, back BOOLEAN, depth INT, node BIGINT, next INT")
     forks = (prefixes.groupBy("node").agg(F.min("next").alias("low"), F.max("next").alias("high"))
              .where("low <> high").select("node"))
-    inner = prefixes.where("next >= 0").join(forks, "node")
+    inner = _merged(prefixes.where("next >= 0"), forks, "node")
     step = F.struct("back", "depth", "node")
     rows = inner.select("w", step.alias("step")).union(prefixes.where("next < 0").select("w", step.alias("step")))
     steps = rows.groupBy("w").agg(F.sort_array(F.collect_list("step")).alias("steps"))
-    return known.join(steps, "w").select("word", "steps")
+    return _merged(known, steps, "w").select("word", "steps")
 
 
 def _trie(paths: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -190,7 +199,7 @@ def _trie(paths: DataFrame) -> tuple[DataFrame, DataFrame]:
     half = F.when(F.col("back"), F.ceil(size / 2)).otherwise(F.floor(size / 2))
     states = nodes.where(F.col("depth") >= half).select(s.alias("s"), "back", F.col("depth").alias("pos"), "node", F.lit(0).alias("edits"))
     letters = edges.groupBy(F.col("node").alias("child")).agg(F.array_join(F.collect_set(F.substring("label", 1, 1)), "").alias("letters"))
-    edges = edges.join(ends, "child", "left").join(letters, "child", "left")
+    edges = _merged(_merged(edges, ends, "child", "left"), letters, "child", "left")
     return edges.select("node", F.substring("label", 1, 1).alias("first"), "label", "child", "target",
                         F.coalesce("letters", F.lit("")).alias("letters")), states
 
@@ -210,10 +219,10 @@ def _level(states: DataFrame, edges: DataFrame, edits: int) -> DataFrame:
         return F.when((text == label) & ahead, to)
 
     if edits:
-        rows = states.where(F.col("edits") == 1).withColumn("first", goes).join(edges, ["node", "first"])
+        rows = _merged(states.where(F.col("edits") == 1).withColumn("first", goes), edges, ["node", "first"])
         rows = rows.withColumn("pos", on(F.col("label"), pos, pos + step)).where("pos IS NOT NULL")
     else:
-        rows = states.where(F.col("edits") == 0).join(edges, "node")
+        rows = _merged(states.where(F.col("edits") == 0), edges, "node")
         insert = F.when(first != goes, on(rest, pos, pos + step - 1))
         replace = F.when((goes != "") & (first > goes), on(rest, pos + 1, pos + step))
         # most pairs of a state and an edge end here, within the join
@@ -247,18 +256,18 @@ def variants(docs: DataFrame, least_chars: int = 7, least_n: int = 2, every: int
     ``times`` the word's, else null; ``root`` follows forms to the last. Null and empty texts
     hold no words; repeated rows count each; other columns are ignored."""
     words = written(word_counts(docs, least_chars, least_n, every), "words")
-    near = near_pairs(words).join(words.select(F.col("word").alias("near"), F.col("n").alias("near_n")), "near")
+    near = _merged(near_pairs(words), words.select(F.col("word").alias("near"), F.col("n").alias("near_n")), "near")
     best = near.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("top"))
-    rows = words.join(best, "word", "left").withColumn("form_n", F.when(-F.col("top.less") >= times * F.col("n"), -F.col("top.less")))
+    rows = _merged(words, best, "word", "left").withColumn("form_n", F.when(-F.col("top.less") >= times * F.col("n"), -F.col("top.less")))
     rows = written(rows.select("word", F.when(F.col("form_n").isNotNull(), F.col("top.near")).alias("form"), "n",
                                F.coalesce("n_near", F.lit(0).cast("bigint")).alias("n_near"), "form_n"), "forms")
     # every form is ``times`` as frequent as its word, so paths end; each round doubles how far they are followed
     roots = checkpoint(rows.where("form IS NOT NULL").select("word", F.col("form").alias("root")))
     while True:
         on = roots.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        roots = checkpoint(roots.join(on, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
+        roots = checkpoint(_merged(roots, on, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
         if roots.where("moved").isEmpty():
             break
         roots = roots.select("word", "root")
-    return (rows.join(roots.select("word", "root"), "word", "left")
+    return (_merged(rows, roots.select("word", "root"), "word", "left")
             .select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n"))

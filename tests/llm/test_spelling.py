@@ -122,6 +122,24 @@ def test_variants_equal_brute_force(spark):
     assert any(f is not None and root != f for f, root, *_ in want.values())   # chains of several forms
 
 
+def test_no_table_is_broadcast_by_its_estimated_size(spark):
+    """The driver holds no table that grows with the vocabulary: small files can hold many rows."""
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcd") for _ in range(8)) for _ in range(40)]
+    docs = docs_of(spark, [(i, " ".join(rng.choice(vocabulary) for _ in range(60))) for i in range(20)])
+    store = spark._jsparkSession.sharedState().statusStore()
+
+    def jobs():
+        done = store.executionsList()
+        return {e.executionId(): e.physicalPlanDescription() for e in (done.apply(i) for i in range(done.size()))}
+
+    before = max(jobs(), default=-1)
+    S.variants(docs).collect()
+    plans = [plan for k, plan in jobs().items() if k > before]
+    assert any("SortMergeJoin" in p for p in plans)
+    assert not any("BroadcastExchange" in p for p in plans)
+
+
 def test_odd_rows(spark):
     texts = [*ODD, (11, "lettered lettered Lettered letterred"), (12, "x" * 3000), (12, "x" * 3000), (13, "x" * 2999 + " " + "x" * 2999)]
     from pyspark.sql import functions as F
