@@ -8,9 +8,9 @@ A A' is built in blocks and never in full:
    are combined within a batch, and again within a block).
 2. A row keeps only its lowest n-grams in hash order, as many as a partner must
    hit ``c`` times (prefix bound: n - ceil(threshold * n) + c), and some slack.
-3. The rows' entries are dealt into blocks of n-grams, as packed arrays. A block
-   multiplies its columns: it emits (pair, count), without pairs whose sizes or
-   positions already rule a link out.
+3. The rows' entries are dealt into blocks of n-grams, as packed arrays, a part of the
+   blocks a round. A block multiplies its columns: it emits (pair, count), without pairs
+   whose sizes or positions already rule a link out.
 4. Counts are accumulated per pair in blocks of documents. A pair below its
    size-derived count ``c`` is discarded.
 5. Survivors pass a bound from 2048-bit parity sketches (each element of the
@@ -24,11 +24,14 @@ n-grams: each links to one representative per n-gram and size band; what is
 joined by that needs no further pair, and pairs across different components are
 compared by an equi-join on n-gram and size band that Spark can split.
 All bounds are exact: no link is lost, whatever the order or the constants.
+
+Steps leave no shuffle files, and tables that later steps don't read are removed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,13 +40,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textops as X
-from tessera.llm.tables import components, partitions, type_of, written
-from tessera.session import checkpoint
+from tessera.llm.tables import components, partitions, type_of, written, written_at
+from tessera.session import checkpoint, remove_path, scratch_path
 
 #: an n-gram in so many classes is hot: its column is not multiplied out
 HOT = 32
 #: bytes of packed entries that a block of the product holds
 BLOCK_BYTES = 8 << 20
+#: blocks are dealt and multiplied in up to so many rounds, each of so many bytes or more, of which one is on disk at a time
+ROUNDS = 4
+ROUND_BYTES = 64 << 20
 #: so many counted document ids are broadcast (16 MB); more are joined by a shuffle
 BROADCAST_IDS = 1_000_000
 SKETCH = 32
@@ -139,9 +145,9 @@ def _run_lengths(g: np.ndarray):
     return at, np.diff(np.r_[at, len(g)])
 
 
-def _entries_fn(blocks: int, most: int):
-    """Deals the rows' entries into blocks of n-grams. Of an n-gram that is hot within
-    the batch the block gets ``most`` entries, enough to see it; the rest goes by itself."""
+def _entries_fn(blocks: int, most: int, rounds: int = 1, part: int = 0):
+    """Deals the rows' entries into the blocks of n-grams of round ``part``. Of an n-gram that is hot
+    within the batch the block gets ``most`` entries, enough to see it; the rest goes by itself."""
     def run(batches):
         for batch in batches:
             key, first = np.unique(batch.column("key").to_numpy(zero_copy_only=False), return_index=True)
@@ -150,10 +156,12 @@ def _entries_fn(blocks: int, most: int):
             size = np.array([len(x) for x in grams], np.int64)
             for a, b in X.slices(np.r_[0, np.cumsum(size)], 1 << 18):
                 m = size[a:b]
-                e = np.empty(int(m.sum()), ENTRY)
-                e["g"] = np.concatenate(grams[a:b]) if len(e) else 0
-                e["k"], e["n"] = np.repeat(key[a:b], m), np.repeat(n[a:b], m)
-                e["r"] = np.arange(len(e)) - np.repeat(np.cumsum(m) - m, m)
+                g = np.concatenate(grams[a:b])
+                here = np.flatnonzero(g % np.uint64(blocks) % np.uint64(rounds) == part)
+                of = np.repeat(np.arange(a, b), m)[here]
+                e = np.empty(len(here), ENTRY)
+                e["g"], e["k"], e["n"] = g[here], key[of], n[of]
+                e["r"] = here - (np.cumsum(m) - m)[of - a]
                 e = e[np.argsort(e["g"], kind="stable")]
                 at, ln = _run_lengths(e["g"])
                 over = np.arange(len(e)) - np.repeat(at, ln) >= most
@@ -257,9 +265,11 @@ def _may_link(num: int, den: int):
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of class keys that link: sketch bound, then exact overlap."""
-    kept = written(pairs.distinct().join(_with(classes, "a"), "a").join(_with(classes, "b"), "b")
-                   .where(_may_link(num, den)).select("a", "b"), "pairs")
+    """The pairs (a, b) of class keys that link, checkpointed: sketch bound, then exact overlap."""
+    spark = docs.sparkSession
+    paths = [scratch_path(spark, name) for name in ("pairs", "sets")]
+    kept = written_at(pairs.distinct().join(_with(classes, "a"), "a").join(_with(classes, "b"), "b")
+                      .where(_may_link(num, den)).select("a", "b"), paths[0])
     ends = kept.select(F.col("a").alias("key")).union(kept.select(F.col("b").alias("key"))).distinct()
     reps = classes.join(ends, "key", "left_semi")
     ids = checkpoint(reps.select("rep").distinct())
@@ -268,12 +278,15 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num:
         ids.hint(how), F.col("doc_id").eqNullSafe(F.col("rep"))).select("text")
     sets = (texts.mapInArrow(_sets_fn(k), "key BIGINT, grams ARRAY<BIGINT>")
             .join(ends, "key", "left_semi").dropDuplicates(["key"]))
-    sets = written(sets, "sets")
+    sets = written_at(sets, paths[1])
     one = kept.join(sets.select(F.col("key").alias("a"), F.col("grams").alias("ga")), "a")
     two = one.join(sets.select(F.col("key").alias("b"), F.col("grams").alias("gb")), "b")
     both = F.size(F.array_intersect("ga", "gb"))
-    return (two.select("a", "b", both.alias("both"), (F.size("ga") + F.size("gb")).alias("all"))
-            .where(F.col("both") * (num + den) >= F.col("all") * num).select("a", "b"))
+    links = checkpoint(two.select("a", "b", both.alias("both"), (F.size("ga") + F.size("gb")).alias("all"))
+                       .where(F.col("both") * (num + den) >= F.col("all") * num).select("a", "b"))
+    for path in paths:
+        remove_path(spark, path)
+    return links
 
 
 def _free(name: str, columns: list[str]) -> str:
@@ -348,16 +361,23 @@ def jaccard_components(docs: DataFrame, k: int = 5, numerator: int = 8, denomina
 def _named(docs: DataFrame, k: int, numerator: int, denominator: int, top: int) -> DataFrame:
     """(doc_id, n, key, component, component_id) of every document."""
     spark, num, den = docs.sparkSession, numerator, denominator
-    rows = written(matrix_rows(docs, k, num, den), "rows")
-    some = rows.where("n > 0")
+    at_rows = scratch_path(spark, "rows")
+    whole = written_at(matrix_rows(docs, k, num, den), at_rows)
+    some = whole.where("n > 0")
+    rows = written(whole.select("doc_id", "n", "key"), "sizes")
     classes = written(some.groupBy("key").agg(
         F.min("doc_id").alias("rep"), F.first("n").alias("n"), *[F.first(s).alias(s) for s in _SK]), "classes")
     total = some.agg(F.sum(F.length("grams"))).first()[0] or 0
     blocks = max(4 * partitions(spark), total // 8 * ENTRY.itemsize // BLOCK_BYTES)
     # steps 3 and 4
-    dealt = some.select("key", "n", "grams").mapInArrow(_entries_fn(blocks, top), "bucket INT, kind INT, payload BINARY")
-    product = written(dealt.groupBy("bucket").applyInArrow(
-        _product_fn(num, den, blocks, top), "bucket INT, kind INT, payload BINARY"), "product")
+    schema = "bucket INT, kind INT, payload BINARY"
+    rounds = max(1, min(ROUNDS, -(-total // 8 * ENTRY.itemsize // ROUND_BYTES)))
+    at_product = [scratch_path(spark, "product") for _ in range(rounds)]
+    product = reduce(DataFrame.union, [
+        written_at(some.select("key", "n", "grams").mapInArrow(_entries_fn(blocks, top, rounds, part), schema)
+                   .groupBy("bucket").applyInArrow(_product_fn(num, den, blocks, top), schema), path)
+        for part, path in enumerate(at_product)])
+    remove_path(spark, at_rows)
     hot = checkpoint(product.where("kind = 1").mapInArrow(_unpack_fn, "g BIGINT, key BIGINT, n INT, r INT")
                      .dropDuplicates(["g", "key"]))
     prefix = F.col("n") - F.ceil(F.col("n") * num / den) + 1
@@ -381,7 +401,9 @@ def _named(docs: DataFrame, k: int, numerator: int, denominator: int, top: int)
     meets = checkpoint(reach.join(near, ["g", "band"])
                        .select("lead", "key", "band", F.col("cold").isNotNull().alias("dep")).distinct())
     star = meets.where("key <> lead").select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b"))
-    links = checkpoint(verified(pairs.union(star), classes, docs, k, num, den))
+    links = verified(pairs.union(star), classes, docs, k, num, den)
+    for path in at_product:
+        remove_path(spark, path)
     found = checkpoint(components(links))
     # rows that share a hot n-gram share the representative that one of them gave it; what still
     # lies in different components is compared among those
@@ -389,9 +411,10 @@ def _named(docs: DataFrame, k: int, numerator: int, denominator: int, top: int)
           .select("lead", "key", "band", "dep", F.coalesce("root", "key").alias("root")))
     split = at.groupBy("lead").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("lead")
     at = at.join(split, "lead", "left_semi").join(classes.select("key", "n", *_SK), "key")
-    x = at.where("dep").select("lead", "band", *[F.col(c).alias(f"{c}a") for c in ("key", "root", "n", *_SK)])
-    y = at.select("lead", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"),
-                  *[F.col(c).alias(f"{c}b") for c in ("key", "root", "n", *_SK)])
+    # of the two sides the one with fewer rows has one a band
+    x = at.where("dep").select("lead", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"),
+                               *[F.col(c).alias(f"{c}a") for c in ("key", "root", "n", *_SK)])
+    y = at.select("lead", "band", *[F.col(c).alias(f"{c}b") for c in ("key", "root", "n", *_SK)])
     rest = checkpoint(x.join(y, ["lead", "band"]).where((F.col("roota") != F.col("rootb")) & _may_link(num, den))
                       .select(F.least("keya", "keyb").alias("a"), F.greatest("keya", "keyb").alias("b")).distinct())
     if not rest.isEmpty():

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tessera.session import checkpoint, scratch_path
+from tessera.session import checkpoint, freed_shuffles, scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,9 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage ends there, so a
     lost executor re-reads files instead of replaying the plan."""
+    return written_at(df, scratch_path(df.sparkSession, name))
+
+
+def written_at(df: DataFrame, path: str) -> DataFrame:
+    """``written`` at a path, which the caller may remove once nothing reads it."""
     spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path, compression="zstd")
+    with freed_shuffles(spark):
+        df.write.parquet(path, compression="zstd")
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,3 +1,5 @@
+import glob
+import os
 import random
 import re
 
@@ -6,7 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import LONG, ODD, docs_of, no_docs, odd, words
+from tessera.llm import ngram_join
 from tessera.llm.ngram_join import jaccard_components, one_of_each
+from tessera.llm.tables import written
+from tessera.session import checkpoint, shared_dir
 
 
 def brute(rows, k, num, den):
@@ -55,6 +60,31 @@ def test_components_equal_brute_force(spark, seed, hot):
     assert sorted((tuple(r) for r in got), key=repr) == brute(rows, 4, 85, 100)
 
 
+def test_disk_holds_no_step_that_is_over(spark, monkeypatch):
+    """Blocks are multiplied in rounds with the same result; what later steps don't read is gone."""
+    monkeypatch.setattr(ngram_join, "ROUND_BYTES", 1)
+    folder = shared_dir(spark).removeprefix("file:")
+    rows, before = corpus(5), set(os.listdir(folder))
+    got = jaccard_components(docs_of(spark, rows).repartition(4), 4, 85, 100, 4).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == brute(rows, 4, 85, 100)
+    left = {x.split("-")[0] for x in set(os.listdir(folder)) - before}
+    assert "classes" in left and not left & {"rows", "product", "pairs", "sets"}
+
+
+def test_steps_leave_no_shuffle_files(spark):
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+
+    def files():
+        return {f for d in folders for f in glob.glob(f"{d.toString()}/*/shuffle_*")}
+
+    before = files()
+    counts = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    assert written(counts, "counts").count() == len(checkpoint(counts).collect()) == 7
+    # counting itself may shuffle one row a task
+    assert sum(map(os.path.getsize, files() - before)) < 1000
+    assert counts.count() == 7
+
+
 def test_a_large_group_of_near_copies_is_one_component(spark):
     rng = random.Random(9)
     base = words(rng, 120)
