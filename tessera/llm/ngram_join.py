@@ -40,8 +40,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textops as X
-from tessera.llm.tables import components, partitions, type_of, written, written_at
-from tessera.session import checkpoint, remove_path, scratch_path
+from tessera.llm.tables import components, partitions, type_of, written
+from tessera.session import checkpoint, remove_path, scratch_path, written_at
 
 #: an n-gram in so many classes is hot: its column is not multiplied out
 HOT = 32

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tessera.session import checkpoint, freed_shuffles, scratch_path
+from tessera.session import checkpoint, scratch_path, written_at
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,14 +20,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return written_at(df, scratch_path(df.sparkSession, name))
 
 
-def written_at(df: DataFrame, path: str) -> DataFrame:
-    """``written`` at a path, which the caller may remove once nothing reads it."""
-    spark = df.sparkSession
-    with freed_shuffles(spark):
-        df.write.parquet(path, compression="zstd")
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: so many counted rows, or array values in them, are broadcast
 BROADCAST_ROWS = 1_000_000
 

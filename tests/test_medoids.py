@@ -1,6 +1,7 @@
 """Per-cell PAM and the sample search against a plain-Python slot sweep."""
 
 import math
+import os
 import random
 
 import numpy as np
@@ -12,6 +13,7 @@ from tessera.operators import grid as G
 from tessera.operators import sample as SM
 from tessera.operators import search as SR
 from tessera.plans.fixtures import PART
+from tessera.session import shared_dir
 
 
 TOL = SM.TIE_RTOL
@@ -155,6 +157,25 @@ def test_blocks_far_from_the_candidates_are_skipped_exactly(spark, monkeypatch,
     assert points.distances < 0.3 * 90 * 1500 if k == 40 else points.distances > 0
 
 
+def test_a_larger_sample_is_not_shuffled_by_pairs_of_blocks(spark, monkeypatch):
+    """Beyond one broadcast the search leaves its blocks, not one copy a pair, and the same medoids."""
+    pts = PART.load(spark, SF001).withColumn("rank", SM.seeded_rank("point_id", 0))
+    want = SR.sample_medoids(pts, 3, 2)
+    monkeypatch.setattr(SR, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(SR, "BOUND_FROM", 0)
+    monkeypatch.setattr(SR, "ADD_AT_ONCE", 3)
+    blocks = SR.block_pairs(pts, 2, block_rows=20)
+    assert len(blocks.parts) == -(-len(blocks.ids) // 3) and sorted(np.concatenate([at for _, at in blocks.parts])) == list(range(len(blocks.ids)))
+    med = SR.initial_global(pts, 3)
+    plan = SR.swap_costs(blocks, SR.medoid_coords(pts, med))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    got = SR.sample_medoids(pts, 3, 2, block_rows=20)
+    assert got.medoid_ids == want.medoid_ids and got.cost == pytest.approx(want.cost, rel=1e-9) and got.sweeps == want.sweeps
+    assert not any(x.startswith("bounds") for x in set(os.listdir(folder)) - before)
+
+
 def test_row_statistics_of_both_forms_agree(spark, monkeypatch):
     pts = PART.load(spark, SF001)
     few = {r["point_id"]: r for r in SR.row_distance_stats(pts, 2).collect()}
